@@ -54,6 +54,7 @@ def telling(words: list[np.ndarray], ys: list[np.ndarray], most: int, least: int
     """Sorted hashes of the words that tell most about any of ``ys``: at least ``sure`` standard deviations from chance, in ``least`` texts and 0.2 % of them or more."""
     if not words or not sum(map(len, words)):
         return np.empty(0, np.uint64)
+    words = [np.unique(w) for w in words]
     uniq, back = np.unique(np.concatenate(words), return_inverse=True)
     row = np.repeat(np.arange(len(words)), [len(w) for w in words])
     n, df = len(words), np.bincount(back, minlength=len(uniq))
@@ -69,10 +70,10 @@ def telling(words: list[np.ndarray], ys: list[np.ndarray], most: int, least: int
 
 
 def presence(vocabulary: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """A row of 0 and 1 for each text's distinct ``words``."""
+    """A row for each text: the binary logarithm of 1 + how often its ``words`` have each of the vocabulary."""
     x = np.zeros((len(words), len(vocabulary)))
     for i, w in enumerate(words):
         if len(vocabulary) and len(w):
             at = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
-            x[i, at[vocabulary[at] == w]] = 1
-    return x
+            x[i] = np.bincount(at[vocabulary[at] == w], minlength=len(vocabulary))
+    return np.log2(1 + x)

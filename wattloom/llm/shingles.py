@@ -54,12 +54,12 @@ def _words(raw: np.ndarray, blank: np.ndarray, prefixes: tuple[int, ...] = ()) -
     parts = [words]
     for n in prefixes:
         s = starts[ends - starts > n]
-        parts.append(np.unique(mix((sums[s + n] - sums[s]) * down[s], 100 + n)))
+        parts.append(mix((sums[s + n] - sums[s]) * down[s], 100 + n))
     return np.concatenate(parts)
 
 
 def word_hashes(text: bytes, blank: np.ndarray = _BLANK, prefixes: tuple[int, ...] = ()) -> np.ndarray:
-    """One hash for each word, a run of bytes outside ``blank``, in order. With ``prefixes``: for each distinct word of a block, and each distinct beginning of so many bytes of a longer word. Long texts go through in blocks that end at a blank."""
+    """One hash for each word, a run of bytes outside ``blank``, in order. With ``prefixes``: for each distinct word of a block, and for the beginning of so many bytes of each longer one. Long texts go through in blocks that end at a blank."""
     raw = np.frombuffer(text, np.uint8)
     if len(raw) <= _BLOCK:
         return _words(raw, blank, prefixes)

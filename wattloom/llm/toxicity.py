@@ -38,8 +38,8 @@ class Chain(NamedTuple):
 
 
 def distinct_words(text: bytes) -> np.ndarray:
-    """Hashes of the words and of their beginnings."""
-    return np.unique(word_hashes(text, PUNCTUATION, PREFIXES))
+    """Hashes of the distinct words and, once for each of them, of its beginnings."""
+    return word_hashes(text, PUNCTUATION, PREFIXES)
 
 
 def fit_chain(words: list[np.ndarray], toxic: np.ndarray) -> Chain:

@@ -1,0 +1,323 @@
+"""The ten operators against brute force on small texts, with nulls, empty and long texts, ties, repeats, clashing columns and empty tables."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from wattloom.llm import ann, bpe, jaccard, licenses, linear, minhash, mixing, pii, quality, shingles, token_counts, toxicity
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+ODD = [None, "", " ", "a<|endoftext|> b", "  x\t\n y  z  ", "don't we'll '  s", "é é 中文 字 12３", "\n\n a \n", "x" * 3000, "a   b\x1c c", "word " * 40_000, "The MIT License. Released under the MIT License", "🎉🎉 ñ ñ"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, texts, schema="doc_id long, text string"):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], schema)
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), t)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+
+
+def shingle_sets(texts):
+    out = []
+    for t in texts:
+        w = words(t)
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Rows with columns that carry names the operators use inside."""
+    return table(spark, ODD).withColumns({c: F.lit("x") for c in ("n_tokens", "key", "part", "row", "bucket", "size", "n_shingles", "node", "run")})
+
+
+def test_token_counts_and_bpe_equal_the_library(spark, clashing):
+    t = Tokenizer.from_file(PATH)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in ODD]
+    got = {r["doc_id"]: r for r in token_counts.token_counts(clashing, PATH).collect()}
+    for i, ids in enumerate(want):
+        assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (len(ids), len((ODD[i] or "").encode()), len(ids) > 1024)
+    for r in bpe.encode_decode(clashing, PATH, with_ids=True).collect():
+        assert r["ids"] == want[r["doc_id"]] and r["decoded"] == (ODD[r["doc_id"]] or "")
+        assert r["ids_sha256"] == hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest()
+    empty = clashing.limit(0)
+    assert token_counts.token_counts(empty, PATH).count() == bpe.encode_decode(empty, PATH).count() == 0
+
+
+def test_pieces_join_to_the_text():
+    for x in ODD:
+        assert "".join(token_counts.pieces(x or "")) == (x or "")
+
+
+def near_texts(seed, n):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    out = [None, "", "one", "one", "one two", "One TWO"]
+    bases = [[rng.choice(vocabulary) for _ in range(rng.choice((6, 9, 20, 60, 200)))] for _ in range(n // 6)]
+    while len(out) < n:
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 4, 8))):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        if rng.random() < 0.3:
+            w = w + [rng.choice(vocabulary) for _ in range(rng.randrange(len(w) // 3 + 1))]
+        out.append(" ".join(w))
+    return out
+
+
+def components_of(sets):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * same >= 75 * (len(sets[i]) + len(sets[j]) - same):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_equals_all_pairs(spark, seed, monkeypatch):
+    if seed == 2:  # many blocks
+        monkeypatch.setattr(jaccard, "OUTER", 300)
+        monkeypatch.setattr(jaccard, "INNER", 700)
+    texts = near_texts(seed, 260)
+    sets = shingle_sets(texts)
+    want = components_of(sets)
+    got = {r["doc_id"]: r for r in jaccard.near_classes(table(spark, texts).withColumn("key", F.lit(1))).collect()}
+    assert len(got) == len(texts) and len(set(want)) < len(texts) - 40
+    for i, s in enumerate(sets):
+        assert got[i]["n_shingles"] == len(s) and got[i]["component_id"] == want[i], texts[i]
+
+
+def test_jaccard_join_odd_tables(spark):
+    t = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (5, None)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_classes(t).collect()), key=str) == [(1, 2, 1), (1, 2, 1), (5, 0, 5), (None, 2, 1)]
+    assert jaccard.near_classes(t.limit(0)).count() == 0
+
+
+def test_shingles_equal_plain_sets():
+    for t in [*ODD, *near_texts(3, 40)]:
+        w = words(t)
+        want = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        assert len(shingles.shingle_set((t or "").encode())) == len(want)
+
+
+def test_long_texts_hash_as_short_ones(monkeypatch):
+    t = " ".join(f"w{i % 997}" for i in range(5000)).encode()
+    whole = shingles.shingle_set(t)
+    monkeypatch.setattr(shingles, "_BLOCK", 1000)
+    assert (shingles.shingle_set(t) == whole).all()
+
+
+@pytest.mark.parametrize("runs", [1, 3, 64])
+def test_fingerprints(spark, runs, monkeypatch):
+    monkeypatch.setattr(minhash, "LEAST_RUNS", runs)
+    texts = [*ODD, *near_texts(4, 40)]
+    rows = {r["doc_id"]: r for r in minhash.fingerprints(table(spark, texts)).collect()}
+    n = len(texts)
+    sets = shingle_sets(texts)
+    off = []
+    for i in range(n):
+        t, nxt = texts[i] or "", texts[i - 1 if i else n - 1] or ""
+        k = len(t) // 3
+        e = t[: len(t) - k] + nxt[:k]
+        assert rows[i]["n_chars"] == len(t) and rows[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest(), i
+        (s,) = shingle_sets([e])
+        if sets[i] and s:
+            off.append(abs(len(s & sets[i]) / len(s | sets[i]) - rows[i]["near_edited"]))
+    assert np.mean(off) < 0.08 and max(off) < 0.35
+    assert rows[3]["doc_id"] == 3 and len({rows[i]["fingerprint"] for i in range(n) if texts[i] == "one"}) == 1
+    assert minhash.fingerprints(table(spark, ["solo text"])).first()["near_next"] == 1.0
+    assert minhash.fingerprints(table(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_minhash_near_duplicates(spark):
+    base = [" ".join(f"w{random.Random(i).randrange(10**6)}_{j}" for j in range(80)) for i in range(30)]
+    texts = base + [b + " tail" for b in base] + [None, ""]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(table(spark, texts)).collect()}
+    assert got == {i: i % 30 for i in range(60)}
+
+
+def test_license_scan(spark):
+    texts = [*ODD, "gnu General PUBLIC license, MIT license mit license", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "permission is hereby granted, free of charge, to any person obtaining a copy", "plain words", "mit license " * 300]
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    got = {r["doc_id"]: r for r in licenses.scan(table(spark, texts).withColumn("norm", F.lit(1))).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+        at = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None)
+        assert r["base_labels"] == ",".join(sorted({x for _, x in at})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert got[len(ODD) + 1]["labels"] == "cc-by,cc-by-nc" and got[len(ODD) + 3]["labels"] == "mit" and got[len(ODD) + 4]["score"] == 0
+    assert len(licenses.rules()) > 250
+    found = licenses.scan(table(spark, texts), detections=True).where(f"doc_id = {len(ODD) + 2}").collect()
+    assert len(found) == 1 and found[0]["label"] == "apache"  # shorter finds lie within the longest
+    assert licenses.scan(table(spark, texts).limit(0)).count() == 0
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 32)).astype(np.float32)
+    x[50:90] = x[40]
+    bad = [(600, None), (601, [0.0] * 32), (602, [float("nan")] * 32), (603, [1.0] * 31), (604, [None] + [1.0] * 31)]
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + bad, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
+    rows = ann.neighbours(t, F.col("vec_id") % 20 == 0, tables=16, probes=12).collect()
+    s = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    hit = 0
+    for q in range(0, 600, 20):
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in rows if r["query_id"] == q)
+        assert [r[0] for r in own] == list(range(1, 21)) and all(abs(s[q, v] - c) < 1e-9 for _, v, c in own)
+        hit += len({v for _, v, _ in own} & set(np.lexsort((np.arange(600), -s[q]))[:20].tolist()))
+        if q == 40:
+            assert [v for _, v, _ in own] == list(range(50, 70))  # ties to smaller ids
+    assert hit / 600 >= 0.9
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in ann.neighbours(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 4.0)]
+    assert ann.neighbours(few.limit(0), F.lit(True)).count() == 0
+
+
+def test_mixing(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.choice((0, 1, 5, 20, 100))), rng.choice(["a", "b", "B", "é", None, "tiny"])) for i in range(3000)]
+    rows = [r for r in rows if r[2] != "tiny" or r[0] % 40 == 0] + [(1, None, "a"), (1, None, "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(d).collect()
+    assert len(got) == len(rows)
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    order = sorted([s for s in size if s is not None], key=lambda s: s.encode()) + [None]
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    want, fixed, total = {}, set(), sum(size.values())
+    while True:  # share, fix what is over, share again
+        free = [s for s in order if s not in fixed]
+        rest = total - sum(3 * size[s] for s in fixed)
+        want = {s: 3 * size[s] if s in fixed else rest * weight[s] / sum(weight[f] for f in free) for s in order}
+        over = {s for s in free if want[s] > 3 * size[s]}
+        if not over:
+            break
+        fixed |= over
+    assert fixed
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]]) and r["taken"] <= 3 * r["size"] and r["source_size"] == size[r["source"]]
+    assert all(abs(taken[s] - want[s]) <= max(0.01 * want[s], 5) for s in order)
+    again = mixing.mix_sources(d.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert mixing.mix_sources(d.limit(0)).count() == 0
+    assert sum(r["taken"] for r in mixing.mix_sources(d.where("text is null")).collect()) == 0
+
+
+def test_mixing_prefers_likelier_documents(spark):
+    d = spark.createDataFrame([(i, "a b c d", "s" if i % 2 else "t", 1.0 if i % 4 < 2 else 9.0) for i in range(4000)], "doc_id long, text string, source string, chance double")
+    rows = mixing.mix_sources(d, chance_col="chance").where("source = 't'").collect()
+    rate = Counter()
+    for r in rows:
+        rate[r["doc_id"] % 4 < 2] += r["copies"]
+    assert rate[False] - 1000 > 5 * (rate[True] - 1000) > 0  # beyond the whole copies
+
+
+def test_pii(spark):
+    key = hashlib.sha256(b"k").digest()
+    text = "Mr. John Smith (john.smith@mail.example.com, +1 (312) 555-0199, 10.0.0.7, 4111 1111 1111 1111) met Mrs. Mary Smith. Mr. Smith wrote to JOHN.SMITH@MAIL.EXAMPLE.COM; token = \"f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda\". Г-жа Анна Иванова."
+    d = spark.createDataFrame([(1, text, 7), (2, None, 7), (3, "", 7), (4, "nothing here", 7), (1, text, 7)], "doc_id long, text string, n_entities int")
+    rows = [tuple(r) for r in pii.pseudonymise(d, "k").collect()]
+    assert [r[0] for r in rows] == [1, 2, 3, 4, 1] and rows[0] == rows[4] and rows[1] == (2, None, 0) and rows[3] == (4, "nothing here", 0)
+    new = rows[0][1]
+    for gone in ("John", "Smith", "Mary", "john.smith", "555-0199", "10.0.0.7", "4111", "f3ef4d", "Иванова"):
+        assert gone not in new
+    m = re.match(r"Mr\. (\w+) (\w+) .*Mrs\. (\w+) (\w+)\. Mr\. (\w+) wrote", new)
+    assert m[2] == m[4] == m[5] and m[1].endswith("r") and m[3].endswith("na")
+    mails = re.findall(r"[\w.]+@[\w.]+\w", new)
+    assert mails[0].upper() == mails[1] and mails[0].endswith(".com") and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new)
+    card = re.search(r"(\d{4} ){3}\d{4}", new).group()
+    assert pii._luhn(card.replace(" ", "")) == 0 and re.search(r"Г-жа [А-Я][а-я]+на [А-Я]", new)
+    assert pii.pseudonymise(d, "other").first()[1] != new and pii.pseudonymise(d.limit(0), "k").count() == 0
+    values = [pii.surrogate(key, "phone", f"555-{i:04d}") for i in range(10_000)]
+    assert len(set(values)) == 10_000  # a bijection on the format
+    assert sorted(pii.permuted(key, "t", i, 777) for i in range(777)) == list(range(777))
+
+
+def test_pii_resolves_collisions(spark):
+    key = hashlib.sha256(b"k").digest()
+    d = table(spark, [f"Mr. N{chr(97 + i % 26)}{chr(97 + i // 26)}x spoke" for i in range(400)])
+    entities = pii.entity_table(d, key, 1)
+    assert entities.select("surrogate").distinct().count() < entities.count() == 400
+    tries = pii.collisions(entities, key, 2)
+    assert tries is not None and pii.collisions(pii.entity_table(d, key, 1), key, 1, bound=3) is None
+    out = [r["text"] for r in pii.pseudonymise(d, "k", syllables=2).collect()]
+    assert len(set(out)) == 400
+
+
+def test_toxicity_chain(spark):
+    rng = random.Random(7)
+    def doc(bad):
+        w = [f"w{rng.randrange(400)}" for _ in range(60)]
+        for _ in range(bad):
+            w[rng.randrange(60)] = rng.choice(["idiot,", "scum", "xbad" + str(rng.randrange(99))])
+        return " ".join(w)
+    rows = [(i, doc(4 if i % 5 == 0 else 0)) for i in range(900)] + [(900, None), (901, ""), (None, "idiot idiot")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("p_toxic", F.lit("old"))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0) if i % 50 else 1 - int(i % 5 == 0)) for i in range(500)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(d, labels).collect()}
+    held = [i for i in range(500, 900)]
+    assert len(got) == 903 and np.mean([got[i]["rejected"] == (i % 5 == 0) for i in held]) > 0.98
+    assert not got[900]["rejected"] and not got[901]["rejected"] and 0 <= got[3]["p_insult"] <= 1
+    assert not any(r["rejected"] for r in toxicity.score(d, labels.limit(0)).collect())
+    assert toxicity.score(d.limit(0), labels).count() == 0
+
+
+def test_chain_uses_earlier_categories():
+    x = np.random.default_rng(0).normal(size=(300, 3))
+    y = (x[:, 0] > 0).astype(float)
+    p = linear.out_of_fold(x, y)
+    assert ((p > 0.5) == (y > 0)).mean() > 0.95
+    c = linear.platt(p, y)
+    assert c[0] > 0
+
+
+def test_quality_co_training(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(1200):
+        good = i % 4 != 0
+        w = [f"w{rng.randrange(300)}" + ("" if good else rng.choice(["%%%", "***"])) for _ in range(40)]
+        rows.append((i, " ".join(w), "en", "clean" if good or rng.random() < 0.3 else "junk", 300))
+    rows += [(1200, None, None, None, None), (1201, "", "xx", "new", -5)]
+    d = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.score(d, labels).collect()}
+    assert len(got) == 1202 and np.mean([got[i]["keep"] == (i % 4 != 0) for i in range(300, 1200)]) > 0.97
+    assert all(r["keep"] for r in quality.score(d, labels.where("quality = 1")).collect())
+    assert quality.score(d.limit(0), labels).count() == 0
+
+
+def test_co_training_labels_the_pool():
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 400).astype(float)
+    a, b = y[:, None] * 4 + rng.normal(size=(400, 2)), y[:, None] * 3 + rng.normal(size=(400, 2))
+    known = y.copy()
+    known[20:] = np.nan
+    wa, wb = quality.co_train(a, b, known)
+    assert ((linear.predict(wb, b) > 0.5) == (y > 0)).mean() > 0.95

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._tasks import settled
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -50,23 +54,21 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def telling(words: list[np.ndarray], ys: list[np.ndarray], most: int, least: int = 5, sure: float = 6.0) -> np.ndarray:
-    """Sorted hashes of the words that tell most about any of ``ys``: at least ``sure`` standard deviations from chance, in ``least`` texts and 0.2 % of them or more."""
-    if not words or not sum(map(len, words)):
-        return np.empty(0, np.uint64)
-    words = [np.unique(w) for w in words]
-    uniq, back = np.unique(np.concatenate(words), return_inverse=True)
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    n, df = len(words), np.bincount(back, minlength=len(uniq))
-    ok = (df >= max(least, n / 500)) & (df < n)
-    picked = []
-    for y in ys:
-        seen = np.bincount(back, weights=y[row].astype(float), minlength=len(uniq))
-        mean = df * y.mean()
-        far = np.abs(np.where(ok, (seen - mean) / np.sqrt(np.maximum(mean * (1 - y.mean()) * (1 - df / n), 1e-9)), 0))
-        best = np.argsort(-far, kind="stable")[:most]
-        picked.append(best[far[best] >= sure])
-    return uniq[np.unique(np.concatenate(picked))] if picked else np.empty(0, np.uint64)
+def telling(rows: DataFrame, most: int, least: int = 5, sure: float = 6.0) -> np.ndarray:
+    """Of ``rows`` (words array<long>, ys array<double>): sorted hashes of the words that tell most about any of the ys.
+
+    A word must be in ``least`` texts and 0.2 % of them or more, and at least ``sure`` standard deviations from what
+    chance gives. Spark counts; at most ``most`` words for each y reach the driver.
+    """
+    k = rows.agg(F.max(F.size("ys"))).first()[0] or 0
+    total = rows.agg(F.count("*"), *[F.avg(F.col("ys")[i]) for i in range(k)]).first()
+    n, means = total[0], total[1:]
+    counts = rows.select(F.explode(F.array_distinct("words")).alias("word"), "ys").groupBy("word").agg(F.count("*").alias("df"), *[F.sum(F.col("ys")[i]).alias(f"s{i}") for i in range(k)])
+    counts = counts.where((F.col("df") >= max(least, n / 500)) & (F.col("df") < n))
+    far = {f"z{i}": F.abs(F.col(f"s{i}") - F.col("df") * m) / F.sqrt(F.greatest(F.col("df") * (m * (1 - m)) * (1 - F.col("df") / n), F.lit(1e-9))) for i, m in enumerate(means)}
+    z = settled(counts.withColumns(far).where(" or ".join(f"{c} >= {sure}" for c in far)).select("word", *far)) if k and n else None
+    words = {r[0] for c in far for r in z.where(F.col(c) >= sure).orderBy(F.desc(c), "word").limit(most).select("word").collect()} if z is not None else set()
+    return np.sort(np.array(sorted(words), np.int64).view(np.uint64))
 
 
 def presence(vocabulary: np.ndarray, words: list[np.ndarray]) -> np.ndarray:

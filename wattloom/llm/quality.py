@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from ._tasks import byte_texts
+from ._tasks import byte_texts, settled
 from .shingles import word_hashes
 
 #: At most so many labelled rows, and as many of the unlabelled pool, are fitted; those with the smallest hash.
@@ -81,13 +81,11 @@ def co_train(texts: np.ndarray, metas: np.ndarray, y: np.ndarray, rounds: int =
     return w[0], w[1]
 
 
-def fit_views(rows: pd.DataFrame) -> Views:
-    """``rows``: words, shape, lang, source, n_chars, quality (null: pool)."""
+def fit_views(vocabulary: np.ndarray, rows: pd.DataFrame) -> Views:
+    """``rows``: x (the text's content), lang, source, n_chars, quality (null: pool)."""
     y = pd.to_numeric(rows["quality"]).to_numpy(float)
     known = ~np.isnan(y)
-    words = [np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]]
-    vocabulary = linear.telling([w for w, k in zip(words, known, strict=True) if k], [y[known]], WORDS)
-    texts, metas = content(vocabulary, np.array(rows["shape"].tolist(), float), words), metadata(rows["lang"], rows["source"], rows["n_chars"])
+    texts, metas = np.array(rows["x"].tolist(), float), metadata(rows["lang"], rows["source"], rows["n_chars"])
     w = co_train(texts, metas, y)
     held = [linear.out_of_fold(x[known], y[known], 5, PENALTY) for x in (texts, metas)]
     calibrated = tuple(linear.platt(p, y[known]) for p in held)
@@ -134,8 +132,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Views | N
 
     both = some.join(F.broadcast(chosen), some.doc_id == chosen.chosen).drop("chosen")  # at most 2 * ``sample`` rows
     out = both.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"), F.col("quality").cast("int"), "text")
-    rows = out.mapInArrow(run, "doc_id long, lang string, source string, n_chars long, quality int, words array<long>, shape array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("words")).limit(3 * sample).toPandas()
-    return fit_views(rows) if rows["quality"].nunique() == 2 else None
+    rows = settled(out.mapInArrow(run, "doc_id long, lang string, source string, n_chars long, quality int, words array<long>, shape array<double>"))
+    if rows.where("quality is not null").select("quality").distinct().count() != 2:
+        return None
+    vocabulary = linear.telling(rows.where("quality is not null").select("words", F.array(F.col("quality").cast("double")).alias("ys")), WORDS)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [np.asarray(w.values, np.int64).view(np.uint64) for w in b.column("words")]
+            x = content(vocabulary, np.array(b.column("shape").to_pylist(), float).reshape(len(words), -1), words)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(list(x), pa.list_(pa.float64()))], [*kept, "x"])
+
+    kept = ["doc_id", "lang", "source", "n_chars", "quality"]
+    table = rows.mapInArrow(counted, "doc_id long, lang string, source string, n_chars long, quality int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(3 * sample)
+    return fit_views(vocabulary, table.toPandas())
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear
-from ._tasks import byte_texts
+from ._tasks import byte_texts, settled
 from .shingles import PUNCTUATION, word_hashes
 
 #: At most so many labelled rows are fitted, those with the smallest hash; words per category.
@@ -30,6 +30,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 THRESHOLD = 0.5
 #: Category: seed words. The last category has none: it is the label.
 CATEGORIES = {"insult": ("idiot", "moron", "stupid", "clown", "loser", "fool", "imbecile", "dumb"), "contempt": ("trash", "scum", "pathetic", "worthless", "disgusting", "vermin", "filth"), "toxic": ()}
+_SEEDS = [np.concatenate([word_hashes(w.encode(), PUNCTUATION) for w in s]) if s else None for s in CATEGORIES.values()]
 
 
 class Chain(NamedTuple):
@@ -42,13 +43,14 @@ def distinct_words(text: bytes) -> np.ndarray:
     return word_hashes(text, PUNCTUATION, PREFIXES)
 
 
-def fit_chain(words: list[np.ndarray], toxic: np.ndarray) -> Chain:
-    seeds = {c: np.concatenate([word_hashes(w.encode(), PUNCTUATION) for w in s]) if s else None for c, s in CATEGORIES.items()}
-    ys = [toxic if s is None else toxic * np.array([np.isin(s, w).any() for w in words]) for s in seeds.values()]
-    vocabulary = linear.telling(words, ys, WORDS)
-    x = linear.presence(vocabulary, words)
+def category_labels(words: np.ndarray, toxic: float) -> list[float]:
+    """The label for each category: an earlier one's holds where the text is toxic and has one of its seed words."""
+    return [float(toxic) if s is None else float(toxic and np.isin(s, words).any()) for s in _SEEDS]
+
+
+def fit_chain(vocabulary: np.ndarray, x: np.ndarray, ys: np.ndarray) -> Chain:
     weights = []
-    for y in ys:
+    for y in ys.T:
         weights.append(linear.fit(x, y, PENALTY))
         x = np.concatenate((x, linear.out_of_fold(x, y, FOLDS, PENALTY)[:, None]), axis=1)
     return Chain(vocabulary, weights)
@@ -71,14 +73,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [distinct_words(t).view(np.int64) for t in byte_texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(words, pa.list_(pa.int64())), b.column("toxic").cast(pa.int32())], ["doc_id", "words", "toxic"])
+            words = [distinct_words(t) for t in byte_texts(b.column("text"))]
+            ys = [category_labels(w, t) for w, t in zip(words, b.column("toxic").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64())), pa.array(ys, pa.list_(pa.float64()))], ["doc_id", "words", "ys"])
+
+    both = d.join(F.broadcast(chosen), d.doc_id == chosen.labelled).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))  # at most ``sample`` ids
+    rows = settled(both.mapInArrow(run, "doc_id long, words array<long>, ys array<double>"))
+    vocabulary = linear.telling(rows, WORDS)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = linear.presence(vocabulary, [np.asarray(w.values, np.int64).view(np.uint64) for w in b.column("words")])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(x), pa.list_(pa.float64())), b.column("ys")], ["doc_id", "x", "ys"])
 
-    both = d.join(F.broadcast(chosen), d.doc_id == chosen.labelled).select("doc_id", "text", "toxic")  # at most ``sample`` rows
-    rows = both.mapInArrow(run, "doc_id long, words array<long>, toxic int").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("words")).limit(2 * sample).toPandas()
-    if not len(rows):
+    table = rows.mapInArrow(counted, "doc_id long, x array<double>, ys array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(2 * sample).toPandas()
+    if not len(table):
         return Chain(np.empty(0, np.uint64), [np.array([*np.zeros(i), -35.0]) for i in range(len(CATEGORIES))])
-    return fit_chain([np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]], rows["toxic"].to_numpy(float))
+    return fit_chain(vocabulary, np.array(table["x"].tolist(), float).reshape(len(table), -1), np.array(table["ys"].tolist(), float))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

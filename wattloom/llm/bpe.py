@@ -11,8 +11,8 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from ._tasks import id_and_text
 
 #: Words whose ids a worker keeps; beyond them it starts anew. Longer words aren't kept.
-MEMORY, LONGEST = 1_000_000, 64
+MEMORY, LONGEST = 600_000, 64
+#: Characters of text whose results go back to Spark together.
+WINDOW = 1 << 21
 _WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _kept: dict[str, Bpe] = {}
 
@@ -51,7 +53,7 @@ class Bpe:
         self.strings |= {i: s.encode() for s, i in self.special.items()}
         self.words = regex.compile(_WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """Applies the merges, lowest rank first, leftmost first among equals. A merged-away symbol is -1; after and prev link the others."""
@@ -80,8 +82,9 @@ class Bpe:
                 push(queue, (m, h))
         return [x for x in ids if x >= 0]
 
-    def word(self, w: str) -> tuple[int, ...]:
-        ids = tuple(self.merge([self.byte_ids[b] for b in w.encode()]))
+    def word(self, w: str) -> bytes:
+        """The ids of a word, as 32-bit numbers in a row."""
+        ids = array("I", self.merge([self.byte_ids[b] for b in w.encode()])).tobytes()
         if len(w) <= LONGEST:
             if len(self.known) >= MEMORY:
                 self.known.clear()
@@ -94,7 +97,7 @@ class Bpe:
             if k % 2:
                 out.append(self.special[part])
             else:
-                out.extend(chain.from_iterable([known.get(w) or self.word(w) for w in self.words.findall(part)]))
+                out.frombytes(b"".join([known.get(w) or self.word(w) for w in self.words.findall(part)]))
         return out
 
     def decode(self, ids: array) -> str:
@@ -127,14 +130,22 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary_path)
         for b in batches:
-            rows = []
-            for x in b.column("text"):
+            start, size, rows = 0, 0, []
+            for at, x in enumerate(b.column("text")):
                 ids = bpe.encode(x.as_py() or "")
                 text = bpe.decode(ids)
-                rows.append((len(ids), hashlib.sha256(_little(ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *([ids.tolist(), text] if with_ids else [])))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()][: 5 if with_ids else 3]
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *columns], names)
+                rows.append((len(ids), hashlib.sha256(_little(ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *([np.frombuffer(ids, np.int32), text] if with_ids else [])))
+                size += len(text)
+                if size >= WINDOW or at + 1 == len(b):
+                    yield batch(b.column("doc_id").slice(start, at + 1 - start), rows)
+                    start, size, rows = at + 1, 0, []
+
+    def batch(doc_ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+        if with_ids:
+            ends = pa.array(np.cumsum([0, *(r[0] for r in rows)]), pa.int32())
+            columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[3] for r in rows]), pa.int32())), pa.array([r[4] for r in rows], pa.string())]
+        return pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), *columns], names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids

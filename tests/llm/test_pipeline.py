@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from wattloom.llm import jaccard, pii, toxicity
+from wattloom.llm import jaccard, mixing, pii, toxicity
 
 D = "/root/testdata/sf0.001"
 
@@ -37,5 +37,33 @@ def test_stages(spark):
         assert r["ids"] == t.encode(after[r["doc_id"]], add_special_tokens=False).ids
 
 
+def test_mix_of_repeated_rows_and_null_ids(spark):
+    """As many rows as the mix takes copies, however ids repeat; an extra column may be called like the row's hash."""
+    rows = [(None, f"word {i} " * (i % 7 + 1), "en", "a", 1, i) for i in range(40)] + [(5, f"text {i} of five", "en", "b", 1, i) for i in range(40)] + [(7, "the same row", "de", None, 1, 0)] * 9 + [(8, None, None, "a", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row_hash long")
+    mixed = cp.mix(spark, docs, D)
+    assert mixed.columns == docs.columns
+    got, given = Counter(map(tuple, mixed.collect())), Counter(rows)
+    assert got.keys() <= given.keys() and all(n <= 3 * given[r] for r, n in got.items())
+    words = lambda source: sum(n * len(r[1].split()) for r, n in got.items() if r[3] == source)
+    sizes = {s: sum(len((r[1] or "").split()) for r in rows if r[3] == s) for s in ("a", "b", None)}
+    goal = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    for s in sizes:
+        assert abs(words(s) - goal[s]) <= 8
+    assert Counter(map(tuple, cp.mix(spark, docs.repartition(3), D).collect())) == got
+
+
+def test_stages_on_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, p_toxic string, component_id long, copies string, n_entities int"
+    odd = [(None,) * 9, (1, "", "en", "web", 0, "x", 1, "y", 2), (1, "", "en", "web", 0, "x", 1, "y", 2), (2, None, None, None, None, None, None, None, None), (3, "mail a.b@example.org " + "long text " * 30_000, "en", "web", 7, "x", 3, "y", 2)]
+    for rows in (odd, []):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in cp.STAGES[:-1]:
+            kept = stage(spark, docs, D).cache()
+            assert kept.dtypes == docs.dtypes
+            docs = kept
+        assert cp.STAGES[-1][1](spark, docs, D).count() == docs.count()
+
+
 def test_run(spark):
     assert cp.run(spark, D).count() > 0

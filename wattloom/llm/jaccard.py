@@ -36,6 +36,8 @@ FLUSH = 1_000_000
 #: Shingles in a block of nodes to compare, and in a block of what they are compared with.
 OUTER, INNER = 200_000, 800_000
 ALL = 1 << 30
+#: Shingles whose signatures one task holds, on average; beyond, there are more partitions than the session names.
+HELD = 16_000_000
 _HEAD = np.dtype([("key", "<u8"), ("slack", "<i4"), ("n", "<i4")])
 
 
@@ -110,9 +112,11 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "blob"])
 
 
-def kept_signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, text) to (sig, key, typical): for each distinct set that may have a partner, its k+1 rarest shared signatures."""
-    parts = partitions(docs.sparkSession)
+def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> DataFrame:
+    """(doc_id, text) to (sig, key, typical): for each distinct set that may have a partner, its k+1 rarest shared signatures.
+
+    ``shingles``: how many all sets have, at most; the number of partitions grows with it."""
+    parts = max(partitions(docs.sparkSession), -(-shingles // HELD))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task, so a large group of copies sends each signature once from each task
@@ -239,7 +243,7 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _remaining(pairs: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame | None:
+def remaining(pairs: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links that comparing with the typical nodes can't show: across the components of one candidate cluster."""
     clusters = components(pairs)
     comp = components(links)
@@ -277,7 +281,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = ["key", "key2", "n_shingles"]
     nodes = table.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")).where("node is not null")
     nodes = settled(nodes)
-    kept = settled(kept_signatures(docs, size))
+    shingles = nodes.agg(F.sum("n_shingles")).first()[0] or 0
+    kept = settled(kept_signatures(docs, size, shingles))
     top = kept.groupBy("sig").agg(F.max(F.struct("typical", "key")).alias("top"), F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("sig", F.col("top.key").alias("rep"))
     pairs = kept.join(top, "sig").where("key <> rep").select("key", "rep").distinct()
     pairs = pairs.join(nodes.select("key", F.col("node").alias("a")), "key").join(nodes.select(F.col("key").alias("rep"), F.col("node").alias("b")), "rep")
@@ -290,7 +295,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text")
     sets = settled(shingle_arrays(texts, size).groupBy("node").agg(F.min_by("shingles", F.xxhash64("shingles")).alias("shingles")))
     links = settled(verified(pairs, sets))
-    more = _remaining(pairs, links, sets)
+    more = remaining(pairs, links, sets)
     if more is not None:
         links = links.union(settled(more))
     comp = components(links)

@@ -157,6 +157,17 @@ def test_minhash_near_duplicates(spark):
     assert got == {i: i % 30 for i in range(60)}
 
 
+def test_minhash_loses_no_link_to_the_hub(spark):
+    """Documents like each other, but not like their bucket's smallest, are still one class; copies and empty tables too."""
+    words = [f"w{i}" for i in range(200)]
+    text = lambda a, b: " ".join(words[a:b])
+    rows = [(1, text(0, 150)), (2, text(15, 165)), (3, text(30, 180)), (4, text(45, 195)), (5, text(45, 195)), (6, None), (7, " "), (None, text(0, 150)), (8, "other words are here for one more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8}
+    assert minhash.near_duplicates(docs.where("false")).count() == 0
+
+
 def test_license_scan(spark):
     texts = [*ODD, "gnu General PUBLIC license, MIT license mit license", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "permission is hereby granted, free of charge, to any person obtaining a copy", "plain words", "mit license " * 300]
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}

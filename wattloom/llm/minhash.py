@@ -14,14 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._tasks import byte_texts, id_and_text, partitions, settled
 from .components import components
-from .jaccard import shingle_arrays, verified
-from .shingles import SIZE, mix, shingle_set
+from .jaccard import remaining, shingle_arrays, verified
+from .shingles import SIZE, mix, set_keys, shingle_set
 
 PERMUTATIONS, BANDS = 64, 16
 #: Bytes of text in a run of consecutive documents, and how many runs there are at least.
@@ -141,11 +141,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_shingles, bands array<long>)."""
+    """(doc_id, text) to (doc_id, n_shingles, key, key2, bands array<long>); equal sets have equal keys and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, bands = [], []
+            n, keys, bands = [], [], []
             for t in byte_texts(b.column("text")):
                 s = shingle_set(t, size)
                 sig = signature(s).reshape(BANDS, -1).astype(np.uint64)
@@ -153,26 +153,36 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 for k in range(sig.shape[1]):
                     code = mix(code + sig[:, k], k)
                 n.append(len(s))
+                keys.append(set_keys(s))
                 bands.append(mix(code + np.arange(BANDS, dtype=np.uint64), 60).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "bands"])
+            columns = [pa.array(n, pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "n_shingles", "key", "key2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """One row for each document with shingles: (doc_id, class_id), the smallest id that verified links reach.
 
-    Each band bucket links its members to its smallest id; a link counts when the exact Jaccard similarity
-    is at least 0.75. Texts that are null or blank are left out; null ids too; repeated ids count once.
+    Equal sets are one node, so copies make no pairs. Each band bucket compares its nodes with its smallest; nodes of a
+    candidate cluster that this leaves apart are then compared in blocks, so no link between texts that share a band
+    is lost. A link counts when the exact Jaccard similarity is at least 0.75. Texts that are null or blank are left
+    out; null ids too; a repeated id is one document. An empty table gives no rows.
     """
     docs = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    bands = settled(signatures(docs, size).where("n_shingles > 0"))
-    band: Column = F.explode("bands").alias("band")
-    low = bands.select("doc_id", band).groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top").select("band", "b")
-    pairs = settled(bands.select(F.col("doc_id").alias("a"), band).join(low, "band").where("a <> b").select("a", "b").distinct())
+    table = settled(signatures(docs, size).where("n_shingles > 0"))
+    same = ["key", "key2", "n_shingles"]
+    nodes = settled(table.groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    listed = table.select("doc_id", *same).join(nodes.select("node", *same), same)
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    low = banded.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("band", "b")
+    pairs = settled(banded.select(F.col("node").alias("a"), "band").join(low, "band").where("a <> b").select("a", "b").distinct())
+    if pairs.isEmpty():
+        return listed.groupBy("doc_id").agg(F.min("node").alias("class_id"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text")
     sets = settled(shingle_arrays(texts, size).groupBy("node").agg(F.min_by("shingles", F.xxhash64("shingles")).alias("shingles")))
-    comp = components(verified(pairs, sets))
-    ids = bands.select("doc_id").distinct()
-    return ids.join(comp, ids.doc_id == comp.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    links = settled(verified(pairs, sets))
+    more = remaining(pairs, links, sets)
+    comp = components(links if more is None else links.union(settled(more)))
+    return listed.join(comp, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))

@@ -123,6 +123,11 @@ def test_clean_melt_and_labels(spark):
 def test_interpolation_and_acf_depth(spark):
     d = spark.createDataFrame([("0", i, v) for i, v in enumerate([None, 1.0, None, 3.0, None])], "series_id string, slot long, avg_load double")
     assert [r["filled"] for r in fx.interpolate(d).orderBy("slot").collect()] == [1.0, 1.0, 2.0, 3.0, 3.0]
+    gaps = spark.createDataFrame([("0", i, float(i * i) if i in (7, 8, 30) else None) for i in range(40)], "series_id string, slot long, avg_load double")
+    for chunk in (1, 6, 100):
+        got = [r["filled"] for r in fx.interpolate(gaps, chunk=chunk).orderBy("slot").collect()]
+        assert got[:9] == [49.0] * 8 + [64.0] and got[30:] == [900.0] * 10
+        assert all(abs(got[i] - (64 + 38 * (i - 8))) < 1e-9 for i in range(8, 31))
     rng, v, x = random.Random(0), [], 0.0
     for _ in range(1500):
         x = 0.95 * x + rng.gauss(0, 1)

@@ -139,14 +139,23 @@ def runs(df: DataFrame, flag: Column, chunk: int = CHUNK) -> DataFrame:
     return inner.union(outer).withColumn("length", F.col("last_slot") - F.col("first_slot") + 1)
 
 
-def interpolate(df: DataFrame, of: str = TARGET) -> DataFrame:
-    """``df`` with a column filled: linear by slot inside gaps, the nearest value at the ends."""
-    w = W.partitionBy("series_id").orderBy("slot")
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    at = F.when(F.col(of).isNotNull(), F.col("slot"))
-    df = df.withColumns({"v0": F.last(of, True).over(back), "s0": F.last(at, True).over(back), "v1": F.first(of, True).over(ahead), "s1": F.first(at, True).over(ahead)})
+def interpolate(df: DataFrame, of: str = TARGET, chunk: int = CHUNK) -> DataFrame:
+    """``df`` with a column filled: linear by slot inside gaps, the nearest value at the ends.
+
+    Each chunk of slots fills its own gaps; what it needs from before or after comes from one row for each chunk.
+    """
+    at, key = F.when(F.col(of).isNotNull(), F.col("slot")), ["series_id", "chunk"]
+    x = df.withColumn("chunk", F.floor(F.col("slot") / chunk))
+    ends = x.groupBy(*key).agg(F.min_by(of, at).alias("va"), F.min(at).alias("sa"), F.max_by(of, at).alias("vb"), F.max(at).alias("sb"))
+    v = W.partitionBy("series_id")
+    before, after = v.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1), v.orderBy(F.desc("chunk")).rowsBetween(W.unboundedPreceding, -1)
+    near = ends.select(*key, *[F.last(c, True).over(w).alias(n) for c, w, n in (("vb", before, "pv"), ("sb", before, "ps"), ("va", after, "nv"), ("sa", after, "ns"))])
+    w = W.partitionBy(*key)
+    back, ahead = w.orderBy("slot").rowsBetween(W.unboundedPreceding, 0), w.orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, 0)
+    x = x.join(near, key)
+    x = x.withColumns({n: F.coalesce(F.last(c, True).over(f), F.col(else_)) for n, c, f, else_ in (("v0", F.col(of), back, "pv"), ("s0", at, back, "ps"), ("v1", F.col(of), ahead, "nv"), ("s1", at, ahead, "ns"))})
     line = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("slot") - F.col("s0")) / (F.col("s1") - F.col("s0"))
-    return df.withColumn("filled", F.coalesce(F.col(of), line, "v0", "v1")).drop("v0", "s0", "v1", "s1")
+    return x.withColumn("filled", F.coalesce(F.col(of), line, "v0", "v1")).select(*df.columns, "filled")
 
 
 def with_days(df: DataFrame) -> DataFrame:

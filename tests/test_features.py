@@ -128,6 +128,8 @@ def test_interpolation_and_acf_depth(spark):
         got = [r["filled"] for r in fx.interpolate(gaps, chunk=chunk).orderBy("slot").collect()]
         assert got[:9] == [49.0] * 8 + [64.0] and got[30:] == [900.0] * 10
         assert all(abs(got[i] - (64 + 38 * (i - 8))) < 1e-9 for i in range(8, 31))
+    for chunk in (1, 6, 100):
+        assert [r["pos"] for r in stats.numbered(gaps.where("slot % 3 > 0"), chunk).orderBy("slot").collect()] == list(range(1, 27))
     rng, v, x = random.Random(0), [], 0.0
     for _ in range(1500):
         x = 0.95 * x + rng.gauss(0, 1)

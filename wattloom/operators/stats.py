@@ -86,13 +86,21 @@ def acf(series: DataFrame, lags: int, of: str, at: str = "slot") -> DataFrame:
     return v.join(ahead, "t").groupBy("lag").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
 
 
+def numbered(rows: DataFrame, chunk: int = 4320) -> DataFrame:
+    """``rows`` with pos, their number from 1 in the order of slot: counted in each chunk of slots, from where the chunks before it end."""
+    x = rows.withColumn("chunk", F.floor(F.col("slot") / chunk))
+    before = F.coalesce(F.sum("n").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = x.groupBy("chunk").agg(F.count("*").alias("n")).select("chunk", before.alias("base"))  # one row for each chunk
+    own = F.row_number().over(W.partitionBy("chunk").orderBy("slot"))
+    return x.join(base, "chunk").withColumn("pos", (F.col("base") + own).cast("long")).select(*rows.columns, "pos")
+
+
 def acf_depth(series: DataFrame, of: str, alpha: float = 0.05, least: int = 10, most: int = 2000, run: int = 5, batch: int = 100) -> DataFrame:
     """One row (depth): the first lag of the first ``run`` insignificant lags in a row, on the series without its nulls.
 
     Lags are looked at in batches, so a short memory costs little whatever ``most`` is.
     """
-    order = W.orderBy("slot")
-    v = series.where(F.col(of).isNotNull()).select(F.col(of), F.row_number().over(order).cast("long").alias("pos")).persist()
+    v = numbered(series.where(F.col(of).isNotNull()).select("slot", of)).select(of, "pos").persist()
     head = v.agg(F.count("*").alias("n"), F.stddev_pop(of).alias("s")).first()
     top = min(most, head["n"] - 1)
     depth = top

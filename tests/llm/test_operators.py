@@ -240,6 +240,22 @@ def test_mixing(spark):
     assert sum(r["taken"] for r in mixing.mix_sources(d.where("text is null")).collect()) == 0
 
 
+@pytest.mark.parametrize("group", [7, 2000])
+def test_mixing_goes_on_behind_a_document_that_does_not_fit(spark, group, monkeypatch):
+    """Sources with one very long document: every later one that still fits is taken, whatever the intervals."""
+    monkeypatch.setattr(mixing, "GROUP", group)
+    rng = random.Random(11)
+    rows = [(i, " ".join(["w"] * (3000 if i < 6 else rng.choice((1, 7, 30, 60)))), "abcdef"[i % 6]) for i in range(360)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(360))
+    for s in "abcdef":
+        own = [r for r in got if r["source"] == s]
+        off, whole = own[0]["target"] - sum(r["taken"] for r in own), int(own[0]["target"] / own[0]["source_size"])
+        out = [r["size"] for r in own if r["copies"] == whole]
+        assert not out or off < min(out), (s, off)  # nothing that is left out still fits
+        assert abs(off) <= 30 or out == [3000] and off <= 1500, (s, off)
+
+
 def test_mixing_prefers_likelier_documents(spark):
     d = spark.createDataFrame([(i, "a b c d", "s" if i % 2 else "t", 1.0 if i % 4 < 2 else 9.0) for i in range(4000)], "doc_id long, text string, source string, chance double")
     rows = mixing.mix_sources(d, chance_col="chance").where("source = 't'").collect()

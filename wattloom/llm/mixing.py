@@ -2,17 +2,19 @@
 
 A document's multiplicity m = target / size of its source splits into whole copies, which are certain, and
 an inclusion probability p, the rest. Documents of a source are ranked by their random odds u / (1 - u)
-divided by their inclusion odds p / (1 - p), and the lowest ranks are selected until the words that are
-left of the target are used up. u is a hash of the id and text, so reruns agree.
+divided by their inclusion odds p / (1 - p), and in the order of rank each is selected that still fits into
+the words that are left of the target. u is a hash of the id and text, so reruns agree.
 
 The cut in the order is found without sorting a source: sums of words over narrow intervals of the
 rank show in which interval the target is met; that is divided again, and only the few thousand
-documents of its part are ordered in one group, where each is selected that still fits.
+documents of its part are ordered in one group, where each is selected that still fits. Of the documents
+that come later, those that may still fit go through the same again, until there are none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from ._tasks import settled
 
 CAP = 3
 WEIGHTS = (1.0, 2.0, 3.0)
-#: Intervals of the rank at each of two levels; documents that one group may order, about.
+#: Intervals of the rank at the first level, at most; documents that one group may order, about.
 FIRST, GROUP = 4096, 2000
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -68,7 +70,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``chance_col``: numbers above 0 that make some documents likelier than others of their source
     (null: 1); without it all are equally likely, with inclusion probabilities that differ by source. A
-    null text has size 0; rows of size 0 take part with their copies and chance. A null source is a source,
+    null text has size 0; rows of size 0 take part with their copies and, up to the cut, their chance. A null source is a source,
     the last. Repeated rows are drawn alike (they share u and are told apart by their order only). Null
     ids are ids. An empty table gives no rows.
     """
@@ -81,27 +83,63 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per = per.withColumn("whole", F.least(F.floor("m"), F.lit(cap)).cast("int"))
     per = per.withColumn("part", F.col("m") - F.col("whole")).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     weighed = sizes.select(F.col("source").alias("src"), "weighed")
-    per = settled(per.join(weighed, per.source.eqNullSafe(weighed.src)).drop("src").withColumnRenamed("source", "src"))
-    x = rows.join(F.broadcast(per) if per.count() <= 10_000 else per, rows.source.eqNullSafe(per.src)).drop("src")
+    per = settled(per.join(weighed, per.source.eqNullSafe(weighed.src)).drop("src"))
+    x = _beside(rows, per)
     u = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / float(1 << 53)
     p = F.least(F.col("part") * F.col("chance") * F.when(F.col("weighed") > 0, F.col("source_size") / F.col("weighed")).otherwise(1.0), F.lit(1 - 1e-9))
     rank = F.when(p <= 0, F.lit(float("inf"))).otherwise((u / (1 - u)) / (p / (1 - p)))
-    x = x.withColumn("rank", rank).withColumn("place", F.when(F.col("rank") == float("inf"), F.lit(1.0)).otherwise(F.col("rank") / (1 + F.col("rank"))))
-    x = settled(x.withColumn("i", F.least(F.floor(F.col("place") * FIRST), F.lit(FIRST - 1)).cast("long")).drop("chance", "weighed", "m"))
-    cuts = _cut(x, ["source"], "i", F.col("left"))
-    y = _named(x, cuts, "i", "i0", "left0", "docs0")
+    x = x.withColumn("rank", rank).withColumn("place", F.col("rank") / (1 + F.col("rank"))).withColumn("row", F.monotonically_increasing_id())
+    keep = ["row", "doc_id", "source", "size", "source_size", "target", "whole", "rank", "h"]
+    x = settled(x.select(*keep, "place", "left"))
+    drawn = F.col("rank") < float("inf")
+    parts = [x.where(~drawn).select(*keep, "left", F.lit(False).alias("chosen"))]
+    pending = x.where(drawn)
+    while True:
+        y, near = _round(pending, keep)
+        parts += [y.where("sure").select(*keep, "first_left", F.lit(True)), near.select(*keep, "first_left", "chosen")]
+        rests = settled(near.groupBy("source").agg(F.first("rest").alias("rest")))
+        later = settled(_beside(y.where("not sure and not at").drop("left"), rests).withColumn("fits", (F.col("size") > 0) & (F.col("size") <= F.col("rest"))))
+        parts.append(later.where("not fits").select(*keep, "first_left", F.lit(False)))
+        pending = later.where("fits").select(*keep, "place", F.col("rest").alias("left"), "first_left")
+        if pending.isEmpty():
+            break
+    x = reduce(DataFrame.union, parts)
+    # at last, for each source, the one document that brings the sum nearer, if any: the smallest of those that don't fit
+    out = F.when(~F.col("chosen") & drawn & (F.col("size") > 0), F.struct("size", "rank", "h", "doc_id", "row"))
+    rest = F.first("left") - F.coalesce(F.sum(F.when(F.col("chosen") & drawn, F.col("size"))), F.lit(0))
+    nearer = x.groupBy("source").agg(rest.alias("rest"), F.min(out).alias("least")).where("least.size - rest < rest")
+    x = _beside(x, settled(nearer.select("source", F.col("least.row").alias("extra"))), "left")
+    copies = F.col("whole") + (F.col("chosen") | F.coalesce(F.col("row") == F.col("extra"), F.lit(False))).cast("int")
+    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def _beside(x: DataFrame, per: DataFrame, how: str = "inner") -> DataFrame:
+    """``x`` with the columns of its source's row in ``per``, a settled table."""
+    per = per.withColumnRenamed("source", "src")
+    return x.join(F.broadcast(per) if per.count() <= 10_000 else per, x.source.eqNullSafe(per.src), how).drop("src")
+
+
+def _round(pending: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``pending`` with what lies before its source's cut (sure) and in the group at the cut (at), and that group filled; both settled.
+
+    Where all of a source's documents fit there is no cut, and all are sure.
+    """
+    if "first_left" not in pending.columns:
+        pending = pending.withColumn("first_left", F.col("left"))
+    many = settled(pending.groupBy("source").agg(F.greatest(F.lit(1), F.least(F.lit(FIRST), F.ceil(F.count("*") / GROUP))).alias("first")))
+    x = _beside(pending, many)
+    x = x.withColumn("i", F.least(F.floor(F.col("place") * F.col("first")), F.col("first") - 1).cast("long"))
+    y = _named(x, _cut(x, ["source"], "i", F.col("left")), "i", "i0", "left0", "docs0")
     inner = F.greatest(F.ceil(F.col("docs0") / GROUP), F.lit(1))
-    y = y.withColumn("j", F.least(F.floor((F.col("place") * FIRST - F.col("i")) * inner), inner - 1).cast("long"))
-    cuts = _cut(y.where("i = i0"), ["source"], "j", F.col("left0"))
-    y = _named(y, cuts, "j", "j0", "left1", "docs1")
+    y = y.withColumn("j", F.least(F.floor((F.col("place") * F.col("first") - F.col("i")) * inner), inner - 1).cast("long"))
+    y = _named(y, _cut(y.where("i = i0"), ["source"], "j", F.col("left0")), "j", "j0", "left1", "docs1")
     sure = (F.col("i") < F.col("i0")) | ((F.col("i") == F.col("i0")) & (F.col("j") < F.col("j0"))) | F.col("i0").isNull()
     at = (F.col("i") == F.col("i0")) & (F.col("j") == F.col("j0"))
-    y = settled(y.withColumn("sure", sure & (F.col("rank") < float("inf"))).withColumn("at", F.coalesce(at, F.lit(False)) & (F.col("rank") < float("inf"))))
-    keep = ["doc_id", "source", "size", "source_size", "target", "whole"]
-    far = y.where("not at").select(*keep, F.col("sure").alias("chosen"))
-    near = y.where("at").select(*keep, "rank", "h", "left1").groupBy("source").applyInPandas(_fill, "doc_id long, source string, size long, source_size long, target double, whole int, chosen boolean")
-    copies = F.col("whole") + F.coalesce(F.col("chosen"), F.lit(False)).cast("int")
-    return far.union(near.select(*keep, "chosen")).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    y = settled(y.select(*keep, "place", "left", "first_left", "left1", sure.alias("sure"), F.coalesce(at, F.lit(False)).alias("at")))
+    group = y.where("at").select(*keep, "first_left", "left1")
+    types = {f.name: f.dataType.simpleString() for f in group.schema.fields}
+    near = group.groupBy("source").applyInPandas(_fill, ", ".join(f"{c} {types[c]}" for c in [*keep, "first_left"]) + ", chosen boolean, rest double")
+    return y, settled(near)
 
 
 def _cut(x: DataFrame, by: list[str], interval: str, left: Column) -> DataFrame:
@@ -118,7 +156,7 @@ def _named(x: DataFrame, cuts: DataFrame, interval: str, at: str, left: str, doc
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """In the order of rank, whatever still fits; at last the one document that brings the sum nearer, if any."""
+    """In the order of rank, whatever still fits, and what is then left (rest)."""
     pdf = pdf.sort_values(["rank", "h", "doc_id"], kind="stable")
     left, size = float(pdf["left1"].iloc[0]), pdf["size"].to_numpy()
     chosen = np.zeros(len(size), bool)
@@ -126,7 +164,4 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
         if n <= left:
             chosen[i] = True
             left -= n
-    out = np.flatnonzero(~chosen)
-    if len(out) and size[k := out[np.argmin(size[out])]] - left < left:
-        chosen[k] = True
-    return pdf.assign(chosen=chosen)[["doc_id", "source", "size", "source_size", "target", "whole", "chosen"]]
+    return pdf.drop(columns="left1").assign(chosen=chosen, rest=left)

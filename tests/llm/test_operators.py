@@ -128,6 +128,14 @@ def test_long_texts_hash_as_short_ones(monkeypatch):
     assert (shingles.shingle_set(t) == whole).all()
 
 
+def test_distinct_words_of_long_texts_come_once(monkeypatch):
+    t = " ".join(f"Abc{i % 97}, de {i % 11}" for i in range(2000)).encode()
+    whole = toxicity.distinct_words(t)
+    monkeypatch.setattr(shingles, "_BLOCK", 500)
+    assert len(whole) > 200 and (toxicity.distinct_words(t) == whole).all()
+    assert (toxicity.distinct_words(t + b" " + t) == whole).all() and not len(toxicity.distinct_words(b""))
+
+
 @pytest.mark.parametrize("runs", [1, 3, 64])
 def test_fingerprints(spark, runs, monkeypatch):
     monkeypatch.setattr(minhash, "LEAST_RUNS", runs)

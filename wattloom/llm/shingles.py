@@ -40,6 +40,7 @@ def _tables(n: int) -> list[np.ndarray]:
 
 
 def _words(raw: np.ndarray, blank: np.ndarray, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """A hash for each word; with ``prefixes`` rows of these of the distinct words, and for each length of the beginnings' hashes and which words are longer."""
     low = _LOWER[raw]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], blank[low], [True]))))
     starts, ends = edges[::2], edges[1::2]
@@ -53,24 +54,30 @@ def _words(raw: np.ndarray, blank: np.ndarray, prefixes: tuple[int, ...] = ()) -
     starts, ends = starts[at], ends[at]
     parts = [words]
     for n in prefixes:
-        s = starts[ends - starts > n]
-        parts.append(mix((sums[s + n] - sums[s]) * down[s], 100 + n))
-    return np.concatenate(parts)
+        longer = ends - starts > n
+        s = np.where(longer, starts, 0)
+        parts.append(np.where(longer, mix((sums[np.minimum(s + n, len(low))] - sums[s]) * down[s], 100 + n), 0))
+        parts.append(longer.astype(np.uint64))
+    return np.stack(parts)
 
 
 def word_hashes(text: bytes, blank: np.ndarray = _BLANK, prefixes: tuple[int, ...] = ()) -> np.ndarray:
-    """One hash for each word, a run of bytes outside ``blank``, in order. With ``prefixes``: for each distinct word of a block, and for the beginning of so many bytes of each longer one. Long texts go through in blocks that end at a blank."""
+    """One hash for each word, a run of bytes outside ``blank``, in order. With ``prefixes``: for each distinct word of the text, and for the beginning of so many bytes of each longer one. Long texts go through in blocks that end at a blank."""
     raw = np.frombuffer(text, np.uint8)
-    if len(raw) <= _BLOCK:
-        return _words(raw, blank, prefixes)
     parts, at = [], 0
-    while at < len(raw):
+    while at < len(raw) or not parts:
         end = min(at + _BLOCK, len(raw))
         while end < len(raw) and not blank[raw[end]]:
             end += 1
         parts.append(_words(raw[at:end], blank, prefixes))
+        if prefixes and len(parts) > 1:
+            both = np.concatenate(parts, axis=1)
+            parts = [both[:, np.unique(both[0], return_index=True)[1]]]
         at = end
-    return np.concatenate(parts)
+    if not prefixes:
+        return np.concatenate(parts)
+    words, *rest = parts[0]
+    return np.concatenate([words, *(h[longer > 0] for h, longer in zip(rest[::2], rest[1::2], strict=True))])
 
 
 def shingle_hashes(words: np.ndarray, size: int = SIZE) -> np.ndarray:

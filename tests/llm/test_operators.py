@@ -193,6 +193,23 @@ def test_license_scan(spark):
     assert licenses.scan(table(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 21, 40])
+def test_neighbours_of_small_tables_are_whole(spark, n):
+    """64 dimensions: the probed buckets hold fewer than k others."""
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(t, F.lit(True)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    for q in range(n):
+        most = min(20, n - 1)
+        assert [r for r, _ in sorted(got[q])] == list(range(1, most + 1)), q
+        if n <= 21:
+            assert [v for _, v in sorted(got[q])] == np.argsort(-s[q])[:most].tolist()
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 32)).astype(np.float32)

@@ -4,7 +4,8 @@ A vector is turned by fast Hadamard pseudo-rotations (three rounds of random sig
 transform) and hashed to the signed axis nearest to it. Each of TABLES tables has its own rotations. A query
 probes in each table the PROBES axes nearest to it; all candidates are reranked by exact inner products.
 The index has every vector. Buckets, and the queries that probe them, are dealt in chunks of bounded size,
-so no bucket is capped and none has to fit in one task.
+so no bucket is capped and none has to fit in one task. Queries whose buckets hold fewer than k others are
+compared with all rows, in blocks of the same size.
 """
 
 from __future__ import annotations
@@ -134,7 +135,25 @@ def neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec
         hold = np.arange(len(qi)) - first[qi] < k
         return pa.table({"query_id": ids[q[qi[hold]]], "vec_id": ids[c[ci[hold]]], "score": s[hold]})
 
-    found = a.union(b).groupBy("table", "bucket", "vc", "qc").applyInArrow(compare, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = "query_id long, vec_id long, score double"
+
+    def best(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = settled(best(a.union(b).groupBy("table", "bucket", "vc", "qc").applyInArrow(compare, pairs)))
+    # queries that got fewer than k rows, though there are more
+    others = rows.select("vec_id").distinct().count() - 1
+    had = found.groupBy("query_id").count()
+    short = rows.where("query").select("vec_id", "v").join(had, F.col("vec_id") == had.query_id, "left")
+    short = settled(short.where(F.coalesce("count", F.lit(0)) < min(k, others)).select("vec_id", "v"))
+    asking = short.count()
+    if not asking:
+        return found
+    vs, qs = -(-(others + 1) // CHUNK), -(-asking // CHUNK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = rows.withColumn("vc", F.pmod(deal, F.lit(vs))).withColumn("qc", every(qs)).select(*cols[2:], F.lit(False).alias("query"))
+    b = short.withColumn("qc", F.pmod(deal, F.lit(qs))).withColumn("vc", every(vs)).select(*cols[2:], F.lit(True).alias("query"))
+    exact = best(a.union(b).groupBy("vc", "qc").applyInArrow(compare, pairs))
+    return found.join(short.select("vec_id").distinct(), found.query_id == short.vec_id, "left_anti").union(exact)

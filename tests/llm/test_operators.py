@@ -193,6 +193,25 @@ def test_license_scan(spark):
     assert licenses.scan(table(spark, texts).limit(0)).count() == 0
 
 
+def plain(pattern):
+    """The shortest text a rule's pattern matches, about: first alternatives, nothing optional."""
+    x = pattern.replace("  ", " ").replace("[^ ]", "x")
+    while "(" in x:
+        x = re.sub(r"\(\?:([^()|]*)[^()]*\)(\{0|[?*])?[0-9,}]*", lambda m: "" if m[2] else m[1], x)
+    return re.sub(r"\[[^]]*\][+]?(?:\{4\})?", "2020", re.sub(r".[?]", "", x)).strip()
+
+
+def test_each_license_rule_by_itself(spark):
+    names = [(label, a) for label, (words, _) in licenses.FAMILIES.items() for a in licenses._alternatives(words)]
+    texts = [(label, plain(x)) for label, x in [*names, *((r.label, r.pattern) for r in licenses.rules())]]
+    texts += [("mpl", "Released under the MPL 2.0."), ("cddl", "Covered by CDDL 1.0"), ("proprietary", "Unauthorized copying of this file is strictly prohibited"), ("warranty-disclaimer", "without warranties of any kind")]
+    got = {r["doc_id"]: r for r in licenses.scan(table(spark, [t for _, t in texts])).collect()}
+    missed = [x for i, x in enumerate(texts) if not got[i]["score"]]
+    assert not missed
+    off = [(x, got[i]["labels"]) for i, x in enumerate(texts) if x[0] not in got[i]["labels"].split(",")]
+    assert not off
+
+
 @pytest.mark.parametrize("n", [5, 21, 40])
 def test_neighbours_of_small_tables_are_whole(spark, n):
     """64 dimensions: the probed buckets hold fewer than k others."""

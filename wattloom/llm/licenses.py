@@ -2,8 +2,8 @@
 
 A text is lower-cased (A-Z) and reduced to its words, runs of ASCII digits, letters and non-ASCII
 characters, each set between blanks: ' gnu  general  public  license '. Rules are regular expressions over
-that form. A rule is tried only where its keyword occurs, and no rule where the text has none of a few
-stems. Each match is an interval of characters; one that lies within another is suppressed, of equal
+that form. A rule is tried only where its keyword occurs, and no rule where the text has none of the stems that
+are derived from the rules. Each match is an interval of characters; one that lies within another is suppressed, of equal
 intervals the rule with the better priority stays.
 
 The rules are families of licenses times the ways in which texts name them, written out by ``rules()``.
@@ -11,6 +11,7 @@ The rules are families of licenses times the ways in which texts name them, writ
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import NamedTuple
 
@@ -24,7 +25,7 @@ from ._tasks import id_and_text
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 _NOT_WORD = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A text without any of these has no match of any rule.
+#: The gate of the SQL in oracles.py, which misses texts that name a license without any of these; ``scan`` takes ``stems()``.
 STEMS = ("licen", "copyright", "spdx", "public  domain", "gpl", " cc ", "cc0", "creative  commons", "rights  reserved", "permission", "warranty", "redistribut", "bsd", "mozilla", "apache", "eula")
 
 
@@ -133,6 +134,43 @@ def rules() -> list[Rule]:
     return [r._replace(priority=i, pattern=f" {_spaced(r.pattern)} ", keyword=r.keyword.replace(" ", "  ").replace("  |", " |") if not r.keyword.startswith(" ") else r.keyword) for i, r in enumerate(out)]
 
 
+def _alternatives(words: str) -> list[str]:
+    """A pattern's alternatives, those within groups left whole."""
+    out, depth = [""], 0
+    for c in words:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def _stem(words: str) -> str:
+    """A text that each match of ``words``, a pattern without alternatives outside of groups, holds."""
+    if re.search(r"\(\?:license\|licence\)(?!\)?\?)", words):
+        return "licen"
+    while "(" in words:
+        words = re.sub(r"\([^()]*\)(?:\{[0-9,]*\}|[?*+])?", "\0", words)
+    pieces = re.sub(r"(?:\[[^]]*\]|.(?=[?*{]))(?:\{[0-9,]*\}|[?*+])?", "\0", words).split("\0")
+    return max((x.strip() for x in pieces), key=len).replace(" ", "  ")
+
+
+def stems() -> list[str]:
+    """A text without any of these has no match of any rule: for each name of a family, whose forms all hold it, and each phrase, a part that can't be missing."""
+    found = {_stem(a) for names, _ in FAMILIES.values() for a in _alternatives(names)} | {_stem(words) for _, _, words, _ in PHRASES}
+    return sorted(x for x in found if not any(y != x and y in x for y in found))
+
+
+def _keys(rule: Rule) -> list[str]:
+    """A rule's keywords, and for a phrase that holds none of them its stem."""
+    keys = rule.keyword.split("|")
+    if rule.priority >= len(PHRASES):
+        return keys
+    stem = _stem(PHRASES[rule.priority][2])
+    return keys if any(k in rule.pattern for k in keys) else [*keys, stem]
+
+
 def _norm(text: Column) -> Column:
     """Blank, words each followed by a blank; one more blank between words comes with ``_doubled``."""
     plain = F.translate(F.coalesce(text, F.lit("")), _UPPER + _NOT_WORD, _LOWER + " " * len(_NOT_WORD))
@@ -164,7 +202,7 @@ def _detections(norm: Column) -> Column:
         walk = F.aggregate(steps, start, lambda a, s: F.struct((a["at"] + s["gap"] + s["hit"]).alias("at"), F.concat(a["all"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["hit"]).alias("end")))).alias("all")))
         return F.transform(walk["all"], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["priority"].alias("priority"), r["label"].alias("label"), r["score"].alias("score")))
 
-    table = F.array(*[F.struct(F.array(*[F.lit(k) for k in r.keyword.split("|")]).alias("keys"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.score).alias("score")) for r in rules()])
+    table = F.array(*[F.struct(F.array(*[F.lit(k) for k in _keys(r)]).alias("keys"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.score).alias("score")) for r in rules()])
     tried = F.filter(table, lambda r: F.exists(r["keys"], lambda k: F.contains(norm, k)))
     return F.flatten(F.transform(tried, intervals))
 
@@ -180,7 +218,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detect
     start and end are characters of the reduced text.
     """
     words = id_and_text(docs, id_col, text_col).select("doc_id", _norm(F.col("text")).alias("words"))
-    gate = reduce(lambda a, b: a | b, [F.contains(F.col("norm"), F.lit(s)) for s in STEMS])
+    gate = reduce(lambda a, b: a | b, [F.contains(F.col("norm"), F.lit(s)) for s in stems()])
     n = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
     x = words.select(F.monotonically_increasing_id().alias("row"), "doc_id", n.cast("long").alias("n_words"), F.concat(F.lit(" "), F.replace("words", F.lit(" "), F.lit("  ")), F.lit(" ")).alias("norm"))
     none = F.array().cast("array<struct<start:int,end:int,priority:int,label:string,score:double>>")

@@ -330,6 +330,18 @@ def test_pii(spark):
     assert sorted(pii.permuted(key, "t", i, 777) for i in range(777)) == list(range(777))
 
 
+def test_pii_names_and_mails_without_title_or_ascii():
+    key = hashlib.sha256(b"k").digest()
+    new, n = pii.replaced("Smith came. Mr. John Smith's wife met Smith, John and Smithson; Smith-like.", key, {}, 4)
+    x = pii.surrogate(key, "name-x", "Smith")
+    assert new == f"{x} came. Mr. {(j := pii.surrogate(key, 'name-m', 'John'))} {x}'s wife met {x}, {j} and Smithson; {x}-like." and n == 6
+    for mail in ("josé.garcía@example.es", "müller@example.de", "anna.weiß@example.com", "info@müller.de", "_x@example.com", "лев@почта.рф", "jose\u0301@example.es"):
+        new, n = pii.replaced(f"to {mail}, now", key, {}, 4)
+        local, host = mail.rsplit(".", 1)[0].split("@")
+        assert n == 1 and local not in new and host not in new and new.endswith(f".{mail.rsplit('.', 1)[1]}, now")
+    assert len({pii.surrogate(key, "email", f"{a}{b}@é.de") for a in "äöüß" for b in "äöüß"}) == 16
+
+
 def test_pii_resolves_collisions(spark):
     key = hashlib.sha256(b"k").digest()
     d = table(spark, [f"Mr. N{chr(97 + i % 26)}{chr(97 + i // 26)}x spoke" for i in range(400)])

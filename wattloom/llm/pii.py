@@ -6,7 +6,9 @@ The same entity always becomes the same surrogate (coreference), different entit
 Numbers, addresses and secrets go through a keyed permutation of all values of their format (a Feistel
 network over the places of digits and letters, walked until it lands within the format), which can't
 collide. Names keep their title, script and gendered ending and are built from syllables by a keyed hash;
-those can collide. All surrogates are checked in Spark: of the entities that share one, all but the first
+those can collide. Names are found after one of the listed titles, and their words then everywhere in the same
+document, in the same case; names that no listed title introduces are not found. E-mail addresses may have letters
+of any script. All surrogates are checked in Spark: of the entities that share one, all but the first
 get another attempt, until none do.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,14 +27,28 @@ from pyspark.sql import types as T
 
 from ._tasks import settled
 
+
+def _runs(codes: list[int]) -> list[tuple[int, int]]:
+    """Sorted numbers as runs: (first, last)."""
+    out: list[tuple[int, int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1] = (out[-1][0], c)
+        else:
+            out.append((c, c))
+    return out
+
+
 #: Entities with an attempt of their own that are sent to all executors; with more, names get longer and collide less.
 EXCEPTIONS = 100_000
 SYLLABLES = 4
 _TITLES_M = "Mr|Sir|Herr|Monsieur|M|Señor|Sr|Don|Signor|Господин|Г-н"
 _TITLES_F = "Mrs|Ms|Miss|Madam|Frau|Mme|Madame|Mlle|Señora|Sra|Señorita|Doña|Signora|Госпожа|Г-жа"
+#: Combining marks, which \w leaves out, as ranges of a character class.
+_MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in _runs([c for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M"]))
 #: Kind: pattern, and what a text must contain for it to be tried.
 KINDS = {
-    "email": (r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])", "@"),
+    "email": (rf"(?<![\w{_MARKS}.+-])\w[\w{_MARKS}.%+-]*@[^\W_](?:(?:[^\W_]|[{_MARKS}-])*(?:[^\W_]|[{_MARKS}]))?(?:\.[^\W_](?:(?:[^\W_]|[{_MARKS}-])*(?:[^\W_]|[{_MARKS}]))?)*\.(?:[A-Za-z]{{2,24}}(?![A-Za-z0-9])|[^\W\d_](?:[^\W\d_]|[{_MARKS}]){{1,23}}(?![^\W_]))", "@"),
     "secret": (r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_/+-]{12,})|\b(?P<secret2>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{40,64})\b", None),
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", None),
     "card": (r"(?<![\d.-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\d.-])\d{13,19}(?![\d-])", None),
@@ -43,6 +60,7 @@ KINDS = {
 _ANY = re.compile(r"[@\d]|(?i:token|secret|passw|key)|" + rf"\b(?:{_TITLES_M}|{_TITLES_F})\b")
 _PATTERNS = {k: re.compile(p) for k, (p, _) in KINDS.items()}
 _DIGIT, _FEMALE, _CYRILLIC = re.compile(r"\d"), re.compile(rf"(?:{_TITLES_F})$"), re.compile("[А-Яа-яЁё]")
+_WORD, _PIECE, _TAIL = re.compile(r"\w+(?:['-]\w+)*"), re.compile(r"\w+"), re.compile(r"(?:'s|['-])+$")
 _TITLE, _KEYISH = re.compile(rf"\b(?:{_TITLES_M}|{_TITLES_F})\b"), re.compile(r"(?i)token|secret|passw|key|AKIA|gh[pousr]_|sk-|[0-9a-f]{40}")
 _DIGITS, _LOW, _UP, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 _CONSONANTS, _VOWELS = "bdfglmnprstvz", "aeiou"
@@ -86,8 +104,18 @@ def _alike(key: bytes, kind: str, value: str, alphabets: list[str | None]) -> st
     return "".join(out.pop() if a else c for c, a in zip(value, alphabets, strict=True))
 
 
+@lru_cache(10_000)
+def _kin(c: str) -> str | None:
+    """The letters or digits of other scripts that are like ``c``: of its 128 code points, its category, and whether case can be turned and back."""
+    if c.isascii() or unicodedata.category(c) not in ("Lu", "Ll", "Lo", "Nd"):
+        return None
+    like = lambda x: (unicodedata.category(x), x.upper().lower() == x, x.lower() == x)
+    block = ord(c) // 128 * 128
+    return "".join(x for x in map(chr, range(block, block + 128)) if like(x) == like(c))
+
+
 def _letters(value: str) -> list[str | None]:
-    return [next((a for a in (_DIGITS, _LOW, _UP) if c in a), None) for c in value]
+    return [next((a for a in (_DIGITS, _LOW, _UP) if c in a), None) or _kin(c) for c in value]
 
 
 def _luhn(digits: str) -> int:
@@ -144,7 +172,7 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), in order, not overlapping; of overlapping finds the earlier kind in KINDS stays."""
     if not _ANY.search(text):
         return []
-    digits, found = bool(_DIGIT.search(text)), []
+    digits, found, known = bool(_DIGIT.search(text)), [], {}
     for kind, pattern in _PATTERNS.items():
         if kind == "email" and "@" not in text or kind in ("iban", "card", "ssn", "ip", "phone") and not digits or kind == "name" and not _TITLE.search(text) or kind == "secret" and not _KEYISH.search(text):
             continue
@@ -155,10 +183,19 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
                 at, words = m.start("name"), m["name"].split(" ")
                 given = "name-f" if _FEMALE.match(m["title"]) else "name-m"
                 for i, w in enumerate(words):
-                    found.append((at, at + len(w), "name-x" if i == len(words) - 1 else given))
+                    core = _TAIL.sub("", w) or w
+                    found.append((at, at + len(core), "name-x" if i == len(words) - 1 else given))
+                    known.setdefault(core, found[-1][2])
                     at += len(w) + 1
             else:
                 found.append((*m.span(), kind))
+    if known:  # their other mentions, without a title
+        for m in _WORD.finditer(text):
+            core = _TAIL.sub("", m[0])
+            if core in known:
+                found.append((m.start(), m.start() + len(core), known[core]))
+            elif core != (w := m[0]) or not w.isalnum():
+                found += [(m.start() + p.start(), m.start() + p.end(), known[p[0]]) for p in _PIECE.finditer(w) if p[0] in known]
     taken, out = bytearray(), []
     if len(found) > 1:
         taken = bytearray(max(e for _, e, _ in found))

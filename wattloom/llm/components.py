@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum labels with pointer jumping."""
+"""Connected components of an edge table, by contraction: nodes hook to their smallest neighbour, hooked trees become one node."""
 
 from __future__ import annotations
 
@@ -12,17 +12,33 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b): returns (node, component), component being the smallest node that links reach.
 
     Nodes without an edge are not listed; nulls and self-links are ignored; repeated edges count once.
-    Each round takes the smallest label among the neighbours and then the label of that label, so
-    chains shrink geometrically. Hub nodes are joined by sort-merge joins that Spark splits when skewed.
+    In each round every node hooks to its smallest neighbour, the trees that arise are flattened by pointer
+    jumping, and only the edges between different trees go on, so that rounds shrink. Hub nodes are joined by
+    sort-merge joins that Spark splits when skewed.
     """
-    e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    e = settled(e.union(e.select("b", "a")).distinct())
-    labels = settled(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")))
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    e = settled(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
+    rounds = []
     while True:
-        near = e.join(labels, e.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        low = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("component").alias("top"))
-        new = settled(low.join(up, "low", "left").select("node", "old", F.least("low", "top").alias("component")))
-        if new.where("old <> component").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+        hooks = settled(e.union(e.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up")))
+        rounds.append(_flat(hooks))
+        top = lambda end: rounds[-1].select(F.col("node").alias(end), F.col("up").alias(f"{end}_top"))
+        lifted = e.join(top("a"), "a").join(top("b"), "b").where("a_top <> b_top")
+        e = settled(lifted.select(F.least("a_top", "b_top").alias("a"), F.greatest("a_top", "b_top").alias("b")).distinct())
+        if e.isEmpty():
+            break
+    out = rounds.pop()
+    while rounds:
+        above = out.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        out = rounds.pop().join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+    return settled(out.withColumnRenamed("up", "component"))
+
+
+def _flat(hooks: DataFrame) -> DataFrame:
+    """Trees (node, up) with every node hung below its root; roots hang below themselves."""
+    while True:
+        above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        new = settled(hooks.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        hooks = new.select("node", "up")
+        if new.where("moved").isEmpty():
+            return hooks

@@ -10,14 +10,15 @@ band gives that band's signatures too. (A set that fills k cells or fewer also n
 and keeps all signatures; then the argument holds for it too.)
 
 Equal sets are one node. In each bucket of kept signatures every node is compared with the bucket's
-most typical node; nodes of a candidate cluster that end up outside its largest component are compared
-with all others of the cluster, in blocks. A set reaches each block once, so nothing of the size of
-all pairs is written.
+most typical node, as far as their sizes allow a link. Buckets whose other nodes then still belong to several
+components are open; components that open buckets name together form a cluster, and its nodes outside the
+largest component are compared with all of it, in blocks. A set reaches each block once, so nothing of the size
+of all pairs is written, and components are searched over verified links only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,13 @@ from .shingles import SIZE, mix, set_keys, shingle_set
 PERCENT = 75
 CELLS = 0.35
 FLUSH = 1_000_000
-#: Shingles in a block of nodes to compare, and in a block of what they are compared with.
-OUTER, INNER = 200_000, 800_000
+#: Shingles in a block of nodes to compare, and in a block of what they are compared with, at most; smaller clusters go in
+#: up to SPREAD blocks of LEAST shingles or more.
+OUTER, INNER, LEAST, SPREAD = 200_000, 800_000, 25_000, 16
 ALL = 1 << 30
 #: Shingles whose signatures one task holds, on average; beyond, there are more partitions than the session names.
 HELD = 16_000_000
-_HEAD = np.dtype([("key", "<u8"), ("slack", "<i4"), ("n", "<i4")])
+_HEAD = np.dtype([("key", "<u8"), ("slack", "<i4"), ("n", "<i4"), ("size", "<i4")])
 
 
 def set_table(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -77,14 +79,14 @@ def signatures(s: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
             yield nxt, ALL, np.concatenate([sig, mix(none * np.uint64(0xD1342543DE82EF95), 1030 + j)])
 
 
-def _pack(keys: np.ndarray, slack: np.ndarray, n: np.ndarray, at: np.ndarray, columns: list[np.ndarray], to: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _pack(keys: np.ndarray, slack: np.ndarray, n: np.ndarray, size: np.ndarray, at: np.ndarray, columns: list[np.ndarray], to: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Rows (at: index of the key, columns) dealt by ``to`` into byte strings."""
     order = np.argsort(to, kind="stable")
     cuts = np.flatnonzero(np.diff(to[order])) + 1
     for part in np.split(order, cuts) if len(order) else ():
         own, local = np.unique(at[part], return_inverse=True)
         head = np.empty(len(own), _HEAD)
-        head["key"], head["slack"], head["n"] = keys[own], slack[own], n[own]
+        head["key"], head["slack"], head["n"], head["size"] = keys[own], slack[own], n[own], size[own]
         sizes = np.array([len(own), len(part)], "<u4")
         yield int(to[part[0]]), b"".join([sizes.tobytes(), head.tobytes(), local.astype("<u4").tobytes(), *(c[part].tobytes() for c in columns)])
 
@@ -113,21 +115,21 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> DataFrame:
-    """(doc_id, text) to (sig, key, typical): for each distinct set that may have a partner, its k+1 rarest shared signatures.
+    """(doc_id, text) to (bucket, node, n, rank): for each distinct set that may have a partner, its k+1 rarest shared signatures. node is the set's key, n its size, rank the share of its signatures that others have.
 
     ``shingles``: how many all sets have, at most; the number of partitions grows with it."""
     parts = max(partitions(docs.sparkSession), -(-shingles // HELD))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task, so a large group of copies sends each signature once from each task
-        keys, slack, n, sigs = [], [], [], []
+        keys, slack, n, sizes, sigs = [], [], [], [], []
 
         def flush() -> pa.RecordBatch:
             at = np.repeat(np.arange(len(keys)), [len(x) for x in sigs])
             flat = np.concatenate(sigs)
             to = (((flat >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
-            rows = list(_pack(np.array(keys, np.uint64), np.array(slack, np.int32), np.array(n, np.int32), at, [flat.astype("<u4")], to))
-            for x in (keys, slack, n, sigs):
+            rows = list(_pack(np.array(keys, np.uint64), np.array(slack, np.int32), np.array(n, np.int32), np.array(sizes, np.int32), at, [flat.astype("<u4")], to))
+            for x in (keys, slack, n, sizes, sigs):
                 x.clear()
             return _blobs(rows)
 
@@ -143,6 +145,7 @@ def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> Dat
                     keys.append(key | nxt)
                     slack.append(less)
                     n.append(len(sig))
+                    sizes.append(len(s))
                     sigs.append(sig)
                     waiting += len(sig)
                 if waiting >= FLUSH:
@@ -168,7 +171,7 @@ def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> Dat
         low, own, count = low[hold], own[hold], count[hold]
         to = ((mix(uniq[own] & ~np.uint64(1), 40) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
         wide = mix(low.astype(np.uint64) | np.uint64(TaskContext.get().partitionId() << 32), 41) >> np.uint64(1)  # 32 bits name it only within this partition
-        yield _blobs(list(_pack(uniq, heads["slack"][pick], heads["n"][pick], own, [wide.astype("<u8"), count.astype("<u4")], to)))
+        yield _blobs(list(_pack(uniq, heads["slack"][pick], heads["n"][pick], heads["size"][pick], own, [wide.astype("<u8"), count.astype("<u4")], to)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, at, (sig, count) = _unpack(batches, ["<u8", "<u4"])
@@ -186,25 +189,27 @@ def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> Dat
         hold = rank < need[own]
         own, sig, count = own[hold], sig[hold], count[hold]
         typical = shared / np.maximum(heads["n"][pick], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array((uniq[own] & ~np.uint64(1)).astype(np.int64)), pa.array(typical[own], pa.float64())], ["sig", "key", "typical"])
+        node, size = (uniq[own] & ~np.uint64(1)).astype(np.int64), heads["size"][pick][own]
+        yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(node), pa.array(size, pa.int32()), pa.array(typical[own], pa.float64())], ["bucket", "node", "n", "rank"])
 
     blob = "part int, blob binary"
     first = docs.mapInArrow(emit, blob).repartitionById(parts, F.col("part")).mapInArrow(share, blob)
-    return first.repartitionById(parts, F.col("part")).mapInArrow(keep, "sig long, key long, typical double")
+    return first.repartitionById(parts, F.col("part")).mapInArrow(keep, "bucket long, node long, n int, rank double")
 
 
 def shingle_arrays(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(node, text) to (node, shingles array<long>)."""
+    """(node, text) to (node, key, shingles array<long>), key being that of the text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, size).view(np.int64) for t in byte_texts(b.column("text"))]
+            sets = [shingle_set(t, size) for t in byte_texts(b.column("text"))]
+            keys = pa.array([set_keys(x)[0] for x in sets], pa.int64())
             ends = np.cumsum([0, *map(len, sets)])
-            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
+            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))
             kind = pa.LargeListArray if ends[-1] > 2**31 - 1 else pa.ListArray
-            yield pa.RecordBatch.from_arrays([b.column("node"), kind.from_arrays(pa.array(ends, pa.int64() if kind is pa.LargeListArray else pa.int32()), flat)], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), keys, kind.from_arrays(pa.array(ends, pa.int64() if kind is pa.LargeListArray else pa.int32()), flat)], ["node", "key", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.mapInArrow(run, "node long, key long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,22 +248,43 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def remaining(pairs: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links that comparing with the typical nodes can't show: across the components of one candidate cluster."""
-    clusters = components(pairs)
-    comp = components(links)
-    named = settled(
-        clusters.select("node", F.col("component").alias("cluster"))
-        .join(comp, "node", "left")
-        .select("node", "cluster", F.coalesce("component", "node").alias("component"))
-        .join(sets.select("node", F.size("shingles").alias("n")), "node")
-    )
-    weight = named.groupBy("cluster", "component").agg(F.sum("n").alias("n"), F.count("*").alias("nodes"))
-    stats = weight.groupBy("cluster").agg(F.max(F.struct("nodes", "n", "component")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    stats = stats.select("cluster", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / OUTER).cast("int").alias("outers"), F.ceil(F.col("all") / INNER).cast("int").alias("inners"))
-    if stats.isEmpty():
+def linked(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Components (node, component) of the links between nodes that share a bucket; None where no bucket has two nodes.
+
+    ``members``: (bucket, node, n, rank), n being the size of the node's set; settled. ``sets_of``: wanted nodes (node) to (node, shingles).
+    In each bucket all are compared with the node of the largest rank, as far as their sizes allow a link.
+    """
+    top = members.groupBy("bucket").agg(F.max(F.struct("rank", "node", "n")).alias("top"), F.count("*").alias("m")).where("m > 1").select("bucket", "m", F.col("top.node").alias("rep"), F.col("top.n").alias("rep_n"))
+    rest = members.join(top, "bucket").where("node <> rep").select("bucket", "node", "n", "rep", "rep_n", "m")
+    fit = f"100 * least(n, rep_n) >= {PERCENT} * greatest(n, rep_n)"
+    pairs = settled(rest.where(fit).select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct())
+    many = settled(rest.where("m > 2").select("bucket", "node", "n"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
+    if wanted.isEmpty():
+        return None
+    sets = settled(sets_of(wanted))
+    comp = components(verified(pairs, sets))
+    more = remaining(many, comp, sets)
+    return comp if more is None else components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
+def remaining(many: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links that comparing with one node of each bucket can't show: between its others (bucket, node, n) where they belong to several components.
+
+    Components that such buckets name together form a cluster; what lies outside its largest component is compared with all of it.
+    """
+    named = many.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    span = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "low")
+    apart = settled(named.join(span, "bucket").select("node", "n", "component", "low").distinct())
+    if apart.isEmpty():
         return None
-    member = named.join(stats, "cluster").join(sets, "node")
+    clusters = components(apart.select(F.col("component").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    member = settled(apart.select("node", "n", "component").distinct().join(clusters, "component"))
+    weight = member.groupBy("cluster", "component").agg(F.sum("n").alias("n"), F.count("*").alias("nodes"))
+    stats = weight.groupBy("cluster").agg(F.max(F.struct("nodes", "n", "component")).alias("main"), F.sum("n").alias("all"))
+    blocks = lambda n, most: F.greatest(F.ceil(n / most), F.least(F.ceil(n / LEAST), F.lit(SPREAD))).cast("int")
+    stats = stats.select("cluster", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.n"), OUTER).alias("outers"), blocks(F.col("all"), INNER).alias("inners"))
+    member = member.join(stats, "cluster").join(sets, "node")
     deal = F.xxhash64("node")
     outer = member.where("component <> main").withColumn("o", F.pmod(deal, F.col("outers"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("inners") - 1)))
     inner = member.withColumn("i", F.pmod(deal, F.col("inners"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outers") - 1)))
@@ -273,31 +299,27 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Two documents link when 100 * intersection >= 75 * union of their sets of distinct ``size``-word
     shingles; component_id is the smallest doc_id that links reach. A null or blank text has no
     shingles and its own id as component. Repeated rows are returned as often as they come; a row
-    with a null id is returned with its class's smallest id, or null. Ids should be distinct: rows that repeat an id are
-    one node of the link graph, with the first of their texts by content. An empty table gives no rows.
+    with a null id is returned with its class's smallest id, or null. Rows that repeat an id with other texts
+    link by their own texts. An empty table gives no rows.
     """
     docs = id_and_text(docs, id_col, text_col)
     table = settled(set_table(docs, size))
     same = ["key", "key2", "n_shingles"]
-    nodes = table.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")).where("node is not null")
-    nodes = settled(nodes)
+    nodes = settled(table.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first")).where("first is not null"))
     shingles = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     kept = settled(kept_signatures(docs, size, shingles))
-    top = kept.groupBy("sig").agg(F.max(F.struct("typical", "key")).alias("top"), F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("sig", F.col("top.key").alias("rep"))
-    pairs = kept.join(top, "sig").where("key <> rep").select("key", "rep").distinct()
-    pairs = pairs.join(nodes.select("key", F.col("node").alias("a")), "key").join(nodes.select(F.col("key").alias("rep"), F.col("node").alias("b")), "rep")
-    pairs = settled(pairs.select("a", "b").distinct())
-    listed = table.where("n_shingles > 0").join(nodes, same, "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
+    listed = table.where("n_shingles > 0").join(nodes, same, "left").select("doc_id", "n_shingles", "key", F.coalesce("first", "doc_id").alias("first"))
     blank = table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    if pairs.isEmpty():
-        return listed.select("doc_id", "n_shingles", F.col("node").alias("component_id")).union(blank)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text")
-    sets = settled(shingle_arrays(texts, size).groupBy("node").agg(F.min_by("shingles", F.xxhash64("shingles")).alias("shingles")))
-    links = settled(verified(pairs, sets))
-    more = remaining(pairs, links, sets)
-    if more is not None:
-        links = links.union(settled(more))
-    comp = components(links)
-    return listed.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")).union(blank)
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        firsts = nodes.join(wanted, nodes.key == wanted.node).select("first", "node")
+        texts = docs.join(firsts, docs.doc_id == firsts["first"]).select("node", "text")
+        # an id that repeats with several texts gives sets that aren't the node's
+        return shingle_arrays(texts, size).where("node = key").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    comp = linked(kept, sets_of)
+    if comp is None:
+        return listed.select("doc_id", "n_shingles", F.col("first").alias("component_id")).union(blank)
+    least = comp.join(nodes.select(F.col("key").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    reached = comp.join(least, "component").select(F.col("node").alias("key"), "least")
+    return listed.join(reached, "key", "left").select("doc_id", "n_shingles", F.coalesce("least", "first").alias("component_id")).union(blank)

@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._tasks import byte_texts, id_and_text, partitions, settled
-from .components import components
-from .jaccard import remaining, shingle_arrays, verified
+from .jaccard import linked, shingle_arrays
 from .shingles import SIZE, mix, set_keys, shingle_set
 
 PERMUTATIONS, BANDS = 64, 16
@@ -171,18 +170,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     table = settled(signatures(docs, size).where("n_shingles > 0"))
+    return classes(docs, table, size)
+
+
+def classes(docs: DataFrame, table: DataFrame, size: int) -> DataFrame:
+    """``near_duplicates`` of texts whose ``signatures`` are known."""
     same = ["key", "key2", "n_shingles"]
-    nodes = settled(table.groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    listed = table.select("doc_id", *same).join(nodes.select("node", *same), same)
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    low = banded.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("band", "b")
-    pairs = settled(banded.select(F.col("node").alias("a"), "band").join(low, "band").where("a <> b").select("a", "b").distinct())
-    if pairs.isEmpty():
-        return listed.groupBy("doc_id").agg(F.min("node").alias("class_id"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text")
-    sets = settled(shingle_arrays(texts, size).groupBy("node").agg(F.min_by("shingles", F.xxhash64("shingles")).alias("shingles")))
-    links = settled(verified(pairs, sets))
-    more = remaining(pairs, links, sets)
-    comp = components(links if more is None else links.union(settled(more)))
-    return listed.join(comp, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
+    nodes = settled(table.groupBy(*same).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")))
+    listed = table.select("doc_id", *same).join(nodes.select("first", *same), same)
+    members = nodes.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), F.col("n_shingles").cast("int").alias("n"), (-F.col("first")).alias("rank"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        firsts = nodes.select("key", "first").join(wanted, F.col("key") == wanted.node).select("first", "node")
+        texts = docs.join(firsts, docs.doc_id == firsts["first"]).select("node", "text")
+        return shingle_arrays(texts, size).where("node = key").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    comp = linked(members, sets_of)
+    if comp is None:
+        return listed.groupBy("doc_id").agg(F.min("first").alias("class_id"))
+    least = comp.join(nodes.select(F.col("key").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    reached = comp.join(least, "component").select(F.col("node").alias("key"), "least")
+    return listed.join(reached, "key", "left").groupBy("doc_id").agg(F.min(F.coalesce("least", "first")).alias("class_id"))

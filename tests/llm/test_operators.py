@@ -235,7 +235,7 @@ def test_neighbours(spark):
     x[50:90] = x[40]
     bad = [(600, None), (601, [0.0] * 32), (602, [float("nan")] * 32), (603, [1.0] * 31), (604, [None] + [1.0] * 31)]
     t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + bad, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
-    rows = ann.neighbours(t, F.col("vec_id") % 20 == 0, tables=16, probes=12).collect()
+    rows = ann.neighbours(t, F.col("vec_id") % 20 == 0).collect()
     s = x.astype(float) @ x.astype(float).T
     np.fill_diagonal(s, -np.inf)
     hit = 0
@@ -246,6 +246,16 @@ def test_neighbours(spark):
         if q == 40:
             assert [v for _, v, _ in own] == list(range(50, 70))  # ties to smaller ids
     assert hit / 600 >= 0.9
+    # vectors of other lengths are searched among themselves, nulls and repeats don't disturb
+    mixed = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:200])] + [(200, [2.0] * 65), (201, [1.0] * 65), (0, x[0].tolist()), (None, x[1].tolist()), (240, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(mixed, F.col("vec_id") % 20 == 0, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    assert got[200] == [(1, 201, 130.0)] and 240 not in got and len(got) == 11
+    s = x[:200].astype(float) @ x[:200].astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    hit = sum(len({v for _, v, _ in got[q]} & set(np.argsort(-s[q], kind="stable")[:5].tolist())) for q in range(0, 200, 20))
+    assert hit >= 45 and all(len(got[q]) == 5 for q in range(0, 200, 20))
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.neighbours(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 4.0)]
     assert ann.neighbours(few.limit(0), F.lit(True)).count() == 0

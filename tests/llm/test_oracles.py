@@ -8,7 +8,7 @@ from wattloom.llm.shingles import SIZE
 
 from .test_operators import ODD, near_texts
 
-LICENSES = ["gnu General PUBLIC license, MIT license mit license", "Licensed under CC BY-NC 4.0.", "under the Apache License, Version 2.0, or the GNU Lesser General Public License v3 or later", "all rights reserved. copyright (c) 2020 someone all rights reserved", "mit license " * 50]
+LICENSES = ["gnu General PUBLIC license, MIT license mit license", "Licensed under CC BY-NC 4.0.", "under the Apache License, Version 2.0", "released under the MIT License. all rights reserved. some text. All rights reserved", "apache license 2.0 or gnu general public license", "mit license " * 50]
 
 
 @pytest.mark.parametrize("name", ["licenses", "jaccard"])

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wattloom.llm import ann, bpe, jaccard, licenses, linear, minhash, mixing, pii, quality, shingles, token_counts, toxicity
+from wattloom.llm import ann, bpe, components, jaccard, licenses, linear, minhash, mixing, pii, quality, shingles, token_counts, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "a<|endoftext|> b", "  x\t\n y  z  ", "don't we'll '  s", "é é 中文 字 12３", "\n\n a \n", "x" * 3000, "a   b\x1c c", "word " * 40_000, "The MIT License. Released under the MIT License", "🎉🎉 ñ ñ"]
@@ -108,6 +108,18 @@ def test_jaccard_join_equals_all_pairs(spark, seed, monkeypatch):
         assert got[i]["n_shingles"] == len(s) and got[i]["component_id"] == want[i], texts[i]
 
 
+def test_components_of_paths_stars_and_rings(spark, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK", 5)
+    rng = random.Random(3)
+    name = [rng.getrandbits(60) for _ in range(400)]
+    edges = [(i, i + 1) for i in range(0, 150)] + [(200, i) for i in range(201, 260)] + [(300 + i, 300 + (i + 1) % 50) for i in range(50)] + [(399, 399)]
+    rng.shuffle(edges)
+    t = spark.createDataFrame([(name[a], name[b]) for a, b in edges] + [(None, 1), (name[0], name[1])], "a long, b long").repartition(7)
+    got = {r["node"]: r["component"] for r in components.components(t).collect()}
+    want = {name[i]: min(name[j] for j in group) for group in (range(0, 151), range(200, 260), range(300, 350)) for i in group}
+    assert got == want and components.components(t.limit(0)).count() == 0
+
+
 def test_jaccard_join_odd_tables(spark):
     t = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (5, None)], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.near_classes(t).collect()), key=str) == [(1, 2, 1), (1, 2, 1), (5, 0, 5), (None, 2, 1)]

@@ -259,9 +259,9 @@ def linked(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> Dat
     fit = f"100 * least(n, rep_n) >= {PERCENT} * greatest(n, rep_n)"
     pairs = settled(rest.where(fit).select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct())
     many = settled(rest.where("m > 2").select("bucket", "node", "n"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
-    if wanted.isEmpty():
+    if pairs.isEmpty() and many.isEmpty():
         return None
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
     sets = settled(sets_of(wanted))
     comp = components(verified(pairs, sets))
     more = remaining(many, comp, sets)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wattloom.operators import features as fx
 from wattloom.operators import stats
+from wattloom.plans import pipeline
 from wattloom.plans.settings import Settings
 from wattloom.sources import bronze as src
 
@@ -136,7 +137,73 @@ def test_interpolation_and_acf_depth(spark):
         v.append(x)
     slow = spark.createDataFrame([("0", i, y) for i, y in enumerate(v)], "series_id string, slot long, avg_load double")
     white = spark.createDataFrame([("0", i, rng.gauss(0, 1)) for i in range(1500)], "series_id string, slot long, avg_load double")
-    assert stats.acf_depth(slow, "avg_load").first()[0] > 20 > stats.acf_depth(white, "avg_load").first()[0]
+    assert stats.acf_depth(slow, "avg_load").first()["depth"] > 20 > stats.acf_depth(white, "avg_load").first()["depth"]
+
+
+def test_series_do_not_mix(spark):
+    rng = random.Random(2)
+    v = {sid: [rng.gauss(0, 1) for _ in range(50)] for sid in "ab"}
+    d = spark.createDataFrame([(sid, i, x) for sid, xs in v.items() for i, x in enumerate(xs)], "series_id string, slot long, avg_load double")
+    for chunk in (4, 4320):
+        for r in stats.acf(d, 3, "avg_load", chunk=chunk).collect():
+            x, k = v[r["series_id"]], r["lag"]
+            assert r["n"] == 50 - k and math.isclose(r["r"], statistics.correlation(x[k:], x[:-k]), abs_tol=1e-9) and math.isclose(r["band"], 1.96 / math.sqrt(50))
+    assert stats.pacf(d, 3, "avg_load").count() == 6 and stats.welch(d, "avg_load", 16).where("bin = 0").count() == 2
+    assert {r["series_id"] for r in stats.acf_depth(d, "avg_load").collect()} == {"a", "b"}
+    assert [r["before"] for r in stats.neighbour(d.where("series_id = 'a'"), "avg_load", 7).orderBy("slot").collect()] == [None, *v["a"][:-1]]
+
+
+def test_days_are_completed_before_decomposing(spark):
+    day = lambda i: dt.date(2025, 1, 1) + dt.timedelta(days=i)
+    full = [(i % 7) * 10.0 + i for i in range(60)]
+    rows = [("0", day(i), x) for i, x in enumerate(full) if i not in (20, 21, 40)]
+    for chunk in (5, 4320):
+        got = {r["date"]: r for r in stats.decompose(spark.createDataFrame(rows, "series_id string, date date, v double"), "v", chunk=chunk).collect()}
+        assert len(got) == 60 and got[day(2)]["trend"] is None and math.isclose(got[day(8)]["trend"], sum(full[5:12]) / 7)
+        assert len({round(got[day(i)]["seasonal"], 9) for i in range(3, 60, 7)}) == 1
+
+
+def test_classes_of_empty_bins(spark):
+    rows = [("0", T0, "none", 1.0), ("0", T0 + dt.timedelta(hours=2), "none", 2.0), ("0", T0 + dt.timedelta(days=2), "half", 3.0)]
+    b = spark.createDataFrame(rows, "series_id string, timestamp timestamp_ntz, day_class string, load double")
+    got = [r["day_class"] for r in fx.grid(fx.resample(b, 3600), 3600).orderBy("slot").collect()]
+    assert got == ["none"] * 24 + [None] * 24 + ["half"]
+
+
+def test_whole_run_and_guards(spark, tmp_path):
+    s = Settings(lags=(1, 2), rolling=(2,), slopes=(2,), feature_sets={"few": ("hour", "lag_1")})
+    b = seconds(spark, [float(i) for i in range(3 * 96)], step=900)
+    made = pipeline.build_all(b, str(tmp_path), "custom", ["15min"], None, s)
+    assert set(made) == {"silver/15min", "gold/15min", "model/15min/few"} and made["silver/15min"].count() == 288 and (tmp_path / "model" / "15m" / "few").is_dir()
+    assert pipeline.build_all(b, str(tmp_path), "custom", ["15min"], None, s, dry_run=True) == {}
+    day2 = b.where("timestamp < '2025-01-01 12:00:00' or timestamp > '2025-01-03 12:00:00'")
+    for bad in (b.withColumn("load", F.lit(None).cast("double")), b.withColumn("day_class", F.lit("odd")), b.drop("load"), day2):
+        with pytest.raises(ValueError):
+            pipeline.build_all(bad, str(tmp_path), "custom", ["15min"], None, s)
+    with pytest.raises(ValueError):
+        pipeline.guard_schema(made["gold/15min"].select("avg_load"), s)
+    with pytest.raises(ValueError):
+        pipeline.guard_calendar(made["gold/15min"].withColumn("month", F.lit(13)))
+    lab = spark.createDataFrame([("2025-01-01", "full"), ("2025-01-02", "none")], "date string, day_class string")
+    wide = spark.createDataFrame([(0, 1.0, 2.0), (1, 3.0, 4.0)], "second_of_day int, `2025-01-01` double, `2025-01-02` double")
+    assert pipeline.guard_raw(wide, lab, rows=2) is wide
+    for w, x in ((wide, lab.limit(1)), (wide.limit(1), lab), (wide.select("second_of_day"), lab), (wide.withColumn("2025-01-02", F.lit("x")), lab), (wide, lab.union(lab.limit(1)).limit(2).withColumn("day_class", F.lit("?")))):
+        with pytest.raises(ValueError):
+            pipeline.guard_raw(w, x, rows=2)
+    with pytest.raises(ValueError):
+        pipeline.guard_matched(b.withColumn("date", F.to_date("timestamp")), lab)
+
+
+def test_long_frames_of_extremes(spark, monkeypatch):
+    monkeypatch.setattr(fx, "LONG", 5)
+    rng = random.Random(9)
+    v = [rng.uniform(0, 9) for _ in range(97)]
+    s = Settings(lags=(1,), rolling=(5, 24), slopes=(2,))
+    for chunk in (24, 31, 4320):
+        got = fx.silver(seconds(spark, v, step=60), 60, s, chunk).orderBy("slot").collect()
+        for n in (5, 24):
+            assert [r[f"rolling_max_{n}"] for r in got] == [None] * (n - 1) + [max(v[i - n + 1 : i + 1]) for i in range(n - 1, 97)]
+            assert [r[f"rolling_min_{n}"] for r in got] == [None] * (n - 1) + [min(v[i - n + 1 : i + 1]) for i in range(n - 1, 97)]
 
 
 def test_correlations_skip_null_pairs(spark):

@@ -24,17 +24,22 @@ def resample(bronze: DataFrame, step: int) -> DataFrame:
     """(series_id, slot, avg_load, day_class): means of non-null loads, the first class in time; bins without rows are absent."""
     ts = F.col("timestamp")
     g = bronze.groupBy("series_id", calendar.slot(ts, step).alias("slot"))
-    return g.agg(F.avg("load").alias(TARGET), F.min_by("day_class", F.when(F.col("day_class").isNotNull(), ts)).alias("day_class"))
+    mean = F.avg("load")  # infinities, also those that arise here, are missing
+    return g.agg(F.when(F.abs(mean) < float("inf"), mean).alias(TARGET), F.min_by("day_class", F.when(F.col("day_class").isNotNull(), ts)).alias("day_class"))
 
 
 def grid(binned: DataFrame, step: int, classes: bool = True) -> DataFrame:
-    """Every slot from a series' first bin to its last; missing ones have a null load and, with ``classes``, the class of their date."""
+    """Every slot from a series' first bin to its last; missing ones have a null load and, with ``classes``, the class that the series has on their date (null: none)."""
     ends = binned.groupBy("series_id").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
     # one row for each chunk first, so that a long series is unrolled by many tasks
     parts = ends.select("series_id", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / CHUNK), F.floor(F.col("b") / CHUNK))).alias("c")).repartition("series_id", "c")
     slots = parts.select("series_id", F.explode(F.sequence(F.greatest("a", F.col("c") * CHUNK), F.least("b", F.col("c") * CHUNK + CHUNK - 1))).alias("slot"))
     out = slots.join(binned, ["series_id", "slot"], "left").withColumn("timestamp", calendar.start(F.col("slot"), step))
-    return out.withColumn("day_class", F.coalesce("day_class", calendar.day_class(F.col("timestamp")))) if classes else out
+    if not classes:
+        return out
+    date = F.floor(F.col("slot") * step / 86400)
+    days = binned.where("day_class is not null").groupBy("series_id", date.alias("day")).agg(F.min_by("day_class", "slot").alias("of_day"))
+    return out.withColumn("day", date).join(days, ["series_id", "day"], "left").withColumn("day_class", F.coalesce("day_class", "of_day")).drop("day", "of_day")
 
 
 def chunked(df: DataFrame, history: int, make: Callable[[DataFrame, WindowSpec], DataFrame], chunk: int = CHUNK) -> DataFrame:
@@ -76,6 +81,14 @@ def prefix_sums(df: DataFrame, w: WindowSpec, of: str = TARGET) -> DataFrame:
     return df.withColumns({"cn": F.count(of).over(run), "cs": F.sum("x").over(run), "cq": F.sum(F.col("x") * F.col("x")).over(run)})
 
 
+def extreme_columns(w: WindowSpec, n: int, of: str = TARGET) -> dict[str, Column]:
+    """Rolling maximum and minimum of ``n`` rows from running ones within blocks of ``n`` slots, upwards and downwards: a frame covers the end of one block and the beginning of the next."""
+    block = W.partitionBy("series_id", "chunk", F.floor(F.col("slot") / n))
+    up, down = block.orderBy("slot").rowsBetween(W.unboundedPreceding, 0), block.orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, 0)
+    ok = F.count(of).over(w.rowsBetween(1 - n, 0)) == n if n < LONG else F.col("cn") - F.coalesce(F.lag("cn", n).over(w), F.lit(0)) == n
+    return {f"rolling_{name}_{n}": (ok, agg(of).over(up), agg(of).over(down), pick) for name, agg, pick in (("max", F.max, F.greatest), ("min", F.min, F.least))}
+
+
 def prefix_columns(w: WindowSpec, n: int) -> dict[str, Column]:
     """Rolling mean and standard deviation of ``n`` rows by ``prefix_sums``."""
     d = {c: F.col(c) - F.coalesce(F.lag(c, n).over(w), F.lit(0)) for c in ("cn", "cs", "cq")}
@@ -108,9 +121,13 @@ def silver(bronze: DataFrame, step: int, settings: Settings | None = None, chunk
 
     def make(df: DataFrame, w: WindowSpec) -> DataFrame:
         df = prefix_sums(df, w).withColumn("pos", (F.col("slot") - F.col("chunk") * chunk).cast("double"))
-        cols = lag_columns(w, s.lags) | rolling_columns(w, s.rolling) | slope_columns(w, s.slopes)
-        for n in (n for n in s.rolling if n >= LONG):
+        long = [n for n in s.rolling if n >= LONG]
+        cols = lag_columns(w, s.lags) | rolling_columns(w, tuple(n for n in s.rolling if n < LONG)) | slope_columns(w, s.slopes)
+        for n in long:
             cols |= prefix_columns(w, n)
+            ends = extreme_columns(w, n)
+            df = df.withColumns({f"{k}_{side}": c for k, (_, up, down, _) in ends.items() for side, c in (("up", up), ("down", down))})
+            cols |= {k: F.when(ok, pick(F.col(f"{k}_up"), F.lag(f"{k}_down", n - 1).over(w))) for k, (ok, _, _, pick) in ends.items()}
         return df.withColumns(cols)
 
     out = chunked(dense, s.history(), make, max(chunk, s.history()))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .features import CHUNK, interpolate
+
 
 def slope(y: str, x: str) -> Column:
     """Least-squares slope over a group; null with fewer than two rows or any null value."""
@@ -64,11 +66,12 @@ def co_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     s = x.mapInPandas(run, "i int, j int, n double, sa double, sb double, qa double, qb double, p double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
     name = lambda c: F.element_at(F.array(*map(F.lit, columns)), F.col(c) + 1)
     at = lambda c: F.element_at(F.array(*[F.lit(float(v)) for v in centre]), F.col(c) + 1)
+    n = F.nullif("n", F.lit(0.0))  # no row has both
     return s.select(
         name("i").alias("a"), name("j").alias("b"), F.col("n").cast("long").alias("n"),
-        (at("i") + F.col("sa") / F.col("n")).alias("ma"), (at("j") + F.col("sb") / F.col("n")).alias("mb"),
-        (F.col("qa") - F.col("sa") * F.col("sa") / F.col("n")).alias("caa"), (F.col("qb") - F.col("sb") * F.col("sb") / F.col("n")).alias("cbb"),
-        (F.col("p") - F.col("sa") * F.col("sb") / F.col("n")).alias("cab"),
+        (at("i") + F.col("sa") / n).alias("ma"), (at("j") + F.col("sb") / n).alias("mb"),
+        (F.col("qa") - F.col("sa") * F.col("sa") / n).alias("caa"), (F.col("qb") - F.col("sb") * F.col("sb") / n).alias("cbb"),
+        (F.col("p") - F.col("sa") * F.col("sb") / n).alias("cab"),
     )
 
 
@@ -79,61 +82,73 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return m.select("a", "b", F.when(ok, F.col("cab") / F.sqrt(F.col("caa") * F.col("cbb"))).alias("r"))
 
 
-def acf(series: DataFrame, lags: int, of: str, at: str = "slot") -> DataFrame:
-    """(lag, r, n): Pearson of the series and itself ``lag`` rows before, over pairs that are both there. One equi-join for all lags."""
-    v = series.where(F.col(of).isNotNull()).select(F.col(at).alias("t"), F.col(of).alias("y"))
-    ahead = v.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).select((F.col("t") + F.col("lag")).alias("t"), F.col("y").alias("x"), F.col("lag").cast("long").alias("lag"))
-    return v.join(ahead, "t").groupBy("lag").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+def acf(series: DataFrame, lags: int, of: str, at: str = "slot", chunk: int = 4320) -> DataFrame:
+    """(series_id, lag, r, n, band): Pearson of each series and itself ``lag`` rows before, over pairs that are both there; band is 1.96 / sqrt of the series' values.
+
+    Pairs within a chunk of positions are made by lagged arrays of neighbours: every value is moved once, and once more to the next chunk where that needs it.
+    """
+    v = series.where(F.col(of).isNotNull()).select("series_id", F.col(at).cast("long").alias("t"), F.col(of).cast("double").alias("y"))
+    size = max(chunk, lags)
+    own = F.floor(F.col("t") / size)
+    dealt = v.withColumn("own", own).withColumn("chunk", F.explode(F.sequence(own, F.floor((F.col("t") + lags) / size))))
+    before = W.partitionBy("series_id", "chunk").orderBy("t").rangeBetween(-lags, -1)
+    past = dealt.withColumn("past", F.collect_list(F.struct("t", "y")).over(before)).where("own = chunk")
+    pairs = past.select("series_id", "t", "y", F.explode("past").alias("p")).select("series_id", (F.col("t") - F.col("p.t")).alias("lag"), "y", F.col("p.y").alias("x"))
+    out = pairs.groupBy("series_id", "lag").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    return out.join(v.groupBy("series_id").agg((1.96 / F.sqrt(F.count("*"))).alias("band")), "series_id").select("series_id", "lag", "r", "n", "band")
 
 
 def numbered(rows: DataFrame, chunk: int = 4320) -> DataFrame:
     """``rows`` with pos, their number from 1 in the order of slot: counted in each chunk of slots, from where the chunks before it end."""
     x = rows.withColumn("chunk", F.floor(F.col("slot") / chunk))
-    before = F.coalesce(F.sum("n").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = x.groupBy("chunk").agg(F.count("*").alias("n")).select("chunk", before.alias("base"))  # one row for each chunk
-    own = F.row_number().over(W.partitionBy("chunk").orderBy("slot"))
-    return x.join(base, "chunk").withColumn("pos", (F.col("base") + own).cast("long")).select(*rows.columns, "pos")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("series_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = x.groupBy("series_id", "chunk").agg(F.count("*").alias("n")).select("series_id", "chunk", before.alias("base"))  # one row for each chunk
+    own = F.row_number().over(W.partitionBy("series_id", "chunk").orderBy("slot"))
+    return x.join(base, ["series_id", "chunk"]).withColumn("pos", (F.col("base") + own).cast("long")).select(*rows.columns, "pos")
+
+
+def neighbour(rows: DataFrame, of: str, chunk: int = 4320) -> DataFrame:
+    """``rows`` with before: the value of the row before in the order of slot, chunk by chunk; a chunk's first row takes the last of the chunks before it."""
+    x = rows.withColumn("chunk", F.floor(F.col("slot") / chunk))
+    ends = x.groupBy("series_id", "chunk").agg(F.max_by(of, "slot").alias("last"))
+    ends = ends.select("series_id", "chunk", F.lag("last").over(W.partitionBy("series_id").orderBy("chunk")).alias("last"))  # one row for each chunk
+    own = F.lag(of).over(W.partitionBy("series_id", "chunk").orderBy("slot"))
+    return x.join(ends, ["series_id", "chunk"]).withColumn("before", F.coalesce(own, "last")).select(*rows.columns, "before")
 
 
 def acf_depth(series: DataFrame, of: str, alpha: float = 0.05, least: int = 10, most: int = 2000, run: int = 5, batch: int = 100) -> DataFrame:
-    """One row (depth): the first lag of the first ``run`` insignificant lags in a row, on the series without its nulls.
+    """(series_id, depth): the first lag of the first ``run`` insignificant lags in a row, on each series without its nulls.
 
-    Lags are looked at in batches, so a short memory costs little whatever ``most`` is.
+    Lags are looked at in batches, for the series that still need them, so a short memory costs little whatever ``most`` is.
     """
-    v = numbered(series.where(F.col(of).isNotNull()).select("slot", of)).select(of, "pos").persist()
-    head = v.agg(F.count("*").alias("n"), F.stddev_pop(of).alias("s")).first()
-    top = min(most, head["n"] - 1)
-    depth = top
-    if head["n"] < 3 or not head["s"]:
-        depth = least
-    else:
-        bound = NormalDist().inv_cdf(1 - alpha / 2) / math.sqrt(head["n"])
-        streak, done = 0, 0
-        while done < top:
-            upto = min(top, done + batch)
-            past = {r["lag"]: r["r"] for r in _acf_between(v, of, done + 1, upto).collect()}  # one row for each lag of the batch
-            for lag in range(done + 1, upto + 1):
-                r = past.get(lag)
-                streak = streak + 1 if r is None or abs(r) < bound else 0
-                if streak == run:
-                    depth, upto, done = lag - run + 1, top, top
-                    break
-            done = upto
-    v.unpersist()
-    return series.sparkSession.createDataFrame([(int(max(least, min(most, depth))),)], "depth long")
-
-
-def _acf_between(v: DataFrame, of: str, first: int, last: int) -> DataFrame:
-    ahead = v.withColumn("lag", F.explode(F.sequence(F.lit(first), F.lit(last)))).select((F.col("pos") + F.col("lag")).alias("pos"), F.col(of).alias("x"), "lag")
-    return v.join(ahead, "pos").groupBy("lag").agg(F.corr("x", of).alias("r"))
+    v = numbered(series.where(F.col(of).isNotNull()).select("series_id", "slot", of)).select("series_id", F.col(of).alias("y"), "pos").persist()
+    head = v.groupBy("series_id").agg(F.count("*").alias("n"), F.stddev_pop("y").alias("s"))
+    z = NormalDist().inv_cdf(1 - alpha / 2)
+    flat = (F.col("n") < 3) | (F.col("s") == 0)
+    head = head.select("series_id", F.least(F.lit(most), F.col("n") - 1).alias("top"), (z / F.sqrt("n")).alias("bound"), flat.alias("flat")).persist()
+    found, open_, upto = [head.where("flat").select("series_id", F.lit(least).cast("long").alias("depth"))], head.where("not flat"), 0
+    while not open_.isEmpty():
+        upto = min(most, upto + batch)
+        lags = open_.select("series_id", "top", "bound", F.explode(F.sequence(F.lit(1), F.least(F.lit(upto), F.col("top")).cast("int"))).alias("lag"))
+        past = acf(v.join(open_.select("series_id"), "series_id", "left_semi"), upto, "y", "pos").select("series_id", F.col("lag").cast("int").alias("lag"), "r")
+        low = lags.join(past, ["series_id", "lag"], "left").withColumn("weak", (F.coalesce(F.abs("r"), F.lit(0.0)) < F.col("bound")).cast("int"))
+        w = W.partitionBy("series_id").orderBy("lag").rowsBetween(1 - run, 0)
+        first = low.withColumn("streak", F.sum("weak").over(w)).groupBy("series_id").agg(F.min(F.when(F.col("streak") == run, F.col("lag") - run + 1)).alias("depth"), F.max("top").alias("top"))
+        first = first.persist()
+        ended = F.coalesce(F.col("depth"), F.when(F.col("top") <= upto, F.col("top")))
+        found.append(first.where(ended.isNotNull()).select("series_id", F.greatest(F.lit(least), F.least(F.lit(most), ended)).cast("long").alias("depth")))
+        open_ = open_.join(first.where(ended.isNull()).select("series_id"), "series_id", "left_semi")
+        if upto >= most:
+            break
+    return reduce(DataFrame.union, found)
 
 
 def pacf(series: DataFrame, lags: int, of: str) -> DataFrame:
-    """(lag, pacf) by Yule-Walker with biased autocovariances: sums in Spark, the recursion over ``lags`` numbers afterwards."""
-    mean = series.agg(F.avg(of)).first()[0]
-    v = series.where(F.col(of).isNotNull()).select("slot", (F.col(of) - mean).alias("y"))
-    ahead = v.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).select((F.col("slot") + F.col("lag")).alias("slot"), F.col("y").alias("x"), "lag")
-    sums = v.join(ahead, "slot").groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
+    """(series_id, lag, pacf) by Yule-Walker with biased autocovariances: sums in Spark, the recursion over ``lags`` numbers for each series afterwards."""
+    mean = series.groupBy("series_id").agg(F.avg(of).alias("m"))
+    v = series.where(F.col(of).isNotNull()).join(mean, "series_id").select("series_id", "slot", (F.col(of) - F.col("m")).alias("y"))
+    ahead = v.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).select("series_id", (F.col("slot") + F.col("lag")).alias("slot"), F.col("y").alias("x"), "lag")
+    sums = v.join(ahead, ["series_id", "slot"]).groupBy("series_id", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.sort_values("lag")["c"].to_numpy(float)
@@ -141,10 +156,10 @@ def pacf(series: DataFrame, lags: int, of: str) -> DataFrame:
         for k in range(1, len(r)):
             last = (r[k] - phi @ r[k - 1 : 0 : -1]) / (1 - phi @ r[1:k]) if k > 1 else r[1]
             phi = np.append(phi - last * phi[::-1], last)
-            out.append((k, float(last)))
-        return pd.DataFrame(out, columns=["lag", "pacf"])
+            out.append((pdf["series_id"].iloc[0], k, float(last)))
+        return pd.DataFrame(out, columns=["series_id", "lag", "pacf"])
 
-    return sums.groupBy(F.lit(0).alias("k")).applyInPandas(lambda pdf: solve(pdf), "lag long, pacf double")
+    return sums.groupBy("series_id").applyInPandas(lambda pdf: solve(pdf), f"series_id {series.schema['series_id'].dataType.simpleString()}, lag long, pacf double")
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -163,23 +178,24 @@ def vif(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def welch(series: DataFrame, of: str, size: int = 2048) -> DataFrame:
-    """(bin, frequency, power): mean of Hann-windowed periodograms of half-overlapping segments; each segment is a group of its own."""
+    """(series_id, bin, frequency, period, power): mean of Hann-windowed periodograms of half-overlapping segments; each segment is a group of its own. The period of frequency 0 is null."""
     half = size // 2
-    first = series.agg(F.min("slot")).first()[0] or 0
-    k = F.floor((F.col("slot") - first) / half)
-    seg = series.select("slot", F.col(of).alias("y"), F.explode(F.array(k - 1, k)).alias("seg")).where("seg >= 0")
+    first = series.groupBy("series_id").agg(F.min("slot").alias("first"))
+    k = F.floor((F.col("slot") - F.col("first")) / half)
+    seg = series.join(first, "series_id").select("series_id", "slot", F.col(of).alias("y"), F.explode(F.array(k - 1, k)).alias("seg")).where("seg >= 0")
+    kind = series.schema["series_id"].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("slot")["y"].to_numpy(float)
         if len(y) < size or np.isnan(y).any():
-            return pd.DataFrame({"bin": pd.Series(dtype="int64"), "p": pd.Series(dtype="float64")})
+            return pd.DataFrame({"series_id": pd.Series(dtype="object"), "bin": pd.Series(dtype="int64"), "p": pd.Series(dtype="float64")})
         w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
         p = np.abs(np.fft.rfft((y - y.mean()) * w)) ** 2 / (w * w).sum()
         p[1:-1] *= 2
-        return pd.DataFrame({"bin": np.arange(len(p)), "p": p})
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "bin": np.arange(len(p)), "p": p})
 
-    out = seg.groupBy("seg").applyInPandas(one, "bin long, p double").groupBy("bin").agg(F.avg("p").alias("power"))
-    return out.select("bin", (F.col("bin") / F.lit(float(size))).alias("frequency"), "power")
+    out = seg.groupBy("series_id", "seg").applyInPandas(one, f"series_id {kind}, bin long, p double").groupBy("series_id", "bin").agg(F.avg("p").alias("power"))
+    return out.select("series_id", "bin", (F.col("bin") / F.lit(float(size))).alias("frequency"), F.when(F.col("bin") > 0, float(size) / F.col("bin")).alias("period"), "power")
 
 
 def qq_normal(df: DataFrame, of: str, points: int = 99) -> DataFrame:
@@ -235,17 +251,31 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     return joint.groupBy("feature").agg(F.sum(F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("nb") * F.col("nt")))).alias("mi"))
 
 
-def decompose(daily: DataFrame, of: str, period: int = 7) -> DataFrame:
-    """(date, trend, seasonal, residual): centred moving mean, mean deviation by day index modulo ``period``, rest. Days are few for each series."""
-    w = W.partitionBy("series_id").orderBy("date")
+def complete_days(daily: DataFrame, of: str) -> DataFrame:
+    """(series_id, day, value): every day from a series' first to its last, missing values filled by interpolation; day counts from 1970."""
+    v = daily.select("series_id", F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long").alias("slot"), F.col(of).alias("v"))
+    ends = v.groupBy("series_id").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
+    every = ends.select("series_id", F.explode(F.sequence("a", "b")).alias("slot")).join(v, ["series_id", "slot"], "left")
+    return interpolate(every, "v").select("series_id", F.col("slot").alias("day"), F.col("filled").alias("value"))
+
+
+def decompose(daily: DataFrame, of: str, period: int = 7, chunk: int = CHUNK) -> DataFrame:
+    """(series_id, date, trend, seasonal, residual) of each calendar day: centred moving mean, mean deviation by day number modulo ``period``, rest.
+
+    Days without a row are completed by interpolation first, so that phases and trend follow the calendar. Trends are made in chunks of days.
+    """
+    x = complete_days(daily, of)
     half = period // 2
-    f = w.rowsBetween(-half, half)
-    x = daily.withColumn("i", F.row_number().over(w) - 1).withColumn("trend", F.when(F.count(of).over(f) == period, F.avg(of).over(f)))
-    x = x.withColumn("k", F.col("i") % period).withColumn("off", F.col(of) - F.col("trend"))
-    x = x.withColumn("raw", F.avg("off").over(W.partitionBy("series_id", "k")))
-    ks = x.select("series_id", "k", "raw").distinct().groupBy("series_id").agg(F.avg("raw").alias("level"))
-    x = x.join(ks, "series_id").withColumn("seasonal", F.col("raw") - F.col("level"))
-    return x.withColumn("residual", F.col(of) - F.col("trend") - F.col("seasonal")).select("series_id", "date", "trend", "seasonal", "residual")
+    own = F.floor(F.col("day") / chunk)
+    x = x.withColumn("own", own).withColumn("chunk", F.explode(F.sequence(F.floor((F.col("day") - half) / chunk), F.floor((F.col("day") + half) / chunk))))
+    f = W.partitionBy("series_id", "chunk").orderBy("day").rowsBetween(-half, half)
+    x = x.withColumn("trend", F.when(F.count("value").over(f) == period, F.avg("value").over(f))).where("own = chunk")
+    x = x.withColumn("k", F.pmod("day", F.lit(period))).withColumn("off", F.col("value") - F.col("trend"))
+    raw = x.groupBy("series_id", "k").agg(F.avg("off").alias("raw"))
+    level = raw.groupBy("series_id").agg(F.avg("raw").alias("level"))
+    seasonal = raw.join(level, "series_id").select("series_id", "k", (F.col("raw") - F.col("level")).alias("seasonal"))
+    x = x.join(seasonal, ["series_id", "k"]).withColumn("residual", F.col("value") - F.col("trend") - F.col("seasonal"))
+    return x.select("series_id", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")).alias("date"), "trend", "seasonal", "residual")
 
 
 def box(df: DataFrame, of: str, by: list[str]) -> DataFrame:

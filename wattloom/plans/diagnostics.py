@@ -10,7 +10,7 @@ from ..operators import features as fx
 from ..operators import stats
 from ..sources import bronze as src
 from .queries import DAILY, GC, QUARTER, STEP, B, G, bronze, daily, dense, grid_sql, n, query, r6, rounded, silver
-from .settings import TARGET, Settings
+from .settings import DEFAULTS, RESOLUTIONS, TARGET, Settings
 
 
 @query(B + " SELECT date, day_class, count(*) AS n_rows, count(*) - count(load) AS n_null, CAST(sum(CASE WHEN load = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero, round(avg(load), 6) AS mean, round(stddev_samp(load), 6) AS std, round(stddev_pop(load), 6) AS std_pop, round(100.0 * (count(*) - count(load)) / count(*), 6) AS null_pct FROM bronze GROUP BY date, day_class")
@@ -61,28 +61,31 @@ def load_histogram(spark, d):
     return stats.histogram(bronze(spark, d), "load", 50)
 
 
-CORR = ["avg_load", "lag_1", "lag_5", "rolling_mean_5", "rolling_std_15", "slope_5", "hour", "delta_5"]
+CORR = [c for c in Settings().columns() if c not in ("timestamp", "day_class")]  # every number of the silver table
 PAIRS = [(a, b) for i, a in enumerate(CORR) for b in CORR[i + 1 :]]
-CORR_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 3) AS r FROM silver" for a, b in PAIRS)
+CORR_SQL = "c AS (SELECT " + ", ".join(f'corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS "{a}|{b}"' for a, b in PAIRS) + " FROM silver), m AS (SELECT split_part(k, '|', 1) AS a, split_part(k, '|', 2) AS b, round(v, 3) AS r FROM (UNPIVOT c ON COLUMNS(*) INTO NAME k VALUE v) x WHERE v IS NOT NULL AND NOT isnan(v))"
 
 
 def correlations(spark, d):
-    return stats.corr_matrix(rounded(silver(spark, d)), CORR).withColumn("r", F.round("r", 3))
+    """Pearson of all pairs of numeric columns that vary."""
+    return stats.corr_matrix(rounded(silver(spark, d)), CORR).where("r is not null").withColumn("r", F.round("r", 3))
 
 
-@query(QUARTER + " " + CORR_SQL)
+@query(QUARTER + ", " + CORR_SQL + " SELECT * FROM m")
 def corr_matrix(spark, d):
     return correlations(spark, d)
 
 
-@query(QUARTER + f" SELECT a, b, r FROM ({CORR_SQL}) x WHERE abs(r) >= 0.5")
+@query(QUARTER + ", " + CORR_SQL + " SELECT a, b, r FROM m WHERE abs(r) >= 0.95 ORDER BY abs(r) DESC, a, b LIMIT 20")
 def high_corr_pairs(spark, d):
-    return correlations(spark, d).where("abs(r) >= 0.5")
+    return correlations(spark, d).where("abs(r) >= 0.95").orderBy(F.abs("r").desc(), "a", "b").limit(20)
 
 
-@query(QUARTER + f" SELECT b AS feature, abs(r) AS r FROM ({CORR_SQL}) x WHERE a = 'avg_load'")
+@query(QUARTER + ", " + CORR_SQL + " SELECT b AS feature, abs(r) AS r, row_number() OVER (ORDER BY abs(r) DESC, b) AS rank FROM m WHERE a = 'avg_load' ORDER BY rank LIMIT 20")
 def target_corr_rank(spark, d):
-    return correlations(spark, d).where("a = 'avg_load'").select(F.col("b").alias("feature"), F.abs("r").alias("r"))
+    """The 20 features that go best with the target."""
+    x = correlations(spark, d).where("a = 'avg_load'").select(F.col("b").alias("feature"), F.abs("r").alias("r"))
+    return x.withColumn("rank", n(F.row_number().over(W.orderBy(F.desc("r"), "feature")), "rank")).where("rank <= 20")  # one row for each feature
 
 
 @query(B + ", p AS (SELECT date, hour, avg(load) AS v FROM bronze GROUP BY date, hour) SELECT x.date AS day_a, y.date AS day_b, round(corr(x.v, y.v), 6) AS r FROM p x JOIN p y ON x.hour = y.hour AND x.date < y.date GROUP BY x.date, y.date")
@@ -106,9 +109,10 @@ def resolution_consistency(spark, d):
     return x.agg(F.count("*").alias("n"), r6(F.max(F.abs(F.col("fine") - F.col("coarse")))).alias("worst"))
 
 
-@query(" UNION ALL ".join(f"SELECT * FROM (WITH {(GC if s == STEP else B + grid_sql(s) + ', g AS (SELECT slot, timestamp, avg_load FROM grid)')[5:]} SELECT {s} AS step, count(*) AS n_rows, count(*) - count(avg_load) AS n_null, min(timestamp) AS first_ts, max(timestamp) AS last_ts FROM g) x" for s in (300, 900, 3600)))
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {(GC if s == STEP else B + grid_sql(s) + ', g AS (SELECT slot, timestamp, avg_load FROM grid)')[5:]} SELECT {s} AS step, count(*) AS n_rows, CAST(44 AS INTEGER) AS n_columns, count(*) - count(avg_load) AS n_null, min(timestamp) AS first_ts, max(timestamp) AS last_ts FROM g) x" for s in (60, 300, 600, 900)))
 def resolution_summary(spark, d):
-    return src.union_all([dense(spark, d, s).agg(F.lit(s).alias("step"), F.count("*").alias("n_rows"), (F.count("*") - F.count(TARGET)).alias("n_null"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")) for s in (300, 900, 3600)])
+    """The default resolutions; columns are those of their silver tables."""
+    return src.union_all([dense(spark, d, s).agg(F.lit(s).alias("step"), F.count("*").alias("n_rows"), F.lit(len(Settings().columns())).alias("n_columns"), (F.count("*") - F.count(TARGET)).alias("n_null"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")) for s in (RESOLUTIONS[x] for x in DEFAULTS)])
 
 
 BOX = DAILY + ", q AS (SELECT day_class, quantile_cont(mean_load, 0.25) AS q1, quantile_cont(mean_load, 0.5) AS q2, quantile_cont(mean_load, 0.75) AS q3 FROM daily GROUP BY day_class)"
@@ -119,10 +123,11 @@ def boxplot_stats(spark, d):
     return rounded(stats.box(daily(spark, d), "mean_load", ["day_class"]))
 
 
-@query(B + " SELECT date, hour * 60 + minute AS minute, round(avg(load), 6) AS load FROM bronze GROUP BY 1, 2")
+@query(B + " SELECT date, hour * 60 + minute AS minute, date + to_minutes(hour * 60 + minute) AS timestamp, round(avg(load), 6) AS load FROM bronze GROUP BY 1, 2, 3")
 def minute_profile(spark, d):
     m = n(F.hour("timestamp") * 60 + F.minute("timestamp"), "minute")
-    return bronze(spark, d).groupBy("date", m).agg(r6(F.avg("load")).alias("load"))
+    x = bronze(spark, d).groupBy("date", m).agg(r6(F.avg("load")).alias("load"))
+    return x.withColumn("timestamp", F.timestamp_add("MINUTE", F.col("minute").cast("int"), F.col("date").cast("timestamp_ntz")))
 
 
 @query(B + " SELECT day_class, strftime(date + to_minutes(CAST((hour * 60 + minute) - (hour * 60 + minute) % 5 AS BIGINT)), '%H:%M:%S') AS clock, round(avg(load), 6) AS load FROM bronze GROUP BY 1, 2")
@@ -140,10 +145,27 @@ def null_runs(spark, d):
     return fx.runs(dense(spark, d), F.col(TARGET).isNull(), 96).select("first_slot", "last_slot", "length")
 
 
-@query(G + islands("grid", "avg_load < 200") + " SELECT first_slot, last_slot, length FROM runs WHERE length >= 2")
+ZERO = B.replace("value END AS load", "value END * CASE WHEN event_id % 1000 < 30 THEN 0.0 ELSE 1.0 END AS load")
+
+
+def outage(spark, d):
+    """Bronze in which 30 of every 1000 events stand at 0."""
+    return bronze(spark, d).withColumn("load", F.col("load") * F.when(F.col("event_id") % 1000 < 30, 0.0).otherwise(1.0))
+
+
+def zeros(spark, d, step=60, least=300):
+    """Runs of slots whose load is 0 for ``least`` seconds and more, and their ends in time; nulls break them."""
+    runs = fx.runs(fx.grid(fx.resample(outage(spark, d), step), step), F.col(TARGET) == 0, 1440).withColumn("seconds", F.col("length") * step)
+    return runs.where(F.col("seconds") >= least).select("length", "seconds", calendar.start(F.col("first_slot"), step).alias("first_ts"), calendar.start(F.col("last_slot"), step).alias("last_ts"))
+
+
+ZEROS = ZERO + grid_sql(STEP) + islands("grid", "avg_load = 0") + f", zeros AS (SELECT length, length * {STEP} AS seconds, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(first_slot * {STEP}) AS first_ts, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(last_slot * {STEP}) AS last_ts FROM runs WHERE length * {STEP} >= 300)"
+
+
+@query(ZEROS + " SELECT * FROM zeros ORDER BY length DESC, first_ts LIMIT 20")
 def zero_runs(spark, d):
-    """Runs of low load, as a mean of zeros hardly occurs in this table; nulls break them."""
-    return fx.runs(dense(spark, d), F.col(TARGET) < 200, 96).where("length >= 2").select("first_slot", "last_slot", "length")
+    """The 20 longest outages of 300 s and more."""
+    return zeros(spark, d, STEP).orderBy(F.desc("length"), "first_ts").limit(20)
 
 
 Z = DAILY + ", z AS (SELECT date, day_class, CASE WHEN s > 0 THEN (mean_load - m) / s ELSE 0.0 END AS z FROM (SELECT date, day_class, mean_load, avg(mean_load) OVER (PARTITION BY day_class) AS m, stddev_pop(mean_load) OVER (PARTITION BY day_class) AS s FROM daily) x)"
@@ -206,20 +228,20 @@ def median_impute(spark, d):
     return x.crossJoin(F.broadcast(x.agg(F.percentile(F.col(TARGET), F.lit(0.5)).alias("med")))).select("slot", r6(F.coalesce(TARGET, "med")).alias("imputed"))  # one row
 
 
-@query(FILL + ", lags AS (SELECT unnest(range(1, 49)) AS lag) SELECT lag, round(corr(a.filled, b.filled), 6) AS r, count(*) AS n FROM lags, filled a JOIN filled b ON a.slot = b.slot + lag GROUP BY lag")
+@query(FILL + ", lags AS (SELECT unnest(range(1, 49)) AS lag) SELECT lag, round(corr(a.filled, b.filled), 6) AS r, count(*) AS n FROM lags, filled a JOIN filled b ON a.slot = b.slot + lag GROUP BY lag".replace(", count(*) AS n FROM lags", ", count(*) AS n, round(1.96 / sqrt((SELECT count(*) FROM filled)), 6) AS band FROM lags"))
 def acf(spark, d):
     x = fx.interpolate(dense(spark, d))
-    return stats.acf(x, 48, "filled").select("lag", r6("r").alias("r"), "n")
+    return stats.acf(x, 48, "filled").select("lag", r6("r").alias("r"), "n", r6("band").alias("band"))
 
 
 @query()
 def acf_depth(spark, d):
-    return stats.acf_depth(dense(spark, d), TARGET)
+    return stats.acf_depth(dense(spark, d), TARGET).drop("series_id")
 
 
 @query()
 def pacf(spark, d):
-    return rounded(stats.pacf(fx.interpolate(dense(spark, d)), 48, "filled"))
+    return rounded(stats.pacf(fx.interpolate(dense(spark, d)), 48, "filled").drop("series_id"))
 
 
 @query()
@@ -239,7 +261,7 @@ def periodogram_at(spark, d):
 
 @query()
 def welch_psd(spark, d):
-    return stats.welch(fx.interpolate(dense(spark, d)), "filled", 512)
+    return stats.welch(fx.interpolate(dense(spark, d)), "filled", 512).drop("series_id")
 
 
 @query()
@@ -247,7 +269,7 @@ def qq_normal(spark, d):
     return rounded(stats.qq_normal(bronze(spark, d), "load"))
 
 
-@query("WITH daily AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) / 1000 AS v FROM orders GROUP BY 1), i AS (SELECT date, v, row_number() OVER (ORDER BY date) - 1 AS i, CASE WHEN count(*) OVER w = 7 THEN avg(v) OVER w END AS trend FROM daily WINDOW w AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), k AS (SELECT i % 7 AS k, avg(v - trend) AS raw FROM i GROUP BY 1), c AS (SELECT k, raw - (SELECT avg(raw) FROM k) AS seasonal FROM k) SELECT date, round(trend, 2) AS trend, round(seasonal, 2) AS seasonal, round(v - trend - seasonal, 2) AS residual FROM i JOIN c ON i.i % 7 = c.k")
+@query("WITH daily AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) / 1000 AS v FROM orders GROUP BY 1), every AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM daily), (SELECT max(date) FROM daily), INTERVAL 1 DAY)) AS DATE) AS date), g AS (SELECT e.date, date_diff('day', DATE '1970-01-01', e.date) AS t, v FROM every e LEFT JOIN daily d ON e.date = d.date), s AS (SELECT date, t, v, last_value(v IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, first_value(v IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER f AS t1 FROM g WINDOW b AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), h AS (SELECT date, t, coalesce(v, v0 + (v1 - v0) * (t - t0) / CAST(t1 - t0 AS DOUBLE)) AS v FROM s), i AS (SELECT date, v, t % 7 AS i, CASE WHEN count(*) OVER w = 7 THEN avg(v) OVER w END AS trend FROM h WINDOW w AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), k AS (SELECT i AS k, avg(v - trend) AS raw FROM i GROUP BY 1), c AS (SELECT k, raw - (SELECT avg(raw) FROM k) AS seasonal FROM k) SELECT date, round(trend, 2) AS trend, round(seasonal, 2) AS seasonal, round(v - trend - seasonal, 2) AS residual FROM i JOIN c ON i.i = c.k")
 def seasonal_decompose(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     x = o.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg((F.sum("o_totalprice") / 1000).alias("v")).withColumn("series_id", F.lit("0"))
@@ -270,23 +292,34 @@ def scorecard_sql(parts: list[tuple[str, str, str]], source: str) -> str:
 RAW = B + ", a AS (SELECT count(*) AS rows_, 100.0 * (count(*) - count(load)) / count(*) AS null_pct, count(DISTINCT date) AS dates, CAST(sum(CASE WHEN day_class NOT IN ('full', 'half', 'none') THEN 1 ELSE 0 END) AS BIGINT) AS bad_class, CAST(sum(CASE WHEN load < 0 OR load > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS outside, max(sec) AS last_, count(*) - count(DISTINCT timestamp) AS dup FROM bronze)"
 
 
-@query(RAW + " " + scorecard_sql([("rows", "rows_", "rows_ > 0"), ("null_pct", "null_pct", "null_pct < 2"), ("dates", "dates", "dates = 31"), ("classes", "bad_class", "bad_class = 0"), ("range", "outside", "outside = 0")], "a"))
+OUTLIERS = ", q AS (SELECT quantile_cont(load, 0.25) AS q1, quantile_cont(load, 0.75) AS q3 FROM bronze), o AS (SELECT avg(CASE WHEN load < q1 - 1.5 * (q3 - q1) OR load > q3 + 1.5 * (q3 - q1) THEN 1.0 ELSE 0.0 END) AS rate FROM bronze, q WHERE load IS NOT NULL) "
+
+
+@query(RAW + OUTLIERS + scorecard_sql([("rows", "rows_", "rows_ > 0"), ("null_pct", "null_pct", "null_pct < 2"), ("dates", "dates", "dates = 31"), ("classes", "bad_class", "bad_class = 0"), ("range", "outside", "outside = 0"), ("outlier_rate", "rate", "rate < 0.01")], "a, o"))
 def scorecard_raw(spark, d):
     lo, hi = Settings().physical
     b = bronze(spark, d)
     row = b.agg(F.count("*").alias("rows"), (100.0 * (F.count("*") - F.count("load")) / F.count("*")).alias("null_pct"), F.countDistinct("date").alias("dates"), F.count_if(~F.col("day_class").isin("full", "half", "none")).alias("bad"), F.count_if(~F.col("load").between(lo, hi)).alias("outside"))
+    bounds = F.broadcast(stats.outlier_bounds(b, "load").where("method = 'iqr'"))  # one row
+    rate = b.where("load is not null").crossJoin(bounds).agg(F.avg((~F.col("load").between(F.col("lower"), F.col("upper"))).cast("double")).alias("rate"))
     c = F.col
-    return checks(row, {"rows": (c("rows"), c("rows") > 0), "null_pct": (c("null_pct"), c("null_pct") < 2), "dates": (c("dates"), c("dates") == 31), "classes": (c("bad"), c("bad") == 0), "range": (c("outside"), c("outside") == 0)})
+    return checks(row.crossJoin(rate), {"outlier_rate": (c("rate"), c("rate") < 0.01), "rows": (c("rows"), c("rows") > 0), "null_pct": (c("null_pct"), c("null_pct") < 2), "dates": (c("dates"), c("dates") == 31), "classes": (c("bad"), c("bad") == 0), "range": (c("outside"), c("outside") == 0)})
 
 
-@query(RAW + grid_sql(STEP) + islands("grid", "avg_load < 200") + ", l AS (SELECT coalesce(max(length), 0) AS longest FROM runs WHERE length >= 2) " + scorecard_sql([("null_pct", "null_pct", "null_pct < 2"), ("classes", "bad_class", "bad_class = 0"), ("duplicates", "dup", "dup = 0"), ("longest_run", "longest", "longest <= 12"), ("range", "outside", "outside = 0")], "a, l"))
+RAW_ZERO = RAW.replace(B, ZERO) + ", back AS (SELECT CAST(count(*) AS BIGINT) AS n_back FROM (SELECT timestamp, lag(timestamp) OVER (ORDER BY event_id) AS before FROM bronze) x WHERE timestamp < before)"
+
+
+@query(RAW_ZERO + grid_sql(STEP) + islands("grid", "avg_load = 0") + f", l AS (SELECT coalesce(max(length), 0) * {STEP} AS longest FROM runs WHERE length * {STEP} >= 300) " + scorecard_sql([("rows", "rows_", "rows_ = 86400 * dates"), ("monotonic", "n_back", "n_back = 0"), ("null_pct", "null_pct", "null_pct < 2"), ("classes", "bad_class", "bad_class = 0"), ("duplicates", "dup", "dup = 0"), ("zero_run", "longest", "longest <= 3600"), ("range", "outside", "outside = 0")], "a, l, back"))
 def scorecard_bronze(spark, d):
+    """Seven checks; time must not go back in the order of event_id, found in each day and from day to day's ends."""
     lo, hi = Settings().physical
-    b = bronze(spark, d)
-    row = b.agg((100.0 * (F.count("*") - F.count("load")) / F.count("*")).alias("null_pct"), F.count_if(~F.col("day_class").isin("full", "half", "none")).alias("bad"), (F.count("*") - F.countDistinct("timestamp")).alias("dup"), F.count_if(~F.col("load").between(lo, hi)).alias("outside"))
-    longest = fx.runs(dense(spark, d), F.col(TARGET) < 200).where("length >= 2").agg(F.coalesce(F.max("length"), F.lit(0)).alias("longest"))
+    b = outage(spark, d)
+    row = b.agg(F.count("*").alias("rows"), F.countDistinct("date").alias("dates"), (100.0 * (F.count("*") - F.count("load")) / F.count("*")).alias("null_pct"), F.count_if(~F.col("day_class").isin("full", "half", "none")).alias("bad"), (F.count("*") - F.countDistinct("timestamp")).alias("dup"), F.count_if(~F.col("load").between(lo, hi)).alias("outside"))
+    numbered = stats.neighbour(b.select("series_id", F.col("event_id").alias("slot"), "timestamp"), "timestamp")
+    back = numbered.agg(F.count_if(F.col("timestamp") < F.col("before")).alias("n_back"))
+    longest = zeros(spark, d, STEP).agg(F.coalesce(F.max("seconds"), F.lit(0)).alias("longest"))
     c = F.col
-    return checks(row.crossJoin(longest), {"null_pct": (c("null_pct"), c("null_pct") < 2), "classes": (c("bad"), c("bad") == 0), "duplicates": (c("dup"), c("dup") == 0), "longest_run": (c("longest"), c("longest") <= 12), "range": (c("outside"), c("outside") == 0)})
+    return checks(row.crossJoin(longest).crossJoin(back), {"rows": (c("rows"), c("rows") == 86400 * c("dates")), "monotonic": (c("n_back"), c("n_back") == 0), "null_pct": (c("null_pct"), c("null_pct") < 2), "classes": (c("bad"), c("bad") == 0), "duplicates": (c("dup"), c("dup") == 0), "zero_run": (c("longest"), c("longest") <= 3600), "range": (c("outside"), c("outside") == 0)})
 
 
 @query()

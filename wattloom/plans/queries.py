@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions import calendar
 from ..operators import features as fx
 from ..operators import stats
 from ..sources import bronze as src
+from . import pipeline
 from .settings import LAGS, ROLLING, SLOPES, TARGET, Settings
 
 STEP = 900
@@ -81,7 +83,8 @@ def scan_bronze(spark, d):
 def wide_hours(spark: SparkSession, d: str) -> DataFrame:
     """Hour x date matrix of mean loads; the dates are the series' days, one column each."""
     b = bronze(spark, d).withColumn("hour_of_day", F.hour("timestamp"))
-    return b.groupBy("hour_of_day").pivot("date").agg(F.avg("load"))
+    days = [r["date"] for r in b.select("date").distinct().orderBy("date").collect()]  # a wide table has a column for each
+    return b.groupBy("hour_of_day").pivot("date", [str(x) for x in days]).agg(F.avg("load"))
 
 
 @query(B + " SELECT count(DISTINCT hour) AS n_rows, count(DISTINCT hour) AS n_keys, count(DISTINCT date) AS n_days, count(DISTINCT hour) = 24 AS valid FROM bronze")
@@ -179,9 +182,12 @@ def monotonic_violations(spark, d):
     return b.withColumn("before", F.lag("timestamp").over(W.partitionBy("series_id").orderBy("event_id"))).agg(n(F.count_if(F.col("timestamp") < F.col("before")), "n_back"))
 
 
-@query("SELECT event_id, value FROM events WHERE event_id % 50 = 0")
+@query(G + " SELECT slot, round(avg_load, 6) AS avg_load FROM grid WHERE (slot - (SELECT a FROM bins_ends)) % 50 = 0")
 def systematic_sample(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").where("event_id % 50 = 0").select("event_id", "value")
+    """Every 50th slot of the dense grid, counted from its first."""
+    x = dense(spark, d)
+    first = F.broadcast(x.agg(F.min("slot").alias("first")))  # one row
+    return x.crossJoin(first).where("(slot - first) % 50 = 0").select("slot", r6(TARGET).alias(TARGET))
 
 
 # ---- resampling and features
@@ -302,10 +308,17 @@ def gold_filter(spark, d):
     return rounded(fx.gold(silver(spark, d)).select("slot", TARGET, "lag_1"))
 
 
-@query(QUARTER + " SELECT count(*) AS n_rows, count(*) - count(avg_load) AS n_dropped, round(100.0 * (count(*) - count(avg_load)) / count(*), 6) AS pct FROM silver")
+REQUIRED = Settings().required()
+
+
+@query(QUARTER + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_null, count(*) AS n_rows, count(*) - count(avg_load) AS n_dropped, round(100.0 * (count(*) - count(avg_load)) / count(*), 6) AS pct FROM silver" for c in REQUIRED))
 def gold_drop_report(spark, d):
-    x = silver(spark, d).agg(F.count("*").alias("n_rows"), (F.count("*") - F.count(TARGET)).alias("n_dropped"))
-    return x.withColumn("pct", F.round(100.0 * F.col("n_dropped") / F.col("n_rows"), 6))
+    """For each required column its nulls, beside the rows that gold drops in all."""
+    kept = F.lit(True)
+    for c in REQUIRED:
+        kept = kept & F.col(c).isNotNull()
+    x = silver(spark, d).agg(F.count("*").alias("n_rows"), F.count_if(~kept).alias("n_dropped"), *[F.count_if(F.col(c).isNull()).alias(c) for c in REQUIRED])
+    return x.unpivot(["n_rows", "n_dropped"], REQUIRED, "column", "n_null").withColumn("pct", F.round(100.0 * F.col("n_dropped") / F.col("n_rows"), 6))
 
 
 CASCADE = [f"lag_{k}" for k in LAGS] + [f"rolling_mean_{k}" for k in (5, 15, 60)] + ["slope_5", "delta_5"]
@@ -317,12 +330,17 @@ def nan_cascade(spark, d):
     return src.null_counts(silver(spark, d), CASCADE, rate=False).withColumn("reason", reason).where("n_null > 0")
 
 
-@query(QUARTER + " SELECT count(*) AS n_checked, CAST(sum(CASE WHEN abs(lag_1 - before) > 0.001 OR (lag_1 IS NULL) <> (before IS NULL) THEN 1 ELSE 0 END) AS BIGINT) AS n_wrong FROM (SELECT lag_1, lag(avg_load) OVER (ORDER BY slot) AS before FROM silver) x")
+@query(QUARTER + " SELECT count(*) AS n_checked, CAST(sum(CASE WHEN lag_1 IS DISTINCT FROM before THEN 1 ELSE 0 END) AS BIGINT) AS lag_wrong, CAST(sum(CASE WHEN abs(delta_5 - (fifth - before)) > 0.001 OR (delta_5 IS NULL) <> (fifth - before IS NULL) THEN 1 ELSE 0 END) AS BIGINT) AS delta_wrong, CAST(sum(CASE WHEN abs(rolling_mean_5 - m) > 0.001 OR (rolling_mean_5 IS NULL) <> (k < 5) THEN 1 ELSE 0 END) AS BIGINT) AS rolling_wrong FROM (SELECT lag_1, delta_5, rolling_mean_5, lag(avg_load) OVER o AS before, lag(avg_load, 5) OVER o AS fifth, avg(avg_load) OVER (o ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m, count(avg_load) OVER (o ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS k FROM silver WINDOW o AS (ORDER BY slot)) x")
 def feature_validation(spark, d):
-    s = silver(spark, d)
-    before = s.select("series_id", (F.col("slot") + 1).alias("slot"), F.col(TARGET).alias("before"))
-    wrong = ~F.col("lag_1").eqNullSafe(F.col("before"))
-    return s.select("series_id", "slot", "lag_1").join(before, ["series_id", "slot"], "left").agg(F.count("*").alias("n_checked"), n(F.count_if(wrong), "n_wrong"))
+    """lag_1, delta_5 and rolling_mean_5 against the slots they name, by a join: how many are wrong."""
+    s = silver(spark, d).select("series_id", "slot", TARGET, "lag_1", "delta_5", "rolling_mean_5")
+    past = s.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"), "slot", F.col(TARGET).alias("v")).withColumn("slot", F.col("slot") + F.col("k"))
+    five = F.when(F.col("k") < 5, F.col("v"))
+    g = past.groupBy("series_id", "slot").agg(F.max(F.when(F.col("k") == 1, F.col("v"))).alias("before"), F.max(F.when(F.col("k") == 5, F.col("v"))).alias("fifth"), F.avg(five).alias("m"), F.count(five).alias("n"))
+    off = lambda a, b: (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > 0.001, F.lit(False))
+    c = F.col
+    x = s.join(g, ["series_id", "slot"])
+    return x.agg(F.count("*").alias("n_checked"), n(F.count_if(off(c("lag_1"), c("before"))), "lag_wrong"), n(F.count_if(off(c("delta_5"), c("fifth") - c("before"))), "delta_wrong"), n(F.count_if(off(c("rolling_mean_5"), F.when(c("n") == 5, c("m")))), "rolling_wrong"))
 
 
 # ---- days, splits, model datasets
@@ -342,9 +360,29 @@ def chrono_split(spark, d):
     return fx.split(fx.gold(silver(spark, d))).groupBy("split").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
 
 
-@query(SPLITS + " SELECT split, timestamp, day_class, avg_load, lag_1, lag_5, lag_15 FROM parts")
-def model_dataset(spark, d):
-    return rounded(fx.model_dataset(fx.gold(silver(spark, d)), "minimal"))
+def set_query(name: str, columns: tuple[str, ...]) -> None:
+    """A feature set's dataset, with SQL that lists its columns."""
+
+    def run(spark, d):
+        return rounded(fx.model_dataset(fx.gold(silver(spark, d)), name))
+
+    run.__name__ = "model_dataset" if name == "minimal" else f"model_dataset_{name}"
+    query(SPLITS + f" SELECT split, timestamp, day_class, avg_load, {', '.join(columns)} FROM parts")(run)
+
+
+set_query("minimal", ("workday", "hour", "lag_1"))
+set_query("temporal", ("workday", "year", "quarter", "month", "day", "day_of_week", "hour", "season", "time_of_day", "lag_1"))
+set_query("curated", ("workday", "hour", "season", "time_of_day", "lag_1", "lag_5", "lag_60", "lag_1440", "rolling_mean_15", "rolling_std_60", "slope_15"))
+
+
+@query(SPLITS + " SELECT 'silver' AS layer, count(*) AS n_rows FROM silver UNION ALL SELECT 'gold', count(*) FROM parts UNION ALL SELECT 'model/' || split, count(*) FROM parts GROUP BY split")
+def whole_run(spark, d):
+    """Bronze to model datasets by the whole run, written layer by layer; the rows of each."""
+    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/run-{uuid.uuid4().hex}"
+    made = pipeline.build_all(bronze(spark, d).select("series_id", "timestamp", "day_class", "load"), root, "custom", ["15min"], ["minimal"])
+    rows = [made[k].agg(F.lit(k.split("/")[0]).alias("layer"), F.count("*").alias("n_rows")) for k in ("silver/15min", "gold/15min")]
+    model = made["model/15min/minimal"].groupBy(F.concat(F.lit("model/"), "split").alias("layer")).agg(F.count("*").alias("n_rows"))
+    return src.union_all([*rows, model])
 
 
 @query(SPLITS + " SELECT split, count(*) AS n_rows, round(avg(avg_load), 3) AS mean, round(stddev_samp(avg_load), 3) AS std, round(min(avg_load), 3) AS low, round(max(avg_load), 3) AS high, count(*) - count(lag_15) AS null_lag_15 FROM parts GROUP BY split")
@@ -371,13 +409,14 @@ def forecast_metrics(spark, d):
 
 @query()
 def linear_metrics(spark, d):
-    return stats.linear_forecast(fx.model_dataset(fx.gold(silver(spark, d)), "minimal"), TARGET, ["lag_1", "lag_5", "lag_15"])
+    return stats.linear_forecast(fx.model_dataset(fx.gold(silver(spark, d)), "minimal"), TARGET, list(Settings().sets()["minimal"]))
 
 
 @query()
 def hypothesis_table(spark, d):
     g = fx.gold(silver(spark, d))
-    arms = {"persistence": None, "minimal": ("lag_1", "lag_5", "lag_15"), "with_workday": ("lag_1", "lag_5", "lag_15", "workday", "hour")}
+    sets = Settings().sets()
+    arms = {"persistence": None, "minimal": sets["minimal"], "temporal": sets["temporal"], "curated": sets["curated"]}
     s = Settings(feature_sets={k: v or ("lag_1",) for k, v in arms.items()})
     frames = []
     for arm, columns in arms.items():

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 # Fixed values of the data model: resolutions in seconds, aliases, windows in periods, class codes.
 RESOLUTIONS = {"1s": 1, "5s": 5, "10s": 10, "30s": 30, "1min": 60, "5min": 300, "10min": 600, "15min": 900}
 ALIASES = {"60s": "1min", "1m": "1min", "5m": "5min", "10m": "10min", "15m": "15min"}
+SUFFIXES = {"1s": "1s", "5s": "5s", "10s": "10s", "30s": "30s", "1min": "1m", "5min": "5m", "10min": "10m", "15min": "15m"}
 DEFAULTS = ("1min", "5min", "10min", "15min")
 LAGS = (1, 5, 15, 60, 1440)
 ROLLING = (5, 15, 60, 240, 1440)
@@ -42,9 +43,10 @@ class Settings:
         if self.feature_sets is not None:
             return self.feature_sets
         return {
-            "minimal": ("lag_1", "lag_5", "lag_15"),
-            "temporal": ("workday", "day_of_week", "hour", "season", "time_of_day", "lag_1", "lag_5", "lag_15", "lag_60", "lag_1440"),
-            "curated": ("workday", "hour", "day_of_week", "time_of_day", "lag_1", "lag_60", "lag_1440", "rolling_mean_15", "rolling_std_60", "delta_5", "slope_15"),
+            # fixed values
+            "minimal": ("workday", "hour", "lag_1"),
+            "temporal": ("workday", "year", "quarter", "month", "day", "day_of_week", "hour", "season", "time_of_day", "lag_1"),
+            "curated": ("workday", "hour", "season", "time_of_day", "lag_1", "lag_5", "lag_60", "lag_1440", "rolling_mean_15", "rolling_std_60", "slope_15"),
             "full": tuple(c for c in self.columns() if c not in ("timestamp", "day_class", TARGET)),
         }
 
@@ -83,6 +85,11 @@ def canonical_resolution(name: str) -> str:
     return name
 
 
+def layer_path(root: str, layer: str, resolution: str, *more: str) -> str:
+    """Folder of a layer's table at a resolution, named by its suffix; feature set and split may follow."""
+    return "/".join([root.rstrip("/"), layer, SUFFIXES[canonical_resolution(resolution)], *more])
+
+
 def resolutions(mode: str = "default", custom: list[str] | None = None) -> list[str]:
     """Ordered, without repeats."""
     chosen = {"all": list(RESOLUTIONS), "default": list(DEFAULTS), "custom": custom or []}[mode]

@@ -11,11 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names; a folder of this machine only where Spark runs on this machine alone."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if own is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return own or FALLBACK_DIR
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Runs ``df`` once and keeps its rows in the shared checkpoint folder, so that a lost executor costs no rerun of what lies before."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", FALLBACK_DIR))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

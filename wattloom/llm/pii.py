@@ -5,7 +5,8 @@ The same entity always becomes the same surrogate (coreference), different entit
 
 Numbers, addresses and secrets go through a keyed permutation of all values of their format (a Feistel
 network over the places of digits and letters, walked until it lands within the format), which can't
-collide. Names keep their title, script and gendered ending and are built from syllables by a keyed hash;
+collide. Numbers agree in all their forms, with and without separators; country codes, check digits and the prefixes of
+tokens stay valid. Names keep their title, script and gendered ending and are built from syllables by a keyed hash;
 those can collide. Names are found after one of the listed titles, and their words then everywhere in the same
 document, in the same case; names that no listed title introduces are not found. E-mail addresses may have letters
 of any script. All surrogates are checked in Spark: of the entities that share one, all but the first
@@ -63,6 +64,9 @@ _DIGIT, _FEMALE, _CYRILLIC = re.compile(r"\d"), re.compile(rf"(?:{_TITLES_F})$")
 _WORD, _PIECE, _TAIL = re.compile(r"\w+(?:['-]\w+)*"), re.compile(r"\w+"), re.compile(r"(?:'s|['-])+$")
 _TITLE, _KEYISH = re.compile(rf"\b(?:{_TITLES_M}|{_TITLES_F})\b"), re.compile(r"(?i)token|secret|passw|key|AKIA|gh[pousr]_|sk-|[0-9a-f]{40}")
 _DIGITS, _LOW, _UP, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+#: Country codes of two digits.
+_TWO = {"20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
+_PREFIX = re.compile(r"AKIA|gh[pousr]_|sk-")
 _CONSONANTS, _VOWELS = "bdfglmnprstvz", "aeiou"
 _CONSONANTS_C, _VOWELS_C = "бвгдзклмнпрст", "аеиоу"
 
@@ -123,8 +127,41 @@ def _luhn(digits: str) -> int:
 
 
 def canonical(kind: str, value: str) -> str:
-    """The form in which mentions of one entity agree."""
-    return value.lower() if kind == "email" else value
+    """The form in which mentions of one entity agree: addresses in lower case, numbers without their separators."""
+    if kind == "email":
+        return value.lower()
+    if kind == "iban":
+        return value.replace(" ", "")
+    if kind in ("phone", "card", "ssn"):
+        return "+" * value.startswith("+") + "".join(c for c in value if c.isdigit())
+    return value
+
+
+def formed(kind: str, mention: str, new: str) -> str:
+    """A surrogate of the canonical value in the form of a mention, with its separators or case."""
+    if kind == "email":
+        return new.upper() if mention.isupper() else new
+    if kind in ("phone", "card", "ssn", "iban"):
+        own = iter(c for c in new if c.isalnum())
+        return "".join(next(own) if c.isalnum() else c for c in mention)
+    return new
+
+
+def _country(value: str) -> int:
+    """Characters of the plus sign and the country code of a number that starts with them."""
+    return 2 if value[1:2] in ("1", "7") else 3 if value[1:3] in _TWO else 4
+
+
+def _check(value: str) -> str:
+    """The check digits of an IBAN by its other characters."""
+    rest = int("".join(str(int(c, 36)) for c in value[4:] + value[:2] + "00"))
+    return f"{98 - rest % 97:02d}"
+
+
+def _valid_iban(key: bytes, value: str) -> str:
+    """Country and length stay, the account is permuted, the check digits follow."""
+    new = value[:2] + "00" + _alike(key, f"iban {value[:2]}", value[4:], _letters(value[4:]))
+    return new[:2] + _check(new) + new[4:]
 
 
 @lru_cache(50_000)
@@ -156,12 +193,16 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0, syllables: in
             stay = len(value) - value.rindex(".")  # the top-level domain
             value = _alike(key, kind, value, [*_letters(value[:-stay]), *[None] * stay])
         elif kind == "phone" and value.startswith("+"):
-            code = re.match(r"\+\d{1,3}(?=[ .-])|\+\d", value).end()
+            code = _country(value)
             value = _alike(key, kind, value, [*[None] * code, *_letters(value[code:])])
         elif kind == "iban":
-            value = _alike(key, kind, value, [None, None, *_letters(value[2:])])
+            if value[2:4] == _check(value):  # a valid one stays valid
+                value = _valid_iban(key, value)
+            else:
+                value = _alike(key, kind, value, [None, None, *_letters(value[2:])])
         elif kind == "secret":
-            kinds = [_HEX] * len(value) if re.fullmatch("[0-9a-f]+", value) else _letters(value)
+            stay = m.end() if (m := _PREFIX.match(value)) else 0  # what tells the kind of a token
+            kinds = [_HEX] * len(value) if re.fullmatch("[0-9a-f]+", value) else [*[None] * stay, *_letters(value[stay:])]
             value = _alike(key, kind, value, kinds)
         else:
             value = _alike(key, kind, value, _letters(value))
@@ -216,7 +257,7 @@ def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int], syllab
         value = text[s:e]
         name = canonical(kind, value)
         new = surrogate(key, kind, name, attempts.get((kind, name), 0), syllables)
-        out += [text[at:s], new.upper() if kind == "email" and value.isupper() else new]
+        out += [text[at:s], formed(kind, value, new)]
         at = e
     return "".join([*out, text[at:]]), len(found)
 

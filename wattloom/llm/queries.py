@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 from . import ann, bpe, jaccard, licenses, minhash, mixing, oracles, pii, quality, token_counts, toxicity
 from .shingles import SIZE
 
-#: Key for surrogates when the session has none under wattloom.pii.key.
-DEFAULT_KEY = "wattloom"
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -21,7 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get("wattloom.pii.key", DEFAULT_KEY)
+    """The session's wattloom.pii.key; where there is none, a random one is drawn and kept for the session, so that nobody can guess it."""
+    key = spark.conf.get("wattloom.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("wattloom.pii.key", key)
+    return key
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             x = linear.presence(vocabulary, [np.asarray(w.values, np.int64).view(np.uint64) for w in b.column("words")])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(x), pa.list_(pa.float64())), b.column("ys")], ["doc_id", "x", "ys"])
 
-    table = rows.mapInArrow(counted, "doc_id long, x array<double>, ys array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(2 * sample).toPandas()
+    table = rows.mapInArrow(counted, "doc_id long, x array<double>, ys array<double>")
+    # of rows that repeat an id one stays, so that at most ``sample`` rows reach the driver
+    table = table.groupBy("doc_id").agg(F.min_by(F.struct("x", "ys"), F.xxhash64("x", "ys")).alias("r")).select("doc_id", "r.*").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     if not len(table):
         return Chain(np.empty(0, np.uint64), [np.array([*np.zeros(i), -35.0]) for i in range(len(CATEGORIES))])
     return fit_chain(vocabulary, np.array(table["x"].tolist(), float).reshape(len(table), -1), np.array(table["ys"].tolist(), float))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm import bpe, jaccard, mixing, pii, toxicity
-from wattloom.llm._tasks import FALLBACK_DIR, settled
+from wattloom.llm._tasks import settled, shared_dir
 from wattloom.llm.queries import VOCABULARY, pii_key
 
 
@@ -76,7 +76,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{spark.conf.get('spark.checkpoint.dir', FALLBACK_DIR)}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from ._tasks import id_and_text
 
 #: Words whose ids a worker keeps; beyond them it starts anew. Longer words aren't kept.
-MEMORY, LONGEST = 600_000, 64
+MEMORY, LONGEST = 150_000, 64
 #: Characters of text whose results go back to Spark together.
 WINDOW = 1 << 21
 _WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -119,14 +119,16 @@ def _little(ids: array) -> bytes:
     return ids.tobytes()
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: (doc_id, n_tokens, ids_sha256, decoded_sha256), and with ``with_ids`` also ids array<int> and decoded string.
+def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool | None = None) -> DataFrame:
+    """One row for each row of ``docs``: (doc_id, n_tokens, ids_sha256, decoded_sha256), and with ``with_ids`` also ids array<int>, with ``with_text`` (as ``with_ids`` where not given) decoded string.
 
     ids are those of the tokenizers library without added special tokens; special strings inside a text
     become their own ids. A null text counts as empty: 0 tokens, digests of nothing. Null ids and repeated
     rows are returned as they come; other columns are dropped; an empty table gives no rows.
     """
 
+    with_text = with_ids if with_text is None else with_text
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary_path)
         for b in batches:
@@ -134,7 +136,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             for at, x in enumerate(b.column("text")):
                 ids = bpe.encode(x.as_py() or "")
                 text = bpe.decode(ids)
-                rows.append((len(ids), hashlib.sha256(_little(ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *([np.frombuffer(ids, np.int32), text] if with_ids else [])))
+                rows.append((len(ids), hashlib.sha256(_little(ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), np.frombuffer(ids, np.int32) if with_ids else None, text if with_text else None))
                 size += len(text)
                 if size >= WINDOW or at + 1 == len(b):
                     yield batch(b.column("doc_id").slice(start, at + 1 - start), rows)
@@ -144,9 +146,11 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
         if with_ids:
             ends = pa.array(np.cumsum([0, *(r[0] for r in rows)]), pa.int32())
-            columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[3] for r in rows]), pa.int32())), pa.array([r[4] for r in rows], pa.string())]
+            columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[3] for r in rows]), pa.int32()))]
+        if with_text:
+            columns.append(pa.array([r[4] for r in rows], pa.string()))
         return pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), *columns], names)
 
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)

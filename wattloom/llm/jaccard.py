@@ -172,6 +172,8 @@ def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> Dat
         to = ((mix(uniq[own] & ~np.uint64(1), 40) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
         wide = mix(low.astype(np.uint64) | np.uint64(TaskContext.get().partitionId() << 32), 41) >> np.uint64(1)  # 32 bits name it only within this partition
         yield _blobs(list(_pack(uniq, heads["slack"][pick], heads["n"][pick], heads["size"][pick], own, [wide.astype("<u8"), count.astype("<u4")], to)))
+        del heads, at, sig, uniq, back, pick, code, low, own, count, wide, to
+        pa.default_memory_pool().release_unused()  # the worker goes on with other stages
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, at, (sig, count) = _unpack(batches, ["<u8", "<u4"])

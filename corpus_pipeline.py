@@ -66,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each copy, with digests of the ids and of the decoded text; a null text gives no tokens, null ids and repeated rows come as they are."""
-    return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY), with_ids=True).drop("decoded")
+    return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY), with_ids=True, with_text=False)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", one_of_each_group), ("pii", hide_personal_data), ("mixing", mix), ("bpe", encode)]

@@ -45,7 +45,7 @@ def test_mix_of_repeated_rows_and_null_ids(spark):
     assert mixed.columns == docs.columns
     got, given = Counter(map(tuple, mixed.collect())), Counter(rows)
     assert got.keys() <= given.keys() and all(n <= 3 * given[r] for r, n in got.items())
-    words = lambda source: sum(n * len(r[1].split()) for r, n in got.items() if r[3] == source)
+    words = lambda source: sum(n * len((r[1] or "").split()) for r, n in got.items() if r[3] == source)
     sizes = {s: sum(len((r[1] or "").split()) for r in rows if r[3] == s) for s in ("a", "b", None)}
     goal = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
     for s in sizes:

@@ -109,6 +109,23 @@ def test_outlier_bounds_and_bins(spark):
     assert stats.optimal_bins(d.where("v > 1000"), "v").first()[0] == 10
 
 
+@pytest.mark.parametrize("bins", [1, 3, 4096])
+def test_quantiles_are_exact_however_many_bins(spark, bins):
+    draw = random.Random(7)
+    rows = [(g, draw.choice([None, 0.0, 1.5, draw.uniform(-5, 5), draw.expovariate(0.01)])) for g in ("a", "b", None) for _ in range(300)]
+    rows += [("one", 3.25), ("same", 2.0), ("same", 2.0), ("none", None), ("wide", float("inf")), ("wide", 1.0), ("wide", -7.0)]
+    d, ps = spark.createDataFrame(rows, "g string, v double"), [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    exact = F.percentile(F.col("v"), F.array(*map(F.lit, ps)))
+    want = {r["g"]: r["q"] or [None] * len(ps) for r in d.groupBy("g").agg(exact.alias("q")).collect()}
+    got = {r["g"]: r["q"] for r in stats.quantiles(d, "v", ps, ["g"], bins).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[g] == pytest.approx(want[g], nan_ok=True) for g in want if g != "none") and got["none"] == [None] * len(ps)
+    finite = d.where("g <> 'wide'")
+    assert stats.quantiles(finite, "v", ps, bins=bins).first()["q"] == pytest.approx(finite.agg(exact).first()[0])
+    assert stats.quantiles(d.where("false"), "v", ps, bins=bins).first()["q"] == [None] * len(ps)
+    assert stats.quantiles(d.where("false"), "v", ps, ["g"], bins).isEmpty()
+
+
 def test_clean_melt_and_labels(spark):
     w = spark.createDataFrame([(0, 1.0, float("inf")), (1, float("nan"), 4.0)], "second_of_day int, `2025-01-01` double, `2025-01-02` double")
     lab = spark.createDataFrame([("2025-01-01", " FULL "), ("2025-01-02", "none")], "date string, day_class string")

@@ -198,10 +198,50 @@ def welch(series: DataFrame, of: str, size: int = 2048) -> DataFrame:
     return out.select("series_id", "bin", (F.col("bin") / F.lit(float(size))).alias("frequency"), F.when(F.col("bin") > 0, float(size) / F.col("bin")).alias("period"), "power")
 
 
+#: Bins in which ``quantiles`` looks for the ranks it needs.
+BINS = 4096
+
+
+def beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Each row of ``left`` with its group's row of ``right``, null groups too; without groups ``right`` is a few rows, for all."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    right = right.withColumnsRenamed({c: f"{c}_of" for c in by})
+    return left.join(right, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by]), how).drop(*[f"{c}_of" for c in by])
+
+
+def quantiles(df: DataFrame, of: str, ps: list[float], by: list[str] | None = None, bins: int = BINS) -> DataFrame:
+    """(by, q): exact percentiles ``ps`` of each group, interpolated as ``percentile`` does; an array of nulls for a group without values.
+
+    ``percentile`` holds all distinct values of a group in one task. Here values are counted in equal bins between a group's
+    extremes, and only the bins that hold a wanted rank are looked at closer, value by value in a sort that can spill.
+    ``df`` is read three times and must give the same values each time. With an infinite extreme there is one bin.
+    """
+    by = by or []
+    x = df.select(*by, F.col(of).cast("double").alias("v"))
+    ends = x.groupBy(*by).agg(F.count("v").alias("all"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    binned = beside(x.where("v is not null"), ends, by).select(*by, "v", "all", at.alias("bin"))
+    counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.first("all").alias("all"))
+    counts = counts.withColumn("before", F.sum("n").over(W.partitionBy(*by).orderBy("bin")) - F.col("n"))  # at most ``bins`` rows of a group
+    place = [F.lit(float(p)) * (F.col("all") - 1) for p in ps]
+    ranks = F.array_distinct(F.array(*[f(k) for k in place for f in (F.floor, F.ceil)]))
+    held = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+    wanted = counts.select(*by, "bin", "before", held.alias("ranks")).where(F.size("ranks") > 0)
+    near = beside(binned.drop("all"), wanted, [*by, "bin"]) if by else binned.drop("all").join(F.broadcast(wanted), "bin")  # at most 2 * len(ps) rows
+    near = near.groupBy(*by, "bin", "v").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("ranks").alias("ranks"))
+    upto = F.col("before") + F.sum("n").over(W.partitionBy(*by, "bin").orderBy("v"))
+    hit = near.withColumn("upto", upto).select(*by, "v", F.explode(F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).alias("rank"))
+    found = hit.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("found"))  # 2 * len(ps) entries
+    value = lambda r: F.try_element_at(F.col("found"), r)
+    q = [F.when(F.floor(k) == F.ceil(k), value(F.floor(k))).otherwise((F.ceil(k) - k) * value(F.floor(k)) + (k - F.floor(k)) * value(F.ceil(k))) for k in place]
+    return beside(ends, found, by, "left").select(*by, F.array(*q).alias("q"))
+
+
 def qq_normal(df: DataFrame, of: str, points: int = 99) -> DataFrame:
     """(p, observed, normal, slope, intercept, r2): percentiles against those of the normal distribution, with the fitted line."""
     ps = [i / (points + 1) for i in range(1, points + 1)]
-    grid = df.agg(F.percentile(F.col(of), F.array(*map(F.lit, ps))).alias("q")).select(F.posexplode("q").alias("i", "observed"))
+    grid = quantiles(df, of, ps).select(F.posexplode("q").alias("i", "observed"))
     z = F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in ps])
     x = grid.select(F.element_at(F.array(*map(F.lit, ps)), F.col("i") + 1).alias("p"), "observed", F.element_at(z, F.col("i") + 1).alias("normal"))
     fit = x.agg(F.regr_slope("observed", "normal").alias("slope"), F.regr_intercept("observed", "normal").alias("intercept"), F.regr_r2("observed", "normal").alias("r2"))
@@ -210,20 +250,22 @@ def qq_normal(df: DataFrame, of: str, points: int = 99) -> DataFrame:
 
 def optimal_bins(df: DataFrame, of: str, by: list[str] | None = None, least: int = 10, most: int = 300) -> DataFrame:
     """Bins by three rules, within [``least``, ``most``]: fd, sturges, sqrt; ``least`` for an empty or constant column."""
-    x = df.groupBy(*(by or [])).agg(F.count(of).alias("n"), F.min(of).alias("lo"), F.max(of).alias("hi"), F.percentile(F.col(of), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    by = by or []
+    x = beside(df.groupBy(*by).agg(F.count(of).alias("n"), F.min(of).alias("lo"), F.max(of).alias("hi")), quantiles(df, of, [0.25, 0.75], by), by)
     iqr, root = F.col("q")[1] - F.col("q")[0], F.ceil(F.sqrt("n"))
     rules = {"fd": F.when(iqr > 0, F.ceil((F.col("hi") - F.col("lo")) / (2 * iqr * F.pow("n", F.lit(-1 / 3))))).otherwise(root), "sturges": F.ceil(F.log2("n")) + 1, "sqrt": root}
     ok = (F.col("n") > 0) & (F.col("hi") > F.col("lo"))
-    return x.select(*(by or []), *[F.when(ok, F.greatest(F.lit(least), F.least(F.lit(most), c))).otherwise(least).cast("long").alias(k) for k, c in rules.items()])
+    return x.select(*by, *[F.when(ok, F.greatest(F.lit(least), F.least(F.lit(most), c))).otherwise(least).cast("long").alias(k) for k, c in rules.items()])
 
 
 def outlier_bounds(df: DataFrame, of: str, by: list[str] | None = None) -> DataFrame:
     """(method, lower, upper) by iqr, zscore (3 population deviations) and mad (3 unscaled median deviations); null bounds where there are no values."""
     by = by or []
-    a = df.groupBy(*by).agg(F.percentile(F.col(of), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(of).alias("m"), F.stddev_pop(of).alias("s"))
-    near = df.select(*by, of).join(a.select(*by, F.col("q")[1].alias("med")), by) if by else df.select(of).crossJoin(F.broadcast(a.select(F.col("q")[1].alias("med"))))
-    d = near.groupBy(*by).agg(F.percentile(F.abs(F.col(of) - F.col("med")), F.lit(0.5)).alias("mad"))
-    x = a.join(d, by) if by else a.crossJoin(F.broadcast(d))
+    q = quantiles(df, of, [0.25, 0.5, 0.75], by)
+    a = beside(df.groupBy(*by).agg(F.avg(of).alias("m"), F.stddev_pop(of).alias("s")), q, by)
+    near = beside(df.select(*by, of), q.select(*by, F.col("q")[1].alias("med")), by)
+    d = quantiles(near.select(*by, F.abs(F.col(of) - F.col("med")).alias("off")), "off", [0.5], by).select(*by, F.col("q")[0].alias("mad"))
+    x = beside(a, d, by)
     q, iqr = F.col("q"), F.col("q")[2] - F.col("q")[0]
     pairs = {"iqr": (q[0] - 1.5 * iqr, q[2] + 1.5 * iqr), "zscore": (F.col("m") - 3 * F.col("s"), F.col("m") + 3 * F.col("s")), "mad": (q[1] - 3 * F.col("mad"), q[1] + 3 * F.col("mad"))}
     return x.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("method"), lo.alias("lower"), hi.alias("upper")) for k, (lo, hi) in pairs.items()])).alias("b")).select(*by, "b.*")

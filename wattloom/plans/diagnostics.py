@@ -36,13 +36,15 @@ DESCRIBE = "count(load) AS n, round(avg(load), 6) AS mean, round(stddev_samp(loa
 
 @query(B + f" SELECT 'all' AS day_class, {DESCRIBE} FROM bronze UNION ALL SELECT day_class, {DESCRIBE} FROM bronze GROUP BY day_class")
 def describe_by_class(spark, d):
-    g = bronze(spark, d).rollup("day_class").agg(F.count("load").alias("n"), r6(F.avg("load")).alias("mean"), r6(F.stddev_samp("load")).alias("std"), F.min("load").alias("low"), F.max("load").alias("high"), F.percentile(F.col("load"), F.array(*map(F.lit, PCTS))).alias("q"))
+    g = bronze(spark, d).rollup("day_class").agg(F.count("load").alias("n"), r6(F.avg("load")).alias("mean"), r6(F.stddev_samp("load")).alias("std"), F.min("load").alias("low"), F.max("load").alias("high"))
+    b = bronze(spark, d).select("load", F.explode(F.array("day_class", F.lit(None))).alias("day_class"))  # each value for its class and for all
+    g = stats.beside(g, stats.quantiles(b, "load", list(PCTS), ["day_class"]), ["day_class"])
     return g.select(F.coalesce("day_class", F.lit("all")).alias("day_class"), "n", "mean", "std", "low", "high", *[r6(F.col("q")[i]).alias(f"p{int(p * 100)}") for i, p in enumerate(PCTS)])
 
 
 @query(B + " SELECT " + ", ".join(f"round(quantile_cont(load, {p}), 6) AS p{int(p * 100)}" for p in PCTS) + " FROM bronze")
 def load_quantiles(spark, d):
-    q = bronze(spark, d).agg(F.percentile(F.col("load"), F.array(*map(F.lit, PCTS))).alias("q"))
+    q = stats.quantiles(bronze(spark, d), "load", list(PCTS))
     return q.select(*[r6(F.col("q")[i]).alias(f"p{int(p * 100)}") for i, p in enumerate(PCTS)])
 
 

@@ -126,6 +126,11 @@ def test_quantiles_are_exact_however_many_bins(spark, bins):
     assert stats.quantiles(d.where("false"), "v", ps, ["g"], bins).isEmpty()
 
 
+def test_category_codes(spark):
+    d = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b"), (5, "Z")], "id int, kind string").withColumn("code", F.lit(9))
+    assert {r["id"]: r["code"] for r in stats.category_codes(d.withColumnRenamed("kind", "k"), "k").collect()} == {1: 2, 2: -1, 3: 1, 4: 2, 5: 0}
+
+
 def test_clean_melt_and_labels(spark):
     w = spark.createDataFrame([(0, 1.0, float("inf")), (1, float("nan"), 4.0)], "second_of_day int, `2025-01-01` double, `2025-01-02` double")
     lab = spark.createDataFrame([("2025-01-01", " FULL "), ("2025-01-02", "none")], "date string, day_class string")

@@ -224,8 +224,8 @@ def quantiles(df: DataFrame, of: str, ps: list[float], by: list[str] | None = No
     binned = beside(x.where("v is not null"), ends, by).select(*by, "v", "all", at.alias("bin"))
     counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.first("all").alias("all"))
     counts = counts.withColumn("before", F.sum("n").over(W.partitionBy(*by).orderBy("bin")) - F.col("n"))  # at most ``bins`` rows of a group
-    place = [F.lit(float(p)) * (F.col("all") - 1) for p in ps]
-    ranks = F.array_distinct(F.array(*[f(k) for k in place for f in (F.floor, F.ceil)]))
+    places = F.transform(F.array(*[F.lit(float(p)) for p in ps]), lambda p: p * (F.col("all") - 1))
+    ranks = F.array_distinct(F.flatten(F.transform(places, lambda k: F.array(F.floor(k), F.ceil(k)))))
     held = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
     wanted = counts.select(*by, "bin", "before", held.alias("ranks")).where(F.size("ranks") > 0)
     near = beside(binned.drop("all"), wanted, [*by, "bin"]) if by else binned.drop("all").join(F.broadcast(wanted), "bin")  # at most 2 * len(ps) rows
@@ -234,8 +234,8 @@ def quantiles(df: DataFrame, of: str, ps: list[float], by: list[str] | None = No
     hit = near.withColumn("upto", upto).select(*by, "v", F.explode(F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).alias("rank"))
     found = hit.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("found"))  # 2 * len(ps) entries
     value = lambda r: F.try_element_at(F.col("found"), r)
-    q = [F.when(F.floor(k) == F.ceil(k), value(F.floor(k))).otherwise((F.ceil(k) - k) * value(F.floor(k)) + (k - F.floor(k)) * value(F.ceil(k))) for k in place]
-    return beside(ends, found, by, "left").select(*by, F.array(*q).alias("q"))
+    between = lambda k: F.when(value(F.floor(k)) == value(F.ceil(k)), value(F.floor(k))).otherwise((F.ceil(k) - k) * value(F.floor(k)) + (k - F.floor(k)) * value(F.ceil(k)))
+    return beside(ends, found, by, "left").select(*by, F.transform(places, between).alias("q"))
 
 
 def qq_normal(df: DataFrame, of: str, points: int = 99) -> DataFrame:
@@ -282,8 +282,10 @@ def histogram(df: DataFrame, of: str, bins: int) -> DataFrame:
 def mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
     """(feature, mi) in nats by equal-frequency bins; nulls take the median."""
     cuts = [i / bins for i in range(1, bins)]
-    q = df.agg(*[F.percentile(F.col(c), F.array(*map(F.lit, cuts))).alias(c) for c in [*features, target]])
-    q = F.broadcast(q.select(*[F.col(c).alias(f"q_{c}") for c in [*features, target]]))  # one row
+    columns = list(dict.fromkeys([*features, target]))
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    q = quantiles(values, "v", cuts, ["column"]).groupBy().pivot("column", columns).agg(F.first("q"))
+    q = F.broadcast(q.select(*[F.col(c).alias(f"q_{c}") for c in columns]))  # one row
     x = df.crossJoin(q)
     place = lambda c: F.size(F.filter(F.col(f"q_{c}"), lambda v: v < F.coalesce(F.col(c), F.col(f"q_{c}")[bins // 2 - 1])))
     long = x.select(place(target).alias("t"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), place(c).alias("b")) for c in features])).alias("f")).select("f.*", "t")
@@ -322,8 +324,16 @@ def decompose(daily: DataFrame, of: str, period: int = 7, chunk: int = CHUNK) ->
 
 def box(df: DataFrame, of: str, by: list[str]) -> DataFrame:
     """Quartiles of groups, and whiskers: the extreme values within 1.5 times the interquartile range."""
-    q = df.where(F.col(of).isNotNull()).groupBy(*by).agg(F.percentile(F.col(of), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(df.where(F.col(of).isNotNull()), of, [0.25, 0.5, 0.75], by)
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
-    x = df.join(q, by)
+    x = beside(df, q, by)
     inside = F.when(F.col(of).between(F.col("q")[0] - reach, F.col("q")[2] + reach), F.col(of))
     return x.groupBy(*by).agg(F.first("q").alias("q"), F.min(inside).alias("low"), F.max(inside).alias("high")).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low", "high")
+
+
+def category_codes(df: DataFrame, of: str) -> DataFrame:
+    """``df`` with code: the number from 0 of a row's category in sorted order, -1 for null; one row for each category is numbered and joined."""
+    kinds = df.where(F.col(of).isNotNull()).select(F.col(of).alias("kind")).distinct()
+    kinds = kinds.withColumn("code", F.row_number().over(W.orderBy("kind")) - 1)
+    x = df.drop("code").join(kinds, F.col(of) == F.col("kind"), "left").withColumn("code", F.coalesce("code", F.lit(-1)))
+    return x.drop("kind")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import calendar
 from ..operators import features as fx
 from ..operators import stats
 from ..sources import bronze as src
-from .queries import DAILY, GC, QUARTER, STEP, B, G, bronze, daily, dense, grid_sql, n, query, r6, rounded, silver
+from .queries import CAL, DAILY, GC, QUARTER, STEP, B, G, bronze, daily, dense, grid_sql, n, query, r6, rounded, silver
 from .settings import DEFAULTS, RESOLUTIONS, TARGET, Settings
 
 
@@ -104,6 +106,22 @@ def resolution_fidelity(spark, d):
     return x.agg(F.count("*").alias("n"), r6(F.avg(F.abs(F.col("fine") - F.col("coarse")))).alias("mean_abs_diff"), r6(F.corr("fine", "coarse")).alias("r"), r6(F.corr("fine", "coarse") * F.corr("fine", "coarse")).alias("r2"))
 
 
+def hours_of(step: int) -> str:
+    return f", h{step} AS (SELECT CAST(floor(slot * {step} / 3600.0) AS BIGINT) AS h, avg(v) AS v FROM (SELECT CAST(floor(sec / {step}.0) AS BIGINT) AS slot, avg(load) AS v FROM bronze GROUP BY 1) x GROUP BY 1)"
+
+
+@query(B + "".join(map(hours_of, (60, 300, 600, 900))) + " " + " UNION ALL ".join(f"SELECT {a} AS fine, {b} AS coarse, count(*) AS n, round(avg(abs(x.v - y.v)), 6) AS mean_abs_diff, round(corr(x.v, y.v), 6) AS r, round(corr(x.v, y.v) * corr(x.v, y.v), 6) AS r2 FROM h{a} x JOIN h{b} y ON x.h = y.h WHERE x.v IS NOT NULL AND y.v IS NOT NULL" for a, b in ((60, 300), (300, 600), (600, 900))))
+def adjacent_fidelity(spark, d):
+    """Hourly means of each default resolution against those of the next coarser one."""
+    steps = [RESOLUTIONS[x] for x in DEFAULTS]
+    hours = {s: fx.resample(bronze(spark, d), s).groupBy("series_id", F.floor(F.col("slot") * s / 3600).alias("h")).agg(F.avg(TARGET).alias("v")).where("v is not null") for s in steps}
+    pairs = []
+    for a, b in zip(steps, steps[1:], strict=False):
+        x = hours[a].withColumnRenamed("v", "x").join(hours[b].withColumnRenamed("v", "y"), ["series_id", "h"])
+        pairs.append(x.agg(F.lit(a).alias("fine"), F.lit(b).alias("coarse"), F.count("*").alias("n"), r6(F.avg(F.abs(F.col("x") - F.col("y")))).alias("mean_abs_diff"), r6(F.corr("x", "y")).alias("r"), r6(F.corr("x", "y") * F.corr("x", "y")).alias("r2")))
+    return src.union_all(pairs)
+
+
 @query(GC + ", q AS (SELECT CAST(floor(slot / 4.0) AS BIGINT) AS hour_slot, avg(avg_load) AS of_means, count(avg_load) AS k FROM g GROUP BY 1)" + grid_sql(3600, "hgrid", "hbins") + " SELECT count(*) AS n, round(max(abs(of_means - avg_load)), 6) AS worst FROM q JOIN hgrid h ON q.hour_slot = h.slot WHERE k = 4")
 def resolution_consistency(spark, d):
     fine = dense(spark, d).groupBy(F.floor(F.col("slot") / 4).alias("slot")).agg(F.avg(TARGET).alias("fine"), F.count(TARGET).alias("k")).where("k = 4")
@@ -125,6 +143,24 @@ def boxplot_stats(spark, d):
     return rounded(stats.box(daily(spark, d), "mean_load", ["day_class"]))
 
 
+STRATA = ("day_class", "hour", "season", "time_of_day")
+
+
+@query(GC + f", c AS (SELECT avg_load AS v, day_class, {CAL} FROM g), l AS (" + " UNION ALL ".join(f"SELECT '{k}' AS stratum, CAST({k} AS VARCHAR) AS value, v FROM c WHERE v IS NOT NULL" for k in STRATA) + "), q AS (SELECT stratum, value, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM l GROUP BY 1, 2) SELECT l.stratum, l.value, round(min(q1), 6) AS q1, round(min(q2), 6) AS median, round(min(q3), 6) AS q3, round(min(CASE WHEN v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN v END), 6) AS low, round(max(CASE WHEN v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN v END), 6) AS high FROM l JOIN q ON l.stratum = q.stratum AND l.value = q.value GROUP BY 1, 2")
+def boxplot_strata(spark, d):
+    """The load's quartiles and whiskers by class, hour, season and time of day."""
+    x = dense(spark, d).where(F.col(TARGET).isNotNull())
+    c = calendar.calendar(F.col("timestamp"), F.col("day_class")) | {"day_class": F.col("day_class")}
+    long = x.select(F.col(TARGET).alias("v"), F.explode(F.array(*[F.struct(F.lit(k).alias("stratum"), c[k].cast("string").alias("value")) for k in STRATA])).alias("s")).select("s.*", "v")
+    return rounded(stats.box(long, "v", ["stratum", "value"]))
+
+
+@query("SELECT event_id, event_type, CAST(CASE WHEN event_type IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY event_type NULLS LAST) - 1 END AS INTEGER) AS code FROM events")
+def category_codes(spark, d):
+    """The events' types as numbers, in sorted order."""
+    return stats.category_codes(spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type"), "event_type")
+
+
 @query(B + " SELECT date, hour * 60 + minute AS minute, date + to_minutes(hour * 60 + minute) AS timestamp, round(avg(load), 6) AS load FROM bronze GROUP BY 1, 2, 3")
 def minute_profile(spark, d):
     m = n(F.hour("timestamp") * 60 + F.minute("timestamp"), "minute")
@@ -227,7 +263,7 @@ def interpolate_linear(spark, d):
 @query(G + " SELECT slot, round(coalesce(avg_load, med), 6) AS imputed FROM grid, (SELECT quantile_cont(avg_load, 0.5) AS med FROM grid) m")
 def median_impute(spark, d):
     x = dense(spark, d)
-    return x.crossJoin(F.broadcast(x.agg(F.percentile(F.col(TARGET), F.lit(0.5)).alias("med")))).select("slot", r6(F.coalesce(TARGET, "med")).alias("imputed"))  # one row
+    return x.crossJoin(F.broadcast(stats.quantiles(x, TARGET, [0.5]).select(F.col("q")[0].alias("med")))).select("slot", r6(F.coalesce(TARGET, "med")).alias("imputed"))  # one row
 
 
 @query(FILL + ", lags AS (SELECT unnest(range(1, 49)) AS lag) SELECT lag, round(corr(a.filled, b.filled), 6) AS r, count(*) AS n FROM lags, filled a JOIN filled b ON a.slot = b.slot + lag GROUP BY lag".replace(", count(*) AS n FROM lags", ", count(*) AS n, round(1.96 / sqrt((SELECT count(*) FROM filled)), 6) AS band FROM lags"))
@@ -236,7 +272,7 @@ def acf(spark, d):
     return stats.acf(x, 48, "filled").select("lag", r6("r").alias("r"), "n", r6("band").alias("band"))
 
 
-@query()
+@query(G + f", v AS (SELECT row_number() OVER (ORDER BY slot) AS pos, avg_load AS y FROM grid WHERE avg_load IS NOT NULL), h AS (SELECT least(2000, count(*) - 1) AS top, {NormalDist().inv_cdf(0.975)} / sqrt(count(*)) AS bound FROM v), lags AS (SELECT unnest(range(1, top + 1)) AS lag FROM h), r AS (SELECT lag, corr(a.y, b.y) AS r FROM lags, v a JOIN v b ON a.pos = b.pos + lag GROUP BY lag), s AS (SELECT lag, sum(CASE WHEN coalesce(abs(r), 0) < bound THEN 1 ELSE 0 END) OVER (ORDER BY lag ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS streak FROM r, h) SELECT CAST(greatest(10, least(2000, coalesce(min(CASE WHEN streak = 5 THEN lag - 4 END), min(top)))) AS BIGINT) AS depth FROM s, h")
 def acf_depth(spark, d):
     return stats.acf_depth(dense(spark, d), TARGET).drop("series_id")
 
@@ -252,6 +288,12 @@ def vif(spark, d):
     return stats.vif(silver(spark, d), list(s.sets()["curated"]))
 
 
+@query(QUARTER + ", x AS (SELECT sum(CAST(hour AS DOUBLE) * hour) AS aa, sum(lag_1 * lag_1) AS bb, sum(hour * lag_1) AS ab FROM silver WHERE hour IS NOT NULL AND lag_1 IS NOT NULL), v AS (SELECT aa * bb / (aa * bb - ab * ab) AS vif FROM x) SELECT column_ AS \"column\", round(vif, 4) AS vif, CASE WHEN vif > 10 THEN 'high' WHEN vif > 5 THEN 'moderate' ELSE 'low' END AS flag FROM v, (SELECT unnest(['hour', 'lag_1']) AS column_) c")
+def vif_pair(spark, d):
+    """Two columns, whose factor SQL can tell."""
+    return stats.vif(silver(spark, d), ["hour", "lag_1"]).withColumn("vif", F.round("vif", 4))
+
+
 @query(FILL + ", p AS (SELECT unnest([4, 8, 24, 96, 672]) AS period) SELECT CAST(period AS BIGINT) AS period, round((pow(sum(v * cos(2 * pi() * slot / period)), 2) + pow(sum(v * sin(2 * pi() * slot / period)), 2)) / count(*), 1) AS power FROM (SELECT slot, filled - (SELECT avg(filled) FROM filled) AS v FROM filled) x, p GROUP BY period")
 def periodogram_at(spark, d):
     x = fx.interpolate(dense(spark, d))
@@ -266,7 +308,10 @@ def welch_psd(spark, d):
     return stats.welch(fx.interpolate(dense(spark, d)), "filled", 512).drop("series_id")
 
 
-@query()
+QQ = [(i / 100, NormalDist().inv_cdf(i / 100)) for i in range(1, 100)]
+
+
+@query(B + f", x AS (SELECT unnest(CAST({[p for p, _ in QQ]} AS DOUBLE[])) AS p, unnest(CAST({[z for _, z in QQ]} AS DOUBLE[])) AS normal, unnest(quantile_cont(load, {[p for p, _ in QQ]})) AS observed FROM bronze), f AS (SELECT regr_slope(observed, normal) AS slope, regr_intercept(observed, normal) AS intercept, regr_r2(observed, normal) AS r2 FROM x) SELECT round(p, 6) AS p, round(observed, 6) AS observed, round(normal, 6) AS normal, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2 FROM x, f")
 def qq_normal(spark, d):
     return rounded(stats.qq_normal(bronze(spark, d), "load"))
 
@@ -278,9 +323,18 @@ def seasonal_decompose(spark, d):
     return stats.decompose(x, "v").select("date", *[F.round(c, 2).alias(c) for c in ("trend", "seasonal", "residual")])
 
 
-@query()
+PREDICTORS = ["lag_1", "lag_5", "hour", "day_of_week", "rolling_mean_5", "slope_5"]
+TENTHS = [i / 10 for i in range(1, 10)]
+
+
+def places_sql(c: str) -> str:
+    """The number of tenths below a value, nulls at the median."""
+    return f"len(list_filter(q_{c}, lambda t: t < coalesce(CAST({c} AS DOUBLE), q_{c}[5])))"
+
+
+@query(QUARTER + ", y AS (SELECT * FROM silver WHERE avg_load IS NOT NULL), q AS (SELECT " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), {TENTHS}) AS q_{c}" for c in [*PREDICTORS, TARGET]) + " FROM y), l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {places_sql(c)} AS b, {places_sql(TARGET)} AS t FROM y, q" for c in PREDICTORS) + "), j AS (SELECT feature, b, t, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature, b) AS nb, sum(n) OVER (PARTITION BY feature, t) AS nt, sum(n) OVER (PARTITION BY feature) AS a FROM j) SELECT feature, round(sum(n / CAST(a AS DOUBLE) * ln(CAST(n AS DOUBLE) * a / (CAST(nb AS DOUBLE) * nt))), 6) AS mi FROM m GROUP BY feature")
 def mutual_information(spark, d):
-    return rounded(stats.mutual_information(silver(spark, d).where("avg_load is not null"), ["lag_1", "lag_5", "hour", "day_of_week", "rolling_mean_5", "slope_5"], TARGET))
+    return rounded(stats.mutual_information(silver(spark, d).where("avg_load is not null"), PREDICTORS, TARGET))
 
 
 def checks(row, names: dict[str, tuple]):

@@ -459,3 +459,30 @@ def test_co_training_labels_the_pool():
     known[20:] = np.nan
     wa, wb = quality.co_train(a, b, known)
     assert ((linear.predict(wb, b) > 0.5) == (y > 0)).mean() > 0.95
+
+
+def test_pseudo_labels_are_the_surest_of_the_whole_pool(spark):
+    rng = random.Random(3)
+    rows = [(i % 380, " ".join(rng.choice(["good", "plain", "bad"]) for _ in range(rng.randrange(1, 12))), rng.choice(["en", None]), rng.choice(["a", "b"]), i) for i in range(400)]
+    pool = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    every = pool.toPandas()
+    words = [np.unique(shingles.word_hashes(t.encode())) for t in every["text"]]
+    vocabulary = np.unique(np.concatenate(words))
+    x = quality.content(vocabulary, np.array([quality.shape(t.encode(), shingles.word_hashes(t.encode())) for t in every["text"]], float), words)
+    m = quality.metadata(every["lang"], every["source"], every["n_chars"])
+    draw = np.random.default_rng(5)
+    w = [[draw.normal(size=x.shape[1] + 1), draw.normal(size=m.shape[1] + 1) * 2] for _ in range(2)]
+    taken = [[{1, 2, 3}, set()], [set(), {4, 5}]]
+    got = quality.pool_offers(pool, vocabulary, 9)(w, taken)
+    for v in range(2):
+        for pupil in range(2):
+            p = linear.predict(w[v][1 - pupil], (x, m)[1 - pupil])
+            for label, sure in ((1.0, p), (0.0, 1 - p)):
+                best = {}
+                for key, at in zip(every["doc_id"].tolist(), sure, strict=True):
+                    if at >= quality.SURE and key not in taken[v][pupil]:
+                        best[key] = max(best.get(key, 0), at)
+                mine = [g[3] for g in got if g[:3] == (v, pupil, label)]
+                assert len(mine) == len(set(mine)) == min(9, len(best))
+                assert sorted(best[k] for k in mine) == pytest.approx(sorted(best.values())[len(best) - len(mine) :])
+    assert len(got) > 9

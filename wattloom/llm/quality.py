@@ -1,27 +1,29 @@
 """Quality by co-training two views: the text's content and the page's metadata.
 
-Each view has a linear classifier on the same labelled rows. In each round either view labels the pool rows
-of which it is surest, for the other view to learn from. At the end each view's probabilities are calibrated
+Each view has a linear classifier on the same labelled rows. In each round either view labels the rows
+of which it is surest, of all that are not in the labelled sample, for the other view to learn from. At the end each view's probabilities are calibrated
 on predictions for labelled rows by views that were co-trained without them, and the calibrated log-odds are added, weighed by how well each
 view tells the labels, to score all documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import linear
 from ._tasks import byte_texts, settled
 from .shingles import word_hashes
 
-#: At most so many labelled rows, and as many of the unlabelled pool, are fitted; those with the smallest hash.
+#: At most so many labelled rows are fitted, those with the smallest hash; all others are the pool. ADDED: pseudo-labels
+#: of a kind that a view gives in a round, the surest of the whole pool.
 SAMPLE, WORDS, ROUNDS, ADDED, PENALTY = 3000, 150, 4, 60, 1.0
 #: Pseudo-labels need at least this probability.
 SURE = 0.9
@@ -64,53 +66,108 @@ def content(vocabulary: np.ndarray, shapes: np.ndarray, words: list[np.ndarray])
     return np.concatenate((linear.presence(vocabulary, words), shapes * 5), axis=1)
 
 
-def co_train(texts: np.ndarray, metas: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, added: int = ADDED) -> tuple[np.ndarray, np.ndarray]:
-    """``y``: 1, 0 or NaN for the pool. Returns the weights of both views."""
-    own = [y.copy(), y.copy()]  # labels each view learns from; the other view fills them
-    xs = (texts, metas)
-    w = [linear.fit(x[~np.isnan(o)], o[~np.isnan(o)], PENALTY) for x, o in zip(xs, own, strict=True)]
-    for _ in range(rounds):
-        for teacher, pupil in ((0, 1), (1, 0)):
-            p = linear.predict(w[teacher], xs[teacher])
-            open_ = np.isnan(own[pupil])
+def surest(w: list[list[np.ndarray]], texts: np.ndarray, metas: np.ndarray, keys: np.ndarray, taken: list[list[set]], added: int) -> Iterator[tuple[int, int, float, list[tuple[float, int, int]]]]:
+    """(variant, pupil, label, rows as (minus probability, tie-break, index)): of each kind the ``added`` rows whose other view is surest and that the pupil hasn't got, best first."""
+    tie = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+    for v, (text, meta) in enumerate(w):
+        for pupil, p in ((1, linear.predict(text, texts)), (0, linear.predict(meta, metas))):
+            new = np.array([k not in taken[v][pupil] for k in keys.tolist()], bool)
             for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(np.where(open_, -sure, 1), kind="stable")[:added]
-                best = best[open_[best] & (sure[best] >= SURE)]
-                own[pupil][best] = label
-        w = [linear.fit(x[~np.isnan(o)], o[~np.isnan(o)], PENALTY) for x, o in zip(xs, own, strict=True)]
-    return w[0], w[1]
-
-
-def held_out(texts: np.ndarray, metas: np.ndarray, y: np.ndarray, k: int = 3) -> list[np.ndarray]:
-    """Each labelled row's probabilities by views that were co-trained, pool and all, without its fold."""
-    known = np.flatnonzero(~np.isnan(y))
-    fold, out = linear.folds(len(known), k), [np.full(len(known), y[known].mean()) for _ in range(2)]
-    for f in range(k):
-        rest = np.setdiff1d(np.arange(len(y)), known[fold == f])
-        if len(set(y[rest][~np.isnan(y[rest])])) == 2:
-            for p, w, x in zip(out, co_train(texts[rest], metas[rest], y[rest]), (texts, metas), strict=True):
-                p[fold == f] = linear.predict(w, x[known[fold == f]])
-    return out
-
-
-def fit_views(vocabulary: np.ndarray, rows: pd.DataFrame) -> Views:
-    """``rows``: x (the text's content), lang, source, n_chars, quality (null: pool)."""
+                good = np.flatnonzero(new & (sure >= SURE))
+                good = good[np.lexsort((tie[good], -sure[good]))][:added]
+                yield v, pupil, label, [(-float(sure[i]), int(tie[i]), int(i)) for i in good]
+
+
+#: Weights of each variant's views, and the keys that their pupils have: pseudo-labels (variant, pupil, label, key, text, metadata).
+Offers = Callable[[list[list[np.ndarray]], list[list[set]]], list[tuple]]
+
+
+def exchange(variants: list[np.ndarray], texts: np.ndarray, metas: np.ndarray, y: np.ndarray, offers: Offers, rounds: int = ROUNDS) -> list[list[np.ndarray]]:
+    """Weights of both views for each variant, that is for the labelled rows it may learn from; all variants share the passes over the pool."""
+    learnt = [[(x[r], y[r]) for x in (texts, metas)] for r in variants]
+    taken: list[list[set]] = [[set(), set()] for _ in variants]
+    fitted = lambda: [[linear.fit(x, t, PENALTY) for x, t in views] for views in learnt]
+    w = fitted()
+    for _ in range(rounds):
+        for v, pupil, label, key, *both in offers(w, taken):
+            x, t = learnt[v][pupil]
+            learnt[v][pupil] = np.concatenate((x, both[pupil][None])), np.append(t, label)
+            taken[v][pupil].add(key)
+        w = fitted()
+    return w
+
+
+def co_train(texts: np.ndarray, metas: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, added: int = ADDED) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in memory; ``y``: 1, 0 or NaN for the pool. Returns the weights of both views."""
+    known, pool = ~np.isnan(y), np.flatnonzero(np.isnan(y))
+
+    def offers(w: list[list[np.ndarray]], taken: list[list[set]]) -> list[tuple]:
+        found = surest(w, texts[pool], metas[pool], pool, taken, added)
+        return [(v, pupil, label, int(pool[i]), texts[pool[i]], metas[pool[i]]) for v, pupil, label, rows in found for *_, i in rows]
+
+    (both,) = exchange([np.arange(known.sum())], texts[known], metas[known], y[known], offers, rounds)
+    return both[0], both[1]
+
+
+def fit_views(vocabulary: np.ndarray, rows: pd.DataFrame, offers: Offers, k: int = 3) -> Views:
+    """``rows``: x (the text's content), lang, source, n_chars, quality. Calibrated by views that were co-trained, pool and all, without a row's fold."""
     y = pd.to_numeric(rows["quality"]).to_numpy(float)
-    known = ~np.isnan(y)
     texts, metas = np.array(rows["x"].tolist(), float), metadata(rows["lang"], rows["source"], rows["n_chars"])
-    w = co_train(texts, metas, y)
-    held = held_out(texts, metas, y)
-    calibrated = tuple(linear.platt(p, y[known]) for p in held)
-    prior = float(np.clip(y[known].mean(), 1e-3, 1 - 1e-3))
+    every, fold = np.arange(len(y)), linear.folds(len(y), k)
+    rests = [r for f in range(k) if len(set(y[r := np.flatnonzero(fold != f)])) == 2]
+    w, *without = exchange([every, *rests], texts, metas, y, offers)
+    held = [np.full(len(y), y.mean()) for _ in range(2)]
+    for r, views in zip(rests, without, strict=True):
+        out = np.setdiff1d(every, r)
+        for p, weights, x in zip(held, views, (texts, metas), strict=True):
+            p[out] = linear.predict(weights, x[out])
+    calibrated = tuple(linear.platt(p, y) for p in held)
+    prior = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     base = -(prior * np.log(prior) + (1 - prior) * np.log(1 - prior))
     trust = []
     for p, c in zip(held, calibrated, strict=True):
         q = np.clip(linear.predict(c, linear.logit(p)[:, None]), 1e-6, 1 - 1e-6)
-        loss = -(y[known] * np.log(q) + (1 - y[known]) * np.log(1 - q)).mean()
+        loss = -(y * np.log(q) + (1 - y) * np.log(1 - q)).mean()
         trust.append(max(0.0, 1 - float(loss) / base))
     return Views(vocabulary, *w, calibrated, (trust[0], trust[1]), prior)
 
 
+def pool_offers(pool: DataFrame, vocabulary: np.ndarray, added: int = ADDED) -> Offers:
+    """Pseudo-labels from all rows of ``pool`` (doc_id, text, lang, source, n_chars): each task keeps the surest of each kind, Spark the surest of all tasks."""
+    out = "variant int, pupil int, label double, sure double, tie long, doc_id long, x array<double>, m array<double>"
+    kind = ["variant", "pupil", "label"]
+
+    def offers(w: list[list[np.ndarray]], taken: list[list[set]]) -> list[tuple]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple, list[tuple]] = {}
+            for b in batches:
+                for part in (b.slice(at, 256) for at in range(0, len(b), 256)):
+                    words, shapes = _features(part)
+                    x = content(vocabulary, np.array(shapes, float).reshape(len(part), -1), words)
+                    frame = part.select(["lang", "source", "n_chars"]).to_pandas()
+                    m, keys = metadata(frame["lang"], frame["source"], frame["n_chars"]), part.column("doc_id").to_numpy()
+                    for v, pupil, label, rows in surest(w, x, m, keys, taken, added):
+                        held = best.setdefault((v, pupil, label), [])
+                        if len(held) == added:
+                            rows = [r for r in rows if r[:2] < held[-1][:2]]
+                        if rows:
+                            both = sorted([*held, *((s, t, int(keys[i]), x[i].copy(), m[i].copy()) for s, t, i in rows)], key=lambda r: r[:3])
+                            once = {r[2]: r for r in reversed(both)}  # of rows that repeat an id the surest
+                            best[v, pupil, label] = sorted(once.values(), key=lambda r: r[:3])[:added]
+            flat = [(*k, -s, t, key, x, m) for k, rows in best.items() for s, t, key, x, m in rows]
+            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], t) for c, t in enumerate(kinds)], [c.split()[0] for c in out.split(", ")])
+
+        order = [F.desc("sure"), "tie", "doc_id"]
+        found = pool.mapInArrow(run, out)
+        once = found.groupBy(*kind, "doc_id").agg(F.max_by(F.struct("sure", "tie", "x", "m"), F.struct("sure", F.xxhash64("x", "m"))).alias("r")).select(*kind, "doc_id", "r.*")
+        top = once.withColumn("rank", F.row_number().over(W.partitionBy(*kind).orderBy(*order))).where(F.col("rank") <= added)
+        rows = top.orderBy(*kind, "rank").collect()  # ``added`` of each kind
+        return [(r["variant"], r["pupil"], r["label"], r["doc_id"], np.array(r["x"]), np.array(r["m"])) for r in rows]
+
+    return offers
+
+
 def combined(v: Views, texts: np.ndarray, metas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Calibrated probabilities of the views, and of both: what each says beyond the prior, by its trust."""
     ps = [linear.predict(c, linear.logit(linear.predict(w, x))[:, None]) for w, x, c in zip((v.text, v.meta), (texts, metas), v.calibrated, strict=True)]
@@ -129,12 +186,11 @@ def _features(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[list[float]]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Views | None:
-    """Fits on at most ``sample`` labelled and ``sample`` other rows, chosen by a hash of the id; None without labels of both kinds."""
+    """Fits on at most ``sample`` labelled rows, chosen by a hash of the id, and pseudo-labels from all others; None without labels of both kinds."""
     y = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
     some = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
-    ids = some.select("doc_id").join(y, some.doc_id == y.labelled, "left").select("doc_id", "quality")
-    first = lambda x: x.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = first(ids.where("quality is not null")).union(first(ids.where("quality is null"))).distinct().select(F.col("doc_id").alias("chosen"), "quality")
+    ids = some.select("doc_id").join(y, some.doc_id == y.labelled).select("doc_id", "quality").distinct()
+    chosen = settled(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("chosen"), "quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,12 +198,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Views | N
             kept = [b.column(c) for c in ("doc_id", "lang", "source", "n_chars", "quality")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64())), pa.array(shapes, pa.list_(pa.float64()))], ["doc_id", "lang", "source", "n_chars", "quality", "words", "shape"])
 
-    both = some.join(F.broadcast(chosen), some.doc_id == chosen.chosen).drop("chosen")  # at most 2 * ``sample`` rows
-    out = both.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"), F.col("quality").cast("int"), "text")
+    plain = some.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"), "text")
+    few = F.broadcast(chosen.withColumn("quality", F.col("quality").cast("int")))  # at most ``sample`` rows
+    out = plain.join(few, F.col("doc_id") == F.col("chosen")).drop("chosen")
+    pool = plain.join(few, F.col("doc_id") == F.col("chosen"), "left_anti")
     rows = settled(out.mapInArrow(run, "doc_id long, lang string, source string, n_chars long, quality int, words array<long>, shape array<double>"))
-    if rows.where("quality is not null").select("quality").distinct().count() != 2:
+    if rows.select("quality").distinct().count() != 2:
         return None
-    vocabulary = linear.telling(rows.where("quality is not null").select("words", F.array(F.col("quality").cast("double")).alias("ys")), WORDS)
+    vocabulary = linear.telling(rows.select("words", F.array(F.col("quality").cast("double")).alias("ys")), WORDS)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,10 +215,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Views | N
 
     kept = ["doc_id", "lang", "source", "n_chars", "quality"]
     table = rows.mapInArrow(counted, "doc_id long, lang string, source string, n_chars long, quality int, x array<double>")
-    # of rows that repeat an id one stays, so that at most 2 * ``sample`` rows reach the driver
+    # of rows that repeat an id one stays, so that at most ``sample`` rows reach the driver
     one = F.struct("lang", "source", "n_chars", "quality", "x")
     table = table.groupBy("doc_id").agg(F.min_by(one, F.xxhash64("x", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return fit_views(vocabulary, table.toPandas())
+    return fit_views(vocabulary, table.toPandas(), pool_offers(pool, vocabulary))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -168,7 +226,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
 
     ``docs`` needs doc_id, text, lang, source and n_chars, ``labels`` doc_id and quality (0 or 1). Null
     metadata count as an empty language or source or a length of 0, a null text as empty. Without
-    labels of both kinds everything gets 1 and is kept. Repeated rows and null ids are scored as they come;
+    labels of both kinds everything gets 1 and is kept. Pseudo-labels come from all rows with an id, of rows that repeat one from the surest. Repeated rows and null ids are scored as they come;
     other columns are dropped; an empty table gives no rows.
     """
     views = train(docs, labels, sample)

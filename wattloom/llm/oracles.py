@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -50,3 +52,43 @@ reach(node, root) as (select node, node from node union select edge.b, reach.roo
 comp as (select node, min(root) as component_id from reach group by node)
 select s.doc_id, len(s.sh)::bigint as n_shingles, coalesce(comp.component_id, s.doc_id)::bigint as component_id
 from s left join node on s.sh = node.sh left join comp on comp.node = node.node"""
+
+
+def secret_scan(rules: Sequence[tuple[str, str, int, int]], base: Sequence[str]) -> str:
+    """Each rule (kind, pattern, group, least length) by itself over whole texts; where a match starts is told by the lengths of what lies between matches."""
+    quoted = [(kind, pattern.replace("'", "''"), group, least) for kind, pattern, group, least in rules]
+    each = " union all ".join(
+        f"""select r, {k} as k, '{kind}' as kind, unnest(string_split_regex(t, '{p}')[:-2]) as gap, unnest(regexp_extract_all(t, '{p}')) as m, unnest(regexp_extract_all(t, '{p}', {group})) as g, {least} as least,
+ unnest(range(len(regexp_extract_all(t, '{p}')))) as i from d where regexp_matches(t, '{p}')"""
+        for k, (kind, p, group, least) in enumerate(quoted)
+    )
+    told = "kind || ':' || a || ':' || (a + n)"
+    listed = ", ".join(f"'{b}'" for b in base)
+    counts = ", ".join(f"(count(*) filter (where kind = '{b}'))::bigint as n_{b}" for b in base)
+    names = ", ".join(f"coalesce(n_{b}, 0)::bigint as n_{b}" for b in base)
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+each as ({each}),
+placed as (select r, k, kind, length(m) as n, length(g) as size, least, sum(length(gap) + length(m)) over (partition by r, k order by i) - length(m) as a from each),
+kept as (select r, k, kind, a::bigint as a, n from placed where size >= least),
+told as (select r, {counts}, string_agg({told}, ',' order by a, k) filter (where kind in ({listed})) as base, string_agg({told}, ',' order by a, k) as spans from kept group by r)
+select doc_id, {names}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join told using (r)"""
+
+
+def filter_audit() -> str:
+    """Every order and step counted from the documents themselves."""
+    lose = "f[w] and not hit"
+    return rf"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+own as (select d.*, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, min(doc_id) over (partition by t) as least from d),
+f as (select doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] as f from own),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as bad from labels where doc_id is not null group by 1),
+g as (select part, f, count(*) as n, count(*) filter (where good) as n_good, count(*) filter (where bad) as n_bad from f left join l using (doc_id) group by 1, 2),
+x(k) as (select unnest(range(1, 6))),
+o as (select [a.k, b.k, c.k, d.k, e.k] as ks from x a, x b, x c, x d, x e where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s as (select array_to_string(list_transform(ks, lambda k: 'ABCDE'[k]), '') as filter_order, x.k as step, ks[x.k] as w, ks[:x.k - 1] as before from o, x),
+e as (select part, filter_order, step, w, f, n, n_good, n_bad, len(list_filter(before, lambda k: f[k])) > 0 as hit from g, s),
+r as (select part, filter_order, step::int as step, w, coalesce(sum(n) filter (where not f[w] and not hit), 0)::bigint as kept, coalesce(sum(n) filter (where {lose}), 0)::bigint as removed,
+  coalesce(sum(n) filter (where f[w] and hit), 0)::bigint as redundant, coalesce(sum(n) filter (where f[w] and len(list_filter(f, lambda b: b)) = 1), 0)::bigint as unique_fails,
+  coalesce(sum(n_good) filter (where {lose}), 0)::bigint as good_lost, coalesce(sum(n_bad) filter (where {lose}), 0)::bigint as toxic_lost from e group by all)
+select * exclude (w), (sum(removed) over (partition by part, w))::bigint as shapley from r"""

@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with production parameters."""
+"""The operators as queries over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, licenses, minhash, mixing, oracles, pii, quality, token_counts, toxicity
+from . import ann, bpe, filter_audit, jaccard, licenses, minhash, mixing, oracles, pii, quality, secret_scan, token_counts, toxicity
 from .shingles import SIZE
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -70,10 +70,23 @@ def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_co_training, op3_pii_surrogates, op4_license_scan, op5_toxicity_chain, op6_minhash_fingerprints, op7_cross_polytope_neighbours, op8_bpe_round_trip, op9_ngram_jaccard_join, op10_pareto_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_co_training, op3_pii_surrogates, op4_license_scan, op5_toxicity_chain, op6_minhash_fingerprints, op7_cross_polytope_neighbours, op8_bpe_round_trip, op9_ngram_jaccard_join, op10_pareto_mixing, op11_secret_scan, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The two that SQL can tell whole at bearable cost; tests/llm holds the others against brute force."""
-    return {"op4_license_scan": oracles.license_scan(), "op9_ngram_jaccard_join": oracles.ngram_jaccard_join(jaccard.PERCENT, SIZE)}
+    """Those that SQL can tell whole at bearable cost; tests/llm holds the others against brute force."""
+    return {
+        "op4_license_scan": oracles.license_scan(),
+        "op9_ngram_jaccard_join": oracles.ngram_jaccard_join(jaccard.PERCENT, SIZE),
+        "op11_secret_scan": oracles.secret_scan(secret_scan.RULES, [r.kind for r in secret_scan.BASE]),
+        "op12_filter_audit": oracles.filter_audit(),
+    }

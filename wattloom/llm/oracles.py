@@ -92,3 +92,24 @@ r as (select part, filter_order, step::int as step, w, coalesce(sum(n) filter (w
   coalesce(sum(n) filter (where f[w] and hit), 0)::bigint as redundant, coalesce(sum(n) filter (where f[w] and len(list_filter(f, lambda b: b)) = 1), 0)::bigint as unique_fails,
   coalesce(sum(n_good) filter (where {lose}), 0)::bigint as good_lost, coalesce(sum(n_bad) filter (where {lose}), 0)::bigint as toxic_lost from e group by all)
 select * exclude (w), (sum(removed) over (partition by part, w))::bigint as shapley from r"""
+
+
+def prefix_trie() -> str:
+    """Prefixes as whole lists of turns, grouped and compared as such; sums over a subtree by joining each node with all prefixes of it."""
+    return r"""
+with recursive crc_step(i, c, k) as (select range::ubigint, range::ubigint, 0 from range(256)
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from crc_step where k < 8),
+crc_table as (select list(c order by i) as t from crc_step where k = 8),
+own as (select conv_id, list((coalesce(role, ''), coalesce(text, '')) order by turn nulls first) as turns from conversations where conv_id is not null group by 1),
+h as (select own.*, (xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::ubigint)),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::bigint + 1])), 4294967295::ubigint) % 4)::int as h from own, crc_table),
+c as (select h.conv_id, list_concat(coalesce(b.turns[:h.h], []), h.turns[h.h + 1:]) as turns from h left join own b on b.conv_id = h.conv_id - h.conv_id % 20),
+p as (select conv_id, len(turns) as n, unnest(range(len(turns) + 1)) as depth, turns from c),
+m as (select conv_id, n, depth, turns[:depth] as path from p),
+node as (select path, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, max(n) as longest,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = depth), '')) as ends_sha256 from m group by path),
+x as (select *, case when depth = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(path[depth][2], '[^\x20\x09-\x0D]+')) end as saved from node),
+u as (select unnest(range(depth + 1)) as d, path, saved, longest = depth as leaf, depth from x),
+sums as (select path[:d] as path, sum(saved) as saved_tokens, count(*) filter (where leaf) as n_leaves, count(*) filter (where depth = d + 1) as n_children from u group by 1)
+select x.conv_id::bigint as conv_id, x.depth::bigint as depth, a.conv_id::bigint as parent_conv_id, x.n_convs::bigint as n_convs, n_children::bigint as n_children, n_leaves::bigint as n_leaves,
+  saved_tokens::bigint as saved_tokens, x.ends_sha256 from x join sums on sums.path = x.path left join x a on x.depth > 0 and a.path = x.path[:x.depth - 1]"""

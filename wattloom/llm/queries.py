@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, filter_audit, jaccard, licenses, minhash, mixing, oracles, pii, quality, secret_scan, token_counts, toxicity
+from . import ann, bpe, filter_audit, jaccard, licenses, minhash, mixing, oracles, pii, prefix_trie, quality, secret_scan, token_counts, toxicity
 from .shingles import SIZE
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -78,8 +78,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_co_training, op3_pii_surrogates, op4_license_scan, op5_toxicity_chain, op6_minhash_fingerprints, op7_cross_polytope_neighbours, op8_bpe_round_trip, op9_ngram_jaccard_join, op10_pareto_mixing, op11_secret_scan, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_co_training, op3_pii_surrogates, op4_license_scan, op5_toxicity_chain, op6_minhash_fingerprints, op7_cross_polytope_neighbours, op8_bpe_round_trip, op9_ngram_jaccard_join, op10_pareto_mixing, op11_secret_scan, op12_filter_audit, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -89,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_ngram_jaccard_join": oracles.ngram_jaccard_join(jaccard.PERCENT, SIZE),
         "op11_secret_scan": oracles.secret_scan(secret_scan.RULES, [r.kind for r in secret_scan.BASE]),
         "op12_filter_audit": oracles.filter_audit(),
+        "op13_prefix_trie": oracles.prefix_trie(),
     }

@@ -234,3 +234,55 @@ def test_correlations_skip_null_pairs(spark):
     d = spark.createDataFrame(rows, "x double, y double, z double")
     for r in stats.corr_matrix(d, ["x", "y", "z"]).collect():
         assert math.isclose(r["r"], d.agg(F.corr(r["a"], r["b"])).first()[0], abs_tol=1e-6)
+
+
+def brute_lags(v, lags):
+    """Pearson of pairs ``k`` places apart that are both there, by plain sums."""
+    out = {}
+    for k in range(1, lags + 1):
+        pairs = [(v[i], v[i - k]) for i in range(k, len(v)) if v[i] is not None and v[i - k] is not None]
+        if pairs:
+            y, x = zip(*pairs, strict=True)
+            flat = max(y) - min(y) < 1e-12 or max(x) - min(x) < 1e-12
+            out[k] = (None if flat else statistics.correlation(y, x), len(pairs))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [3, 50, 4320])
+def test_autocorrelation_by_transforms_equals_plain_sums(spark, chunk):
+    rng = random.Random(chunk)
+    own = {"a": [None if rng.random() < 0.2 else 1e5 + rng.gauss(0, 3) for _ in range(230)], "b": [5.0] * 40, "c": [1.0, None, None, 7.0], "d": [None, 2.0]}
+    d = spark.createDataFrame([(s, i - 60, x) for s, v in own.items() for i, x in enumerate(v)], "series_id string, slot long, y double")
+    got = {}
+    for r in stats.acf(d, 12, "y", chunk=chunk).collect():
+        got.setdefault(r["series_id"], {})[r["lag"]] = (r["r"], r["n"])
+        assert math.isclose(r["band"], 1.96 / math.sqrt(sum(x is not None for x in own[r["series_id"]])))
+    for s, v in own.items():
+        want = brute_lags(v, 12)
+        assert {k: n for k, (_, n) in got.get(s, {}).items()} == {k: n for k, (_, n) in want.items()}
+        for k, (r, _) in want.items():
+            assert (r is None) == (got[s][k][0] is None) and (r is None or math.isclose(r, got[s][k][0], abs_tol=1e-7))
+    assert stats.acf(d.where("false"), 12, "y").isEmpty() and stats.acf_depth(d.where("false"), "y").isEmpty()
+    depth = {r["series_id"]: r["depth"] for r in stats.acf_depth(d, "y", least=1, most=30).collect()}
+    for s, v in own.items():
+        w = [x for x in v if x is not None]
+        top, bound = min(30, len(w) - 1), statistics.NormalDist().inv_cdf(0.975) / math.sqrt(len(w))
+        weak = [abs(brute_lags(w, top).get(k, (0, 0))[0] or 0) < bound for k in range(1, top + 1)]
+        first = next((k for k in range(1, top - 3) if all(weak[k - 1 : k + 4])), top)
+        flat = len(w) < 3 or max(w) == min(w)
+        assert depth[s] == (1 if flat else max(1, first))
+
+
+def test_partial_autocorrelation_by_normal_equations(spark):
+    import numpy as np
+
+    rng, v = random.Random(4), [0.0]
+    for _ in range(400):
+        v.append(0.6 * v[-1] + rng.gauss(0, 1))
+    d = spark.createDataFrame([("0", i, x) for i, x in enumerate(v)] + [("flat", i, 2.0) for i in range(9)], "series_id string, slot long, y double")
+    got = {(r["series_id"], r["lag"]): r["pacf"] for r in stats.pacf(d, 5, "y").collect()}
+    c = [sum((v[i] - statistics.fmean(v)) * (v[i - k] - statistics.fmean(v)) for i in range(k, len(v))) for k in range(6)]
+    for k in range(1, 6):
+        gram = np.array([[c[abs(i - j)] for j in range(k)] for i in range(k)])
+        assert math.isclose(np.linalg.solve(gram, np.array(c[1 : k + 1]))[-1], got["0", k], abs_tol=1e-9)
+        assert got["flat", k] is None

@@ -82,20 +82,53 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return m.select("a", "b", F.when(ok, F.col("cab") / F.sqrt(F.col("caa") * F.col("cbb"))).alias("r"))
 
 
+#: The sums that ``lag_sums`` gives for each lag, of the values y and those x that many positions before.
+LAG_SUMS = ("n", "y", "x", "yy", "xx", "xy")
+
+
+def lag_sums(series: DataFrame, lags: int, of: str, at: str = "slot", chunk: int = 4320) -> DataFrame:
+    """(series_id, lag, n, y, x, yy, xx, xy) for the lags 0 to ``lags``: how many pairs are both there, and their sums around the series' mean.
+
+    Overlap-save: a task has the values of one chunk of positions and of the ``lags`` positions before it, and gets the sums
+    of all lags at once as products of Fourier transforms, values and what is there apart. Each value is moved once, and once more to the next
+    chunk where that needs it; chunks are at least four times as long as the lags, so what leaves a task is less than what it read.
+    """
+    v = series.where(F.col(of).isNotNull()).select("series_id", F.col(at).cast("long").alias("t"), F.col(of).cast("double").alias("v"))
+    v = beside(v, v.groupBy("series_id").agg(F.avg("v").alias("m")), ["series_id"]).select("series_id", "t", (F.col("v") - F.col("m")).alias("v"))
+    size = max(chunk, 4 * lags)
+    own = F.floor(F.col("t") / size)
+    dealt = v.withColumn("chunk", F.explode(F.sequence(own, F.floor((F.col("t") + lags) / size))))
+    length = 1 << (size + lags - 1).bit_length()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = pdf["t"].to_numpy() - pdf["chunk"].iloc[0] * size + lags
+        x, there = np.zeros(length), np.zeros(length)
+        x[place], there[place] = pdf["v"].to_numpy(), 1.0
+        parts = np.stack([there, x, x * x])
+        now = parts.copy()
+        now[:, :lags] = 0.0
+        late, early = np.fft.rfft(now), np.conj(np.fft.rfft(parts))
+        pairs = {"n": (0, 0), "y": (1, 0), "x": (0, 1), "yy": (2, 0), "xx": (0, 2), "xy": (1, 1)}
+        sums = {c: np.fft.irfft(late[i] * early[j], length)[: lags + 1] for c, (i, j) in pairs.items()}
+        sums["n"] = np.rint(sums["n"])
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "lag": np.arange(lags + 1)} | sums)
+
+    kind = series.schema["series_id"].dataType.simpleString()
+    out = dealt.groupBy("series_id", "chunk").applyInPandas(lambda pdf: run(pdf), f"series_id {kind}, lag long, " + ", ".join(f"{c} double" for c in LAG_SUMS))
+    return out.groupBy("series_id", "lag").agg(F.sum("n").cast("long").alias("n"), *[F.sum(c).alias(c) for c in LAG_SUMS[1:]])
+
+
 def acf(series: DataFrame, lags: int, of: str, at: str = "slot", chunk: int = 4320) -> DataFrame:
     """(series_id, lag, r, n, band): Pearson of each series and itself ``lag`` rows before, over pairs that are both there; band is 1.96 / sqrt of the series' values.
 
-    Pairs within a chunk of positions are made by lagged arrays of neighbours: every value is moved once, and once more to the next chunk where that needs it.
+    r is null where either side of the pairs doesn't vary; lags without a pair are absent.
     """
-    v = series.where(F.col(of).isNotNull()).select("series_id", F.col(at).cast("long").alias("t"), F.col(of).cast("double").alias("y"))
-    size = max(chunk, lags)
-    own = F.floor(F.col("t") / size)
-    dealt = v.withColumn("own", own).withColumn("chunk", F.explode(F.sequence(own, F.floor((F.col("t") + lags) / size))))
-    before = W.partitionBy("series_id", "chunk").orderBy("t").rangeBetween(-lags, -1)
-    past = dealt.withColumn("past", F.collect_list(F.struct("t", "y")).over(before)).where("own = chunk")
-    pairs = past.select("series_id", "t", "y", F.explode("past").alias("p")).select("series_id", (F.col("t") - F.col("p.t")).alias("lag"), "y", F.col("p.y").alias("x"))
-    out = pairs.groupBy("series_id", "lag").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
-    return out.join(v.groupBy("series_id").agg((1.96 / F.sqrt(F.count("*"))).alias("band")), "series_id").select("series_id", "lag", "r", "n", "band")
+    s = lag_sums(series, lags, of, at, chunk)
+    whole = s.where("lag = 0").select("series_id", F.col("n").alias("values"), F.col("yy").alias("all"))
+    x = beside(s.where("lag > 0 and n > 0"), whole, ["series_id"])
+    vy, vx, c = (F.col(q) - F.col(a) * F.col(b) / F.col("n") for q, a, b in (("yy", "y", "y"), ("xx", "x", "x"), ("xy", "x", "y")))
+    varies = F.least(vy, vx) > 1e-10 * F.col("all")
+    return x.select("series_id", "lag", F.when(varies, c / F.sqrt(vy * vx)).alias("r"), "n", (1.96 / F.sqrt("values")).alias("band"))
 
 
 def numbered(rows: DataFrame, chunk: int = 4320) -> DataFrame:
@@ -116,50 +149,44 @@ def neighbour(rows: DataFrame, of: str, chunk: int = 4320) -> DataFrame:
     return x.join(ends, ["series_id", "chunk"]).withColumn("before", F.coalesce(own, "last")).select(*rows.columns, "before")
 
 
-def acf_depth(series: DataFrame, of: str, alpha: float = 0.05, least: int = 10, most: int = 2000, run: int = 5, batch: int = 100) -> DataFrame:
+def acf_depth(series: DataFrame, of: str, alpha: float = 0.05, least: int = 10, most: int = 2000, run: int = 5) -> DataFrame:
     """(series_id, depth): the first lag of the first ``run`` insignificant lags in a row, on each series without its nulls.
 
-    Lags are looked at in batches, for the series that still need them, so a short memory costs little whatever ``most`` is.
+    All lags come from one pass of ``lag_sums``; what is looked at in order then are ``most`` rows for each series.
     """
-    v = numbered(series.where(F.col(of).isNotNull()).select("series_id", "slot", of)).select("series_id", F.col(of).alias("y"), "pos").persist()
-    head = v.groupBy("series_id").agg(F.count("*").alias("n"), F.stddev_pop("y").alias("s"))
+    v = numbered(series.where(F.col(of).isNotNull()).select("series_id", "slot", of)).select("series_id", F.col(of).alias("y"), "pos")
+    s = lag_sums(v, most, "y", "pos")
+    head = s.where("lag = 0").select("series_id", F.col("n").alias("all"), F.col("yy").alias("total"))
     z = NormalDist().inv_cdf(1 - alpha / 2)
-    flat = (F.col("n") < 3) | (F.col("s") == 0)
-    head = head.select("series_id", F.least(F.lit(most), F.col("n") - 1).alias("top"), (z / F.sqrt("n")).alias("bound"), flat.alias("flat")).persist()
-    found, open_, upto = [head.where("flat").select("series_id", F.lit(least).cast("long").alias("depth"))], head.where("not flat"), 0
-    while not open_.isEmpty():
-        upto = min(most, upto + batch)
-        lags = open_.select("series_id", "top", "bound", F.explode(F.sequence(F.lit(1), F.least(F.lit(upto), F.col("top")).cast("int"))).alias("lag"))
-        past = acf(v.join(open_.select("series_id"), "series_id", "left_semi"), upto, "y", "pos").select("series_id", F.col("lag").cast("int").alias("lag"), "r")
-        low = lags.join(past, ["series_id", "lag"], "left").withColumn("weak", (F.coalesce(F.abs("r"), F.lit(0.0)) < F.col("bound")).cast("int"))
-        w = W.partitionBy("series_id").orderBy("lag").rowsBetween(1 - run, 0)
-        first = low.withColumn("streak", F.sum("weak").over(w)).groupBy("series_id").agg(F.min(F.when(F.col("streak") == run, F.col("lag") - run + 1)).alias("depth"), F.max("top").alias("top"))
-        first = first.persist()
-        ended = F.coalesce(F.col("depth"), F.when(F.col("top") <= upto, F.col("top")))
-        found.append(first.where(ended.isNotNull()).select("series_id", F.greatest(F.lit(least), F.least(F.lit(most), ended)).cast("long").alias("depth")))
-        open_ = open_.join(first.where(ended.isNull()).select("series_id"), "series_id", "left_semi")
-        if upto >= most:
-            break
-    return reduce(DataFrame.union, found)
+    x = beside(s, head, ["series_id"])
+    vy, vx, c = (F.col(q) - F.col(a) * F.col(b) / F.col("n") for q, a, b in (("yy", "y", "y"), ("xx", "x", "x"), ("xy", "x", "y")))
+    r = F.when((F.col("n") > 0) & (F.least(vy, vx) > 1e-10 * F.col("total")), c / F.sqrt(vy * vx))
+    flat = (F.col("all") < 3) | (F.col("total") <= 1e-20)
+    top = F.least(F.lit(most), F.col("all") - 1)
+    weak = (F.coalesce(F.abs(r), F.lit(0.0)) < z / F.sqrt("all")).cast("int")
+    w = W.partitionBy("series_id").orderBy("lag").rowsBetween(1 - run, 0)
+    x = x.select("series_id", "lag", flat.alias("flat"), top.alias("top"), weak.alias("weak")).where("lag between 1 and top or flat")
+    streak = F.sum(F.when(F.col("lag") > 0, F.col("weak"))).over(w)
+    found = x.withColumn("streak", streak).groupBy("series_id").agg(F.first("flat").alias("flat"), F.min(F.when(F.col("streak") == run, F.col("lag") - run + 1)).alias("depth"), F.first("top").alias("top"))
+    depth = F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce("depth", "top")))
+    return found.select("series_id", F.when(F.col("flat"), least).otherwise(depth).cast("long").alias("depth"))
 
 
 def pacf(series: DataFrame, lags: int, of: str) -> DataFrame:
-    """(series_id, lag, pacf) by Yule-Walker with biased autocovariances: sums in Spark, the recursion over ``lags`` numbers for each series afterwards."""
-    mean = series.groupBy("series_id").agg(F.avg(of).alias("m"))
-    v = series.where(F.col(of).isNotNull()).join(mean, "series_id").select("series_id", "slot", (F.col(of) - F.col("m")).alias("y"))
-    ahead = v.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).select("series_id", (F.col("slot") + F.col("lag")).alias("slot"), F.col("y").alias("x"), "lag")
-    sums = v.join(ahead, ["series_id", "slot"]).groupBy("series_id", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
+    """(series_id, lag, pacf) by Yule-Walker with biased autocovariances: sums by ``lag_sums``, the recursion over ``lags`` numbers for each series afterwards; null for a series that doesn't vary."""
+    sums = lag_sums(series, lags, of).select("series_id", "lag", F.col("xy").alias("c"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.sort_values("lag")["c"].to_numpy(float)
-        r, phi, out = c / c[0], np.zeros(0), []
+        r, phi, out = c / c[0] if c[0] > 1e-20 else np.full(len(c), np.nan), np.zeros(0), []
         for k in range(1, len(r)):
             last = (r[k] - phi @ r[k - 1 : 0 : -1]) / (1 - phi @ r[1:k]) if k > 1 else r[1]
             phi = np.append(phi - last * phi[::-1], last)
             out.append((pdf["series_id"].iloc[0], k, float(last)))
         return pd.DataFrame(out, columns=["series_id", "lag", "pacf"])
 
-    return sums.groupBy("series_id").applyInPandas(lambda pdf: solve(pdf), f"series_id {series.schema['series_id'].dataType.simpleString()}, lag long, pacf double")
+    kind = series.schema["series_id"].dataType.simpleString()
+    return sums.groupBy("series_id").applyInPandas(lambda pdf: solve(pdf), f"series_id {kind}, lag long, pacf double").withColumn("pacf", F.nanvl("pacf", F.lit(None).cast("double")))
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:

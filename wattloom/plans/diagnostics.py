@@ -277,7 +277,16 @@ def acf_depth(spark, d):
     return stats.acf_depth(dense(spark, d), TARGET).drop("series_id")
 
 
-@query()
+PACF = (
+    FILL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", v AS (SELECT slot, filled - (SELECT avg(filled) FROM filled) AS y FROM filled), c AS (SELECT k, sum(a.y * b.y) AS c FROM (SELECT unnest(range(49)) AS k) x, v a JOIN v b ON a.slot = b.slot + k GROUP BY k),"
+    + " r AS (SELECT list(c.c / o.c ORDER BY c.k) AS r FROM c, c o WHERE o.k = 0),"
+    + " d(k, phi, last_) AS (SELECT 1, [r[2]], r[2] FROM r UNION ALL SELECT k + 1, list_concat(list_transform(phi, lambda x, i: x - l * phi[k + 1 - i]), [l]), l FROM"
+    + " (SELECT k, phi, (r[k + 2] - list_sum(list_transform(phi, lambda x, i: x * r[k + 2 - i]))) / (1 - list_sum(list_transform(phi, lambda x, i: x * r[i + 1]))) AS l FROM d, r WHERE k < 48) x)"
+)
+
+
+@query(PACF + " SELECT CAST(k AS BIGINT) AS lag, round(last_, 6) AS pacf FROM d")
 def pacf(spark, d):
     return rounded(stats.pacf(fx.interpolate(dense(spark, d)), 48, "filled").drop("series_id"))
 

@@ -286,3 +286,100 @@ def test_partial_autocorrelation_by_normal_equations(spark):
         gram = np.array([[c[abs(i - j)] for j in range(k)] for i in range(k)])
         assert math.isclose(np.linalg.solve(gram, np.array(c[1 : k + 1]))[-1], got["0", k], abs_tol=1e-9)
         assert got["flat", k] is None
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_all_resolutions_are_folded_from_one_read(spark, tmp_path):
+    rng = random.Random(3)
+    loads = [None if rng.random() < 0.3 else rng.uniform(0, 9) for _ in range(4000)]
+    b = seconds(spark, loads[:2500]).union(seconds(spark, loads[2500:], label="half").withColumn("timestamp", F.expr("timestamp + interval 3 hours")))
+    b.write.parquet(str(tmp_path / "bronze"))
+    b = spark.read.parquet(str(tmp_path / "bronze"))
+    steps = [1, 5, 10, 30, 60, 300, 600, 900]
+    every = fx.grid(fx.folded(fx.states(b, 1), 1, steps))
+    assert scans(every.groupBy("step").count()) == 1
+    for step in (5, 60, 900):
+        want = {r["slot"]: (r["avg_load"], r["day_class"]) for r in fx.grid(fx.resample(b, step), step).collect()}
+        got = {r["slot"]: (r["avg_load"], r["day_class"]) for r in every.where(F.col("step") == step).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][1] == want[k][1] and (got[k][0] is None) == (want[k][0] is None) and (want[k][0] is None or math.isclose(got[k][0], want[k][0])) for k in want)
+    with pytest.raises(ValueError):
+        fx.folded(fx.states(b, 60), 60, [60, 90])
+
+
+def wide_table(spark, days=3, rows=6):
+    names = [f"2025-01-0{i + 1}" for i in range(days)]
+    data = [(s, *[float(s + 10 * i) if (s, i) != (0, 0) else None for i in range(days)]) for s in range(rows)]
+    wide = spark.createDataFrame(data, "second_of_day int, " + ", ".join(f"`{n}` double" for n in names))
+    return wide, spark.createDataFrame(list(zip(names, [" Full", "half", "none"][:days], strict=True)), "date string, day_class string")
+
+
+def test_stages_from_the_raw_table(spark, tmp_path):
+    s = Settings(lags=(1, 2), rolling=(2,), slopes=(2,), feature_sets={"few": ("hour", "lag_1")}, splits={"train": (1, 1), "validate": (2, 2), "test": (3, 3)})
+    raw, root = wide_table(spark), str(tmp_path)
+    opts = {"mode": "custom", "custom": ["1s", "60s"], "settings": s, "rows": 6}
+    made, seen = pipeline.run(spark, root, "bronze", raw, **opts)
+    assert set(made) == {"bronze"} and seen["bronze"]["rows"] == 18 and seen["bronze"]["n_null"] == 1 and seen["bronze"]["high"] == 25.0
+    made, seen = pipeline.run(spark, root, "silver", **opts)
+    assert set(made) == {"silver/1s", "silver/1min"} and seen["silver/1s"]["rows"] == 2 * 86400 + 6 and seen["states"]["warn"]
+    made, seen = pipeline.run(spark, root, ["model", "gold"], **opts)
+    assert set(made) == {"gold/1s", "gold/1min", "model/1s/few", "model/1min/few"} and seen["gold/1s"]["before"] == 2 * 86400 + 6 and seen["gold/1s"]["rows"] == 17
+    m = seen["model/1s/few"]
+    assert [m[f"{k}_rows"] for k in s.splits] == [5, 6, 6] and m["train_null_lag_1"] == 1 and m["test_mean"] == 22.5 and m["train_first"] == T0 + dt.timedelta(seconds=1)
+    assert {r["split"]: r["n"] for r in made["model/1s/few"].groupBy("split").agg(F.count("*").alias("n")).collect()} == {"train": 5, "validate": 6, "test": 6}
+    assert pipeline.run(spark, root, "all", raw, dry_run=True, **opts) == ({}, {})
+    for wrong in ("x", ["bronze", "nope"]):
+        with pytest.raises(ValueError):
+            pipeline.run(spark, root, wrong, raw, **opts)
+    with pytest.raises(ValueError):
+        pipeline.run(spark, root, "all", raw, mode="custom", custom=["999min"])
+    with pytest.raises(ValueError):
+        pipeline.run(spark, root, "bronze", **opts)
+
+
+def test_each_layer_is_written_by_one_execution(spark, tmp_path):
+    """The guards take no pass of their own; the day order of a model set is the only other thing that is read."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    s = Settings(lags=(1,), rolling=(2,), slopes=(2,), feature_sets={"few": ("hour", "lag_1")})
+    b = seconds(spark, [float(i) for i in range(200)], step=900)
+    before = store.executionsCount()
+    made = pipeline.build_all(b, str(tmp_path), "custom", ["15min", "5min"], None, s)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert store.executionsCount() - before == 1 + len(made)  # the bins' sums, and each layer
+
+
+FAULTS = {
+    "rows": lambda w, x: (w.where("second_of_day > 0"), x),
+    "repeated seconds": lambda w, x: (w.withColumn("second_of_day", F.lit(1)), x),
+    "no days": lambda w, x: (w.select("second_of_day"), x),
+    "not numbers": lambda w, x: (w.withColumn("2025-01-02", F.lit("x")), x),
+    "unknown class": lambda w, x: (w, x.withColumn("day_class", F.lit("holiday"))),
+    "null class": lambda w, x: (w, x.withColumn("day_class", F.lit(None).cast("string"))),
+    "a label short": lambda w, x: (w, x.where("date <> '2025-01-02'")),
+    "repeated dates": lambda w, x: (w, x.where("date <> '2025-01-02'").union(x.where("date = '2025-01-01'"))),
+    "another date": lambda w, x: (w, x.withColumn("date", F.when(F.col("date") == "2025-01-02", "2025-02-02").otherwise(F.col("date")))),
+    "no load": lambda w, x: (w.select("second_of_day", *[F.lit(None).cast("double").alias(c) for c in w.columns[1:]]), x),
+}
+
+
+@pytest.mark.parametrize("fault", list(FAULTS))
+def test_faults_of_the_raw_table_stop_the_run(spark, tmp_path, fault):
+    with pytest.raises(ValueError):
+        pipeline.run(spark, str(tmp_path), "bronze", FAULTS[fault](*wide_table(spark)), rows=6)
+    assert not (tmp_path / "silver").exists()
+
+
+def test_infinite_loads_and_days_without_any(spark, tmp_path):
+    w, x = wide_table(spark)
+    w = w.withColumn("2025-01-02", F.lit(float("inf"))).withColumn("2025-01-03", F.lit(-1.0))
+    seen = pipeline.run(spark, str(tmp_path), "bronze", (w, x), rows=6)[1]["bronze"]
+    assert seen["n_null"] == 7 and seen["n_implausible"] == 6 and seen["n_there"] == 11
+
+
+def test_splits_must_follow_each_other():
+    with pytest.raises(ValueError):
+        pipeline.guard_splits({"a_from": 1, "a_to": 5, "b_from": 5, "b_to": 9}, ["a", "b"])
+    pipeline.guard_splits({"a_from": 1, "a_to": 5, "b_from": None, "b_to": None, "c_from": 6, "c_to": 9}, ["a", "b", "c"])

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..plans.settings import TARGET, Settings
+from ..plans.settings import DAY_CLASSES, TARGET, Settings
 
 #: Slots in a chunk at least; more than the history keeps copies below half of the rows.
 CHUNK = 4320
@@ -28,18 +28,53 @@ def resample(bronze: DataFrame, step: int) -> DataFrame:
     return g.agg(F.when(F.abs(mean) < float("inf"), mean).alias(TARGET), F.min_by("day_class", F.when(F.col("day_class").isNotNull(), ts)).alias("day_class"))
 
 
-def grid(binned: DataFrame, step: int, classes: bool = True) -> DataFrame:
-    """Every slot from a series' first bin to its last; missing ones have a null load and, with ``classes``, the class that the series has on their date (null: none)."""
-    ends = binned.groupBy("series_id").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
+def states(bronze: DataFrame, step: int, allowed: tuple[str, ...] = tuple(DAY_CLASSES)) -> DataFrame:
+    """(series_id, slot, n_rows, n, total, first, n_bad, bad) of bins of ``step`` seconds: sums that can be added up to those of any coarser bins.
+
+    n and total: the loads that are there; first: the first class and its time; n_bad: rows whose class is unknown or missing, bad: the
+    least unknown one.
+    """
+    ts, known = F.col("timestamp"), F.coalesce(F.col("day_class").isin(*allowed), F.lit(False))
+    g = bronze.groupBy("series_id", calendar.slot(ts, step).alias("slot"))
+    return g.agg(
+        F.count("*").alias("n_rows"),
+        F.count("load").alias("n"),
+        F.sum("load").alias("total"),
+        F.min(F.when(F.col("day_class").isNotNull(), F.struct(ts.alias("at"), F.col("day_class").alias("class")))).alias("first"),
+        F.count_if(~known).alias("n_bad"),
+        F.min(F.when(~known, F.col("day_class"))).alias("bad"),
+    )
+
+
+def folded(parts: DataFrame, fine: int, steps: list[int]) -> DataFrame:
+    """(series_id, step, slot, avg_load, day_class): ``resample`` for each of ``steps``, from the ``states`` of bins of ``fine`` seconds.
+
+    ``fine`` must divide every step. All resolutions are added up in one pass over the states; the bronze layer isn't read again.
+    """
+    if wrong := [s for s in steps if s % fine]:
+        raise ValueError(f"{wrong} are no multiples of {fine}")
+    x = parts.withColumn("step", F.explode(F.array(*map(F.lit, steps))))
+    g = x.groupBy("series_id", "step", F.floor(F.col("slot") * fine / F.col("step")).cast("long").alias("slot"))
+    mean = F.sum("total") / F.nullif(F.sum("n"), F.lit(0))
+    return g.agg(F.when(F.abs(mean) < float("inf"), mean).alias(TARGET), F.min("first")["class"].alias("day_class"))
+
+
+def grid(binned: DataFrame, step: int | None = None, classes: bool = True) -> DataFrame:
+    """Every slot from a series' first bin to its last; missing ones have a null load and, with ``classes``, the class that the series has on their date (null: none).
+
+    Without ``step`` the bins of several resolutions lie in ``binned``, told apart by its column step, and each has its own grid.
+    """
+    keys, size = (["series_id"], F.lit(step)) if step else (["series_id", "step"], F.col("step"))
+    ends = binned.groupBy(*keys).agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
     # one row for each chunk first, so that a long series is unrolled by many tasks
-    parts = ends.select("series_id", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / CHUNK), F.floor(F.col("b") / CHUNK))).alias("c")).repartition("series_id", "c")
-    slots = parts.select("series_id", F.explode(F.sequence(F.greatest("a", F.col("c") * CHUNK), F.least("b", F.col("c") * CHUNK + CHUNK - 1))).alias("slot"))
-    out = slots.join(binned, ["series_id", "slot"], "left").withColumn("timestamp", calendar.start(F.col("slot"), step))
+    parts = ends.select(*keys, "a", "b", F.explode(F.sequence(F.floor(F.col("a") / CHUNK), F.floor(F.col("b") / CHUNK))).alias("c")).repartition(*keys, "c")
+    slots = parts.select(*keys, F.explode(F.sequence(F.greatest("a", F.col("c") * CHUNK), F.least("b", F.col("c") * CHUNK + CHUNK - 1))).alias("slot"))
+    out = slots.join(binned, [*keys, "slot"], "left").withColumn("timestamp", calendar.start(F.col("slot"), size))
     if not classes:
         return out
-    date = F.floor(F.col("slot") * step / 86400)
-    days = binned.where("day_class is not null").groupBy("series_id", date.alias("day")).agg(F.min_by("day_class", "slot").alias("of_day"))
-    return out.withColumn("day", date).join(days, ["series_id", "day"], "left").withColumn("day_class", F.coalesce("day_class", "of_day")).drop("day", "of_day")
+    date = F.floor(F.col("slot") * size / 86400)
+    days = binned.where("day_class is not null").groupBy(*keys, date.alias("day")).agg(F.min_by("day_class", "slot").alias("of_day"))
+    return out.withColumn("day", date).join(days, [*keys, "day"], "left").withColumn("day_class", F.coalesce("day_class", "of_day")).drop("day", "of_day")
 
 
 def chunked(df: DataFrame, history: int, make: Callable[[DataFrame, WindowSpec], DataFrame], chunk: int = CHUNK) -> DataFrame:
@@ -116,8 +151,12 @@ LONG = 240
 
 def silver(bronze: DataFrame, step: int, settings: Settings | None = None, chunk: int = CHUNK) -> DataFrame:
     """Bronze to silver at a resolution of ``step`` seconds: series_id, slot and the columns of the schema."""
+    return silver_of(grid(resample(bronze, step), step), settings, chunk)
+
+
+def silver_of(dense: DataFrame, settings: Settings | None = None, chunk: int = CHUNK) -> DataFrame:
+    """The features of a dense grid: series_id, slot and the columns of the schema."""
     s = settings or Settings()
-    dense = grid(resample(bronze, step), step)
 
     def make(df: DataFrame, w: WindowSpec) -> DataFrame:
         df = prefix_sums(df, w).withColumn("pos", (F.col("slot") - F.col("chunk") * chunk).cast("double"))
@@ -193,11 +232,16 @@ def split(df: DataFrame, settings: Settings | None = None) -> DataFrame:
 def model_dataset(gold_: DataFrame, feature_set: str, settings: Settings | None = None) -> DataFrame:
     """Metadata, target and a feature set, by split; rows without target go."""
     s = settings or Settings()
+    return split(gold_, s).select("split", *model_columns(gold_, feature_set, s)).na.drop(subset=[TARGET])
+
+
+def model_columns(gold_: DataFrame, feature_set: str, s: Settings) -> list[str]:
+    """Metadata, target and the columns of a feature set; ValueError where the set is unknown, or holds the target or what ``gold_`` lacks."""
     if feature_set not in s.sets():
         raise ValueError(f"unknown feature set {feature_set!r}")
     columns = list(dict.fromkeys(["timestamp", "day_class", TARGET, *s.sets()[feature_set]]))
     missing = [c for c in columns if c not in gold_.columns]
     if missing or TARGET in s.sets()[feature_set]:
         raise ValueError(f"feature set {feature_set!r} holds the target or columns that are missing: {missing}")
-    return split(gold_, s).select("split", *columns).na.drop(subset=[TARGET])
+    return columns
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from math import gcd
 from statistics import NormalDist
 
 from pyspark.sql import Window as W
@@ -106,20 +107,24 @@ def resolution_fidelity(spark, d):
     return x.agg(F.count("*").alias("n"), r6(F.avg(F.abs(F.col("fine") - F.col("coarse")))).alias("mean_abs_diff"), r6(F.corr("fine", "coarse")).alias("r"), r6(F.corr("fine", "coarse") * F.corr("fine", "coarse")).alias("r2"))
 
 
+def folded(spark, d, steps):
+    """Bins of several resolutions, folded from those of the finest step that divides all."""
+    fine = gcd(*steps)
+    return fx.folded(fx.states(bronze(spark, d), fine), fine, steps)
+
+
 def hours_of(step: int) -> str:
     return f", h{step} AS (SELECT CAST(floor(slot * {step} / 3600.0) AS BIGINT) AS h, avg(v) AS v FROM (SELECT CAST(floor(sec / {step}.0) AS BIGINT) AS slot, avg(load) AS v FROM bronze GROUP BY 1) x GROUP BY 1)"
 
 
 @query(B + "".join(map(hours_of, (60, 300, 600, 900))) + " " + " UNION ALL ".join(f"SELECT {a} AS fine, {b} AS coarse, count(*) AS n, round(avg(abs(x.v - y.v)), 6) AS mean_abs_diff, round(corr(x.v, y.v), 6) AS r, round(corr(x.v, y.v) * corr(x.v, y.v), 6) AS r2 FROM h{a} x JOIN h{b} y ON x.h = y.h WHERE x.v IS NOT NULL AND y.v IS NOT NULL" for a, b in ((60, 300), (300, 600), (600, 900))))
 def adjacent_fidelity(spark, d):
-    """Hourly means of each default resolution against those of the next coarser one."""
+    """Hourly means of each default resolution against those of the next coarser one, all from one read."""
     steps = [RESOLUTIONS[x] for x in DEFAULTS]
-    hours = {s: fx.resample(bronze(spark, d), s).groupBy("series_id", F.floor(F.col("slot") * s / 3600).alias("h")).agg(F.avg(TARGET).alias("v")).where("v is not null") for s in steps}
-    pairs = []
-    for a, b in zip(steps, steps[1:], strict=False):
-        x = hours[a].withColumnRenamed("v", "x").join(hours[b].withColumnRenamed("v", "y"), ["series_id", "h"])
-        pairs.append(x.agg(F.lit(a).alias("fine"), F.lit(b).alias("coarse"), F.count("*").alias("n"), r6(F.avg(F.abs(F.col("x") - F.col("y")))).alias("mean_abs_diff"), r6(F.corr("x", "y")).alias("r"), r6(F.corr("x", "y") * F.corr("x", "y")).alias("r2")))
-    return src.union_all(pairs)
+    v = folded(spark, d, steps).groupBy("series_id", F.floor(F.col("slot") * F.col("step") / 3600).alias("h")).pivot("step", steps).agg(F.avg(TARGET))
+    pairs = F.array(*[F.struct(F.lit(a).alias("fine"), F.lit(b).alias("coarse"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for a, b in zip(steps, steps[1:], strict=False)])
+    x = v.select(F.explode(pairs).alias("p")).select("p.*").na.drop(subset=["x", "y"])
+    return x.groupBy("fine", "coarse").agg(F.count("*").alias("n"), r6(F.avg(F.abs(F.col("x") - F.col("y")))).alias("mean_abs_diff"), r6(F.corr("x", "y")).alias("r"), r6(F.corr("x", "y") * F.corr("x", "y")).alias("r2"))
 
 
 @query(GC + ", q AS (SELECT CAST(floor(slot / 4.0) AS BIGINT) AS hour_slot, avg(avg_load) AS of_means, count(avg_load) AS k FROM g GROUP BY 1)" + grid_sql(3600, "hgrid", "hbins") + " SELECT count(*) AS n, round(max(abs(of_means - avg_load)), 6) AS worst FROM q JOIN hgrid h ON q.hour_slot = h.slot WHERE k = 4")
@@ -131,8 +136,11 @@ def resolution_consistency(spark, d):
 
 @query(" UNION ALL ".join(f"SELECT * FROM (WITH {(GC if s == STEP else B + grid_sql(s) + ', g AS (SELECT slot, timestamp, avg_load FROM grid)')[5:]} SELECT {s} AS step, count(*) AS n_rows, CAST(44 AS INTEGER) AS n_columns, count(*) - count(avg_load) AS n_null, min(timestamp) AS first_ts, max(timestamp) AS last_ts FROM g) x" for s in (60, 300, 600, 900)))
 def resolution_summary(spark, d):
-    """The default resolutions; columns are those of their silver tables."""
-    return src.union_all([dense(spark, d, s).agg(F.lit(s).alias("step"), F.count("*").alias("n_rows"), F.lit(len(Settings().columns())).alias("n_columns"), (F.count("*") - F.count(TARGET)).alias("n_null"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")) for s in (RESOLUTIONS[x] for x in DEFAULTS)])
+    """The default resolutions, all from one read; columns are those of their silver tables."""
+    steps = [RESOLUTIONS[x] for x in DEFAULTS]
+    made = silver(spark, d).drop("series_id", "slot")
+    g = fx.grid(folded(spark, d, steps), classes=False).groupBy("step")
+    return g.agg(F.count("*").alias("n_rows"), F.lit(len(made.columns)).alias("n_columns"), (F.count("*") - F.count(TARGET)).alias("n_null"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
 
 
 BOX = DAILY + ", q AS (SELECT day_class, quantile_cont(mean_load, 0.25) AS q1, quantile_cont(mean_load, 0.5) AS q2, quantile_cont(mean_load, 0.75) AS q3 FROM daily GROUP BY day_class)"

@@ -105,7 +105,7 @@ def unpivot_days(spark, d):
 
 @query(B + " SELECT timestamp, day_class, load FROM bronze")
 def write_roundtrip(spark, d):
-    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/layer-{spark.sparkContext.applicationId}"
+    path = f"{src.shared_dir(spark)}/layer-{spark.sparkContext.applicationId}"
     src.write_layer(bronze(spark, d).select("day_class", "timestamp", "load"), path, ("day_class",))
     return spark.read.parquet(path).select("timestamp", "day_class", "load")
 
@@ -378,13 +378,57 @@ set_query("curated", ("workday", "hour", "season", "time_of_day", "lag_1", "lag_
 @query(SPLITS + " SELECT 'silver' AS layer, count(*) AS n_rows FROM silver UNION ALL SELECT 'gold', count(*) FROM parts UNION ALL SELECT 'model/' || split, count(*) FROM parts GROUP BY split")
 def whole_run(spark, d):
     """Bronze to model datasets by the whole run, written layer by layer; the rows of each."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/run-{uuid.uuid4().hex}"
+    root = f"{src.shared_dir(spark)}/run-{uuid.uuid4().hex}"
     made = pipeline.build_all(bronze(spark, d).select("series_id", "timestamp", "day_class", "load"), root, "custom", ["15min"], ["minimal"])
     rows = [made[k].agg(F.lit(k.split("/")[0]).alias("layer"), F.count("*").alias("n_rows")) for k in ("silver/15min", "gold/15min")]
     model = made["model/15min/minimal"].groupBy(F.concat(F.lit("model/"), "split").alias("layer")).agg(F.count("*").alias("n_rows"))
     return src.union_all([*rows, model])
 
 
+RAW_RUN = (
+    B + ", raw AS (SELECT date, hour, avg(load) AS load FROM bronze GROUP BY 1, 2), cells AS (SELECT d.date, CAST(h AS BIGINT) AS hour, load, CAST(epoch(d.date + to_hours(CAST(h AS BIGINT))) AS BIGINT) // 900 AS slot FROM (SELECT DISTINCT date FROM bronze) d CROSS JOIN range(24) t(h) LEFT JOIN raw r ON r.date = d.date AND r.hour = h),"
+    + " kept AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM cells WHERE load IS NOT NULL) x), parts AS (SELECT CASE WHEN k <= 25 THEN 'train' WHEN k <= 28 THEN 'validate' WHEN k <= 31 THEN 'test' END AS split FROM cells JOIN kept USING (date) WHERE load IS NOT NULL)"
+    + " SELECT 'bronze' AS layer, count(*) AS n_rows, count(*) - count(load) AS n_null FROM cells UNION ALL SELECT 'silver', max(slot) - min(slot) + 1, max(slot) - min(slot) + 1 - count(load) FROM cells UNION ALL SELECT 'gold', count(load), CAST(0 AS BIGINT) FROM cells UNION ALL SELECT 'model/' || split, count(*), CAST(0 AS BIGINT) FROM parts WHERE split IS NOT NULL GROUP BY split"
+)
+
+
+@query(RAW_RUN)
+def raw_run(spark, d):
+    """All stages from a wide raw table, an hour to a row, and its labels; what was watched of each layer as it was written."""
+    root = f"{src.shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    wide = wide_hours(spark, d).withColumn("second_of_day", F.col("hour_of_day") * 3600).drop("hour_of_day")
+    labels = bronze(spark, d).select("date", F.upper("day_class").alias("day_class")).distinct()
+    _, seen = pipeline.run(spark, root, "all", (wide, labels), None, "custom", ["15min"], ["minimal"], rows=24)
+    b, s, g, m = (seen[k] for k in ("bronze", "silver/15min", "gold/15min", "model/15min/minimal"))
+    rows = [("bronze", b["rows"], b["n_null"]), ("silver", s["rows"], s["rows"] - s["n_target"]), ("gold", g["rows"], 0)]
+    rows += [(f"model/{k}", m[f"{k}_rows"], m[f"{k}_null_day_class"]) for k in Settings().splits if m[f"{k}_rows"]]
+    return spark.createDataFrame(rows, "layer string, n_rows long, n_null long")
+
+
+@query(SPLITS + ", x AS (SELECT split, CAST(timestamp AS DATE) AS date FROM parts), s AS (SELECT split, min(date) AS a, max(date) AS b, count(DISTINCT date) AS n FROM x GROUP BY split) SELECT p.split AS before, q.split AS after, p.n AS days_before, q.n AS days_after, (SELECT count(*) FROM (SELECT date FROM x WHERE split = p.split INTERSECT SELECT date FROM x WHERE split = q.split) y) AS shared, p.b < q.a AS in_order FROM s p JOIN s q ON p.a < q.a")
+def split_order(spark, d):
+    """For each two splits how many dates they share, and whether the earlier one ends before the later one begins."""
+    x = fx.split(fx.gold(silver(spark, d))).groupBy("split", "date").count()
+    s = x.groupBy("split").agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count("*").alias("n"), F.collect_set("date").alias("dates"))  # three rows
+    p, q = (s.withColumnsRenamed({c: f"{c}_{k}" for c in s.columns}) for k in "pq")
+    both = p.join(F.broadcast(q), F.col("a_p") < F.col("a_q"))
+    return both.select(F.col("split_p").alias("before"), F.col("split_q").alias("after"), F.col("n_p").alias("days_before"), F.col("n_q").alias("days_after"), F.size(F.array_intersect("dates_p", "dates_q")).cast("long").alias("shared"), (F.col("b_p") < F.col("a_q")).alias("in_order"))
+
+
+CURATED = Settings().sets()["curated"]
+
+
+@query(SPLITS + " SELECT split, column_ AS \"column\", n_before, n_after, first_ts, last_ts, n_null, round(CAST(n_null AS DOUBLE) / n_after, 6) AS null_rate FROM (" + " UNION ALL ".join(f"SELECT split, '{c}' AS column_, count(*) AS n_before, count(avg_load) AS n_after, min(timestamp) AS first_ts, max(timestamp) AS last_ts, count(*) - count({c}) AS n_null FROM parts GROUP BY split" for c in CURATED) + ") x")
+def split_nulls(spark, d):
+    """Of each split of the curated set: rows before and after those without target go, its bounds in time, and every column's nulls."""
+    g = fx.split(fx.gold(silver(spark, d)))
+    kept = F.col(TARGET).isNotNull()
+    ts = F.when(kept, F.col("timestamp"))
+    x = g.groupBy("split").agg(F.count("*").alias("n_before"), F.count(TARGET).alias("n_after"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), *[F.count_if(kept & F.col(c).isNull()).alias(c) for c in CURATED])
+    long = x.unpivot(["split", "n_before", "n_after", "first_ts", "last_ts"], list(CURATED), "column", "n_null")
+    return long.withColumn("null_rate", F.round(F.col("n_null") / F.col("n_after"), 6))
+
+
 @query(SPLITS + " SELECT split, count(*) AS n_rows, round(avg(avg_load), 3) AS mean, round(stddev_samp(avg_load), 3) AS std, round(min(avg_load), 3) AS low, round(max(avg_load), 3) AS high, count(*) - count(lag_15) AS null_lag_15 FROM parts GROUP BY split")
 def split_profile(spark, d):
     x, t = fx.split(fx.gold(silver(spark, d))), F.round(F.col(TARGET), 6)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar
@@ -70,10 +70,40 @@ def build(wide: DataFrame, day_labels: DataFrame, key: str = "second_of_day") ->
     return label_join(long, day_labels).select("timestamp", "day_class", "load")
 
 
-def write_layer(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
-    """One directory for each value of ``by``; within them files hold ranges of time, sorted, so that scans prune by statistics."""
-    out = df.repartitionByRange(*by, "timestamp").sortWithinPartitions(*by, "timestamp") if by else df.repartitionByRange("timestamp").sortWithinPartitions("timestamp")
+#: Where a session names no folder and Spark runs on this machine alone.
+FALLBACK_DIR = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the session names as spark.checkpoint.dir; on a cluster there must be one, as executors don't see each other's own."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if own is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return own or FALLBACK_DIR
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Runs ``df`` once and keeps its rows in the shared folder: what follows doesn't run it again, and a lost executor costs no rerun of what lies before."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def write_layer(df: DataFrame, path: str, by: tuple[str, ...] = (), watch: dict[str, Column] | None = None, order: tuple[str, ...] = ("timestamp",), dealt: bool = False) -> dict:
+    """One directory for each value of ``by``; within them files hold ranges of ``order``, sorted, so that scans prune by statistics.
+
+    ``dealt``: rows stay in the partitions they have, as those of a layer that lies in ranges already. ``watch``: aggregates, by name, that are
+    taken of the rows as they are written, in the same job; returned with their values. They are observed in the job's last
+    stage, above every exchange, so that no row counts twice.
+    """
+    out = df if dealt else df.repartitionByRange(*by, *order)
+    out = out.sortWithinPartitions(*by, *order)
+    seen = Observation() if watch else None
+    if watch:
+        out = out.observe(seen, *[c.alias(k) for k, c in watch.items()])
     (out.write.mode("overwrite").partitionBy(*by) if by else out.write.mode("overwrite")).parquet(path)
+    return seen.get if watch else {}
 
 
 def content_hash(df: DataFrame) -> DataFrame:

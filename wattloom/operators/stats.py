@@ -25,10 +25,9 @@ def errors(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFram
     return df.groupBy(*by).agg(F.round(F.avg(F.abs(e)), 3).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 3).alias("rmse"))
 
 
-def linear_forecast(data: DataFrame, target: str, features: list[str], train: str = "train") -> DataFrame:
-    """Least squares on the rows of split ``train`` without null features; errors by split. Columns that don't vary in training are left out."""
-    data = data.na.drop(subset=[*features, target])
-    gram = co_moments(data.where(F.col("split") == train), [*features, target])
+def linear_fit(data: DataFrame, target: str, features: list[str], train: str = "train") -> Column:
+    """The least-squares fit of ``target`` on the rows of split ``train`` without null features, as a column. Columns that don't vary there are left out."""
+    gram = co_moments(data.na.drop(subset=[*features, target]).where(F.col("split") == train), [*features, target])
     rows = gram.collect()  # k * k rows
     names = [*features, target]
     cov, mean = pd.DataFrame(0.0, names, names), {}
@@ -37,10 +36,16 @@ def linear_forecast(data: DataFrame, target: str, features: list[str], train: st
         mean[r["a"]] = r["ma"]
     used = [f for f in features if cov.loc[f, f] > 1e-12]
     w = np.linalg.lstsq(cov.loc[used, used].to_numpy(), cov.loc[used, target].to_numpy(), rcond=None)[0] if used else []
-    fit = F.lit(float(mean.get(target, 0.0)))
+    fit = F.lit(float(mean.get(target) or 0.0))
     for f, k in zip(used, w, strict=True):
         fit = fit + (F.col(f) - float(mean[f])) * float(k)
-    return errors(data.select("split", F.col(target).alias("y"), fit.alias("p")), ["split"])
+    return fit
+
+
+def linear_forecast(data: DataFrame, target: str, features: list[str], train: str = "train") -> DataFrame:
+    """Least squares on the rows of split ``train`` without null features; errors by split."""
+    fit = linear_fit(data, target, features, train)
+    return errors(data.na.drop(subset=[*features, target]).select("split", F.col(target).alias("y"), fit.alias("p")), ["split"])
 
 
 def co_moments(df: DataFrame, columns: list[str]) -> DataFrame:

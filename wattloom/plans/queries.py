@@ -13,7 +13,7 @@ from ..functions import calendar
 from ..operators import features as fx
 from ..operators import stats
 from ..sources import bronze as src
-from . import pipeline
+from . import hypotheses, pipeline
 from .settings import LAGS, ROLLING, SLOPES, TARGET, Settings
 
 STEP = 900
@@ -451,25 +451,35 @@ def forecast_metrics(spark, d):
     return per.groupBy("split").agg(F.round(F.avg("peak"), 3).alias("peak_error"), F.round(F.avg("energy"), 2).alias("energy_error"))
 
 
-@query()
+def normal_sql(xs: tuple[str, str, str]) -> str:
+    """Least squares on three columns by Cramer's rule, around the means of the training rows."""
+    v = {c: f"({c} - m_{c})" for c in (*xs, "y")}
+    pairs = {f"{a}_{b}": f"sum({v[a]} * {v[b]})" for i, a in enumerate((*xs, "y")) for b in (*xs, "y")[i:]}
+    a, b, c = xs
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    gram = [[f"{a}_{a}", f"{a}_{b}", f"{a}_{c}"], [f"{a}_{b}", f"{b}_{b}", f"{b}_{c}"], [f"{a}_{c}", f"{b}_{c}", f"{c}_{c}"]]
+    right = [f"{x}_y" for x in xs]
+    weights = [f"{det([[right[i] if j == k else gram[i][j] for j in range(3)] for i in range(3)])} / {det(gram)} AS w_{x}" for k, x in enumerate(xs)]
+    fit = "m_y + " + " + ".join(f"w_{x} * {v[x]}" for x in xs)
+    return (
+        f", u AS (SELECT split, avg_load AS y, {', '.join(f'CAST({x} AS DOUBLE) AS {x}' for x in xs)} FROM parts WHERE {' AND '.join(f'{x} IS NOT NULL' for x in xs)}),"
+        f" mean AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in v)} FROM u WHERE split = 'train'), s AS (SELECT {', '.join(f'{e} AS {k}' for k, e in pairs.items())} FROM u, mean WHERE split = 'train'),"
+        f" w AS (SELECT {', '.join(weights)} FROM s), f AS (SELECT split, y, {fit} AS p FROM u, mean, w) "
+    )
+
+
+@query(SPLITS + normal_sql(("workday", "hour", "lag_1")) + PEAK.format("f"))
 def linear_metrics(spark, d):
-    return stats.linear_forecast(fx.model_dataset(fx.gold(silver(spark, d)), "minimal"), TARGET, list(Settings().sets()["minimal"]))
+    x = rounded(fx.model_dataset(fx.gold(silver(spark, d)), "minimal"))
+    return stats.linear_forecast(x, TARGET, list(Settings().sets()["minimal"]))
 
 
 @query()
 def hypothesis_table(spark, d):
-    g = fx.gold(silver(spark, d))
-    sets = Settings().sets()
-    arms = {"persistence": None, "minimal": sets["minimal"], "temporal": sets["temporal"], "curated": sets["curated"]}
-    s = Settings(feature_sets={k: v or ("lag_1",) for k, v in arms.items()})
-    frames = []
-    for arm, columns in arms.items():
-        data = fx.model_dataset(g, arm, s)
-        one = stats.linear_forecast(data, TARGET, list(columns)) if columns else stats.errors(data.where("lag_1 is not null").select("split", F.col(TARGET).alias("y"), F.col("lag_1").alias("p")), ["split"])
-        frames.append(one.where("split = 'validate'").withColumn("arm", F.lit(arm)))
-    base = frames[0].select(F.col("mae").alias("base"))
-    table = src.union_all(frames).crossJoin(F.broadcast(base))  # one row
-    return table.select("arm", "mae", "rmse", F.round(100 * (F.col("mae") / F.col("base") - 1), 2).alias("change_pct"), (F.col("mae") <= F.col("base") * 0.9).alias("reaches_target"))
+    """The three hypotheses on gold tables of one and five minutes, both folded from one table of bins."""
+    parts = src.settled(fx.states(bronze(spark, d), 60))
+    gold = {step: src.settled(fx.gold(fx.silver_of(fx.grid(fx.folded(parts, 60, [step]).drop("step"), step)))) for step in (60, 300)}
+    return hypotheses.table(gold)
 
 
 @query(B + " SELECT timestamp, day_class, round(load, 6) AS load FROM (SELECT date + to_hours(hour) AS timestamp, min(day_class) AS day_class, avg(load) AS load FROM bronze GROUP BY date, hour) x")

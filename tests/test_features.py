@@ -109,20 +109,20 @@ def test_outlier_bounds_and_bins(spark):
     assert stats.optimal_bins(d.where("v > 1000"), "v").first()[0] == 10
 
 
-@pytest.mark.parametrize("bins", [1, 3, 4096])
-def test_quantiles_are_exact_however_many_bins(spark, bins):
+@pytest.mark.parametrize("bins", [5, 16, 32])
+def test_quantiles_are_exact_by_any_number_of_bits(spark, bins):
     draw = random.Random(7)
     rows = [(g, draw.choice([None, 0.0, 1.5, draw.uniform(-5, 5), draw.expovariate(0.01)])) for g in ("a", "b", None) for _ in range(300)]
-    rows += [("one", 3.25), ("same", 2.0), ("same", 2.0), ("none", None), ("wide", float("inf")), ("wide", 1.0), ("wide", -7.0)]
+    rows += [("one", 3.25), ("same", 2.0), ("same", 2.0), ("none", None), ("wide", float("inf")), ("wide", 1.0), ("wide", -7.0), ("zeros", -0.0), ("zeros", 0.0), ("zeros", -1e-300), ("nan", float("nan")), ("nan", 2.0), ("nan", -1e300)]
     d, ps = spark.createDataFrame(rows, "g string, v double"), [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
     exact = F.percentile(F.col("v"), F.array(*map(F.lit, ps)))
     want = {r["g"]: r["q"] or [None] * len(ps) for r in d.groupBy("g").agg(exact.alias("q")).collect()}
     got = {r["g"]: r["q"] for r in stats.quantiles(d, "v", ps, ["g"], bins).collect()}
     assert got.keys() == want.keys()
     assert all(got[g] == pytest.approx(want[g], nan_ok=True) for g in want if g != "none") and got["none"] == [None] * len(ps)
-    finite = d.where("g <> 'wide'")
-    assert stats.quantiles(finite, "v", ps, bins=bins).first()["q"] == pytest.approx(finite.agg(exact).first()[0])
-    assert stats.quantiles(d.where("false"), "v", ps, bins=bins).first()["q"] == [None] * len(ps)
+    finite = d.where("g not in ('wide', 'nan')")
+    assert stats.quantiles(finite, "v", ps, digit=bins).first()["q"] == pytest.approx(finite.agg(exact).first()[0])
+    assert stats.quantiles(d.where("false"), "v", ps, digit=bins).first()["q"] == [None] * len(ps)
     assert stats.quantiles(d.where("false"), "v", ps, ["g"], bins).isEmpty()
 
 
@@ -383,3 +383,106 @@ def test_splits_must_follow_each_other():
     with pytest.raises(ValueError):
         pipeline.guard_splits({"a_from": 1, "a_to": 5, "b_from": 5, "b_to": 9}, ["a", "b"])
     pipeline.guard_splits({"a_from": 1, "a_to": 5, "b_from": None, "b_to": None, "c_from": 6, "c_to": 9}, ["a", "b", "c"])
+
+
+def test_far_outliers_leave_no_crowded_bin(spark):
+    """A million values near 1 and one of 1e12: no task sorts them, and no more than the digits' counts come out of a round."""
+    d = spark.range(1_000_000).select((1 + F.col("id") / 1e9).alias("v")).union(spark.createDataFrame([(1e12,)], "v double"))
+    q = stats.quantiles(d, "v", [0.0, 0.5, 1.0])
+    assert q.first()["q"] == pytest.approx([1.0, 1 + 500_000 / 1e9, 1e12], rel=1e-15)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") >= 4 and "percentile" not in plan
+
+
+def test_ranks_over_all_rows_without_a_window_over_them(spark):
+    d = spark.range(5000).select(F.xxhash64("id").alias("h"), "id").repartition(7)
+    x = stats.ranked(d, ["h"], "n")
+    rows = x.collect()
+    assert [r["h"] for r in sorted(rows, key=lambda r: r["n"])] == sorted(r["h"] for r in rows) and {r["n"] for r in rows} == set(range(1, 5001))
+    assert stats.ranked(d.where("false"), ["h"]).isEmpty()
+
+
+def test_time_that_goes_back(spark):
+    v = [1, 2, 3, 2, 5, 4, 9]
+    d = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)] + [("b", i, i) for i in range(9)], "series_id string, slot long, t long")
+    assert [tuple(r) for r in stats.going_back(d, "t").collect()] == [("a", 2, 3, 3, 2)]
+
+
+def test_manifests_tell_what_differs(spark):
+    rows = [("x", i, i / 3, None if i % 4 == 0 else "s") for i in range(40)] + [("y", 1, 2.0, "t"), (None, 1, -0.0, "t")]
+    d = spark.createDataFrame(rows, "part string, a int, v double, s string")
+    other = d.repartition(5).withColumn("v", F.when(F.col("part") == "y", F.col("v") + 1e-12).otherwise(F.col("v") + 0.0))
+    assert {r["part"]: (r["n_rows"], r["n_other"], r["equal"]) for r in src.compared(src.manifest(d, ["part"]), src.manifest(other, ["part"]), ["part"]).collect()} == {"x": (40, 40, True), "y": (1, 1, True), None: (1, 1, True)}
+    wrong = d.where("not (part = 'y')").withColumn("s", F.when((F.col("a") == 3) & (F.col("part") == "x"), None).otherwise(F.col("s"))).union(spark.createDataFrame([("z", 1, 1.0, "u")], d.schema))
+    got = {r["part"]: (r["n_rows"], r["n_other"], r["equal"]) for r in src.compared(src.manifest(d, ["part"]), src.manifest(wrong, ["part"]), ["part"]).collect()}
+    assert got == {"x": (40, 40, False), "y": (1, 0, False), "z": (0, 1, False), None: (1, 0, False)}
+
+
+def test_normal_order_medians(spark):
+    n = 200
+    x = spark.range(1, n + 1).select(F.col("id").cast("double").alias("i")).select("i", stats.normal_value(stats.filliben(F.lit(float(n)), F.col("i"))).alias("z"))
+    for r in x.collect():
+        i = int(r["i"])
+        p = 0.5 ** (1 / n) if i == n else 1 - 0.5 ** (1 / n) if i == 1 else (i - 0.3175) / (n + 0.365)
+        assert math.isclose(r["z"], statistics.NormalDist().inv_cdf(p), abs_tol=1e-8)
+    d = spark.createDataFrame([(i, statistics.NormalDist(3, 2).inv_cdf((i + 0.5) / 99)) for i in range(99)] + [(99, None)], "slot long, v double")
+    r = stats.qq_sample(d, "v", ["slot"]).first()
+    assert math.isclose(r["slope"], 2, rel_tol=0.02) and math.isclose(r["intercept"], 3, rel_tol=0.01) and r["r2"] > 0.999
+
+
+@pytest.mark.parametrize("batch", [1, 3, 64])
+def test_spectra_of_batches_equal_those_of_single_segments(spark, batch):
+    import numpy as np
+
+    rng = random.Random(batch)
+    own = {"a": {i + 5: rng.gauss(0, 1) for i in range(150) if i != 77}, "b": {i: 1.0 for i in range(16)}, "short": {i: 1.0 for i in range(9)}}
+    d = spark.createDataFrame([(s, i, x) for s, v in own.items() for i, x in v.items()] + [("a", 82, None)], "series_id string, slot long, y double")
+    got = {(r["series_id"], r["bin"]): (r["power"], r["segments"]) for r in stats.welch(d, "y", 16, batch).collect()}
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(16) / 16)
+    want = {}
+    for s, v in own.items():
+        first, ps = min(v), []
+        for k in range(first, max(v), 8):
+            if all(k + i in v for i in range(16)):
+                y = np.array([v[k + i] for i in range(16)])
+                p = np.abs(np.fft.rfft((y - y.mean()) * w)) ** 2 / (w * w).sum()
+                p[1:-1] *= 2
+                ps.append(p)
+        want |= {(s, b): (float(np.mean([p[b] for p in ps])), len(ps)) for b in range(9) if ps}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and math.isclose(got[k][0], want[k][0], abs_tol=1e-9) for k in want)
+
+
+@pytest.mark.parametrize("block", [1, 2, 64])
+def test_days_correlate_over_the_minutes_both_have(spark, block):
+    rng = random.Random(block)
+    day = lambda i: dt.date(2025, 1, 1) + dt.timedelta(days=i)
+    own = {(s, i): {m: 1e4 + rng.gauss(0, 1) for m in range(20) if rng.random() < 0.7} for s in "ab" for i in (0, 1, 2, 5, 9)}
+    own["a", 3], own["a", 4] = {m: 7.0 for m in range(20)}, {}
+    rows = [(s, day(i), m, x) for (s, i), v in own.items() for m, x in v.items()] + [("a", day(4), 3, None)]
+    d = spark.createDataFrame(rows, "series_id string, date date, place int, v double")
+    x = stats.day_correlations(d, "v", 20, block)
+    got = {(r["series_id"], r["day_a"], r["day_b"]): (r["n"], r["r"]) for r in x.collect()}
+    want = {}
+    for (s, i), v in own.items():
+        for (t, j), u in own.items():
+            both = sorted(v.keys() & u.keys())
+            if s == t and i < j and both:
+                a, b = [v[m] for m in both], [u[m] for m in both]
+                want[s, day(i), day(j)] = (len(both), statistics.correlation(a, b) if len(both) > 1 and len(set(a)) > 1 and len(set(b)) > 1 else None)
+    assert got.keys() == want.keys()
+    for k, (n, r) in want.items():
+        assert got[k][0] == n and (r is None) == (got[k][1] is None) and (r is None or math.isclose(r, got[k][1], abs_tol=1e-6))
+    assert "place" not in str(x.schema)
+
+
+def test_sketches_of_days_merge_to_those_of_spans(spark):
+    rng = random.Random(0)
+    rows = [(i % 10, rng.expovariate(1), i % 3000) for i in range(20_000)] + [(99, None, None)]
+    parts = stats.sketches(spark.createDataFrame(rows, "day int, v double, k int").repartition(5), "v", ["day"], "k")
+    v = sorted(r[1] for r in rows if r[1] is not None)
+    all_ = stats.merged(parts.withColumn("all", F.lit(1)), ["all"], [0.1, 0.5, 0.99]).first()
+    assert all_["n_rows"] == 20_001 and all_["n"] == 20_000 and abs(all_["n_distinct"] / 3000 - 1) < 0.06
+    for p, q in zip([0.1, 0.5, 0.99], all_["q"], strict=True):
+        assert abs(sum(x <= q for x in v) / len(v) - p) < 0.02
+    none = stats.merged(parts, ["day"], [0.5]).where("day = 99").first()
+    assert none["q"] is None and none["n"] == 0 and none["n_distinct"] == 0

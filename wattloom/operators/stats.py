@@ -8,10 +8,13 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.bronze import settled
 from .features import CHUNK, interpolate
 
 
@@ -145,6 +148,22 @@ def numbered(rows: DataFrame, chunk: int = 4320) -> DataFrame:
     return x.join(base, ["series_id", "chunk"]).withColumn("pos", (F.col("base") + own).cast("long")).select(*rows.columns, "pos")
 
 
+def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """``df`` with the number of each row, from 1, in ``order`` over all rows.
+
+    Rows are sorted across partitions by range and counted in each; what the partitions before hold is added, told by a table
+    of one row for each partition. No task sees more than its range. Rows that ``order`` doesn't tell apart share a partition and
+    are numbered in any order.
+    """
+    x = settled(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order))
+    at = F.monotonically_increasing_id()  # the partition's number above the row's in it
+    x = x.withColumn(name, at).withColumn("of_part", F.shiftright(name, 33))
+    held = x.groupBy("of_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("of_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each partition
+    x = x.join(F.broadcast(held.select("of_part", before.alias("of_before"))), "of_part")
+    return x.withColumn(name, F.col(name).bitwiseAND((1 << 33) - 1) + F.col("of_before") + 1).select(*df.columns, name)
+
+
 def neighbour(rows: DataFrame, of: str, chunk: int = 4320) -> DataFrame:
     """``rows`` with before: the value of the row before in the order of slot, chunk by chunk; a chunk's first row takes the last of the chunks before it."""
     x = rows.withColumn("chunk", F.floor(F.col("slot") / chunk))
@@ -209,29 +228,91 @@ def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, v.get(c), flag(v.get(c))) for c in columns], "column string, vif double, flag string")
 
 
-def welch(series: DataFrame, of: str, size: int = 2048) -> DataFrame:
-    """(series_id, bin, frequency, period, power): mean of Hann-windowed periodograms of half-overlapping segments; each segment is a group of its own. The period of frequency 0 is null."""
+def welch(series: DataFrame, of: str, size: int = 2048, batch: int = 64) -> DataFrame:
+    """(series_id, bin, frequency, period, power, segments): mean of Hann-windowed periodograms of half-overlapping segments of ``size`` slots without a gap. The period of frequency 0 is null.
+
+    Segments begin at a series' first slot and every half segment after. A task takes ``batch`` of them at a time as one matrix, and the sums of
+    their powers leave it; the half segment that the last of them needs from the next batch is copied to it.
+    """
     half = size // 2
     first = series.groupBy("series_id").agg(F.min("slot").alias("first"))
-    k = F.floor((F.col("slot") - F.col("first")) / half)
-    seg = series.join(first, "series_id").select("series_id", "slot", F.col(of).alias("y"), F.explode(F.array(k - 1, k)).alias("seg")).where("seg >= 0")
+    v = beside(series.where(F.col(of).isNotNull()).select("series_id", "slot", F.col(of).cast("double").alias("y")), first, ["series_id"])
+    at = (F.col("slot") - F.col("first")).cast("long")
+    chunk = F.floor(at / (batch * half))
+    dealt = v.select("series_id", at.alias("at"), "y", F.explode(F.array_distinct(F.array(chunk, F.floor((at - half) / (batch * half))))).alias("chunk")).where("chunk >= 0")
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.full((batch + 1) * half, np.nan)
+        x[pdf["at"].to_numpy() - pdf["chunk"].iloc[0] * batch * half] = pdf["y"].to_numpy()
+        segments = np.lib.stride_tricks.sliding_window_view(x, size)[::half]
+        segments = segments[~np.isnan(segments).any(axis=1)]
+        p = np.abs(np.fft.rfft((segments - segments.mean(axis=1, keepdims=True)) * window)) ** 2 / (window * window).sum()
+        p[:, 1:-1] *= 2
+        bins = np.arange(half + 1) if len(p) else np.arange(0)
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "bin": bins, "p": p.sum(axis=0)[: len(bins)], "n": len(p)})
+
     kind = series.schema["series_id"].dataType.simpleString()
+    out = dealt.groupBy("series_id", "chunk").applyInPandas(lambda pdf: run(pdf), f"series_id {kind}, bin long, p double, n long").groupBy("series_id", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("segments"))
+    return out.select("series_id", "bin", (F.col("bin") / F.lit(float(size))).alias("frequency"), F.when(F.col("bin") > 0, float(size) / F.col("bin")).alias("period"), (F.col("p") / F.col("segments")).alias("power"), "segments")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("slot")["y"].to_numpy(float)
-        if len(y) < size or np.isnan(y).any():
-            return pd.DataFrame({"series_id": pd.Series(dtype="object"), "bin": pd.Series(dtype="int64"), "p": pd.Series(dtype="float64")})
-        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-        p = np.abs(np.fft.rfft((y - y.mean()) * w)) ** 2 / (w * w).sum()
-        p[1:-1] *= 2
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "bin": np.arange(len(p)), "p": p})
 
-    out = seg.groupBy("series_id", "seg").applyInPandas(one, f"series_id {kind}, bin long, p double").groupBy("series_id", "bin").agg(F.avg("p").alias("power"))
-    return out.select("series_id", "bin", (F.col("bin") / F.lit(float(size))).alias("frequency"), F.when(F.col("bin") > 0, float(size) / F.col("bin")).alias("period"), "power")
+def day_correlations(minutes: DataFrame, of: str, places: int = 1440, block: int = 64) -> DataFrame:
+    """(series_id, day_a, day_b, n, r): Pearson of each two days of a series over the places in the day that both have; days earlier first.
 
+    ``minutes``: (series_id, date, place, value), places from 0. A day becomes one row, at most ``places`` values; ``block`` days at a time meet as two matrices,
+    whose products give the moments of all their pairs, each over the places that both days have. No row is made for a pair and a place.
+    r is null where either day doesn't vary there.
+    """
+    kind = minutes.schema["series_id"].dataType.simpleString()
+    v = minutes.where(F.col(of).isNotNull()).select("series_id", "date", F.col("place").cast("int").alias("place"), F.col(of).cast("double").alias("v"))
+    days = v.groupBy("series_id", "date").agg(F.collect_list(F.struct("place", "v")).alias("x"), F.avg("v").alias("m"))
+    number = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    days = days.select("series_id", "date", F.floor(number / block).alias("own"), F.col("x.place").alias("place"), F.transform("x.v", lambda v: v - F.col("m")).alias("v"))
+    blocks = days.select("series_id", "own").distinct()
+    pairs = blocks.withColumnRenamed("own", "one").join(blocks.withColumnRenamed("own", "other"), "series_id").where("one <= other")  # (days / block) ** 2
+    sides = days.join(pairs.select(F.col("series_id").alias("sid"), "one", "other", F.explode(F.array_distinct(F.array("one", "other"))).alias("of")), (F.col("series_id") == F.col("sid")) & (F.col("own") == F.col("of"))).drop("sid", "of")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, there = np.zeros((len(pdf), places)), np.zeros((len(pdf), places))
+        for i, (place, v) in enumerate(zip(pdf["place"], pdf["v"], strict=True)):
+            x[i, place], there[i, place] = v, 1.0
+        a, b = ((pdf["own"] == pdf[side].iloc[0]).to_numpy() for side in ("one", "other"))
+        n, sy, sx, syy, sxx, sxy = (p[a] @ q[b].T for p, q in ((there, there), (x, there), (there, x), (x * x, there), (there, x * x), (x, x)))
+        few = np.maximum(n, 1)
+        vy, vx, c = syy - sy * sy / few, sxx - sx * sx / few, sxy - sx * sy / few
+        scale = (x * x).sum(axis=1)
+        ok = (vy > 1e-12 * scale[a][:, None]) & (vx > 1e-12 * scale[b][None, :]) & (n > 1)
+        r = np.where(ok, c / np.sqrt(np.where(ok, vy * vx, 1.0)), np.nan)
+        dates = pdf["date"].to_numpy()
+        i, j = np.nonzero(n > 0)
+        da, db = dates[a][i], dates[b][j]
+        keep = da < db
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "day_a": da[keep], "day_b": db[keep], "n": n[i, j][keep].astype(np.int64), "r": r[i, j][keep]})
+
+    out = sides.groupBy("series_id", "one", "other").applyInPandas(lambda pdf: run(pdf), f"series_id {kind}, day_a date, day_b date, n long, r double")
+    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+
+
+def sketches(df: DataFrame, of: str, keys: list[str], distinct: str, size: int = 400, bits: int = 12) -> DataFrame:
+    """(keys, n_rows, n, quantiles, distincts): for each key a sketch of the values of ``of`` (KLL) and one of the distinct values of ``distinct`` (HLL), in one pass.
+
+    Sketches of any keys can be merged to that of their union, so what is kept for a day answers for every span and class. Ranks that a merged KLL sketch of ``size`` tells
+    are off by about 2.3 / size ** 0.9 of all (99 %), counts of an HLL sketch by 1.04 / 2 ** (bits / 2) (one standard deviation).
+    """
+    x = df.withColumn("value_", F.col(of).cast("double"))
+    return x.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count("value_").alias("n"), F.kll_sketch_agg_double("value_", size).alias("quantiles"), F.hll_sketch_agg(F.when(F.col(distinct).isNotNull(), F.xxhash64(distinct)), bits).alias("distincts"))
+
+
+def merged(parts: DataFrame, by: list[str], ps: list[float]) -> DataFrame:
+    """(by, n_rows, n, n_distinct, q): what the sketches of ``parts`` tell of their unions; the data isn't read again. q is null without values."""
+    g = parts.groupBy(*by).agg(F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n"), F.kll_merge_agg_double("quantiles").alias("k"), F.hll_sketch_estimate(F.hll_union_agg("distincts")).alias("n_distinct"))
+    q = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("k", F.array(*[F.lit(float(p)) for p in ps])))
+    return g.select(*by, "n_rows", "n", "n_distinct", q.alias("q"))
 
-#: Bins in which ``quantiles`` looks for the ranks it needs.
-BINS = 4096
+
+#: Bits of a value by which ``quantiles`` tells values apart in each of its rounds.
+DIGIT = 22
 
 
 def beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
@@ -242,32 +323,67 @@ def beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner")
     return left.join(right, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by]), how).drop(*[f"{c}_of" for c in by])
 
 
-def quantiles(df: DataFrame, of: str, ps: list[float], by: list[str] | None = None, bins: int = BINS) -> DataFrame:
+def _flipped(bits: np.ndarray) -> np.ndarray:
+    """Bits of floating numbers as whole numbers in the same order, and back."""
+    return bits ^ (bits >> 63 & 0x7FFFFFFFFFFFFFFF)
+
+
+def ordered_keys(df: DataFrame, of: str) -> DataFrame:
+    """``df`` with ``of`` as a 64-bit number that is ordered like it: NaN the largest, -0 as 0, null as null."""
+    names = [c for c in df.columns if c != of]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(of)
+            x = v.to_numpy(zero_copy_only=False) + 0.0
+            bits = np.where(np.isnan(x), np.nan, x).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(_flipped(bits), mask=v.is_null().to_numpy(zero_copy_only=False))], [*names, of])
+
+    schema = T.StructType([*(df.schema[c] for c in names), T.StructField(of, T.LongType())])
+    return df.select(*names, of).mapInArrow(run, schema)
+
+
+@F.arrow_udf(T.DoubleType())
+def _value_of(keys: pa.Array) -> pa.Array:
+    return pa.array(_flipped(keys.to_numpy(zero_copy_only=False)).view(np.float64))
+
+
+def quantiles(df: DataFrame, of: str, ps: list[float], by: list[str] | None = None, digit: int = DIGIT) -> DataFrame:
     """(by, q): exact percentiles ``ps`` of each group, interpolated as ``percentile`` does; an array of nulls for a group without values.
 
-    ``percentile`` holds all distinct values of a group in one task. Here values are counted in equal bins between a group's
-    extremes, and only the bins that hold a wanted rank are looked at closer, value by value in a sort that can spill.
-    ``df`` is read three times and must give the same values each time. With an infinite extreme there is one bin.
+    ``percentile`` holds all distinct values of a group in one task. Here values are selected by the bits of numbers that are ordered
+    like them, ``digit`` bits a round from the highest down: a round counts the values of those prefixes that hold a wanted rank by
+    their next bits, at most 2 ** digit counts for each, whatever the values are and wherever they crowd. The last round tells single values. ``df`` is run once,
+    its values are kept.
     """
     by = by or []
-    x = df.select(*by, F.col(of).cast("double").alias("v"))
-    ends = x.groupBy(*by).agg(F.count("v").alias("all"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    binned = beside(x.where("v is not null"), ends, by).select(*by, "v", "all", at.alias("bin"))
-    counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.first("all").alias("all"))
-    counts = counts.withColumn("before", F.sum("n").over(W.partitionBy(*by).orderBy("bin")) - F.col("n"))  # at most ``bins`` rows of a group
+    x = settled(ordered_keys(df.select(*by, F.col(of).cast("double").alias("k")), "k"))
+    ends = x.groupBy(*by).agg(F.count("k").alias("all"))
+    ranks_of = lambda places: F.array_distinct(F.flatten(F.transform(places, lambda k: F.array(F.floor(k), F.ceil(k)))))
     places = F.transform(F.array(*[F.lit(float(p)) for p in ps]), lambda p: p * (F.col("all") - 1))
-    ranks = F.array_distinct(F.flatten(F.transform(places, lambda k: F.array(F.floor(k), F.ceil(k)))))
-    held = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
-    wanted = counts.select(*by, "bin", "before", held.alias("ranks")).where(F.size("ranks") > 0)
-    near = beside(binned.drop("all"), wanted, [*by, "bin"]) if by else binned.drop("all").join(F.broadcast(wanted), "bin")  # at most 2 * len(ps) rows
-    near = near.groupBy(*by, "bin", "v").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("ranks").alias("ranks"))
-    upto = F.col("before") + F.sum("n").over(W.partitionBy(*by, "bin").orderBy("v"))
-    hit = near.withColumn("upto", upto).select(*by, "v", F.explode(F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).alias("rank"))
-    found = hit.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("found"))  # 2 * len(ps) entries
+    there = x.where("k is not null")
+    shifts = list(range(64 - digit, 0, -digit)) + [0]
+    counts = there.groupBy(*by, F.shiftright("k", shifts[0]).alias("prefix")).agg(F.count("*").alias("n"))
+    counts = counts.withColumns({"all": F.sum("n").over(W.partitionBy(*by)), "upto": F.sum("n").over(W.partitionBy(*by).orderBy("prefix"))})
+    counts = counts.withColumn("ranks", ranks_of(places))
+
+    def wanted(counts: DataFrame) -> DataFrame:
+        before = F.col("upto") - F.col("n")
+        held = F.filter("ranks", lambda r: (r >= before) & (r < F.col("upto")))
+        return counts.select(*by, "prefix", before.alias("before"), held.alias("ranks")).where(F.size("ranks") > 0)
+
+    found = wanted(counts)
+    for above, shift in zip(shifts, shifts[1:], strict=False):
+        near = there.withColumn("prefix", F.shiftright("k", above))
+        near = beside(near, found, [*by, "prefix"]) if by else near.join(F.broadcast(found), "prefix")  # 2 * len(ps) rows at most
+        counts = near.groupBy(*by, "prefix", F.shiftright("k", shift).alias("next")).agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("ranks").alias("ranks"))
+        upto = F.col("before") + F.sum("n").over(W.partitionBy(*by, "prefix").orderBy("next"))
+        found = wanted(counts.withColumn("upto", upto).drop("prefix", "before").withColumnRenamed("next", "prefix"))
+    hit = found.select(*by, _value_of("prefix").alias("v"), F.explode("ranks").alias("rank"))
+    values = hit.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("found"))  # 2 * len(ps) entries
     value = lambda r: F.try_element_at(F.col("found"), r)
     between = lambda k: F.when(value(F.floor(k)) == value(F.ceil(k)), value(F.floor(k))).otherwise((F.ceil(k) - k) * value(F.floor(k)) + (k - F.floor(k)) * value(F.ceil(k)))
-    return beside(ends, found, by, "left").select(*by, F.transform(places, between).alias("q"))
+    return beside(ends, values, by, "left").select(*by, F.transform(places, between).alias("q"))
 
 
 def qq_normal(df: DataFrame, of: str, points: int = 99) -> DataFrame:
@@ -365,7 +481,54 @@ def box(df: DataFrame, of: str, by: list[str]) -> DataFrame:
 
 def category_codes(df: DataFrame, of: str) -> DataFrame:
     """``df`` with code: the number from 0 of a row's category in sorted order, -1 for null; one row for each category is numbered and joined."""
-    kinds = df.where(F.col(of).isNotNull()).select(F.col(of).alias("kind")).distinct()
-    kinds = kinds.withColumn("code", F.row_number().over(W.orderBy("kind")) - 1)
+    kinds = ranked(df.where(F.col(of).isNotNull()).select(F.col(of).alias("kind")).distinct(), ["kind"], "code")
+    kinds = kinds.withColumn("code", (F.col("code") - 1).cast("int"))
     x = df.drop("code").join(kinds, F.col(of) == F.col("kind"), "left").withColumn("code", F.coalesce("code", F.lit(-1)))
     return x.drop("kind")
+
+
+def going_back(rows: DataFrame, of: str) -> DataFrame:
+    """(series_id, n_back, slot, before, at): of each series in which ``of`` falls from a row to the next in the order of slot, how often, and the first such row with both values."""
+    x = neighbour(rows, of).where(F.col(of) < F.col("before"))
+    return x.groupBy("series_id").agg(F.count("*").alias("n_back"), F.min(F.struct("slot", "before", F.col(of).alias("at"))).alias("first")).select("series_id", "n_back", "first.*")
+
+
+def described(df: DataFrame, of: str, ps: list[float]) -> DataFrame:
+    """One row: n, mean, std, low, q (the percentiles ``ps``), high of a column's values."""
+    g = df.agg(F.count(of).alias("n"), F.avg(of).alias("mean"), F.stddev_samp(of).alias("std"), F.min(of).alias("low"), F.max(of).alias("high"))
+    return beside(g, quantiles(df, of, ps), [])
+
+
+def filliben(n: Column, i: Column) -> Column:
+    """The median of the ``i``-th of ``n`` ordered uniform values."""
+    last = F.pow(F.lit(0.5), 1 / n)
+    return F.when(i == n, last).when(i == 1, 1 - last).otherwise((i - 0.3175) / (n + 0.365))
+
+
+# A rational approximation of the inverse normal distribution, in its middle and in its tails.
+MIDDLE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
+TAIL = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
+
+
+def horner(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_value(p: Column) -> Column:
+    """Inverse of the standard normal distribution, to about nine digits."""
+    q, low = p - 0.5, 0.02425
+    r = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = horner(TAIL[0], r) / horner(TAIL[1], r)
+    return F.when(p < low, tail).when(p > 1 - low, -tail).otherwise(q * horner(MIDDLE[0], q * q) / horner(MIDDLE[1], q * q))
+
+
+def qq_sample(df: DataFrame, of: str, order: list[str]) -> DataFrame:
+    """(i, observed, normal, slope, intercept, r2): the values of a sample in order against the medians of normal order statistics, with the fitted line; nulls are left out. ``order`` tells equal values apart."""
+    x = ranked(df.where(F.col(of).isNotNull()).select(*order, F.col(of).alias("observed")), ["observed", *order], "i")
+    n = beside(x, x.agg(F.count("*").alias("n")), [])
+    z = n.select("i", "observed", normal_value(filliben(F.col("n").cast("double"), F.col("i").cast("double"))).alias("normal"))
+    fit = z.agg(F.regr_slope("observed", "normal").alias("slope"), F.regr_intercept("observed", "normal").alias("intercept"), F.regr_r2("observed", "normal").alias("r2"))
+    return z.crossJoin(F.broadcast(fit))  # one row

@@ -93,11 +93,42 @@ def target_corr_rank(spark, d):
     return x.withColumn("rank", n(F.row_number().over(W.orderBy(F.desc("r"), "feature")), "rank")).where("rank <= 20")  # one row for each feature
 
 
-@query(B + ", p AS (SELECT date, hour, avg(load) AS v FROM bronze GROUP BY date, hour) SELECT x.date AS day_a, y.date AS day_b, round(corr(x.v, y.v), 6) AS r FROM p x JOIN p y ON x.hour = y.hour AND x.date < y.date GROUP BY x.date, y.date")
+@query(B + ", p AS (SELECT date, hour * 60 + minute AS m, avg(load) AS v FROM bronze GROUP BY 1, 2 HAVING avg(load) IS NOT NULL) SELECT x.date AS day_a, y.date AS day_b, count(*) AS n, round(corr(x.v, y.v), 6) AS r FROM p x JOIN p y ON x.m = y.m AND x.date < y.date GROUP BY 1, 2 HAVING count(*) > 2")
 def cross_day_corr(spark, d):
-    p = bronze(spark, d).groupBy("date", F.hour("timestamp").alias("hour")).agg(F.avg("load").alias("v"))
-    a, b = p.select(F.col("date").alias("day_a"), "hour", F.col("v").alias("x")), p.select(F.col("date").alias("day_b"), "hour", F.col("v").alias("y"))
-    return a.join(b, "hour").where("day_a < day_b").groupBy("day_a", "day_b").agg(r6(F.corr("x", "y")).alias("r"))
+    """Each two days by the minutes that both have."""
+    m = F.hour("timestamp") * 60 + F.minute("timestamp")
+    p = bronze(spark, d).groupBy("series_id", "date", m.alias("place")).agg(F.avg("load").alias("v"))
+    return stats.day_correlations(p, "v").where("n > 2").select("day_a", "day_b", "n", r6("r").alias("r"))
+
+
+SKETCHED = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: How far a sketched rank, and a sketched count in parts of itself, may lie from the exact one.
+RANK_ERROR, COUNT_ERROR = 0.02, 0.06
+
+
+def day_sketches(spark, d):
+    return stats.sketches(bronze(spark, d), "load", ["series_id", "date", "day_class"], "timestamp")
+
+
+@query(B + f" SELECT c AS day_class, p, count(load) AS n, true AS within FROM (SELECT day_class AS c, load FROM bronze UNION ALL SELECT 'all', load FROM bronze) x, (SELECT unnest({list(SKETCHED)}) AS p) y GROUP BY 1, 2".replace("unnest([", "unnest(CAST([").replace("]) AS p", "] AS DOUBLE[])) AS p"))
+def sketched_quantiles(spark, d):
+    """Percentiles of each class and of all from one sketch for each day; within: the share of loads up to the value told is the wanted one, to RANK_ERROR."""
+    parts = src.settled(day_sketches(spark, d).withColumn("day_class", F.explode(F.array("day_class", F.lit("all")))))
+    told = stats.merged(parts, ["day_class"], list(SKETCHED)).select("day_class", "n", F.posexplode("q").alias("i", "v"))
+    wanted = F.element_at(F.array(*map(F.lit, SKETCHED)), F.col("i") + 1)
+    # the exact ranks of the values told, from one more read
+    x = bronze(spark, d).where("load is not null").select("load", F.explode(F.array("day_class", F.lit("all"))).alias("day_class"))
+    ranks = x.join(F.broadcast(told), "day_class").groupBy("day_class", wanted.alias("p"), "n").agg(F.avg((F.col("load") < F.col("v")).cast("double")).alias("below"), F.avg((F.col("load") <= F.col("v")).cast("double")).alias("upto"))  # four classes
+    return ranks.select("day_class", "p", "n", ((F.col("below") <= F.col("p") + RANK_ERROR) & (F.col("upto") >= F.col("p") - RANK_ERROR)).alias("within"))
+
+
+@query(B + " SELECT day_class, count(*) AS n_rows, count(DISTINCT timestamp) AS n_exact, true AS within FROM bronze GROUP BY day_class UNION ALL SELECT 'all', count(*), count(DISTINCT timestamp), true FROM bronze")
+def sketched_coverage(spark, d):
+    """Distinct timestamps of each class and of all from the days' sketches; within: the exact count, to COUNT_ERROR of it."""
+    parts = day_sketches(spark, d).withColumn("day_class", F.explode(F.array("day_class", F.lit("all"))))
+    told = stats.merged(parts, ["day_class"], [0.5]).select("day_class", "n_rows", "n_distinct")
+    exact = bronze(spark, d).select("day_class", "timestamp").distinct().rollup("day_class").agg(F.count("*").alias("n_exact")).select(F.coalesce("day_class", F.lit("all")).alias("day_class"), "n_exact")
+    return told.join(exact, "day_class").select("day_class", "n_rows", "n_exact", (F.abs(F.col("n_distinct") / F.col("n_exact") - 1) <= COUNT_ERROR).alias("within"))
 
 
 @query(GC + grid_sql(3600, "hgrid", "hbins") + ", q AS (SELECT CAST(floor(slot / 4.0) AS BIGINT) AS hour_slot, avg(avg_load) AS fine FROM g GROUP BY 1) SELECT count(*) AS n, round(avg(abs(fine - avg_load)), 6) AS mean_abs_diff, round(corr(fine, avg_load), 6) AS r, round(corr(fine, avg_load) * corr(fine, avg_load), 6) AS r2 FROM q JOIN hgrid h ON q.hour_slot = h.slot WHERE fine IS NOT NULL AND avg_load IS NOT NULL")
@@ -191,6 +222,16 @@ def null_runs(spark, d):
     return fx.runs(dense(spark, d), F.col(TARGET).isNull(), 96).select("first_slot", "last_slot", "length")
 
 
+LENGTHS = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query(G + islands("grid", "avg_load IS NULL") + " SELECT count(*) AS n, round(avg(length), 6) AS mean, round(stddev_samp(length), 6) AS std, CAST(min(length) AS BIGINT) AS low, CAST(max(length) AS BIGINT) AS high, " + ", ".join(f"round(quantile_cont(length, {p}), 6) AS p{int(100 * p)}" for p in LENGTHS) + " FROM runs")
+def null_run_lengths(spark, d):
+    """How long runs of missing slots are."""
+    x = stats.described(fx.runs(dense(spark, d), F.col(TARGET).isNull(), 96), "length", LENGTHS)
+    return x.select("n", r6("mean").alias("mean"), r6("std").alias("std"), n("low", "low"), n("high", "high"), *[r6(F.col("q")[i]).alias(f"p{int(100 * p)}") for i, p in enumerate(LENGTHS)])
+
+
 ZERO = B.replace("value END AS load", "value END * CASE WHEN event_id % 1000 < 30 THEN 0.0 ELSE 1.0 END AS load")
 
 
@@ -320,9 +361,26 @@ def periodogram_at(spark, d):
     return v.groupBy("period").agg(F.round(power, 1).alias("power"))
 
 
+WELCH_BINS = [1, 5, 10, 21, 64, 200, 256]
+WELCH = (
+    FILL
+    + ", x AS (SELECT slot - (SELECT min(slot) FROM filled) AS t, filled AS y FROM filled), ks AS (SELECT unnest(range(CAST((SELECT max(t) FROM x) // 256 AS BIGINT))) AS k),"
+    + " seg AS (SELECT k, t - 256 * k AS i, y, avg(y) OVER (PARTITION BY k) AS m, count(*) OVER (PARTITION BY k) AS n FROM ks JOIN x ON t >= 256 * k AND t < 256 * k + 512),"
+    + " w AS (SELECT k, i, (y - m) * (0.5 - 0.5 * cos(2 * pi() * i / 512)) AS v FROM seg WHERE n = 512),"
+    + f" p AS (SELECT k, bin, pow(sum(v * cos(2 * pi() * i * bin / 512)), 2) + pow(sum(v * sin(2 * pi() * i * bin / 512)), 2) AS p FROM w, (SELECT unnest({WELCH_BINS}) AS bin) b GROUP BY 1, 2)"
+)
+
+
+@query(WELCH + " SELECT CAST(bin AS BIGINT) AS bin, round(bin / 512.0, 6) AS frequency, round(512.0 / bin, 6) AS period, count(*) AS segments, round(avg(p) * CASE WHEN bin = 256 THEN 1 ELSE 2 END / (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * i / 512), 2)) FROM (SELECT unnest(range(512)) AS i) z), 3) AS power FROM p GROUP BY bin")
+def welch_at(spark, d):
+    """The spectrum at some bins, which SQL can tell by sums of sines and cosines."""
+    x = stats.welch(fx.interpolate(dense(spark, d)), "filled", 512).where(F.col("bin").isin(*WELCH_BINS))
+    return x.select("bin", r6("frequency").alias("frequency"), r6("period").alias("period"), "segments", F.round("power", 3).alias("power"))
+
+
 @query()
 def welch_psd(spark, d):
-    return stats.welch(fx.interpolate(dense(spark, d)), "filled", 512).drop("series_id")
+    return stats.welch(fx.interpolate(dense(spark, d)), "filled", 512).drop("series_id", "segments")
 
 
 QQ = [(i / 100, NormalDist().inv_cdf(i / 100)) for i in range(1, 100)]
@@ -333,6 +391,24 @@ def qq_normal(spark, d):
     return rounded(stats.qq_normal(bronze(spark, d), "load"))
 
 
+def horner_sql(coefficients: tuple[float, ...], x: str) -> str:
+    out = str(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c})"
+    return out
+
+
+NORMAL_SQL = f"CASE WHEN p < 0.02425 THEN {horner_sql(stats.TAIL[0], 'r')} / {horner_sql(stats.TAIL[1], 'r')} WHEN p > 0.97575 THEN -{horner_sql(stats.TAIL[0], 'r')} / {horner_sql(stats.TAIL[1], 'r')} ELSE q * {horner_sql(stats.MIDDLE[0], 'q * q')} / {horner_sql(stats.MIDDLE[1], 'q * q')} END"
+
+
+@query(G + f", v AS (SELECT avg_load AS observed, row_number() OVER (ORDER BY avg_load, slot) AS i, count(*) OVER () AS n FROM grid WHERE (slot - (SELECT a FROM bins_ends)) % 2 = 0 AND avg_load IS NOT NULL), u AS (SELECT i, observed, CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END AS p FROM v), z AS (SELECT i, observed, {NORMAL_SQL} AS normal FROM (SELECT *, p - 0.5 AS q, sqrt(-2 * ln(least(p, 1 - p))) AS r FROM u) x), f AS (SELECT regr_slope(observed, normal) AS slope, regr_intercept(observed, normal) AS intercept, regr_r2(observed, normal) AS r2 FROM z) SELECT i, round(observed, 6) AS observed, round(normal, 6) AS normal, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2 FROM z, f")
+def qq_sample(spark, d):
+    """Every second slot's load, in order, against the medians of normal order statistics."""
+    x = dense(spark, d)
+    first = F.broadcast(x.agg(F.min("slot").alias("first")))  # one row
+    return rounded(stats.qq_sample(x.crossJoin(first).where("(slot - first) % 2 = 0"), TARGET, ["slot"]))
+
+
 @query("WITH daily AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) / 1000 AS v FROM orders GROUP BY 1), every AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM daily), (SELECT max(date) FROM daily), INTERVAL 1 DAY)) AS DATE) AS date), g AS (SELECT e.date, date_diff('day', DATE '1970-01-01', e.date) AS t, v FROM every e LEFT JOIN daily d ON e.date = d.date), s AS (SELECT date, t, v, last_value(v IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, first_value(v IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER f AS t1 FROM g WINDOW b AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), h AS (SELECT date, t, coalesce(v, v0 + (v1 - v0) * (t - t0) / CAST(t1 - t0 AS DOUBLE)) AS v FROM s), i AS (SELECT date, v, t % 7 AS i, CASE WHEN count(*) OVER w = 7 THEN avg(v) OVER w END AS trend FROM h WINDOW w AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), k AS (SELECT i AS k, avg(v - trend) AS raw FROM i GROUP BY 1), c AS (SELECT k, raw - (SELECT avg(raw) FROM k) AS seasonal FROM k) SELECT date, round(trend, 2) AS trend, round(seasonal, 2) AS seasonal, round(v - trend - seasonal, 2) AS residual FROM i JOIN c ON i.i = c.k")
 def seasonal_decompose(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
@@ -368,7 +444,7 @@ RAW = B + ", a AS (SELECT count(*) AS rows_, 100.0 * (count(*) - count(load)) /
 OUTLIERS = ", q AS (SELECT quantile_cont(load, 0.25) AS q1, quantile_cont(load, 0.75) AS q3 FROM bronze), o AS (SELECT avg(CASE WHEN load < q1 - 1.5 * (q3 - q1) OR load > q3 + 1.5 * (q3 - q1) THEN 1.0 ELSE 0.0 END) AS rate FROM bronze, q WHERE load IS NOT NULL) "
 
 
-@query(RAW + OUTLIERS + scorecard_sql([("rows", "rows_", "rows_ > 0"), ("null_pct", "null_pct", "null_pct < 2"), ("dates", "dates", "dates = 31"), ("classes", "bad_class", "bad_class = 0"), ("range", "outside", "outside = 0"), ("outlier_rate", "rate", "rate < 0.01")], "a, o"))
+@query(RAW + OUTLIERS + scorecard_sql([("rows", "rows_", "rows_ > 0"), ("shape", "rows_ / CAST(dates AS DOUBLE)", "rows_ = 86400 * dates"), ("null_pct", "null_pct", "null_pct < 2"), ("dates", "dates", "dates = 31"), ("classes", "bad_class", "bad_class = 0"), ("range", "outside", "outside = 0"), ("outlier_rate", "rate", "rate < 0.01")], "a, o"))
 def scorecard_raw(spark, d):
     lo, hi = Settings().physical
     b = bronze(spark, d)
@@ -376,7 +452,7 @@ def scorecard_raw(spark, d):
     bounds = F.broadcast(stats.outlier_bounds(b, "load").where("method = 'iqr'"))  # one row
     rate = b.where("load is not null").crossJoin(bounds).agg(F.avg((~F.col("load").between(F.col("lower"), F.col("upper"))).cast("double")).alias("rate"))
     c = F.col
-    return checks(row.crossJoin(rate), {"outlier_rate": (c("rate"), c("rate") < 0.01), "rows": (c("rows"), c("rows") > 0), "null_pct": (c("null_pct"), c("null_pct") < 2), "dates": (c("dates"), c("dates") == 31), "classes": (c("bad"), c("bad") == 0), "range": (c("outside"), c("outside") == 0)})
+    return checks(row.crossJoin(rate), {"outlier_rate": (c("rate"), c("rate") < 0.01), "rows": (c("rows"), c("rows") > 0), "shape": (c("rows") / c("dates"), c("rows") == 86400 * c("dates")), "null_pct": (c("null_pct"), c("null_pct") < 2), "dates": (c("dates"), c("dates") == 31), "classes": (c("bad"), c("bad") == 0), "range": (c("outside"), c("outside") == 0)})
 
 
 RAW_ZERO = RAW.replace(B, ZERO) + ", back AS (SELECT CAST(count(*) AS BIGINT) AS n_back FROM (SELECT timestamp, lag(timestamp) OVER (ORDER BY event_id) AS before FROM bronze) x WHERE timestamp < before)"

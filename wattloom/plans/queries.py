@@ -115,6 +115,16 @@ def determinism_hash(spark, d):
     return src.content_hash(fx.silver(bronze(spark, d), STEP, Settings(lags=(1, 5), rolling=(5,), slopes=(5,))))
 
 
+@query(G + f", g AS (SELECT CAST(timestamp AS DATE) AS date FROM grid) SELECT date, count(*) AS n_rows, count(*) AS n_other, true AS equal FROM g GROUP BY date")
+def layer_manifest(spark, d):
+    """The silver layer made twice, in chunks of other sizes and written to files of another layout: whether each day's content is the same."""
+    root, s = f"{src.shared_dir(spark)}/manifest-{uuid.uuid4().hex}", Settings(lags=(1, 5), rolling=(5,), slopes=(5,))
+    src.write_layer(fx.silver(bronze(spark, d), STEP, s).withColumn("part", F.col("slot") % 5), f"{root}/a", ("part",))
+    src.write_layer(fx.silver(bronze(spark, d).repartition(7), STEP, s, 500).repartition(3, "hour"), f"{root}/b", dealt=True)
+    a, b = (spark.read.parquet(f"{root}/{k}").withColumn("date", F.to_date("timestamp")).drop("part") for k in "ab")
+    return src.compared(src.manifest(a, ["date"]), src.manifest(b, ["date"]), ["date"]).drop("content")
+
+
 @query("SELECT count(*) AS n_rows, CAST(sum(CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_null, round(sum(CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END), 2) AS total FROM events")
 def inf_to_null(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -182,6 +192,13 @@ def monotonic_violations(spark, d):
     return b.withColumn("before", F.lag("timestamp").over(W.partitionBy("series_id").orderBy("event_id"))).agg(n(F.count_if(F.col("timestamp") < F.col("before")), "n_back"))
 
 
+@query("SELECT CAST(o_custkey AS VARCHAR) AS series_id, count(*) AS n_back, min(o_orderkey) AS slot, arg_min(before, o_orderkey) AS before, arg_min(o_orderdate, o_orderkey) AS at FROM (SELECT o_custkey, o_orderkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) x WHERE o_orderdate < before GROUP BY o_custkey")
+def first_backward(spark, d):
+    """Of each customer whose orders' dates don't follow their keys, how often time goes back, and the first order where it does."""
+    x = spark.read.parquet(f"{d}/orders.parquet")
+    return stats.going_back(x.select(F.col("o_custkey").cast("string").alias("series_id"), n("o_orderkey", "slot"), F.col("o_orderdate").alias("timestamp")), "timestamp")
+
+
 @query(G + " SELECT slot, round(avg_load, 6) AS avg_load FROM grid WHERE (slot - (SELECT a FROM bins_ends)) % 50 = 0")
 def systematic_sample(spark, d):
     """Every 50th slot of the dense grid, counted from its first."""
@@ -258,7 +275,8 @@ def slope_features(spark, d):
 
 @query("SELECT user_id AS series_id, CASE WHEN count(*) > 1 THEN round((avg(x * value) - avg(x) * avg(value)) / (avg(x * x) - avg(x) * avg(x)), 6) END AS slope FROM (SELECT user_id, value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS DOUBLE) AS x FROM events) t GROUP BY user_id")
 def series_slope(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").withColumn("x", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("double"))
+    """Slopes over the row's number in its series; numbers over all series do, as a slope doesn't depend on where they begin."""
+    e = stats.ranked(spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "value"), ["user_id", "event_id"], "x")
     return e.groupBy(F.col("user_id").alias("series_id")).agg(F.round(stats.slope("value", "x"), 6).alias("slope"))
 
 

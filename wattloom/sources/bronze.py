@@ -112,6 +112,26 @@ def content_hash(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.sum(parts.cast("decimal(38,0)")).cast("string").alias("content"))
 
 
+def manifest(df: DataFrame, by: list[str], digits: int = 9) -> DataFrame:
+    """(by, n_rows, content) of each part of a layer: how many rows, and the sum of their hashes.
+
+    Sums don't depend on the order of rows, on partitions or on files. Fractions are rounded first, as sums of floating numbers differ
+    in their last digits with the order in which they are added up; -0 is 0.
+    """
+    shown = [(F.round(F.col(c), digits) + F.lit(0.0)) if t in ("double", "float") else F.col(c) for c, t in sorted(df.dtypes)]
+    empty = [F.col(c).isNull() for c in sorted(df.columns)]  # a hash skips nulls
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*shown, *empty).cast("decimal(38,0)")).cast("string").alias("content"))
+
+
+def compared(one: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_rows, n_other, content, equal): two manifests side by side; parts that only one of them has are unequal, with 0 rows on the other side."""
+    b = other.select(*[F.col(c).alias(f"{c}_of") for c in by], F.col("n_rows").alias("n_other"), F.col("content").alias("content_of"))
+    met = one.join(b, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by]), "full_outer")
+    equal = F.coalesce((F.col("content") == F.col("content_of")) & (F.col("n_rows") == F.col("n_other")), F.lit(False))
+    keys = [F.when(F.col("content").isNull(), F.col(f"{c}_of")).otherwise(F.col(c)).alias(c) for c in by]
+    return met.select(*keys, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_other", F.lit(0)).alias("n_other"), F.coalesce("content", "content_of").alias("content"), equal.alias("equal"))
+
+
 def domain_violations(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return df.where(F.col(column).isNull() | ~F.col(column).isin(*allowed)).groupBy(column).agg(F.count("*").alias("n"))
 

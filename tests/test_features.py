@@ -486,3 +486,19 @@ def test_sketches_of_days_merge_to_those_of_spans(spark):
         assert abs(sum(x <= q for x in v) / len(v) - p) < 0.02
     none = stats.merged(parts, ["day"], [0.5]).where("day = 99").first()
     assert none["q"] is None and none["n"] == 0 and none["n_distinct"] == 0
+
+
+@pytest.mark.parametrize("period", [4, 7, 24])
+def test_trends_of_even_periods_take_half_of_both_ends(spark, period):
+    day = lambda i: dt.date(2025, 1, 1) + dt.timedelta(days=i)
+    v = [(i % period) * 3.0 + 0.5 * i for i in range(4 * period)]
+    rows = spark.createDataFrame([("0", day(i), x) for i, x in enumerate(v)], "series_id string, date date, v double")
+    half = period // 2
+    for chunk in (9, 4320):
+        got = [r for r in stats.decompose(rows, "v", period, chunk).orderBy("date").collect()]
+        for i, r in enumerate(got):
+            inside = half <= i < len(v) - half
+            assert (r["trend"] is None) != inside
+            if inside:
+                ends = (v[i - half] + v[i + half]) / 2 if period % 2 == 0 else v[i - half] + v[i + half]
+                assert math.isclose(r["trend"], (sum(v[i - half + 1 : i + half]) + ends) / period) and abs(r["residual"]) < 1e-9

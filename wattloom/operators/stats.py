@@ -454,6 +454,8 @@ def complete_days(daily: DataFrame, of: str) -> DataFrame:
 def decompose(daily: DataFrame, of: str, period: int = 7, chunk: int = CHUNK) -> DataFrame:
     """(series_id, date, trend, seasonal, residual) of each calendar day: centred moving mean, mean deviation by day number modulo ``period``, rest.
 
+    The mean of an even period takes one day more, the two at its ends by half.
+
     Days without a row are completed by interpolation first, so that phases and trend follow the calendar. Trends are made in chunks of days.
     """
     x = complete_days(daily, of)
@@ -461,7 +463,10 @@ def decompose(daily: DataFrame, of: str, period: int = 7, chunk: int = CHUNK) ->
     own = F.floor(F.col("day") / chunk)
     x = x.withColumn("own", own).withColumn("chunk", F.explode(F.sequence(F.floor((F.col("day") - half) / chunk), F.floor((F.col("day") + half) / chunk))))
     f = W.partitionBy("series_id", "chunk").orderBy("day").rowsBetween(-half, half)
-    x = x.withColumn("trend", F.when(F.count("value").over(f) == period, F.avg("value").over(f))).where("own = chunk")
+    total, w = F.sum("value").over(f), W.partitionBy("series_id", "chunk").orderBy("day")
+    if period % 2 == 0:
+        total = total - (F.lag("value", half).over(w) + F.lead("value", half).over(w)) / 2
+    x = x.withColumn("trend", F.when(F.count("value").over(f) == 2 * half + 1, total / period)).where("own = chunk")
     x = x.withColumn("k", F.pmod("day", F.lit(period))).withColumn("off", F.col("value") - F.col("trend"))
     raw = x.groupBy("series_id", "k").agg(F.avg("off").alias("raw"))
     level = raw.groupBy("series_id").agg(F.avg("raw").alias("level"))

@@ -340,10 +340,25 @@ def pacf(spark, d):
     return rounded(stats.pacf(fx.interpolate(dense(spark, d)), 48, "filled").drop("series_id"))
 
 
-@query()
+def vif_sql(columns: tuple[str, ...]) -> str:
+    """Inflation factors by turning the Gram matrix, with the unit matrix beside it, into its inverse column by column."""
+    k = len(columns)
+    rows = ", ".join("[" + ", ".join([*(f"sum(CAST({a} AS DOUBLE) * {b})" for b in columns), *(f"{float(i == j)}::DOUBLE" for j in range(k))]) + "]" for i, a in enumerate(columns))
+    return (
+        QUARTER.replace("WITH ", "WITH RECURSIVE ", 1)
+        + f", gram AS (SELECT [{rows}] AS m FROM silver WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)}),"
+        + " e(k, m) AS (SELECT 1, m FROM gram UNION ALL SELECT k + 1, list_transform(m, lambda own, i: CASE WHEN i = k THEN list_transform(own, lambda x: x / m[k][k]) ELSE list_transform(own, lambda x, j: x - own[k] * m[k][j] / m[k][k]) END)"
+        + f" FROM e WHERE k <= {k}), v AS (SELECT unnest({list(columns)}) AS column_, unnest(range(1, {k + 1})) AS j), f AS (SELECT column_, gram.m[j][j] * e.m[j][{k} + j] AS vif FROM v, e, gram WHERE e.k = {k + 1})"
+        + " SELECT column_ AS \"column\", round(vif, 4) AS vif, CASE WHEN vif > 10 THEN 'high' WHEN vif > 5 THEN 'moderate' ELSE 'low' END AS flag FROM f"
+    )
+
+
+VARYING = tuple(c for c in Settings().sets()["curated"] if c != "season")  # one season in a month: its column doesn't vary
+
+
+@query(vif_sql(VARYING) + " UNION ALL SELECT 'season', NULL, 'constant'")
 def vif(spark, d):
-    s = Settings()
-    return stats.vif(silver(spark, d), list(s.sets()["curated"]))
+    return stats.vif(rounded(silver(spark, d)), list(Settings().sets()["curated"])).withColumn("vif", F.round("vif", 4))
 
 
 @query(QUARTER + ", x AS (SELECT sum(CAST(hour AS DOUBLE) * hour) AS aa, sum(lag_1 * lag_1) AS bb, sum(hour * lag_1) AS ab FROM silver WHERE hour IS NOT NULL AND lag_1 IS NOT NULL), v AS (SELECT aa * bb / (aa * bb - ab * ab) AS vif FROM x) SELECT column_ AS \"column\", round(vif, 4) AS vif, CASE WHEN vif > 10 THEN 'high' WHEN vif > 5 THEN 'moderate' ELSE 'low' END AS flag FROM v, (SELECT unnest(['hour', 'lag_1']) AS column_) c")
@@ -471,12 +486,16 @@ def scorecard_bronze(spark, d):
     return checks(row.crossJoin(longest).crossJoin(back), {"rows": (c("rows"), c("rows") == 86400 * c("dates")), "monotonic": (c("n_back"), c("n_back") == 0), "null_pct": (c("null_pct"), c("null_pct") < 2), "classes": (c("bad"), c("bad") == 0), "duplicates": (c("dup"), c("dup") == 0), "zero_run": (c("longest"), c("longest") <= 3600), "range": (c("outside"), c("outside") == 0)})
 
 
-@query()
+INCOMPLETE = " OR ".join(f"{c} IS NULL" for c in Settings().required() if c != TARGET)
+SILVER_ROW = f", a AS (SELECT count(*) AS rows_, max(slot) - min(slot) + 1 AS expected, 100.0 * (count(*) - count(avg_load)) / count(*) AS null_pct, count(*) FILTER (WHERE {INCOMPLETE}) AS incomplete, count(*) - count(lag_1) AS warm_up FROM silver), top AS (SELECT max(abs(r)) AS top FROM m) "
+
+
+@query(QUARTER + ", " + CORR_SQL + SILVER_ROW + scorecard_sql([("columns", "44", "true"), ("rows", "rows_", "abs(rows_ - expected) <= 1"), ("null_pct", "null_pct", "null_pct < 1"), ("core", "incomplete", "incomplete = 0"), ("warm_up", "warm_up", "warm_up >= 1"), ("max_corr", "top", "top < 0.99")], "a, top"))
 def scorecard_silver(spark, d):
-    s = silver(spark, d)
+    s = rounded(silver(spark, d))
     columns = Settings().columns()
     row = s.agg(F.count("*").alias("rows"), (F.max("slot") - F.min("slot") + 1).alias("expected"), (100.0 * (F.count("*") - F.count(TARGET)) / F.count("*")).alias("null_pct"), F.count_if(F.greatest(*[F.col(c).isNull() for c in Settings().required() if c != TARGET])).alias("incomplete"), F.count_if(F.col("lag_1").isNull()).alias("warm_up"))
-    top = stats.corr_matrix(s, CORR).agg(F.max(F.abs("r")).alias("top"))
+    top = stats.corr_matrix(s, CORR).agg(F.max(F.abs(F.round("r", 3))).alias("top"))
     c = F.col
     return checks(row.crossJoin(top), {"columns": (F.lit(len([x for x in columns if x in s.columns])), F.lit(len(columns) == 44)), "rows": (c("rows"), F.abs(c("rows") - c("expected")) <= 1), "null_pct": (c("null_pct"), c("null_pct") < 1), "core": (c("incomplete"), c("incomplete") == 0), "warm_up": (c("warm_up"), c("warm_up") >= 1), "max_corr": (c("top"), c("top") < 0.99)})
 

@@ -486,3 +486,47 @@ def test_pseudo_labels_are_the_surest_of_the_whole_pool(spark):
                 assert len(mine) == len(set(mine)) == min(9, len(best))
                 assert sorted(best[k] for k in mine) == pytest.approx(sorted(best.values())[len(best) - len(mine) :])
     assert len(got) > 9
+
+
+NAMED = [
+    ("Mr. Łukasz Nowak met Mr Šimić and Mrs Čapek", ["Łukasz", "Nowak", "Šimić", "Čapek"]), ("Frau Şahin kam", ["Şahin"]), ("Mr. Παπαδόπουλος", ["Παπαδόπουλος"]), ("Mr. O’Brien and O'Brien", ["O’Brien", "O'Brien"]),
+    ("Mr. Smith said. SMITH left", ["Smith", "SMITH"]), ("Dr. Anna Weber, Prof Klein; Prof. Dr. Weber", ["Anna", "Weber", "Klein", "Weber"]), ("г-жа? Госпожа Иванова. ИВАНОВА", ["Иванова", "ИВАНОВА"]),
+]
+
+
+def test_pii_names_of_all_scripts_and_cases():
+    """What stands between the names stays; a mention's surrogate has its script and case, and equal names agree."""
+    key, seen = hashlib.sha256(b"k").digest(), {}
+    for text, names in NAMED:
+        new, n = pii.replaced(text, key, {}, pii.SYLLABLES)
+        assert n == len(names)
+        rest = re.split("|".join(sorted(map(re.escape, set(names)), key=len, reverse=True)), text)
+        m = re.fullmatch("(.+)".join(map(re.escape, rest)), new)
+        for old, sub in zip(names, m.groups(), strict=True):
+            same = old.replace("’", "'").casefold()
+            assert seen.setdefault(same, sub.casefold()) == sub.casefold() != same and sub.isupper() == old.isupper() and sub[0].isupper()
+            assert pii._script(sub.casefold()) == pii._script(old.replace("’", "").replace("'", "").casefold()) or "'" in same
+    assert len(set(seen.values())) == len(seen)
+    assert pii.replaced("Mr. Brown saw a brown fox", key, {}, 4)[0].endswith("saw a brown fox")
+
+
+def test_pii_addresses_and_national_numbers():
+    import ipaddress
+
+    key = hashlib.sha256(b"k").digest()
+    new, n = pii.replaced("2001:db8::8a2e:370:7334, 2001:0db8:0:0:0:8a2e:0370:7334 and fe80::12", key, {}, 4)
+    a, b, c = map(ipaddress.IPv6Address, re.split(", | and ", new))
+    assert n == 3 and a == b != c and a != ipaddress.IPv6Address("2001:db8::8a2e:370:7334")
+    for text in ("x[::2] std::a 10:30:45 a::b ab:cd", "at 12:30", "0 1234", "in 2024 12345"):
+        assert pii.replaced(text, key, {}, 4) == (text, 0)
+    new, n = pii.replaced("call 030 1234567 or (030) 1234567", key, {}, 4)
+    m = re.fullmatch(r"call (\d{3}) (\d{7}) or \((\d{3})\) (\d{7})", new)
+    assert n == 2 and m[1] + m[2] == m[3] + m[4] != "0301234567"
+
+
+def test_pii_surrogates_do_not_depend_on_the_size_of_the_corpus(spark):
+    few = spark.createDataFrame([(1, "Mr. Smith")], "doc_id long, text string")
+    many = few.union(spark.range(3000).select(F.col("id") + 2, F.concat(F.lit("Mrs Na"), F.translate(F.lpad(F.col("id").cast("string"), 4, "0"), "0123456789", "abcdefghij"))))
+    one = pii.pseudonymise(few, "k").first()["text"]
+    rows = {r["doc_id"]: r["text"] for r in pii.pseudonymise(many, "k").collect()}
+    assert rows[1] == one and len(set(rows.values())) == 3001

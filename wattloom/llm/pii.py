@@ -6,9 +6,10 @@ The same entity always becomes the same surrogate (coreference), different entit
 Numbers, addresses and secrets go through a keyed permutation of all values of their format (a Feistel
 network over the places of digits and letters, walked until it lands within the format), which can't
 collide. Numbers agree in all their forms, with and without separators; country codes, check digits and the prefixes of
-tokens stay valid. Names keep their title, script and gendered ending and are built from syllables by a keyed hash;
-those can collide. Names are found after one of the listed titles, and their words then everywhere in the same
-document, in the same case; names that no listed title introduces are not found. E-mail addresses may have letters
+tokens stay valid. Names keep their title, script, case and gendered ending and are built from syllables by a keyed hash, so many
+that collisions are rare at any size of a corpus; names in scripts without syllables here are permuted letter by letter.
+Names are found after one of the listed titles, in every script that has capitals, and their words then everywhere in the same
+document where they begin with a capital, whatever the case of the rest; names that no listed title introduces are not found. E-mail addresses may have letters
 of any script. All surrogates are checked in Spark: of the entities that share one, all but the first
 get another attempt, until none do.
 """
@@ -16,6 +17,7 @@ get another attempt, until none do.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -40,13 +42,17 @@ def _runs(codes: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-#: Entities with an attempt of their own that are sent to all executors; with more, names get longer and collide less.
+#: Entities with an attempt of their own that are sent to all executors. With 500 ** SYLLABLES / 5 bodies of names so many need 50 million distinct words of names.
 EXCEPTIONS = 100_000
 SYLLABLES = 4
 _TITLES_M = "Mr|Sir|Herr|Monsieur|M|Señor|Sr|Don|Signor|Господин|Г-н"
+_TITLES_N = "Dr|Dra|Prof|Doctor|Professor|Doktor|Docteur|Professeur|Profesor|Profesora|Доктор|Профессор"
 _TITLES_F = "Mrs|Ms|Miss|Madam|Frau|Mme|Madame|Mlle|Señora|Sra|Señorita|Doña|Signora|Госпожа|Г-жа"
 #: Combining marks, which \w leaves out, as ranges of a character class.
 _MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in _runs([c for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M"]))
+#: Letters that a name may begin with.
+_CAPITALS = "".join(f"{chr(a)}-{chr(b)}" for a, b in _runs([c for c in range(0x41, 0x10000) if unicodedata.category(chr(c)) in ("Lu", "Lt")]))
+_NAME = rf"[{_CAPITALS}][\w{_MARKS}'’-]+"
 #: Kind: pattern, and what a text must contain for it to be tried.
 KINDS = {
     "email": (rf"(?<![\w{_MARKS}.+-])\w[\w{_MARKS}.%+-]*@[^\W_](?:(?:[^\W_]|[{_MARKS}-])*(?:[^\W_]|[{_MARKS}]))?(?:\.[^\W_](?:(?:[^\W_]|[{_MARKS}-])*(?:[^\W_]|[{_MARKS}]))?)*\.(?:[A-Za-z]{{2,24}}(?![A-Za-z0-9])|[^\W\d_](?:[^\W\d_]|[{_MARKS}]){{1,23}}(?![^\W_]))", "@"),
@@ -54,21 +60,33 @@ KINDS = {
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", None),
     "card": (r"(?<![\d.-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\d.-])\d{13,19}(?![\d-])", None),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", None),
+    "ip6": (r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{4,39}(?![\w:])", None),
     "ip": (r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)", None),
-    "phone": (r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?![\w-])|(?<![\w+])\+\d{1,3}[ .-]?\d{6,12}(?!\d)", None),
-    "name": (rf"\b(?P<title>{_TITLES_M}|{_TITLES_F})\.? (?P<name>[A-ZÀ-ÞА-ЯЁ][\wÀ-ÿа-яё'-]+(?: [A-ZÀ-ÞА-ЯЁ][\wÀ-ÿа-яё'-]+){{0,2}})", None),
+    "phone": (r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?![\w-])|(?<![\w+])\+\d{1,3}[ .-]?\d{6,12}(?!\d)|(?<![\w+.-])(?:0\d{1,5}[ /-]|\(0\d{1,5}\) ?)\d{4,9}(?![\w-])", None),
+    "name": (rf"\b(?P<title>{_TITLES_M}|{_TITLES_F}|{_TITLES_N})\.? (?:(?:{_TITLES_N})\.? )*(?P<name>{_NAME}(?: {_NAME}){{0,2}})", None),
 }
-_ANY = re.compile(r"[@\d]|(?i:token|secret|passw|key)|" + rf"\b(?:{_TITLES_M}|{_TITLES_F})\b")
+_ANY = re.compile(r"[@\d]|(?i:token|secret|passw|key)|[0-9A-Fa-f]:|" + rf"\b(?:{_TITLES_M}|{_TITLES_F}|{_TITLES_N})\b")
 _PATTERNS = {k: re.compile(p) for k, (p, _) in KINDS.items()}
-_DIGIT, _FEMALE, _CYRILLIC = re.compile(r"\d"), re.compile(rf"(?:{_TITLES_F})$"), re.compile("[А-Яа-яЁё]")
-_WORD, _PIECE, _TAIL = re.compile(r"\w+(?:['-]\w+)*"), re.compile(r"\w+"), re.compile(r"(?:'s|['-])+$")
-_TITLE, _KEYISH = re.compile(rf"\b(?:{_TITLES_M}|{_TITLES_F})\b"), re.compile(r"(?i)token|secret|passw|key|AKIA|gh[pousr]_|sk-|[0-9a-f]{40}")
+_DIGIT, _FEMALE, _NEUTRAL = re.compile(r"\d"), re.compile(rf"(?:{_TITLES_F})$"), re.compile(rf"(?:{_TITLES_N})$")
+_WORD, _PIECE, _TAIL = re.compile(rf"[\w{_MARKS}]+(?:['’-][\w{_MARKS}]+)*"), re.compile(rf"[\w{_MARKS}]+"), re.compile(r"(?:['’][sS]|['’-])+$")
+_TITLE, _KEYISH = re.compile(rf"\b(?:{_TITLES_M}|{_TITLES_F}|{_TITLES_N})\b"), re.compile(r"(?i)token|secret|passw|key|AKIA|gh[pousr]_|sk-|[0-9a-f]{40}")
 _DIGITS, _LOW, _UP, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: Country codes of two digits.
 _TWO = {"20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
 _PREFIX = re.compile(r"AKIA|gh[pousr]_|sk-")
-_CONSONANTS, _VOWELS = "bdfglmnprstvz", "aeiou"
-_CONSONANTS_C, _VOWELS_C = "бвгдзклмнпрст", "аеиоу"
+#: Of each script 20 beginnings of a syllable, 5 vowels, 5 ends (none that could belong to the next beginning), and the endings of men's, women's and family names.
+SCRIPTS = {
+    "LATIN": ("b d f g h k l m n p r s t v z br dr gr st tr".split(), "aeiou", ("", "n", "l", "r", "m"), ("r", "na", "k")),
+    "CYRILLIC": ("б в г д з к л м н п р с т ф х ч ш бр ст тр".split(), "аеиоу", ("", "н", "л", "р", "м"), ("р", "на", "к")),
+    "GREEK": ("β γ δ ζ θ κ λ μ ν ξ π ρ σ τ φ χ ψ κρ τρ πρ".split(), "αειου", ("", "ν", "λ", "ρ", "μ"), ("ς", "να", "κης")),
+}
+
+
+@lru_cache(10_000)
+def _script(name: str) -> str:
+    """The script that all letters of a word have, else nothing."""
+    found = {unicodedata.name(c, "").split(" ")[0] for c in name if c.isalpha()}
+    return found.pop() if len(found) == 1 else ""
 
 
 def _bits(key: bytes, *parts: object) -> int:
@@ -130,6 +148,10 @@ def canonical(kind: str, value: str) -> str:
     """The form in which mentions of one entity agree: addresses in lower case, numbers without their separators."""
     if kind == "email":
         return value.lower()
+    if kind.startswith("name"):
+        return value.replace("’", "'").lower()
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).compressed
     if kind == "iban":
         return value.replace(" ", "")
     if kind in ("phone", "card", "ssn"):
@@ -141,6 +163,8 @@ def formed(kind: str, mention: str, new: str) -> str:
     """A surrogate of the canonical value in the form of a mention, with its separators or case."""
     if kind == "email":
         return new.upper() if mention.isupper() else new
+    if kind.startswith("name"):
+        return new.upper() if mention.isupper() and len(mention) > 1 else new[:1].upper() + new[1:]
     if kind in ("phone", "card", "ssn", "iban"):
         own = iter(c for c in new if c.isalnum())
         return "".join(next(own) if c.isalnum() else c for c in mention)
@@ -168,18 +192,24 @@ def _valid_iban(key: bytes, value: str) -> str:
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0, syllables: int = SYLLABLES) -> str:
     """The surrogate of a canonical value. Kinds of names: name-m, name-f (given) and name-x (family)."""
     if kind.startswith("name"):
-        cyrillic = bool(_CYRILLIC.search(value))
-        cs, vs = (_CONSONANTS_C, _VOWELS_C) if cyrillic else (_CONSONANTS, _VOWELS)
-        bits, out = _bits(key, "name", value, attempt), []
-        for _ in range(syllables):
-            bits, c = divmod(bits, len(cs))
-            bits, v = divmod(bits, len(vs))
-            out += [cs[c], vs[v]]
-        end = {"name-f": "на" if cyrillic else "na", "name-m": "р" if cyrillic else "r"}.get(kind, "к" if cyrillic else "k")
-        word = "".join(out) + end
-        return word.upper() if value.isupper() and len(value) > 1 else word.capitalize()
+        low = canonical(kind, value)
+        if _script(low) in SCRIPTS:
+            onsets, vowels, codas, (man, woman, family) = SCRIPTS[_script(low)]
+            bits, out = _bits(key, "name", low, attempt), []
+            for k in range(syllables):
+                for part in (onsets, vowels, codas if k < syllables - 1 else ("",)):
+                    bits, i = divmod(bits, len(part))
+                    out.append(part[i])
+            low = "".join(out) + {"name-m": man, "name-f": woman}.get(kind, family)
+        else:
+            for _ in range(attempt + 1):
+                low = _alike(key, "name", low, _letters(low))
+        return formed(kind, value, low)
     for _ in range(attempt + 1):
-        if kind == "ip":
+        if kind == "ip6":
+            n = permuted(key, "ip6", int(ipaddress.IPv6Address(value)), 1 << 128)
+            value = str(ipaddress.IPv6Address(n))
+        elif kind == "ip":
             n = permuted(key, "ip", int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32)
             value = ".".join(map(str, n.to_bytes(4, "big")))
         elif kind == "card":
@@ -209,34 +239,49 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0, syllables: in
     return value
 
 
+def _is_ip6(value: str) -> bool:
+    """Whether this is an address, with four digits at least: what is shorter may be a slice or a scope of a program."""
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return sum(c != ":" for c in value) >= 4
+
+
+def _of_name(word: str, known: dict[str, str]) -> str | None:
+    """The kind of a word that is one of a document's names, but for its case; a word that begins with a small letter is none, unless its script has no capitals."""
+    return None if word[0].islower() else known.get(canonical("name", word))
+
+
 def mentions(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), in order, not overlapping; of overlapping finds the earlier kind in KINDS stays."""
     if not _ANY.search(text):
         return []
     digits, found, known = bool(_DIGIT.search(text)), [], {}
     for kind, pattern in _PATTERNS.items():
-        if kind == "email" and "@" not in text or kind in ("iban", "card", "ssn", "ip", "phone") and not digits or kind == "name" and not _TITLE.search(text) or kind == "secret" and not _KEYISH.search(text):
+        if kind == "email" and "@" not in text or kind == "ip6" and ":" not in text or kind in ("iban", "card", "ssn", "ip", "phone") and not digits or kind == "name" and not _TITLE.search(text) or kind == "secret" and not _KEYISH.search(text):
             continue
         for m in pattern.finditer(text):
             if kind == "secret":
                 found.append((*(m.span("secret") if m["secret"] else m.span("secret2")), kind))
             elif kind == "name":
                 at, words = m.start("name"), m["name"].split(" ")
-                given = "name-f" if _FEMALE.match(m["title"]) else "name-m"
+                given = "name-f" if _FEMALE.match(m["title"]) else "name-x" if _NEUTRAL.match(m["title"]) else "name-m"
                 for i, w in enumerate(words):
                     core = _TAIL.sub("", w) or w
                     found.append((at, at + len(core), "name-x" if i == len(words) - 1 else given))
-                    known.setdefault(core, found[-1][2])
+                    known.setdefault(canonical("name", core), found[-1][2])
                     at += len(w) + 1
-            else:
+            elif kind != "ip6" or _is_ip6(m[0]):
                 found.append((*m.span(), kind))
     if known:  # their other mentions, without a title
         for m in _WORD.finditer(text):
-            core = _TAIL.sub("", m[0])
-            if core in known:
-                found.append((m.start(), m.start() + len(core), known[core]))
+            if not (core := _TAIL.sub("", m[0])):
+                continue
+            if (kind := _of_name(core, known)):
+                found.append((m.start(), m.start() + len(core), kind))
             elif core != (w := m[0]) or not w.isalnum():
-                found += [(m.start() + p.start(), m.start() + p.end(), known[p[0]]) for p in _PIECE.finditer(w) if p[0] in known]
+                found += [(m.start() + p.start(), m.start() + p.end(), kind) for p in _PIECE.finditer(w) if (kind := _of_name(p[0], known))]
     taken, out = bytearray(), []
     if len(found) > 1:
         taken = bytearray(max(e for _, e, _ in found))
@@ -309,11 +354,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", syllables: i
     raw = hashlib.sha256(key.encode()).digest()
     docs = docs.drop("n_entities")
     text = docs.select(docs[text_col].alias("text"))
-    while True:
-        attempts = collisions(settled(entity_table(text, raw, syllables)), raw, syllables)
-        if attempts is not None:
-            break
-        syllables += 2
+    attempts = collisions(settled(entity_table(text, raw, syllables)), raw, syllables)
+    if attempts is None:
+        raise ValueError(f"more than {EXCEPTIONS} entities share a surrogate: names need more than {syllables} syllables")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

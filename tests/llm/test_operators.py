@@ -530,3 +530,47 @@ def test_pii_surrogates_do_not_depend_on_the_size_of_the_corpus(spark):
     one = pii.pseudonymise(few, "k").first()["text"]
     rows = {r["doc_id"]: r["text"] for r in pii.pseudonymise(many, "k").collect()}
     assert rows[1] == one and len(set(rows.values())) == 3001
+
+
+def test_neighbours_keep_their_recall_when_probes_do_not_suffice(spark):
+    """Many small buckets and few probes: the vectors are indexed anew, coarser, until the sample's recall is there."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 24))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = d.select("vec_id", (F.col("vec_id") % 20 == 0).alias("query"), F.size("embedding").alias("dim"), F.col("embedding").alias("v"))
+    index = ann.indexed(rows, 1500, 4, 2)
+    need, reached = ann.probes_needed(index, 1500, 20, 4, 2, most=3)
+    assert need <= 3 and reached < 0.5
+    got = {}
+    for r in ann.neighbours(d, F.col("vec_id") % 20 == 0, tables=4, bucket=2, most=3).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = []
+    for q in range(0, 1500, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+        assert len(got[q]) == 20
+    assert np.mean(hit) > 0.93
+
+
+def test_probes_of_several_levels_in_slices(monkeypatch):
+    x = ann._scaled(np.random.default_rng(1).normal(size=(40, 16)))
+    whole = ann.probes(x, 2, [32, 32, 8], 50)
+    monkeypatch.setattr(ann, "SCORES", 50 * 32 * 3)
+    assert (ann.probes(x, 2, [32, 32, 8], 50) == whole).all() and whole.shape == (40, 50)
+
+
+def test_mixing_numbers_many_sources(spark):
+    sizes = spark.createDataFrame([(f"s{i:04d}", 10 + i % 7) for i in range(3000)] + [(None, 5)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    total, names = sum(10 + i % 7 for i in range(3000)) + 5, [*(f"s{i:04d}" for i in range(3000)), None]
+    size = dict(zip(names, [*(10 + i % 7 for i in range(3000)), 5], strict=True))
+    weight, fixed = {n: 1.0 + i % 3 for i, n in enumerate(names)}, {}
+    while True:
+        free = [n for n in names if n not in fixed]
+        level = (total - sum(fixed.values())) / sum(weight[n] for n in free)
+        over = {n: 3.0 * size[n] for n in free if weight[n] * level > 3 * size[n]}
+        if not over:
+            break
+        fixed |= over
+    assert all(abs(got[n] - fixed.get(n, weight[n] * level)) < 1e-6 for n in names)

@@ -31,6 +31,8 @@ BUCKET, LEAST, LEVELS = 512, 8, 3
 CHUNK = 1024
 #: The sample of queries, those with the smallest hash of the id, the share of their neighbours that the probes must reach, and probes at most.
 SAMPLE, RECALL, MOST = 100, 0.96, 4096
+#: Times larger the buckets get where ``MOST`` probes don't reach the recall; sums of projections that are held at once.
+COARSER, SCORES = 4, 1 << 22
 #: Buckets that are dealt in several chunks: so many are sent to all executors, more are joined by a shuffle.
 BROADCAST = 100_000
 ROUNDS = 3
@@ -69,7 +71,10 @@ def levels(n: int, dim: int, bucket: int) -> list[int]:
 
 
 def probes(x: np.ndarray, table: int, axes: list[int], most: int) -> np.ndarray:
-    """For each row the codes of its ``most`` nearest buckets in a table, nearest first."""
+    """For each row the codes of its ``most`` nearest buckets in a table, nearest first. So many rows at a time that their sums take SCORES numbers."""
+    rows = max(1, SCORES // (most * max(axes, default=1))) if most > 1 and len(axes) > 1 else len(x)
+    if rows < len(x):
+        return np.concatenate([probes(x[at : at + rows], table, axes, most) for at in range(0, len(x), rows)])
     codes, score = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
     for k, m in enumerate(axes):
         y = rotated(x, 1000 * table + k)[:, : max(1, m // 2)]
@@ -131,8 +136,8 @@ def indexed(rows: DataFrame, n: int, tables: int, bucket: int = BUCKET) -> DataF
     return rows.mapInArrow(run, "vec_id long, query boolean, dim int, v binary, codes array<long>")
 
 
-def probes_needed(index: DataFrame, n: int, k: int, tables: int, bucket: int = BUCKET, sample: int = SAMPLE, recall: float = RECALL) -> tuple[int, float]:
-    """How many probes in each table reach ``recall`` of the true neighbours of a sample of queries, and what they reach of them."""
+def probes_needed(index: DataFrame, n: int, k: int, tables: int, bucket: int = BUCKET, sample: int = SAMPLE, recall: float = RECALL, most: int = MOST) -> tuple[int, float]:
+    """How many probes in each table, ``most`` at most, reach ``recall`` of the true neighbours of a sample of queries, and what they reach of them."""
     asked = index.where("query").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "dim", "v").collect()  # at most ``sample`` rows
     by_dim: dict[int, list[int]] = {}
     for i, r in enumerate(asked):
@@ -160,24 +165,25 @@ def probes_needed(index: DataFrame, n: int, k: int, tables: int, bucket: int = B
     reached = []
     for d, at in by_dim.items():
         unit, axes = _scaled(queries[d]), levels(n, d, bucket)
-        order = [probes(unit, t, axes, MOST) for t in range(tables)]
+        order = [probes(unit, t, axes, most) for t in range(tables)]
         place = {i: j for j, i in enumerate(at)}
         for r in true:
             if r["q"] in place:
                 hits = [np.flatnonzero(order[t][place[r["q"]]] == r["codes"][t]) for t in range(tables)]
-                reached.append(min((int(h[0]) + 1 for h in hits if len(h)), default=MOST + 1))
+                reached.append(min((int(h[0]) + 1 for h in hits if len(h)), default=most + 1))
     reached = np.sort(np.array(reached))
-    need = min(int(reached[int(np.ceil(recall * len(reached))) - 1]), MOST)
+    need = min(int(reached[int(np.ceil(recall * len(reached))) - 1]), most)
     return need, float((reached <= need).mean())
 
 
-def neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = TABLES, bucket: int = BUCKET, probed: int | None = None) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = TABLES, bucket: int = BUCKET, probed: int | None = None, most: int = MOST) -> DataFrame:
     """The ``k`` rows found nearest to each query: (query_id, rank, vec_id, score), the query itself left out.
 
     Nearness is the largest inner product of the original vectors in double precision, ties to the smaller
     vec_id. ``is_query`` marks the queries. Vectors that are null or zero, or that hold null or non-finite
     components take no part, nor do null ids. An inner product needs vectors of one length: the candidates of a query are
-    the vectors as long as it. ``bucket``: vectors in a bucket, about. ``probed``: buckets probed in each table, else as many as a sample tells.
+    the vectors as long as it. ``bucket``: vectors in a bucket, about. ``probed``: buckets probed in each table, else as many as a sample
+    tells. Where ``most`` don't reach RECALL of its neighbours, the vectors are indexed anew in larger buckets, if need be in LEAST ones, all of which can be probed.
     Ids should be distinct; a repeated id counts once. An empty table gives no rows.
     """
     v = vectors[vector_col].cast("array<double>")
@@ -186,7 +192,13 @@ def neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec
     rows = rows.where(good)
     n = rows.count()
     index = settled(indexed(rows, n, tables, bucket))
-    probed = probes_needed(index, n, k, tables, bucket)[0] if probed is None else probed
+    while probed is None:
+        need, reached = probes_needed(index, n, k, tables, bucket, most=most if bucket < n else max(most, LEAST))
+        if reached >= RECALL or bucket >= n:
+            probed = need
+        else:
+            bucket *= COARSER
+            index = settled(indexed(rows, n, tables, bucket))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.stats import ranked
 from ._tasks import settled
 
 CAP = 3
@@ -43,9 +44,9 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = C
     exceeds ``cap`` times its source's size, what is over is shared again by weight among the others.
     Only three sums at a time reach the driver, however many sources there are.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    turn = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    s = settled(sizes.withColumn("weight", turn).withColumn("most", F.col("source_size") * float(cap)))
+    turn = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.col("turn") - 1) % len(weights) + 1).cast("int"))
+    numbered = ranked(sizes, [F.col("source").asc_nulls_last()], "turn").withColumn("weight", turn).drop("turn")
+    s = settled(numbered.withColumn("most", F.col("source_size") * float(cap)))
     level = float("inf")
     total = s.agg(F.sum("source_size")).first()[0] or 0
     while True:

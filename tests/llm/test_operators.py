@@ -574,3 +574,46 @@ def test_mixing_numbers_many_sources(spark):
             break
         fixed |= over
     assert all(abs(got[n] - fixed.get(n, weight[n] * level)) < 1e-6 for n in names)
+
+
+@pytest.mark.parametrize("common, flush", [(2, 300), (3, 1_000_000)])
+def test_jaccard_join_with_common_signatures(spark, common, flush, monkeypatch):
+    """Texts with one notice in common, near copies among them: links are the same where nearly every signature counts as common."""
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "FLUSH", flush)
+    rng = random.Random(common)
+    notice = " ".join(f"notice{i}" for i in range(11))
+    texts = []
+    for _ in range(25):
+        body = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 90))]
+        for _ in range(rng.randrange(1, 5)):
+            own = list(body)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = "x"
+            texts.append(notice + " " + " ".join(own))
+    texts += texts[:20] + [notice] * 3
+    sets = shingle_sets(texts)
+    want = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]) and want[i] != want[j]:
+                    want[i] = want[j] = min(want[i], want[j])
+                    changed = True
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_classes(table(spark, texts).repartition(6)).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_holders_of_a_common_signature_do_not_meet(spark):
+    """A notice of eleven words before 20,000 texts: the task that counts its signatures isn't sent all of them."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(" ".join(f"notice{i}" for i in range(11)) + " "), *[F.concat(F.lit(f"a{k}"), F.xxhash64("id", F.lit(k)).cast("string"), F.lit(" ")) for k in range(70)]).alias("text"))
+
+    def largest(common):
+        held = {}
+        for r in jaccard.sent_signatures(docs.repartition(4), 5, 64, common).collect():
+            held[r["part"]] = held.get(r["part"], 0) + int(np.frombuffer(r["blob"], "<u4", 2)[1])
+        return max(held.values()) / (sum(held.values()) / 64)
+
+    assert largest(1 << 40) > 1.3 * largest(jaccard.COMMON) and largest(jaccard.COMMON) < 1.2

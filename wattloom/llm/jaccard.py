@@ -5,7 +5,8 @@ partitioned into m cells, about a third of the band's largest size; the content
 signature. Sets with Jaccard similarity of at least 3/4 differ in at most k = (n + n') / 7 elements,
 thus in at most k cells, and share every other cell. So of any k+1 signatures of a set at least one is
 shared with each set that is similar to it: every set keeps only its k+1 signatures that the fewest
-sets have, which leaves frequent passages out without losing a link. A set that reaches to the next
+sets have, which leaves frequent passages out without losing a link. Signatures that very many sets have all count as equally frequent,
+so their holders needn't meet to be counted. A set that reaches to the next
 band gives that band's signatures too. (A set that fills k cells or fewer also names its empty cells
 and keeps all signatures; then the argument holds for it too.)
 
@@ -40,6 +41,13 @@ OUTER, INNER, LEAST, SPREAD = 200_000, 800_000, 25_000, 16
 ALL = 1 << 30
 #: Shingles whose signatures one task holds, on average; beyond, there are more partitions than the session names.
 HELD = 16_000_000
+#: A signature that so many sets of one flush have at least is common: its holders are dealt over all tasks. With more flushes fewer will do,
+#: so that what meets in one task stays about HELD.
+COMMON = 256
+#: What counts as the number of a common signature's holders: more than any other has.
+MANY = (1 << 32) - 1
+#: What a signature of a set is sent for: to be counted (0), as one of a common signature's holders, or as the mark of one.
+HELD_HERE, MARK = 1, 2
 _HEAD = np.dtype([("key", "<u8"), ("slack", "<i4"), ("n", "<i4"), ("size", "<i4")])
 
 
@@ -114,11 +122,8 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "blob"])
 
 
-def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> DataFrame:
-    """(doc_id, text) to (bucket, node, n, rank): for each distinct set that may have a partner, its k+1 rarest shared signatures. node is the set's key, n its size, rank the share of its signatures that others have.
-
-    ``shingles``: how many all sets have, at most; the number of partitions grows with it."""
-    parts = max(partitions(docs.sparkSession), -(-shingles // HELD))
+def sent_signatures(docs: DataFrame, size: int, parts: int, common: int) -> DataFrame:
+    """(doc_id, text) to (part, blob): the signatures of each task's distinct sets, packed, for the task that counts them; a signature that ``common`` sets of one flush have goes with its holders to any."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task, so a large group of copies sends each signature once from each task
@@ -128,7 +133,21 @@ def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> Dat
             at = np.repeat(np.arange(len(keys)), [len(x) for x in sigs])
             flat = np.concatenate(sigs)
             to = (((flat >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
-            rows = list(_pack(np.array(keys, np.uint64), np.array(slack, np.int32), np.array(n, np.int32), np.array(sizes, np.int32), at, [flat.astype("<u4")], to))
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
+            held = np.diff(np.append(first, len(flat)))
+            often = np.zeros(len(flat), bool)
+            often[order] = np.repeat(held >= common, held)
+            heads = [np.array(x, kind) for x, kind in ((keys, np.uint64), (slack, np.int32), (n, np.int32), (sizes, np.int32))]
+            rows = []
+            if often.any():
+                # the holders by their own key, and one of each signature, as its mark, to where it is counted
+                spread = ((mix(heads[0][at[often]], 42) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+                rows += _pack(*heads, at[often], [flat[often].astype("<u4"), to[often], np.full(often.sum(), HELD_HERE, np.uint8)], spread)
+                mark = order[first[held >= common]]
+                rows += _pack(*heads, at[mark], [flat[mark].astype("<u4"), to[mark], np.full(len(mark), MARK, np.uint8)], to[mark])
+            few = ~often
+            rows += _pack(*heads, at[few], [flat[few].astype("<u4"), to[few], np.zeros(few.sum(), np.uint8)], to[few])
             for x in (keys, slack, n, sizes, sigs):
                 x.clear()
             return _blobs(rows)
@@ -154,25 +173,46 @@ def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> Dat
         if sigs:
             yield flush()
 
+    return docs.mapInArrow(emit, "part int, blob binary")
+
+
+def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> DataFrame:
+    """(doc_id, text) to (bucket, node, n, rank): for each distinct set that may have a partner, its k+1 rarest shared signatures. node is the set's key, n its size, rank the share of its signatures that others have.
+
+    ``shingles``: how many all sets have, at most; the number of partitions grows with it.
+
+    Where a signature is common, its holders go to any task, with the mark that it is, and only the mark goes to the task where its other holders are
+    counted. Marked or counted there, it gets the same number everywhere, which is all that the choice of the rarest asks for."""
+    parts = max(partitions(docs.sparkSession), -(-shingles // HELD))
+    common = max(2, min(COMMON, HELD * FLUSH // max(shingles, 1)))
+
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The signatures that two sets or more have, with how many have them, dealt by key."""
-        heads, at, (sig,) = _unpack(batches, ["<u4"])
+        heads, at, (sig, home, role) = _unpack(batches, ["<u4", "<i4", "u1"])
         if not len(sig):
             return
         uniq, back = np.unique(heads["key"], return_inverse=True)
         pick = np.empty(len(uniq), np.int64)
         pick[back] = np.arange(len(back))
-        code = np.unique((sig.astype(np.uint64) << np.uint64(32)) | back[at].astype(np.uint64))
+        marks, counted = np.unique(sig[role == MARK]), role == 0
+        code = np.unique((sig[counted].astype(np.uint64) << np.uint64(32)) | back[at[counted]].astype(np.uint64))
         low, own = (code >> np.uint64(32)).astype(np.uint32), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         many = np.diff(np.concatenate((first, [len(low)])))
         count = np.repeat(many, many)
+        count[np.isin(low, marks)] = MANY
         hold = count > 1
-        low, own, count = low[hold], own[hold], count[hold]
+        low, own, count, at_home = low[hold], own[hold], count[hold], np.full(hold.sum(), TaskContext.get().partitionId())
+        here = np.flatnonzero(role == HELD_HERE)
+        if len(here):
+            # each set once for each signature, though several tasks may have sent it
+            one = np.unique(np.stack((home[here].astype(np.int64) << 32 | sig[here], back[at[here]])), axis=1)
+            low, own = np.concatenate((low, (one[0] & 0xFFFFFFFF).astype(np.uint32))), np.concatenate((own, one[1]))
+            count, at_home = np.concatenate((count, np.full(one.shape[1], MANY))), np.concatenate((at_home, one[0] >> 32))
         to = ((mix(uniq[own] & ~np.uint64(1), 40) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-        wide = mix(low.astype(np.uint64) | np.uint64(TaskContext.get().partitionId() << 32), 41) >> np.uint64(1)  # 32 bits name it only within this partition
+        wide = mix(low.astype(np.uint64) | at_home.astype(np.uint64) << np.uint64(32), 41) >> np.uint64(1)  # 32 bits name it only within its home
         yield _blobs(list(_pack(uniq, heads["slack"][pick], heads["n"][pick], heads["size"][pick], own, [wide.astype("<u8"), count.astype("<u4")], to)))
-        del heads, at, sig, uniq, back, pick, code, low, own, count, wide, to
+        del heads, at, sig, uniq, back, pick, code, low, own, count, wide, to, home, role, counted, at_home
         pa.default_memory_pool().release_unused()  # the worker goes on with other stages
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +225,8 @@ def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> Dat
         own = back[at]
         order = np.lexsort((sig, count, own))
         own, sig, count = own[order], sig[order], count[order]
+        new = np.concatenate(([True], (own[1:] != own[:-1]) | (sig[1:] != sig[:-1])))  # copies of a set may have been counted at both places
+        own, sig, count = own[new], sig[new], count[new]
         shared = np.bincount(own, minlength=len(uniq))
         need = heads["slack"][pick].astype(np.int64) + shared
         rank = np.arange(len(own)) - np.repeat(np.cumsum(shared) - shared, shared)
@@ -195,7 +237,7 @@ def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> Dat
         yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(node), pa.array(size, pa.int32()), pa.array(typical[own], pa.float64())], ["bucket", "node", "n", "rank"])
 
     blob = "part int, blob binary"
-    first = docs.mapInArrow(emit, blob).repartitionById(parts, F.col("part")).mapInArrow(share, blob)
+    first = sent_signatures(docs, size, parts, common).repartitionById(parts, F.col("part")).mapInArrow(share, blob)
     return first.repartitionById(parts, F.col("part")).mapInArrow(keep, "bucket long, node long, n int, rank double")
 
 

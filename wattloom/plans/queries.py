@@ -112,6 +112,7 @@ def write_roundtrip(spark, d):
 
 @query()
 def determinism_hash(spark, d):
+    """The number of the silver layer's rows and their hash; ``layer_manifest`` compares two runs of it."""
     return src.content_hash(fx.silver(bronze(spark, d), STEP, Settings(lags=(1, 5), rolling=(5,), slopes=(5,))))
 
 
@@ -188,8 +189,8 @@ def duplicate_ts(spark, d):
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n_back FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) x WHERE ts < before")
 def monotonic_violations(spark, d):
-    b = bronze(spark, d, by_user=True)
-    return b.withColumn("before", F.lag("timestamp").over(W.partitionBy("series_id").orderBy("event_id"))).agg(n(F.count_if(F.col("timestamp") < F.col("before")), "n_back"))
+    b = bronze(spark, d, by_user=True).select("series_id", F.col("event_id").alias("slot"), "timestamp")
+    return stats.going_back(b, "timestamp").agg(F.coalesce(F.sum("n_back"), F.lit(0)).alias("n_back"))
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS series_id, count(*) AS n_back, min(o_orderkey) AS slot, arg_min(before, o_orderkey) AS before, arg_min(o_orderdate, o_orderkey) AS at FROM (SELECT o_custkey, o_orderkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) x WHERE o_orderdate < before GROUP BY o_custkey")
@@ -342,10 +343,10 @@ def gold_drop_report(spark, d):
 CASCADE = [f"lag_{k}" for k in LAGS] + [f"rolling_mean_{k}" for k in (5, 15, 60)] + ["slope_5", "delta_5"]
 
 
-@query(QUARTER + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_null, '{c.split('_')[0]}' AS reason FROM silver" for c in CASCADE) + ") x WHERE n_null > 0")
+@query(QUARTER + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_null, '{c.split('_')[0]}' AS reason FROM silver" for c in CASCADE) + ") x WHERE n_null > 0 ORDER BY n_null DESC, \"column\" LIMIT 30")
 def nan_cascade(spark, d):
     reason = F.when(F.col("column").startswith("lag_"), "lag").when(F.col("column").startswith("rolling_"), "rolling").when(F.col("column").startswith("slope_"), "slope").otherwise("delta")
-    return src.null_counts(silver(spark, d), CASCADE, rate=False).withColumn("reason", reason).where("n_null > 0")
+    return src.null_counts(silver(spark, d), CASCADE, rate=False).withColumn("reason", reason).where("n_null > 0").orderBy(F.desc("n_null"), "column").limit(30)
 
 
 @query(QUARTER + " SELECT count(*) AS n_checked, CAST(sum(CASE WHEN lag_1 IS DISTINCT FROM before THEN 1 ELSE 0 END) AS BIGINT) AS lag_wrong, CAST(sum(CASE WHEN abs(delta_5 - (fifth - before)) > 0.001 OR (delta_5 IS NULL) <> (fifth - before IS NULL) THEN 1 ELSE 0 END) AS BIGINT) AS delta_wrong, CAST(sum(CASE WHEN abs(rolling_mean_5 - m) > 0.001 OR (rolling_mean_5 IS NULL) <> (k < 5) THEN 1 ELSE 0 END) AS BIGINT) AS rolling_wrong FROM (SELECT lag_1, delta_5, rolling_mean_5, lag(avg_load) OVER o AS before, lag(avg_load, 5) OVER o AS fifth, avg(avg_load) OVER (o ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m, count(avg_load) OVER (o ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS k FROM silver WINDOW o AS (ORDER BY slot)) x")

@@ -53,6 +53,11 @@ def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op6's other half: its signatures' bands joined, and what they bring together verified; the class of each document."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return ann.neighbours(vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -83,7 +88,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_co_training, op3_pii_surrogates, op4_license_scan, op5_toxicity_chain, op6_minhash_fingerprints, op7_cross_polytope_neighbours, op8_bpe_round_trip, op9_ngram_jaccard_join, op10_pareto_mixing, op11_secret_scan, op12_filter_audit, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_co_training, op3_pii_surrogates, op4_license_scan, op5_toxicity_chain, op6_minhash_fingerprints, minhash_near_duplicates, op7_cross_polytope_neighbours, op8_bpe_round_trip, op9_ngram_jaccard_join, op10_pareto_mixing, op11_secret_scan, op12_filter_audit, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

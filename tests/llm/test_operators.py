@@ -617,3 +617,63 @@ def test_holders_of_a_common_signature_do_not_meet(spark):
         return max(held.values()) / (sum(held.values()) / 64)
 
     assert largest(1 << 40) > 1.3 * largest(jaccard.COMMON) and largest(jaccard.COMMON) < 1.2
+
+
+def test_sources_have_places_of_their_own():
+    import pandas as pd
+
+    names = [f"src{i}" for i in range(20)]
+    s = pd.Series(names * 3 + ["src7", None])
+    slots = quality.slots_of(pd.Series(["en"] * len(s)), s)
+    m = quality.metadata(pd.Series(["en"] * 22), pd.Series([*names, "unseen", None]), pd.Series([5] * 22), slots)
+    places = m[:, quality.LANGS : quality.LANGS + quality.SOURCES].argmax(axis=1)
+    assert len(set(places.tolist())) == 22 and places[7] == 0 and places[20] == quality.SOURCES - 1
+    many = quality.slots_of(pd.Series(["en"] * 300), pd.Series([f"s{i}" for i in range(300)]))
+    assert len(many.sources) == quality.SOURCES - 1
+
+
+def test_calibration_trust_and_combination_by_plain_loops():
+    import math
+
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    n = 90
+    y = (rng.random(n) < 0.6).astype(int)
+    x = np.column_stack([y + rng.normal(size=n), rng.normal(size=n)])
+    rows = pd.DataFrame({"x": list(x), "lang": rng.choice(["en", "de"], n), "source": np.where(rng.random(n) < 0.8, np.where(y == 1, "good", "bad"), "mid"), "n_chars": rng.integers(1, 500, n), "quality": y})
+    slots = quality.slots_of(rows["lang"], rows["source"])
+    v = quality.fit_views(np.empty(0, np.uint64), rows, lambda w, taken: [], slots)
+    m = quality.metadata(rows["lang"], rows["source"], rows["n_chars"], slots)
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    prior = y.mean()
+    chance = -(prior * math.log(prior) + (1 - prior) * math.log(1 - prior))
+    told = []
+    for data, weights, cal, trust in ((x, v.text, v.calibrated[0], v.trust[0]), (m, v.meta, v.calibrated[1], v.trust[1])):
+        held = [0.0] * n
+        for f in range(3):
+            rest = [i for i in range(n) if i % 3 != f]
+            w = linear.fit(data[rest], y[rest].astype(float), quality.PENALTY)
+            for i in range(f, n, 3):
+                held[i] = sig(sum(a * b for a, b in zip(w, [*data[i], 1.0], strict=True)))
+        q = [sig(cal[0] * logit(p) + cal[1]) for p in held]
+        # the calibration is the logistic fit of the labels on the held-out log-odds: its slopes vanish there
+        assert abs(sum(t - p for t, p in zip(y, q, strict=True))) < 1e-2 and abs(sum((t - p) * logit(h) for t, p, h in zip(y, q, held, strict=True))) < 1e-1
+        loss = -sum(math.log(p if t else 1 - p) for t, p in zip(y, q, strict=True)) / n
+        assert math.isclose(trust, max(0.0, 1 - loss / chance), abs_tol=1e-9)
+        told.append([sig(cal[0] * logit(sig(sum(a * b for a, b in zip(weights, [*r, 1.0], strict=True)))) + cal[1]) for r in data])
+    got = quality.combined(v, x, m)
+    total = max(v.trust)  # the view that tells most counts whole
+    for i in range(n):
+        z = logit(prior) + sum((logit(p[i]) - logit(prior)) * t / total for p, t in zip(told, v.trust, strict=True))
+        assert math.isclose(got[0][i], told[0][i], abs_tol=1e-9) and math.isclose(got[1][i], told[1][i], abs_tol=1e-9) and math.isclose(got[2][i], sig(z), abs_tol=1e-9)
+    assert v.trust[1] > 0.2
+
+
+def test_quality_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(i % 50, "good words here" if i % 50 < 25 else "bad %%% stuff", "en", "a" if i % 50 < 25 else "b", 10) for i in range(200)]
+    d = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("x", "quality", "chosen", "keep", "labelled")})
+    labels = spark.createDataFrame([(i, int(i < 25), 0) for i in range(0, 50, 2)], "doc_id long, quality int, toxic int")
+    got = quality.score(d, labels).collect()
+    assert len(got) == 200 and all(r["keep"] == (r["doc_id"] < 25) for r in got) and len({(r["doc_id"], r["quality"]) for r in got}) == 50

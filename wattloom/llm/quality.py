@@ -4,10 +4,13 @@ Each view has a linear classifier on the same labelled rows. In each round eithe
 of which it is surest, of all that are not in the labelled sample, for the other view to learn from. At the end each view's probabilities are calibrated
 on predictions for labelled rows by views that were co-trained without them, and the calibrated log-odds are added, weighed by how well each
 view tells the labels, to score all documents.
+
+Texts are read twice: the labelled ones for the vocabulary, then all, once, for the features of either view. Rounds and scores read the features.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -28,7 +31,8 @@ SAMPLE, WORDS, ROUNDS, ADDED, PENALTY = 3000, 150, 4, 60, 1.0
 #: Pseudo-labels need at least this probability.
 SURE = 0.9
 THRESHOLD = 0.5
-SOURCES, LANGS = 32, 8
+#: Places for sources and languages: as many as the labelled sample's most frequent ones have their own, the rest share the last.
+SOURCES, LANGS = 64, 8
 
 
 def shape(text: bytes, words: np.ndarray) -> list[float]:
@@ -45,12 +49,30 @@ def shape(text: bytes, words: np.ndarray) -> list[float]:
     ]
 
 
-def metadata(lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> np.ndarray:
-    """What is known of a page without its text: language and source by hashed indicators, length in steps."""
-    hashed = lambda s, m: (pd.util.hash_array(s.fillna("").astype(str).to_numpy(object)) % np.uint64(m)).astype(int)
+class Slots(NamedTuple):
+    """The languages and sources that have a place of their own."""
+
+    langs: tuple[str, ...]
+    sources: tuple[str, ...]
+
+
+def slots_of(lang: pd.Series, source: pd.Series) -> Slots:
+    """The most frequent values of a sample, ties by name; null counts as empty."""
+    most = lambda s, m: tuple(sorted((v := s.fillna("").astype(str).value_counts()).index, key=lambda x: (-v[x], x))[: m - 1])
+    return Slots(most(lang, LANGS), most(source, SOURCES))
+
+
+def metadata(lang: pd.Series, source: pd.Series, n_chars: pd.Series, slots: Slots | None = None) -> np.ndarray:
+    """What is known of a page without its text: language and source by indicators, length in steps. Without ``slots`` places are hashed."""
+    text = lambda s: s.fillna("").astype(str).to_numpy(object)
+    if slots is None:
+        hashed = lambda s, _, m: (pd.util.hash_array(text(s)) % np.uint64(m)).astype(int)
+    else:
+        hashed = lambda s, names, m: pd.Series(text(s)).map({x: i for i, x in enumerate(names)}).fillna(m - 1).to_numpy(int)
+    known = slots or Slots((), ())
     size = np.log1p(pd.to_numeric(n_chars, errors="coerce").fillna(0).clip(lower=0).to_numpy(float))
     steps = np.clip(size, 0, 12).astype(int)
-    return np.concatenate((np.eye(LANGS)[hashed(lang, LANGS)], np.eye(SOURCES)[hashed(source, SOURCES)], np.eye(13)[steps], (size / 10)[:, None]), axis=1)
+    return np.concatenate((np.eye(LANGS)[hashed(lang, known.langs, LANGS)], np.eye(SOURCES)[hashed(source, known.sources, SOURCES)], np.eye(13)[steps], (size / 10)[:, None]), axis=1)
 
 
 class Views(NamedTuple):
@@ -60,6 +82,7 @@ class Views(NamedTuple):
     calibrated: tuple[np.ndarray, np.ndarray]
     trust: tuple[float, float]
     prior: float
+    slots: Slots
 
 
 def content(vocabulary: np.ndarray, shapes: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
@@ -109,10 +132,10 @@ def co_train(texts: np.ndarray, metas: np.ndarray, y: np.ndarray, rounds: int =
     return both[0], both[1]
 
 
-def fit_views(vocabulary: np.ndarray, rows: pd.DataFrame, offers: Offers, k: int = 3) -> Views:
+def fit_views(vocabulary: np.ndarray, rows: pd.DataFrame, offers: Offers, slots: Slots, k: int = 3) -> Views:
     """``rows``: x (the text's content), lang, source, n_chars, quality. Calibrated by views that were co-trained, pool and all, without a row's fold."""
     y = pd.to_numeric(rows["quality"]).to_numpy(float)
-    texts, metas = np.array(rows["x"].tolist(), float), metadata(rows["lang"], rows["source"], rows["n_chars"])
+    texts, metas = np.array(rows["x"].tolist(), float), metadata(rows["lang"], rows["source"], rows["n_chars"], slots)
     every, fold = np.arange(len(y)), linear.folds(len(y), k)
     rests = [r for f in range(k) if len(set(y[r := np.flatnonzero(fold != f)])) == 2]
     w, *without = exchange([every, *rests], texts, metas, y, offers)
@@ -129,11 +152,35 @@ def fit_views(vocabulary: np.ndarray, rows: pd.DataFrame, offers: Offers, k: int
         q = np.clip(linear.predict(c, linear.logit(p)[:, None]), 1e-6, 1 - 1e-6)
         loss = -(y * np.log(q) + (1 - y) * np.log(1 - q)).mean()
         trust.append(max(0.0, 1 - float(loss) / base))
-    return Views(vocabulary, *w, calibrated, (trust[0], trust[1]), prior)
+    return Views(vocabulary, *w, calibrated, (trust[0], trust[1]), prior, slots)
+
+
+META = ("lang", "source", "n_chars")
+
 
+def featured(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(doc_id, text, lang, source, n_chars) to (doc_id, lang, source, n_chars, x): the content of each text, compressed, in place of the text; settled."""
 
-def pool_offers(pool: DataFrame, vocabulary: np.ndarray, added: int = ADDED) -> Offers:
-    """Pseudo-labels from all rows of ``pool`` (doc_id, text, lang, source, n_chars): each task keeps the surest of each kind, Spark the surest of all tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(at, 256) for at in range(0, len(b), 256)):
+                words, shapes = _features(part)
+                x = content(vocabulary, np.array(shapes, float).reshape(len(part), -1), words)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *META)), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], ["doc_id", *META, "x"])
+
+    return settled(docs.select("doc_id", "text", *META).mapInArrow(run, "doc_id long, lang string, source string, n_chars long, x binary"))
+
+
+def _both(part: pa.RecordBatch, slots: Slots | None) -> tuple[np.ndarray, np.ndarray]:
+    """Content and metadata of ``featured`` rows."""
+    frame = part.select(list(META)).to_pandas()
+    x = np.frombuffer(b"".join(zlib.decompress(x.as_py()) for x in part.column("x")), float)
+    return x.reshape(len(part), -1), metadata(frame["lang"], frame["source"], frame["n_chars"], slots)
+
+
+def pool_offers(pool: DataFrame, vocabulary: np.ndarray, added: int = ADDED, slots: Slots | None = None) -> Offers:
+    """Pseudo-labels from all rows of ``pool`` (doc_id, text or ``featured`` x, lang, source, n_chars): each task keeps the surest of each kind, Spark the surest of all tasks."""
+    pool = pool if "x" in pool.columns else featured(pool, vocabulary)
     out = "variant int, pupil int, label double, sure double, tie long, doc_id long, x array<double>, m array<double>"
     kind = ["variant", "pupil", "label"]
 
@@ -141,11 +188,9 @@ def pool_offers(pool: DataFrame, vocabulary: np.ndarray, added: int = ADDED) ->
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[tuple, list[tuple]] = {}
             for b in batches:
-                for part in (b.slice(at, 256) for at in range(0, len(b), 256)):
-                    words, shapes = _features(part)
-                    x = content(vocabulary, np.array(shapes, float).reshape(len(part), -1), words)
-                    frame = part.select(["lang", "source", "n_chars"]).to_pandas()
-                    m, keys = metadata(frame["lang"], frame["source"], frame["n_chars"]), part.column("doc_id").to_numpy()
+                for part in (b.slice(at, 1024) for at in range(0, len(b), 1024)):
+                    x, m = _both(part, slots)
+                    keys = part.column("doc_id").to_numpy()
                     for v, pupil, label, rows in surest(w, x, m, keys, taken, added):
                         held = best.setdefault((v, pupil, label), [])
                         if len(held) == added:
@@ -185,10 +230,11 @@ def _features(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[list[float]]]:
     return words, shapes
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Views | None:
-    """Fits on at most ``sample`` labelled rows, chosen by a hash of the id, and pseudo-labels from all others; None without labels of both kinds."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Views | None, DataFrame | None]:
+    """Fits on at most ``sample`` labelled rows, chosen by a hash of the id, and pseudo-labels from all others; with the features of all rows. Nothing without labels of both kinds."""
     y = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
-    some = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
+    every = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    some = every.where("doc_id is not null")
     ids = some.select("doc_id").join(y, some.doc_id == y.labelled).select("doc_id", "quality").distinct()
     chosen = settled(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("chosen"), "quality"))
 
@@ -198,13 +244,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Views | N
             kept = [b.column(c) for c in ("doc_id", "lang", "source", "n_chars", "quality")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64())), pa.array(shapes, pa.list_(pa.float64()))], ["doc_id", "lang", "source", "n_chars", "quality", "words", "shape"])
 
-    plain = some.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"), "text")
     few = F.broadcast(chosen.withColumn("quality", F.col("quality").cast("int")))  # at most ``sample`` rows
-    out = plain.join(few, F.col("doc_id") == F.col("chosen")).drop("chosen")
-    pool = plain.join(few, F.col("doc_id") == F.col("chosen"), "left_anti")
+    out = some.join(few, F.col("doc_id") == F.col("chosen")).drop("chosen")
     rows = settled(out.mapInArrow(run, "doc_id long, lang string, source string, n_chars long, quality int, words array<long>, shape array<double>"))
     if rows.select("quality").distinct().count() != 2:
-        return None
+        return None, None
     vocabulary = linear.telling(rows.select("words", F.array(F.col("quality").cast("double")).alias("ys")), WORDS)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +262,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Views | N
     # of rows that repeat an id one stays, so that at most ``sample`` rows reach the driver
     one = F.struct("lang", "source", "n_chars", "quality", "x")
     table = table.groupBy("doc_id").agg(F.min_by(one, F.xxhash64("x", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return fit_views(vocabulary, table.toPandas(), pool_offers(pool, vocabulary))
+    frame = table.toPandas()
+    features, slots = featured(every, vocabulary), slots_of(frame["lang"], frame["source"])
+    pool = features.where("doc_id is not null").join(few, F.col("doc_id") == F.col("chosen"), "left_anti")
+    return fit_views(vocabulary, frame, pool_offers(pool, vocabulary, slots=slots), slots), features
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -229,18 +276,15 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     labels of both kinds everything gets 1 and is kept. Pseudo-labels come from all rows with an id, of rows that repeat one from the surest. Repeated rows and null ids are scored as they come;
     other columns are dropped; an empty table gives no rows.
     """
-    views = train(docs, labels, sample)
+    views, features = train(docs, labels, sample)
+    if views is None:
+        one = F.lit(1.0)
+        return docs.select(F.col("doc_id").cast("long"), one.alias("p_text"), one.alias("p_metadata"), one.alias("quality"), F.lit(1.0 >= threshold).alias("keep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(at, 256) for at in range(0, len(b), 256)):
-                if views is None:
-                    ps = [np.ones(len(part))] * 3
-                else:
-                    words, shapes = _features(part)
-                    frame = part.select(["lang", "source", "n_chars"]).to_pandas()
-                    ps = combined(views, content(views.vocabulary, np.array(shapes, float).reshape(len(part), -1), words), metadata(frame["lang"], frame["source"], frame["n_chars"]))
+            for part in (b.slice(at, 1024) for at in range(0, len(b), 1024)):
+                ps = combined(views, *_both(part, views.slots))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, ps), pa.array(ps[2] >= threshold)], ["doc_id", "p_text", "p_metadata", "quality", "keep"])
 
-    cols = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    return cols.mapInArrow(run, "doc_id long, p_text double, p_metadata double, quality double, keep boolean")
+    return features.mapInArrow(run, "doc_id long, p_text double, p_metadata double, quality double, keep boolean")

@@ -677,3 +677,22 @@ def test_quality_of_repeated_rows_and_clashing_columns(spark):
     labels = spark.createDataFrame([(i, int(i < 25), 0) for i in range(0, 50, 2)], "doc_id long, quality int, toxic int")
     got = quality.score(d, labels).collect()
     assert len(got) == 200 and all(r["keep"] == (r["doc_id"] < 25) for r in got) and len({(r["doc_id"], r["quality"]) for r in got}) == 50
+
+
+def test_fingerprints_of_null_and_repeated_ids_spread(spark):
+    """Half of the rows have no id, a quarter share one: no partition gets them all, and each row's next is the one behind it in order."""
+    n = 50_000
+    key = F.when(F.col("id") < n // 2, None).when(F.col("id") < 3 * n // 4, 7).otherwise(F.col("id"))
+    docs = spark.range(n).select(key.alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string"), F.lit(" some more words here now")).alias("text")).repartition(5)
+    out = minhash.fingerprints(docs)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(rows, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    want = set()
+    for r, nxt in zip(order, [*order[1:], order[0]], strict=True):
+        k = len(r["text"]) // 3
+        want.add((r["doc_id"], hashlib.sha256((r["text"][: len(r["text"]) - k] + nxt["text"][:k]).encode()).hexdigest()))
+    got = out.select("doc_id", "edited_sha256").collect()
+    assert len(got) == n and {tuple(r) for r in got} == want
+    plan = out._jdf.queryExecution().executedPlan()
+    sizes = docs.repartitionByRange(64, F.col("doc_id").desc_nulls_last(), F.xxhash64("text")).groupBy(F.spark_partition_id()).count()
+    assert sizes.agg(F.max("count")).first()[0] < 4 * n / 64 and plan.toString().count("rangepartitioning") >= 1

@@ -12,18 +12,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._tasks import byte_texts, id_and_text, partitions, settled
 from .jaccard import linked, shingle_arrays
 from .shingles import SIZE, mix, set_keys, shingle_set
 
 PERMUTATIONS, BANDS = 64, 16
-#: Bytes of text in a run of consecutive documents, and how many runs there are at least.
+#: Bytes of text in a partition of consecutive documents, about, and how many there are at least.
 RUN_BYTES, LEAST_RUNS = 32 << 20, 64
 _SEEDS = mix(np.arange(2 * PERMUTATIONS, dtype=np.uint64), 50)
 _A, _B = (_SEEDS[:PERMUTATIONS] | np.uint64(1))[:, None], _SEEDS[PERMUTATIONS:][:, None]
@@ -49,31 +48,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _runs(docs: DataFrame) -> np.ndarray:
-    """Upper ends, ids that occur, of runs of consecutive ids with about RUN_BYTES of text each; the number follows the data and is small."""
-    total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n"), F.max("doc_id").alias("top")).first()
-    if not total["n"]:
-        return np.empty(0, np.int64)
-    runs = min(max(LEAST_RUNS, math.ceil((total["b"] or 0) / RUN_BYTES)), total["n"])
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)] or [1.0], max(10_000, 20 * runs))).first()[0]
-    return np.unique(np.array([*cuts, total["top"]], np.int64))
+FINGERPRINTS = {"doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
+_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
 
-def _dealt(docs: DataFrame, ends: np.ndarray) -> DataFrame:
-    """Each document in its run; the highest of a run also, as a guest, in the run above it, whose lowest document it follows; the highest of all in the lowest run."""
+def _finished(doc: int | None, text: str, sig: np.ndarray, following: str, sig_next: np.ndarray, size: int) -> tuple:
+    new = edited(text, following)
+    raw = new.encode()
+    sig2 = sig if new == text else signature(shingle_set(raw, size))
+    return doc, len(text), hashlib.sha256(raw).hexdigest(), sig.tobytes().hex(), sig2.tobytes().hex(), likeness(sig, sig2), likeness(sig, sig_next)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def runs(ids: pd.Series) -> pd.Series:
-        out = []
-        for i in ids:
-            if i is None or i != i or not len(ends):
-                out.append([0])
-                continue
-            at = int(np.searchsorted(ends, int(i)))
-            out.append([at, (at + 1) % len(ends)] if len(ends) > 1 and ends[at] == i else [at])
-        return pd.Series(out)
 
-    return docs.select("doc_id", "text", F.posexplode(runs("doc_id")).alias("guest", "run"))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _KINDS[t]) for k, t in enumerate(FINGERPRINTS.values())], list(FINGERPRINTS))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -83,60 +70,50 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     descending doc_id; the one after the last is the first. near_edited and near_next are the likeness
     of the fingerprint to those of the edited text and of the next document. Equal texts have equal
     fingerprints. A null text counts as empty. Rows that repeat an id follow each other in the order of
-    their texts; null ids come last. A single row is its own next. An empty table gives no rows.
+    their texts' hashes; null ids come last. A single row is its own next. An empty table gives no rows.
 
-    Texts are moved once, to runs of consecutive ids whose ends are quantiles of the ids; the first document
-    of the next run comes along as a guest, so no run waits for another and no global sort is needed.
+    Texts are moved once, sorted across partitions by range of id and of the text's hash, so that rows that repeat an id, or have none, spread too. The last row of
+    each partition waits for the first of the next one that has rows: two rows of each partition are joined for that.
     """
     docs = id_and_text(docs, id_col, text_col)
-    ends = _runs(docs)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    runs = max(LEAST_RUNS, partitions(docs.sparkSession), math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / RUN_BYTES))
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    dealt = docs.repartitionByRange(runs, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[int, tuple] = {}
         held: tuple | None = None  # the row that waits for its next
-        out: list[tuple] = []
-
-        def finish(row: tuple, following: tuple) -> tuple:
-            _, _, doc, text, sig = row
-            new = edited(text, following[3])
-            raw = new.encode()
-            sig2 = sig if new == text else signature(shingle_set(raw, size))
-            return doc, len(text), hashlib.sha256(raw).hexdigest(), sig.tobytes().hex(), sig2.tobytes().hex(), likeness(sig, sig2), likeness(sig, following[4])
-
-        def batch() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            cols = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(cols, names)
-
-        def end(row: tuple) -> None:
-            """``row`` is its run's last: only where there is one run, or it is a guest."""
-            if not row[1]:
-                out.append(finish(row, first[row[0]]))
-
         for b in batches:
-            for part, guest, doc, raw in zip(b.column("run").to_pylist(), b.column("guest").to_pylist(), b.column("doc_id").to_pylist(), byte_texts(b.column("text")), strict=True):
-                row = part, guest, doc, raw.decode(), signature(shingle_set(raw, size))
-                if held and held[0] == part:
-                    if not held[1]:
-                        out.append(finish(held, row))
-                elif held:
-                    end(held)
-                if part not in first:
-                    first.clear()
-                    first[part] = row
+            out = []
+            for doc, raw in zip(b.column("doc_id").to_pylist(), byte_texts(b.column("text")), strict=True):
+                row = doc, raw.decode(), signature(shingle_set(raw, size))
+                if held:
+                    out.append(_finished(*held, *row[1:], size))
                 held = row
             if out:
-                yield batch()
-        if held:
-            end(held)
-        if out:
-            yield batch()
-
-    order = [F.col("run"), F.col("guest"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    parted = _dealt(docs, ends).repartition(partitions(docs.sparkSession), "run").sortWithinPartitions(*order)
-    return parted.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                yield _batch(out)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The partition's first text, and its last row."""
+        first = last = None
+        for b in batches:
+            if len(b):
+                first = b.slice(0, 1) if first is None else first
+                last = b.slice(len(b) - 1)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([last.column("part").cast(pa.int64()), pa.array(first.column("text").to_pylist(), pa.string()), last.column("doc_id").cast(pa.int64()), pa.array(last.column("text").to_pylist(), pa.string())], ["part", "first", "doc_id", "text"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column("doc_id").to_pylist(), byte_texts(b.column("text")), byte_texts(b.column("following")), strict=True)
+            yield _batch([_finished(doc, t.decode(), signature(shingle_set(t, size)), f.decode(), signature(shingle_set(f, size)), size) for doc, t, f in rows])
+
+    kept = dealt.withColumn("part", F.spark_partition_id()).mapInArrow(ends, "part long, first string, doc_id long, text string")
+    numbers = kept.select("part")  # one for each partition
+    after = numbers.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("then"))
+    firsts = kept.select(F.col("part").alias("then"), F.col("first").alias("following"))
+    closing = kept.join(after, "part").join(firsts, "then").select("doc_id", "text", "following")
+    schema = ", ".join(f"{c} {t}" for c, t in FINGERPRINTS.items())
+    return dealt.mapInArrow(run, schema).union(closing.mapInArrow(close, schema))
 
 
 def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:

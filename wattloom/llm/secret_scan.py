@@ -73,7 +73,7 @@ EXTRA = (
     Rule("private_key", r"-----BEGIN ([A-Z]+ ){0,2}PRIVATE KEY( BLOCK)?-----"),
     Rule("bearer", rf"{_cased('bearer')}\x20+[A-Za-z0-9+/_.~-]{{20,}}=*"),
     Rule("storage_key", r"AccountKey=[A-Za-z0-9+/]{40,}={0,2}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9_.~%-]{1,64}:[^\x00-\x20/:@\x22]{3,128}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9_.~%-]{1,64}:[!#-.0-9;-?A-~]{3,128}@"),
     Rule("vault", r"hvs\.[A-Za-z0-9_-]{24,}"),
 )
 RULES = (*BASE, *EXTRA)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wattloom.operators import features as fx
 from wattloom.operators import stats
-from wattloom.plans import pipeline
+from wattloom.plans import pipeline, queries
 from wattloom.plans.settings import Settings
 from wattloom.sources import bronze as src
 
@@ -502,3 +502,28 @@ def test_trends_of_even_periods_take_half_of_both_ends(spark, period):
             if inside:
                 ends = (v[i - half] + v[i + half]) / 2 if period % 2 == 0 else v[i - half] + v[i + half]
                 assert math.isclose(r["trend"], (sum(v[i - half + 1 : i + half]) + ends) / period) and abs(r["residual"]) < 1e-9
+
+
+@pytest.mark.parametrize("most", [1e-300, 1.0, 1e9, 1e300])
+def test_means_are_the_same_to_the_last_bit_in_whatever_order_rows_come(spark, most):
+    rng = random.Random(5)
+    loads = [rng.uniform(-1, 1) * most * 10 ** -rng.randrange(6) for _ in range(3000)] + [0.0, -0.0, None]
+    b = seconds(spark, loads).withColumn("n", F.monotonically_increasing_id())
+    means = {fx.resample(x, 86400).first()["avg_load"] for x in (b.coalesce(1), b.orderBy("n").coalesce(1), b.orderBy(F.desc("n")).coalesce(1), b.orderBy("load").coalesce(1), b.repartition(7, "load"))}
+    assert len(means) == 1
+    want = math.fsum(v / 3002 for v in loads if v is not None)
+    assert math.isclose(means.pop(), want, rel_tol=1e-11)
+
+
+def test_bins_with_loads_that_are_no_numbers_have_no_mean(spark):
+    loads = [math.inf, 1.0, math.nan, 1.0, 1.7e308, 1.7e308, None, None, 5e-324, 5e-324, 3.0, None, -math.inf, math.inf]
+    got = [r["avg_load"] for r in fx.resample(seconds(spark, loads), 2).orderBy("slot").collect()]
+    assert got == [None, None, None, None, 5e-324, 3.0, None]
+
+
+def test_layer_manifest_finds_the_same_content_where_sums_depend_on_order(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, T0 + dt.timedelta(seconds=40 * i % 86400), i % 5, "view", round(rng.uniform(0, 1e9), 2), "") for i in range(4000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.layer_manifest(spark, str(tmp_path)).collect()
+    assert [(r["date"], r["n_rows"], r["n_other"], r["equal"]) for r in got] == [(T0.date(), 96, 96, True)]

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -619,6 +621,24 @@ def test_holders_of_a_common_signature_do_not_meet(spark):
     assert largest(1 << 40) > 1.3 * largest(jaccard.COMMON) and largest(jaccard.COMMON) < 1.2
 
 
+def test_signatures_are_packed_in_little_memory():
+    """Some 1.5 million signatures: a worker holds the arrays of a part of them only."""
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 900))) for _ in range(2400)]
+    batches = [pa.record_batch({"doc_id": pa.array(range(400)), "text": pa.array(texts[i : i + 400])}) for i in range(0, 2400, 400)]
+    run = jaccard.sent_signatures(Frame(), 5, 32, jaccard.COMMON)
+    tracemalloc.start()
+    packed = sum(int(np.frombuffer(x, "<u4", 2)[1]) for b in run(iter(batches)) for x in b.column("blob").to_pylist())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert packed > 1_200_000 and most < 50e6
+
+
 def test_sources_have_places_of_their_own():
     import pandas as pd
 

@@ -34,7 +34,8 @@ from .shingles import SIZE, mix, set_keys, shingle_set
 #: 100 * intersection >= PERCENT * union. The bounds below are for this value.
 PERCENT = 75
 CELLS = 0.35
-FLUSH = 1_000_000
+#: Signatures that a task packs at once, at some 100 bytes for each; what is sent is as long with fewer.
+FLUSH = 250_000
 #: Shingles in a block of nodes to compare, and in a block of what they are compared with, at most; smaller clusters go in
 #: up to SPREAD blocks of LEAST shingles or more.
 OUTER, INNER, LEAST, SPREAD = 200_000, 800_000, 25_000, 16
@@ -43,7 +44,7 @@ ALL = 1 << 30
 HELD = 16_000_000
 #: A signature that so many sets of one flush have at least is common: its holders are dealt over all tasks. With more flushes fewer will do,
 #: so that what meets in one task stays about HELD.
-COMMON = 256
+COMMON = 64
 #: What counts as the number of a common signature's holders: more than any other has.
 MANY = (1 << 32) - 1
 #: What a signature of a set is sent for: to be counted (0), as one of a common signature's holders, or as the mark of one.
@@ -107,14 +108,14 @@ def _unpack(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> tuple[np.nda
             nk, ns = np.frombuffer(raw, "<u4", 2)
             heads.append(np.frombuffer(raw, _HEAD, nk, 8).copy())
             off = 8 + nk * _HEAD.itemsize
-            ats.append(np.frombuffer(raw, "<u4", ns, off).astype(np.int64) + base)
+            ats.append(np.frombuffer(raw, "<u4", ns, off).astype(np.int32) + np.int32(base))
             off += 4 * ns
             for c, kind in zip(columns, kinds, strict=True):
                 c.append(np.frombuffer(raw, kind, ns, off).copy())
                 off += np.dtype(kind).itemsize * ns
             base += int(nk)
     if not heads:
-        return np.empty(0, _HEAD), np.empty(0, np.int64), [np.empty(0, k) for k in kinds]
+        return np.empty(0, _HEAD), np.empty(0, np.int32), [np.empty(0, k) for k in kinds]
     return np.concatenate(heads), np.concatenate(ats), [np.concatenate(c) for c in columns]
 
 
@@ -195,14 +196,19 @@ def kept_signatures(docs: DataFrame, size: int = SIZE, shingles: int = 0) -> Dat
         pick = np.empty(len(uniq), np.int64)
         pick[back] = np.arange(len(back))
         marks, counted = np.unique(sig[role == MARK]), role == 0
-        code = np.unique((sig[counted].astype(np.uint64) << np.uint64(32)) | back[at[counted]].astype(np.uint64))
-        low, own = (code >> np.uint64(32)).astype(np.uint32), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        many = np.diff(np.concatenate((first, [len(low)])))
-        count = np.repeat(many, many)
-        count[np.isin(low, marks)] = MANY
-        hold = count > 1
-        low, own, count, at_home = low[hold], own[hold], count[hold], np.full(hold.sum(), TaskContext.get().partitionId())
+        # signature and set in one number, in place, as this is the most that a task holds
+        code = sig[counted].astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= back.astype(np.uint64)[at[counted]]
+        code.sort()
+        code = code[np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1]))]
+        low = (code >> np.uint64(32)).astype(np.uint32)
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(low)), bool), low[1:] != low[:-1])))
+        many = np.diff(np.append(first, len(low)))
+        count = np.where(np.isin(low[first], marks), MANY, many)
+        hold = np.repeat(count > 1, many)
+        low, own, count = low[hold], (code[hold] & np.uint64(0xFFFFFFFF)).astype(np.int64), np.repeat(count, np.where(count > 1, many, 0))
+        at_home = np.full(len(low), TaskContext.get().partitionId())
         here = np.flatnonzero(role == HELD_HERE)
         if len(here):
             # each set once for each signature, though several tasks may have sent it

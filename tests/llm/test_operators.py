@@ -639,6 +639,22 @@ def test_signatures_are_packed_in_little_memory():
     assert packed > 1_200_000 and most < 50e6
 
 
+def test_surrogates_go_back_in_parts():
+    """A batch of 5 MB: no more than a few of its new texts are held at once; rows and other columns come as they are."""
+    texts = [None if i % 50 == 0 else f"{i} write to ann{i}@example.org " + "plain words " * 200 for i in range(2000)]
+    b = pa.record_batch({"doc_id": pa.array(range(2000)), "text": pa.array(texts), "others": pa.array([{"lang": str(i)} for i in range(2000)])})
+    n, got = 0, []
+    tracemalloc.start()
+    for x in pii.with_surrogates(b, 1, b"key", {}, pii.SYLLABLES):
+        n += 1
+        got += [(r["doc_id"], r["others"]["lang"], r["n_entities"], r["text"] and hash(r["text"])) for r in x.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [(None, 0) if t is None else pii.replaced(t, b"key", {}, pii.SYLLABLES) for t in texts]
+    assert got == [(i, str(i), n, t and hash(t)) for i, (t, n) in enumerate(want)]
+    assert n > 4 and most < 5e6
+
+
 def test_sources_have_places_of_their_own():
     import pandas as pd
 

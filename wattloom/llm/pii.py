@@ -44,6 +44,8 @@ def _runs(codes: list[int]) -> list[tuple[int, int]]:
 
 #: Entities with an attempt of their own that are sent to all executors. With 500 ** SYLLABLES / 5 bodies of names so many need 50 million distinct words of names.
 EXCEPTIONS = 100_000
+#: Characters of text that go back to Spark together.
+WINDOW = 1 << 20
 SYLLABLES = 4
 _TITLES_M = "Mr|Sir|Herr|Monsieur|M|Señor|Sr|Don|Signor|Господин|Г-н"
 _TITLES_N = "Dr|Dra|Prof|Doctor|Professor|Doktor|Docteur|Professeur|Profesor|Profesora|Доктор|Профессор"
@@ -344,6 +346,20 @@ def collisions(entities: DataFrame, key: bytes, syllables: int, bound: int = EXC
         table = settled(table.select("kind", "value", F.col("attempt").cast("int").alias("attempt"), "surrogate").join(lose.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(new))
 
 
+def with_surrogates(b: pa.RecordBatch, at: int, key: bytes, attempts: dict[tuple[str, str], int], syllables: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with column ``at`` replaced, and n_entities; some WINDOW characters at once, so that a worker doesn't hold all new texts."""
+    start, size, out = 0, 0, []
+    for i, x in enumerate(b.column(at)):
+        t = x.as_py()
+        out.append((None, 0) if t is None else replaced(t, key, attempts, syllables))
+        size += len(t or "")
+        if size >= WINDOW or i + 1 == len(b):
+            columns = b.slice(start, i + 1 - start).columns
+            columns[at] = pa.array([new for new, _ in out], b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in out], pa.int64())], [*b.schema.names, "n_entities"])
+            start, size, out = i + 1, 0, []
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", syllables: int = SYLLABLES) -> DataFrame:
     """All rows and columns of ``docs`` with personal data in ``text_col`` replaced, and n_entities, the mentions replaced.
 
@@ -361,10 +377,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", syllables: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(None, 0) if (t := x.as_py()) is None else replaced(t, raw, attempts, syllables) for x in b.column(at)]
-            columns = b.columns
-            columns[at] = pa.array([t for t, _ in out], b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in out], pa.int64())], [*b.schema.names, "n_entities"])
+            yield from with_surrogates(b, at, raw, attempts, syllables)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType())]))
 

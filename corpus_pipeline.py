@@ -6,6 +6,7 @@ Each stage is written as Parquet and read again as the next one's documents.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,10 @@ from wattloom.llm import bpe, jaccard, mixing, pii, toxicity
 from wattloom.llm._tasks import settled, shared_dir
 from wattloom.llm.queries import VOCABULARY, pii_key
 
+#: Bytes of rows that go to a Python worker at once, where the session doesn't say: all workers of an executor and its buffers hold a batch, whatever the texts' length.
+BATCH = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def packed(docs: DataFrame, used: list[str]) -> DataFrame:
     """The used columns and, in one column, the others, so that an operator's own columns can't clash with them."""
@@ -25,6 +30,17 @@ def unpacked(out: DataFrame, docs: DataFrame, used: list[str]) -> DataFrame:
     return out.select(*[F.col(c) if c in used else F.col("others")[c].alias(c) for c in docs.columns])
 
 
+def by_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with batches of BATCH bytes in the session from then on, as its rows are made when they are written; a setting of the session's own stays."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(_BATCH_KEY, None) is None:
+            spark.conf.set(_BATCH_KEY, BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity chain doesn't reject; a null text is scored as empty, repeated rows and null ids as they come."""
     used = ["doc_id", "text"]
@@ -69,7 +85,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY), with_ids=True, with_text=False)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", one_of_each_group), ("pii", hide_personal_data), ("mixing", mix), ("bpe", encode)]
+STAGES = [(name, by_batches(f)) for name, f in (("toxicity", drop_toxic), ("near_duplicates", one_of_each_group), ("pii", hide_personal_data), ("mixing", mix), ("bpe", encode))]
 #: Models and keyed surrogates can't be told in SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 

@@ -67,3 +67,28 @@ def test_stages_on_odd_tables(spark):
 
 def test_run(spark):
     assert cp.run(spark, D).count() > 0
+
+
+def test_stages_send_small_batches_to_python(spark):
+    """Whatever the texts' length, a worker gets some 4 MB at once; a longer text goes whole, and a setting of the session's own stays."""
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([len(b)]), "bytes": pa.array([b.nbytes])})
+
+    try:
+        texts = ["xyz " * 25_000] * 100 + ["xyz " * 1_250_000]
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+        out = cp.STAGES[-1][1](spark, docs, D)
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in got) == len(texts)
+        assert len(got) >= 3 and sorted(r["bytes"] for r in got)[-2] < 8e6
+        assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == list(range(len(texts)))
+        spark.conf.set(key, 1 << 20)
+        cp.STAGES[-1][1](spark, docs, D)
+        assert int(spark.conf.get(key)) == 1 << 20
+    finally:
+        spark.conf.unset(key)
